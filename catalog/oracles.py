@@ -441,7 +441,9 @@ from (select run, (epoch_us(max(ts) over w) - epoch_us(min(ts) over w)) / 1e6::d
       from log window w as (partition by run))
 group by run, s""",
     "log_sweep": with_(LOG) + f"select step, {SWEEP}, {DELTAS} from log group by step",
-    "next_token_counts": with_(*STREAM, VOCAB, IDS, PAIRS, TRAIN_PAIRS) + "select * from train",
+    "next_token_counts": with_(*STREAM, VOCAB, IDS, PAIRS)
+    + """select case when p < cut then 'train' else 'val' end as split, cur, next, count(*) as n
+from pairs where next is not null and p + 1 <> cut group by 1, 2, 3""",
     "next_token_topk": with_(*STREAM, VOCAB, IDS, PAIRS, TRAIN_PAIRS)
     + """select cur, r::int as rank, next, n
 from (select *, row_number() over (partition by cur order by n desc, next) as r from train)

@@ -593,7 +593,11 @@ def _pairs(spark, sf_dir):
     stream = corpus_stream(spark, sf_dir)
     chunks = corpus_plan.id_chunks(stream, tokenizer, 1024, overlap=1)
     parts = stream.split_at(TRAIN_FRACTION)
-    return tokenizer, *[ngrams.pair_counts(chunks, "ids", 1024, *parts[s]) for s in parts]
+    return tokenizer, ngrams.pair_counts(chunks, "ids", 1024, parts)
+
+
+def _train_pairs(counts: DataFrame) -> DataFrame:
+    return counts.where("split = 'train'").drop("split")
 
 
 def next_token_counts(spark, sf_dir):
@@ -601,12 +605,14 @@ def next_token_counts(spark, sf_dir):
 
 
 def next_token_topk(spark, sf_dir):
-    return ngrams.top_next(_pairs(spark, sf_dir)[1], 3)
+    return ngrams.top_next(_train_pairs(_pairs(spark, sf_dir)[1]), 3)
 
 
 def held_out_loss(spark, sf_dir):
-    tokenizer, train, val = _pairs(spark, sf_dir)
-    loss = ngrams.held_out_loss(train, val, len(tokenizer.chars))
+    tokenizer, counts = _pairs(spark, sf_dir)
+    counts = materialize(counts, "pairs")
+    val = counts.where("split = 'val'").drop("split")
+    loss = ngrams.held_out_loss(_train_pairs(counts), val, len(tokenizer.chars))
     return loss.withColumns({c: F.round(c, 6) for c in ("mean_loss", "perplexity")})
 
 

@@ -16,7 +16,6 @@ def corpus_lines(
 
     A text of whitespace alone becomes a blank line and still counts.
     """
-    kept = df.where(has_text(F.col(text_field)))
-    if max_rows is not None:
-        kept = first_rows(kept, [key], max_rows)
+    keep = has_text(F.col(text_field))
+    kept = df.where(keep) if max_rows is None else first_rows(df, key, max_rows, keep)
     return kept.select(key, clean_line(F.col(text_field)).alias("line"))

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def pair_counts(chunks: DataFrame, ids: str, size: int, lo: int, hi: int) -> DataFrame:
-    """(cur, next, n): adjacent pairs whose both tokens lie in [lo, hi) of the stream.
+def pair_counts(
+    chunks: DataFrame, ids: str, size: int, parts: dict[str, tuple[int, int]]
+) -> DataFrame:
+    """(split, cur, next, n): adjacent pairs whose both tokens lie in a part [lo, hi) of the stream.
 
     ``chunks`` hold ``size`` tokens and one of overlap, so that every pair is in exactly one
-    chunk. Pairs are counted within a task before they are shuffled.
+    chunk. All parts are counted in one pass, within a task before anything is shuffled.
     """
     column = F.col(ids)
     pairs = F.zip_with(
@@ -23,13 +25,26 @@ def pair_counts(chunks: DataFrame, ids: str, size: int, lo: int, hi: int) -> Dat
         lambda a, b: F.struct(a.alias("cur"), b.alias("next")),
     )
     begin = F.col("chunk_id") * size
-    first = F.greatest(F.lit(lo) - begin, F.lit(0)).cast("int")
-    stop = F.least(F.lit(hi) - begin, F.size(column).cast("long")).cast("int")
-    wanted = F.slice(pairs, first + 1, F.greatest(stop - 1 - first, F.lit(0)))
+    bounds = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("split"),
+                F.greatest(F.lit(lo) - begin, F.lit(0)).cast("int").alias("first"),
+                F.least(F.lit(hi) - begin, F.size(column).cast("long")).cast("int").alias("stop"),
+            )
+            for name, (lo, hi) in parts.items()
+        ]
+    )
+    opened = chunks.select(
+        F.explode(F.filter(bounds, lambda b: b["stop"] - b["first"] > 1)).alias("part"),
+        pairs.alias("pairs"),
+    )
+    wanted = F.slice(
+        "pairs", F.col("part.first") + 1, F.col("part.stop") - F.col("part.first") - 1
+    )
     return (
-        chunks.where((begin < hi) & (begin + size >= lo) & (F.size(column) > 1))
-        .select(F.inline(wanted))
-        .groupBy("cur", "next")
+        opened.select("part.split", F.inline(wanted))
+        .groupBy("split", "cur", "next")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 

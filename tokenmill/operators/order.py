@@ -32,8 +32,12 @@ def key_buckets(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET)
     partitioning. Dense unique integers get equal-width ranges, which cannot hold more rows than
     their width. Other numeric keys get quantile bounds. Only the key column is read here.
     """
-    low, high, rows = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    if not rows or low is None:
+    low, high, rows, known = df.agg(
+        F.min(key), F.max(key), F.count(F.lit(1)), F.count(key)
+    ).first()
+    if known < rows:
+        raise ValueError(f"{rows - known} rows have no order key '{key}'")
+    if not rows:
         return df.withColumn(BUCKET, F.lit(0).cast("long"))
     parallel = 2 * df.sparkSession.sparkContext.defaultParallelism
     buckets = max(-(-rows // rows_per_bucket), min(parallel, rows))
@@ -146,26 +150,31 @@ def kth_smallest(df: DataFrame, keys: Sequence[str], k: int) -> tuple[int, ...]
     return (low, *tail)
 
 
-def at_most(keys: Sequence[str], bound: Sequence[int] | None) -> Column:
-    """Lexicographic ``keys <= bound`` as a plain predicate on literals."""
-    if bound is None:
-        return F.lit(False)
-    key, limit = F.col(keys[0]), F.lit(bound[0])
-    if len(keys) == 1:
-        return key <= limit
-    return (key < limit) | ((key == limit) & at_most(keys[1:], bound[1:]))
+def first_rows(df: DataFrame, key: str, n: int, keep: Column | None = None) -> DataFrame:
+    """The first ``n`` rows, in the order of an integer key, for which ``keep`` holds.
 
-
-def first_rows(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """The first ``n`` rows in key order.
-
-    The n-th key is found first, then rows are kept by a filter that reaches the scan: no task
-    and no driver ever holds the n rows, as a sorted limit would.
+    The key of the last such row is found first; the rows are then kept by a filter on it, which
+    reaches the scan. No task and no driver holds the n rows, as a sorted limit would. The bound
+    is looked for among all keys, so what ``keep`` reads is read up to there and no further.
     """
+    kept = df if keep is None else df.where(keep)
     if n <= 0:
-        return df.where(F.lit(False))
-    bound = kth_smallest(df.select(*keys), keys, n)
-    return df if bound is None else df.where(at_most(keys, bound))
+        return kept.where(F.lit(False))
+    keys, rank = df.select(key), n
+    while True:
+        bound = kth_smallest(keys, [key], rank)
+        if bound is None:
+            break
+        below = kept.where(F.col(key) <= bound[0])
+        found = n if keep is None else below.count()
+        if found == n:
+            return below
+        if found > n:
+            kept = below
+            break
+        rank *= 2
+    last = kth_smallest(kept.select(key), [key], n)
+    return kept if last is None else kept.where(F.col(key) <= last[0])
 
 
 def shuffle_ranks(df: DataFrame, key: str, seed: int, out: str = "rank") -> DataFrame:
@@ -189,7 +198,6 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
 __all__ = [
     "BUCKET",
     "HASH_BITS",
-    "at_most",
     "bucket_bases",
     "first_rows",
     "key_buckets",

@@ -39,10 +39,19 @@ def sft_rows(
     if isinstance(tokenizer, CharTokenizer):
         # A character is an id, so what the truncation would drop need not be encoded.
         prompt, response = F.right(prompt, F.lit(max_len)), F.right(response, F.lit(max_len))
-    known = examples.where(F.col(prompt_field).isNotNull() & F.col(response_field).isNotNull())
-    encoded = known.select(
-        key, tokenizer.encode(prompt).alias("p"), tokenizer.encode(response).alias("r")
-    ).where((F.size("p") > 0) & (F.size("r") > 0))
+    # A blank side has no ids under any tokenizer, so it goes before the encoding.
+    texts = examples.select(key, prompt.alias("p"), response.alias("r")).where(
+        "p <> '' and r <> ''"
+    )
+    ids = tokenizer.encode(F.col("p")).alias("p"), tokenizer.encode(F.col("r")).alias("r")
+    if isinstance(tokenizer, CharTokenizer):
+        encoded = texts.select(key, *ids)
+    else:
+        # Opening a one-element array keeps the filter above the encoder, which would otherwise
+        # run once for the filter and once for the result.
+        encoded = texts.select(key, F.inline(F.array(F.struct(*ids)))).where(
+            (F.size("p") > 0) & (F.size("r") > 0)
+        )
     ended = encoded.withColumn("r", append_eos(F.col("r"), tokenizer))
     kept_prompt, kept_response = truncate_pair(F.col("p"), F.col("r"), max_len)
     joined = ended.select(

@@ -94,14 +94,14 @@ def _segments(df: DataFrame, content: str) -> DataFrame:
 
 
 def stream_pieces(stream: Stream, size: int, overlap: int = 0, keep: tuple = ()) -> DataFrame:
-    """(chunk_id, pos, piece): each document cut at the borders of chunks.
+    """(chunk_id, pos, n, content): each document cut at the borders of chunks.
 
     Chunk c covers the tokens from ``c * size`` on, ``size + overlap`` of them.
     """
     content = stream.content
     rows = _segments(stream.rows.where("n > 0"), content)
     start, end = F.col("start"), F.col("start") + F.col("n")
-    first = F.greatest(F.floor((start - overlap) / size), F.lit(0)).cast("long")
+    first = F.expr(f"greatest((start - {overlap}) div {size}, 0L)")
     last = F.expr(f"(start + n - 1) div {size}")
     opened = rows.withColumn("chunk_id", F.explode(F.sequence(first, last)))
     low = F.col("chunk_id") * size
@@ -111,6 +111,7 @@ def stream_pieces(stream: Stream, size: int, overlap: int = 0, keep: tuple = ())
         *keep,
         "chunk_id",
         pos.alias("pos"),
+        (stop - pos).alias("n"),
         cut(opened, content, pos - start, stop - pos).alias(content),
     )
 

@@ -69,21 +69,18 @@ class CharTokenizer:
         known = np.array([ord(c) for c in self.chars], dtype=np.int64)
 
         @F.arrow_udf("array<int>")
-        def encode_chars(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def encode_chars(batch: pa.Array) -> pa.Array:
             table = np.full(int(known.max(initial=0)) + 2, -1, dtype=np.int32)
             table[known] = np.arange(len(known), dtype=np.int32)
-            for batch in batches:
-                lengths = pc.fill_null(pc.utf8_length(batch), 0).to_numpy(zero_copy_only=False)
-                joined = "".join(t for t in batch.to_pylist() if t is not None)
-                points = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
-                ids = table[np.minimum(points, len(table) - 1)]
-                unknown = int((ids < 0).sum())
-                if unknown:
-                    raise ValueError(f"{unknown} characters are not in the vocabulary")
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                yield pa.ListArray.from_arrays(
-                    pa.array(offsets), pa.array(ids), mask=batch.is_null()
-                )
+            lengths = pc.fill_null(pc.utf8_length(batch), 0).to_numpy(zero_copy_only=False)
+            joined = "".join(t for t in batch.to_pylist() if t is not None)
+            points = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
+            ids = table[np.minimum(points, len(table) - 1)]
+            unknown = int((ids < 0).sum())
+            if unknown:
+                raise ValueError(f"{unknown} characters are not in the vocabulary")
+            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=batch.is_null())
 
         return encode_chars(text)
 
@@ -119,21 +116,18 @@ class CharTokenizer:
         eos = self.eos_id
 
         @F.arrow_udf("string")
-        def decode_chars(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for batch in batches:
-                values = batch.flatten().to_numpy(zero_copy_only=False)
-                lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(
-                    zero_copy_only=False
-                )
-                keep = values != eos if skip_special else np.ones(len(values), dtype=bool)
-                kept = np.concatenate([[0], np.cumsum(keep)])
-                ends = kept[np.concatenate([[0], np.cumsum(lengths)])]
-                text = points[values[keep]].tobytes().decode("utf-32-le")
-                valid = batch.is_valid().to_pylist()
-                yield pa.array(
-                    [text[ends[i] : ends[i + 1]] if ok else None for i, ok in enumerate(valid)],
-                    type=pa.string(),
-                )
+        def decode_chars(batch: pa.Array) -> pa.Array:
+            values = batch.flatten().to_numpy(zero_copy_only=False)
+            lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+            keep = values != eos if skip_special else np.ones(len(values), dtype=bool)
+            kept = np.concatenate([[0], np.cumsum(keep)])
+            ends = kept[np.concatenate([[0], np.cumsum(lengths)])]
+            text = points[values[keep]].tobytes().decode("utf-32-le")
+            valid = batch.is_valid().to_pylist()
+            return pa.array(
+                [text[ends[i] : ends[i + 1]] if ok else None for i, ok in enumerate(valid)],
+                type=pa.string(),
+            )
 
         return decode_chars(ids)
 

@@ -57,22 +57,19 @@ def gather_windows(
 ) -> DataFrame:
     """One row per draw with ``block + 1`` tokens from ``base + start`` on.
 
-    ``pieces`` are (chunk_id, pos, content) rows on chunks of ``size`` tokens: cut documents or
-    whole chunks. A window asks for the few chunks it touches, so an equi-join finds its tokens,
+    ``pieces`` are (chunk_id, pos, n, content) rows on chunks of ``size`` tokens: cut documents
+    or whole chunks (see ``chunk_pieces``). A window asks for the few chunks it touches, so an equi-join finds its tokens,
     and only the wanted part of a piece leaves the join. ``starts`` holds a few numbers per draw;
     Spark broadcasts it if it is small and shuffles both sides if not.
     """
     keys = [c for c in starts.columns if c != "start"]
-    begin = F.col("start") + base
-    wanted = starts.select(
-        *keys,
-        begin.alias("begin"),
-        F.explode(
-            F.sequence(F.floor(begin / size), F.floor((begin + block) / size))
-        ).alias("chunk_id"),
+    wanted = starts.select(*keys, (F.col("start") + base).alias("begin")).select(
+        "*",
+        F.expr(f"explode(sequence(begin div {size}, (begin + {block}) div {size}))").alias(
+            "chunk_id"
+        ),
     )
-    sized = pieces.withColumn("n", token_count(pieces, content))
-    met = sized.join(wanted, "chunk_id").where(
+    met = pieces.join(wanted, "chunk_id").where(
         (F.col("pos") <= F.col("begin") + block) & (F.col("pos") + F.col("n") > F.col("begin"))
     )
     low = F.greatest("pos", "begin")
@@ -88,6 +85,16 @@ def gather_windows(
     return grouped.select(*keys, joined.alias(content))
 
 
+def chunk_pieces(chunks: DataFrame, size: int, content: str) -> DataFrame:
+    """Stored chunks of ``size`` tokens in the form that gather_windows takes."""
+    return chunks.select(
+        "chunk_id",
+        (F.col("chunk_id") * size).alias("pos"),
+        token_count(chunks, content).alias("n"),
+        content,
+    )
+
+
 def shifted_pair(df: DataFrame, content: str, block: int) -> tuple[Column, Column]:
     """Input and target of ``block + 1`` tokens: the target is the input moved on by one."""
     whole = F.lit(block)
