@@ -43,12 +43,17 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.corpus_lines(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def spread_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.corpus_lines(files.spread(documents, "doc_id"), "doc_id")
+
+
 def corpus_stream(spark: SparkSession, sf_dir: str) -> token_streams.Stream:
     return corpus_plan.line_stream(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def fitted(spark: SparkSession, sf_dir: str) -> tokens.CharTokenizer:
-    return tokens.CharTokenizer.fit(corpus(spark, sf_dir))
+    return tokens.CharTokenizer.fit(spread_corpus(spark, sf_dir))
 
 
 # --- text -------------------------------------------------------------------------------------
@@ -202,14 +207,14 @@ def char_vocab(spark, sf_dir):
 
 
 def encoded_lines(spark, sf_dir):
-    encoded = tokens.encode_lines(corpus(spark, sf_dir), fitted(spark, sf_dir))
+    encoded = tokens.encode_lines(spread_corpus(spark, sf_dir), fitted(spark, sf_dir))
     return encoded.select("doc_id", F.size("ids").alias("n"), digest(F.col("ids")).alias("ids_md5"))
 
 
 def decode_round_trip(spark, sf_dir):
     tokenizer = fitted(spark, sf_dir)
     ids = tokens.append_eos(tokenizer.encode(F.col("line")), tokenizer)
-    return corpus(spark, sf_dir).select("doc_id", tokenizer.decode(ids).alias("line"))
+    return spread_corpus(spark, sf_dir).select("doc_id", tokenizer.decode(ids).alias("line"))
 
 
 def byte_pair_definition(merges=MERGES, end="<|end|>") -> str:
@@ -241,24 +246,28 @@ def subword_tokenizer() -> tokens.SubwordTokenizer:
 
 
 def subword_encode(spark, sf_dir):
-    encoded = tokens.encode_lines(corpus(spark, sf_dir), subword_tokenizer())
+    encoded = tokens.encode_lines(spread_corpus(spark, sf_dir), subword_tokenizer())
     return encoded.select("doc_id", F.size("ids").alias("n"), digest(F.col("ids")).alias("ids_md5"))
 
 
 def subword_round_trip(spark, sf_dir):
     tokenizer = subword_tokenizer()
     ids = tokens.append_eos(tokenizer.encode(F.col("line")), tokenizer)
-    return corpus(spark, sf_dir).select("doc_id", tokenizer.decode(ids).alias("line"))
+    return spread_corpus(spark, sf_dir).select("doc_id", tokenizer.decode(ids).alias("line"))
 
 
 def subword_positions(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents")
+    documents = files.spread(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"
+    )
     stream = corpus_plan.id_stream(documents, "doc_id", subword_tokenizer())
     return stream.rows.select("doc_id", "start", F.col("n").cast("long").alias("n"))
 
 
 def subword_chunks(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents")
+    documents = files.spread(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"
+    )
     tokenizer = subword_tokenizer()
     stream = corpus_plan.id_stream(documents, "doc_id", tokenizer)
     return corpus_plan.id_chunks(stream, tokenizer, CHUNK).select(
@@ -409,7 +418,7 @@ def sequential_batches(spark, sf_dir):
 def context_tail(spark, sf_dir):
     tokenizer = fitted(spark, sf_dir)
     tail = last_ids(tokenizer.encode(F.col("line")), BLOCK)
-    return corpus(spark, sf_dir).select("doc_id", tokenizer.decode(tail).alias("tail"))
+    return spread_corpus(spark, sf_dir).select("doc_id", tokenizer.decode(tail).alias("tail"))
 
 
 # --- reports ----------------------------------------------------------------------------------
@@ -448,7 +457,7 @@ def vector_parity(spark, sf_dir):
 
 def match_rate(spark, sf_dir):
     tokenizer = fitted(spark, sf_dir)
-    whole = corpus(spark, sf_dir)
+    whole = spread_corpus(spark, sf_dir)
     left = whole.select("doc_id", tokenizer.encode(F.col("line")).alias("ids"))
     moved = whole.select("doc_id", tokenizer.encode(F.substring("line", 2, 2**31 - 1)).alias("ids"))
     rate = reports.match_rate(left, moved, "doc_id", "ids", skip=8)

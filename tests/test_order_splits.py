@@ -1,0 +1,144 @@
+"""Prefix sums, order statistics and seeded splits: exact under any partitioning."""
+
+import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tokenmill.functions.hashing import hash_bucket, seeded_hash
+from tokenmill.operators import order, splits
+
+
+def md5_60(seed, key):
+    return int(hashlib.md5(f"{seed}:{key}".encode()).hexdigest()[:15], 16)
+
+
+KEY_SETS = {
+    "dense": list(range(500)),
+    "one": [42],
+    "negative": list(range(-250, 250, 2)),
+    "sparse": [random.Random(1).randrange(-(2**62), 2**62) for _ in range(400)],
+    "clustered": list(range(300)) + [10**15 + 7 * i for i in range(100)],
+}
+
+
+@pytest.mark.parametrize("kind", sorted(KEY_SETS))
+def test_running_total(spark, kind):
+    keys = sorted(set(KEY_SETS[kind]))
+    rng = random.Random(3)
+    n = {k: rng.randint(0, 9) for k in keys}
+    shuffled = rng.sample(keys, len(keys))
+    df = spark.createDataFrame([(k, n[k]) for k in shuffled], "k long, n int")
+    total, wanted = 0, {}
+    for k in keys:
+        wanted[k] = total
+        total += n[k]
+    for parts in (1, 7):
+        found = order.running_total(df.repartition(parts), ["k"], F.col("n")).collect()
+        assert {r["k"]: r["start"] for r in found} == wanted
+
+
+def test_running_total_by_group_with_null_group(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "b", None]), rng.randint(1, 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, g string, n int").repartition(5)
+    found = order.running_total(df, ["k"], F.col("n"), by=["g"]).collect()
+    sums, wanted = {}, {}
+    for k, g, n in rows:
+        wanted[k] = sums.get(g, 0)
+        sums[g] = sums.get(g, 0) + n
+    assert {r["k"]: r["start"] for r in found} == wanted
+
+
+def test_buckets_follow_the_key_and_stay_small(spark):
+    df = spark.range(10_000).select((F.col("id") * 3).alias("k"))
+    keyed = order.key_buckets(df, "k", rows_per_bucket=100)
+    stats = keyed.groupBy("_bucket").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    rows = stats.orderBy("_bucket").collect()
+    assert max(r["n"] for r in rows) <= 101
+    assert all(a["hi"] < b["lo"] for a, b in zip(rows, rows[1:]))
+
+
+def test_null_order_key_is_an_error(spark):
+    df = spark.createDataFrame([(1,), (None,)], "k long")
+    with pytest.raises(ValueError, match="no order key"):
+        order.key_buckets(df, "k")
+
+
+@pytest.mark.parametrize("kind", sorted(KEY_SETS))
+def test_kth_smallest(spark, kind):
+    keys = KEY_SETS[kind]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    for k in sorted({1, 2, len(keys) // 2, len(keys)} - {0}):
+        if k <= len(keys):
+            assert order.kth_smallest(df, ["k"], k) == (sorted(keys)[k - 1],)
+    assert order.kth_smallest(df, ["k"], len(keys) + 1) is None
+    assert order.kth_smallest(df, ["k"], 0) is None
+
+
+def test_kth_smallest_breaks_ties_by_the_next_key(spark):
+    rows = [(k % 3, k) for k in range(30)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    for k in (1, 10, 11, 25, 30):
+        assert order.kth_smallest(df, ["a", "b"], k) == sorted(rows)[k - 1]
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 99, 100, 101])
+def test_first_rows_with_a_condition(spark, n):
+    df = spark.range(200).withColumn("ok", F.col("id") % 2 == 1)
+    found = sorted(r["id"] for r in order.first_rows(df, "id", n, F.col("ok")).collect())
+    assert found == list(range(1, 200, 2))[:n]
+    sparse = spark.range(300).withColumn("ok", F.col("id") >= 250)
+    found = sorted(r["id"] for r in order.first_rows(sparse, "id", n, F.col("ok")).collect())
+    assert found == list(range(250, 300))[:n]
+
+
+def test_hash_is_md5(spark):
+    found = spark.range(50).select("id", seeded_hash(9, F.col("id")).alias("h")).collect()
+    assert all(r["h"] == md5_60(9, r["id"]) for r in found)
+    buckets = spark.range(4096).select(hash_bucket(seeded_hash(9, F.col("id")), 16).alias("b"))
+    counts = {r["b"]: r["count"] for r in buckets.groupBy("b").count().collect()}
+    assert sorted(counts) == list(range(16)) and max(counts.values()) < 2 * 4096 / 16
+
+
+def test_shuffle_is_the_hash_order(spark):
+    keys = sorted(range(700), key=lambda k: (md5_60(4, k), k))
+    found = order.shuffle_ranks(spark.range(700).repartition(3), "id", 4).collect()
+    assert {r["id"]: r["rank"] for r in found} == {k: i for i, k in enumerate(keys)}
+    assert [r["id"] for r in order.shuffled(spark.range(700), "id", 4).collect()] == keys
+
+
+@pytest.mark.parametrize("n, ratio", [(2, 0.05), (2, 0.9), (30, 0.01), (100, 0.05), (100, 0.99)])
+def test_example_split(spark, n, ratio):
+    found = splits.example_split(spark.range(n).repartition(3), "id", ratio, 42).collect()
+    ranked = sorted(range(n), key=lambda k: (md5_60(42, k), k))
+    val = set(ranked[: max(1, int(n * ratio))])
+    assert {r["id"] for r in found if r["split"] == "val"} == val
+    assert {r["id"] for r in found if r["split"] == "train"} == set(range(n)) - val
+
+
+@pytest.mark.parametrize("n, fraction", [(2, 0.001), (2, 0.999), (57, 0.95), (57, 0.5)])
+def test_row_split(spark, n, fraction):
+    found = splits.row_split(spark.range(n), "id", fraction, 7).collect()
+    ranked = sorted(range(n), key=lambda k: (md5_60(7, k), k))
+    train = set(ranked[: min(max(int(n * fraction), 1), n - 1)])
+    assert {r["id"] for r in found if r["split"] == "train"} == train
+
+
+def test_split_errors(spark):
+    with pytest.raises(ValueError):
+        splits.example_split(spark.range(1), "id", 0.5, 1)
+    with pytest.raises(ValueError):
+        splits.row_split(spark.range(5), "id", 1.0, 1)
+    one_side = spark.createDataFrame([(1, "train")], "id long, split string")
+    with pytest.raises(ValueError):
+        splits.require_both(one_side)
+
+
+def test_membership(spark):
+    rows, chosen = spark.range(10), spark.createDataFrame([(3,), (3,), (7,)], "id long")
+    assert sorted(r["id"] for r in splits.members(rows, "id", chosen).collect()) == [3, 7]
+    assert sorted(r["id"] for r in splits.others(rows, "id", chosen).collect()) == [
+        0, 1, 2, 4, 5, 6, 8, 9,
+    ]

@@ -1,0 +1,190 @@
+"""Tokenizers, truncation, labels, padding, offsets."""
+
+import random
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from catalog.queries import byte_pair_definition
+from tokenmill.functions.sequences import (
+    last_ids, next_token_labels, pad_to, supervised_count, truncate_pair,
+)
+from tokenmill.operators import sft, tokens
+
+LINES = ["", "abc", "héllo wörld", "👍👍 a", "é", "a" * 5000, " x", "日本語", "tab\there"]
+
+
+@pytest.fixture(scope="module")
+def lines(spark):
+    return spark.createDataFrame(list(enumerate(LINES)), "id long, line string")
+
+
+@pytest.fixture(scope="module")
+def fitted(lines):
+    return tokens.CharTokenizer.fit(lines)
+
+
+def test_vocabulary(lines, fitted):
+    chars = sorted(set("".join(LINES)) | {"\n"})
+    assert list(fitted.chars) == chars
+    assert fitted.vocab_size == len(chars) + 1 and fitted.eos_id == len(chars)
+    rows = tokens.char_vocabulary(lines).orderBy("id").collect()
+    assert [(r["id"], r["ch"]) for r in rows] == list(enumerate(chars))
+
+
+def test_vocabulary_of_nothing(spark):
+    empty = spark.createDataFrame([], "line string")
+    assert tokens.CharTokenizer.fit(empty).chars == ()
+
+
+@pytest.mark.parametrize("route", ["encode", "encode_native"])
+def test_encode(lines, fitted, route):
+    found = lines.select("id", getattr(fitted, route)(F.col("line")).alias("ids")).collect()
+    for r in found:
+        assert r["ids"] == [fitted.chars.index(c) for c in LINES[r["id"]]]
+
+
+def test_native_table_for_low_code_points(spark):
+    df = spark.createDataFrame([(1, "zebra é"), (2, "")], "id long, line string")
+    tokenizer = tokens.CharTokenizer.fit(df)
+    for r in df.select("line", tokenizer.encode_native(F.col("line")).alias("ids")).collect():
+        assert r["ids"] == [tokenizer.chars.index(c) for c in r["line"]]
+
+
+@pytest.mark.parametrize("route", ["encode", "encode_native"])
+def test_unknown_characters_fail(spark, fitted, route):
+    df = spark.createDataFrame([("abcЖЖ",)], "line string")
+    with pytest.raises(PySparkException, match="2 characters are not in the vocabulary"):
+        df.select(getattr(fitted, route)(F.col("line"))).collect()
+
+
+def test_null_text_has_null_ids(spark, fitted):
+    df = spark.createDataFrame([(1, None), (2, "abc"), (3, None)], "id long, line string")
+    rows = df.select("id", fitted.encode(F.col("line")).alias("ids")).orderBy("id").collect()
+    assert [r["ids"] for r in rows] == [None, fitted.ids_of("abc"), None]
+    back = df.select("id", fitted.decode(fitted.encode(F.col("line"))).alias("t")).orderBy("id")
+    assert [r["t"] for r in back.collect()] == [None, "abc", None]
+
+
+@pytest.mark.parametrize("route", ["decode", "decode_native"])
+def test_round_trip_skips_eos(lines, fitted, route):
+    ids = tokens.append_eos(fitted.encode(F.col("line")), fitted)
+    found = lines.select("id", getattr(fitted, route)(ids).alias("t")).collect()
+    assert {r["id"]: r["t"] for r in found} == dict(enumerate(LINES))
+
+
+def test_newline_ends_every_line(lines, fitted):
+    rows = tokens.encode_lines(lines, fitted).collect()
+    newline = fitted.chars.index("\n")
+    for r in rows:
+        assert r["ids"] == [fitted.chars.index(c) for c in LINES[r["id"]]] + [newline]
+    assert [r["ids"] for r in rows if r["id"] == 0] == [[newline]]
+
+
+def test_subword_file(spark, lines, tmp_path):
+    path = tmp_path / "bytes.json"
+    path.write_text(byte_pair_definition((("th"), ("ou"))), encoding="utf-8")
+    tokenizer = tokens.SubwordTokenizer.from_file(str(path), "<|end|>")
+    assert tokenizer.vocab_size == 259 and tokenizer.eos_id == 258
+    assert tokenizer.ids_of("\n") == [10]
+    df = spark.createDataFrame([(0, "the thou"), (1, ""), (2, "é"), (3, None)], "id int, line string")
+    encoded = df.select("id", tokenizer.encode(F.col("line")).alias("ids")).orderBy("id")
+    assert [r["ids"] for r in encoded.collect()] == [
+        [256, 101, 32, 256, 257], [], list("é".encode()), None,
+    ]
+    ids = tokens.append_eos(tokenizer.encode(F.col("line")), tokenizer)
+    back = lines.select("id", tokenizer.decode(ids).alias("t")).collect()
+    assert {r["id"]: r["t"] for r in back} == dict(enumerate(LINES))
+
+
+def model_row(prompt, response, max_len):
+    """Drop from the left until it fits; a label is the next id if that id is in the response."""
+    both = [(i, False) for i in prompt] + [(i, True) for i in response]
+    both = both[max(len(both) - max_len, 0):]
+    ids = [i for i, _ in both]
+    labels = [both[t + 1][0] if t + 1 < len(both) and both[t + 1][1] else -100 for t in range(len(both))]
+    return ids, labels
+
+
+def test_truncation_and_labels_against_model(spark):
+    rng = random.Random(7)
+    cases = []
+    for p, r, m in [(1, 1, 2), (3, 2, 5), (3, 2, 4), (0, 2, 9), (5, 9, 4), (1, 4, 4), (2, 8, 8), (9, 1, 2)]:
+        cases.append((p, r, m))
+    cases += [(rng.randint(0, 12), rng.randint(1, 12), rng.randint(2, 14)) for _ in range(300)]
+    for m in sorted({c[2] for c in cases}):
+        rows = [
+            (i, list(range(100, 100 + p)), list(range(500, 500 + r)))
+            for i, (p, r, mm) in enumerate(cases) if mm == m
+        ]
+        df = spark.createDataFrame(rows, "id int, p array<int>, r array<int>")
+        tp, tr = truncate_pair(F.col("p"), F.col("r"), m)
+        joined = df.select("id", "p", "r", F.size(tp).alias("k"), F.concat(tp, tr).alias("ids"))
+        out = joined.select(
+            "*", next_token_labels(F.col("ids"), F.col("k")).alias("labels")
+        ).withColumn("sup", supervised_count(F.col("labels")))
+        for row in out.collect():
+            ids, labels = model_row(row["p"], row["r"], m)
+            assert row["ids"] == ids
+            if row["k"] == 0:
+                labels = ids[1:] + [-100]
+            assert row["labels"] == labels
+            assert row["sup"] == len(ids) - max(row["k"], 1)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.text("abc \n", max_size=9), st.text("xyz ", max_size=9)), min_size=1, max_size=20))
+def test_sft_rows_property(spark, pairs):
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id long, prompt string, response string")
+    tokenizer = tokens.CharTokenizer(tuple(sorted("abcxyz \n")))
+    found = {r["id"]: r for r in sft.sft_rows(df, tokenizer, 8, "id").collect()}
+    usable = {i for i, (p, r) in enumerate(pairs) if p.strip() and r.strip()}
+    assert set(found) == usable
+    for i in usable:
+        p, r = (tokenizer.ids_of(s.strip()) for s in pairs[i])
+        ids, labels = model_row(p, r + [tokenizer.eos_id], 8)
+        kept = max(8 - len(r) - 1, 0)
+        if min(kept, len(p)) == 0:
+            labels = ids[1:] + [-100]
+        assert found[i]["input_ids"] == ids and found[i]["labels"] == labels
+        assert found[i]["length"] == len(ids)
+        assert found[i]["supervised"] == sum(x != -100 for x in labels)
+
+
+def test_subword_rows_encode_once(spark):
+    tokenizer = tokens.SubwordTokenizer(byte_pair_definition(), "bytes", "<|end|>")
+    df = spark.createDataFrame([(1, "the sound", "in there"), (2, " ", "x"), (3, None, "x")], "id long, prompt string, response string")
+    rows = sft.sft_rows(df, tokenizer, 6, "id")
+    found = rows.collect()
+    p, r = tokenizer.ids_of("the sound"), tokenizer.ids_of("in there") + [tokenizer.eos_id]
+    ids, labels = model_row(p, r, 6)
+    assert [(x["id"], x["input_ids"]) for x in found] == [(1, ids)]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("encode_subwords(") == 2
+
+
+def test_max_len_must_exceed_one(spark):
+    df = spark.createDataFrame([(1, "a", "b")], "id long, prompt string, response string")
+    with pytest.raises(ValueError):
+        sft.sft_rows(df, tokens.CharTokenizer(("a", "b")), 1, "id")
+
+
+def test_padding_and_tail(spark):
+    df = spark.createDataFrame([(n, list(range(1, n + 1))) for n in (0, 1, 3, 4, 5)], "n int, ids array<int>")
+    out = df.select("n", pad_to(F.col("ids"), 4, 0).alias("x"), last_ids(F.col("ids"), 3).alias("t"))
+    for r in out.collect():
+        ids = list(range(1, r["n"] + 1))
+        assert r["x"] == (ids + [0] * 4)[:4]
+        assert r["t"] == ids[-3:]
+
+
+def test_offsets_and_index(spark):
+    lengths = [3, 1, 4, 1, 5, 9, 2, 6]
+    df = spark.createDataFrame([(i * 10, n) for i, n in enumerate(lengths)], "id long, length int")
+    found = {r["id"]: r["start"] for r in sft.with_offsets(df, "id").collect()}
+    assert found == {i * 10: sum(lengths[:i]) for i in range(len(lengths))}
+    index = {r["id"]: r["index"] for r in sft.with_index(df, "id").collect()}
+    assert index == {i * 10: i for i in range(len(lengths))}

@@ -10,6 +10,7 @@ from tokenmill.operators.lines import corpus_lines
 from tokenmill.operators.order import BUCKET, key_buckets
 from tokenmill.operators.stream import (
     Stream,
+    is_text,
     stream_pieces,
     token_chunks,
     token_stream,
@@ -60,7 +61,7 @@ def id_chunks(stream: Stream, tokenizer: Tokenizer, size: int, overlap: int = 0)
     """(chunk_id, ids)."""
     chunks = token_chunks(stream, size, overlap)
     content = F.col(stream.content)
-    ids = tokenizer.encode(content) if isinstance(tokenizer, CharTokenizer) else content
+    ids = tokenizer.encode(content) if is_text(chunks, stream.content) else content
     return chunks.select("chunk_id", ids.alias("ids"))
 
 

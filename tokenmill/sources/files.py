@@ -17,6 +17,18 @@ def read_table(
     return reader.format(form).load(path)
 
 
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """A freshly read table for work that is heavy per row, such as encoding.
+
+    Files that split into fewer tasks than there are cores are shuffled once by key; anything
+    larger is left as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores, key)
+
+
 def read_lines(spark: SparkSession, path: str, keyed: bool = False) -> DataFrame:
     """(line) of text files; line feed, carriage return and both together end a line.
 
