@@ -440,6 +440,11 @@ from log group by run, step""",
 from (select run, (epoch_us(max(ts) over w) - epoch_us(min(ts) over w)) / 1e6::double as s
       from log window w as (partition by run))
 group by run, s""",
+    "log_generation": with_(LOG)
+    + """select run, count(value) as tokens, round(sum(value), 6) as seconds,
+  arg_min(value, (step, event_id)) as first_latency,
+  round(count(value) / greatest(sum(value), 1e-9::double), 6) as tokens_per_sec
+from log group by run""",
     "log_sweep": with_(LOG) + f"select step, {SWEEP}, {DELTAS} from log group by step",
     "next_token_counts": with_(*STREAM, VOCAB, IDS, PAIRS)
     + """select case when p < cut then 'train' else 'val' end as split, cur, next, count(*) as n

@@ -589,6 +589,11 @@ def log_throughput(spark, sf_dir):
     return rates.withColumns({c: F.round(c, 6) for c in ("seconds", "tokens_per_sec")})
 
 
+def log_generation(spark, sf_dir):
+    stats = runlog.generation_stats(_log(spark, sf_dir))
+    return stats.withColumns({c: F.round(c, 6) for c in ("seconds", "tokens_per_sec")})
+
+
 def log_sweep(spark, sf_dir):
     wide = runlog.sweep(_log(spark, sf_dir), baseline="click")
     return wide.select("step", *[F.round(c, 6).alias(c) for c in wide.columns if c != "step"])
@@ -713,7 +718,7 @@ QUERIES = {
         snapshot_diff, snapshot_counts, one_sided_keys,
         softmax_topk, argmax_scores, draw_topk, draw_whole,
         log_append, log_latest, log_interval, log_saved_steps, log_tokens, log_loss,
-        log_split_losses, log_rates, log_throughput, log_sweep,
+        log_split_losses, log_rates, log_throughput, log_generation, log_sweep,
         next_token_counts, next_token_topk, held_out_loss,
         stream_clean, stream_tokens, stream_chat, stream_pairs, stream_latest, stream_rate,
     )

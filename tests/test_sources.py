@@ -1,0 +1,194 @@
+"""Split names, text and JSON files, manifests, caches."""
+
+import json
+
+import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from tokenmill import session
+from tokenmill.operators.tokens import CharTokenizer
+from tokenmill.plans import corpus, sft
+from tokenmill.session import new_path
+from tokenmill.sources import cache, files, splits
+
+
+@pytest.mark.parametrize(
+    "request_, available, wanted",
+    [
+        ("both", {"train", "validation", "val"}, ["train", "validation"]),
+        ("BOTH", {"train", "val", "test"}, ["train", "val"]),
+        ("both", {"train", "test"}, None),
+        ("both", {"validation"}, None),
+        ("val", {"validation", "val"}, ["validation"]),
+        ("validation", {"val"}, ["val"]),
+        ("Train", {"train"}, ["train"]),
+        ("train", {"test"}, None),
+        ("test", {"test"}, ["test"]),
+        ("Test", {"test"}, None),
+    ],
+)
+def test_corpus_splits(request_, available, wanted):
+    if wanted is None:
+        with pytest.raises(ValueError):
+            splits.corpus_splits(request_, available)
+    else:
+        assert splits.corpus_splits(request_, available) == wanted
+
+
+@pytest.mark.parametrize(
+    "request_, available, wanted",
+    [
+        ("both", {"train", "validation", "test"}, ["train", "validation"]),
+        ("both", {"train", "test"}, ["train", "test"]),
+        ("both", {"train"}, ["train"]),
+        ("both", {"val"}, ["val"]),
+        ("both", {"dev"}, None),
+        ("val", {"val"}, ["val"]),
+        ("val", {"test"}, None),
+        ("validation", {"val"}, None),
+        ("Train", {"train"}, None),
+        ("train_sft", {"train_sft"}, ["train_sft"]),
+    ],
+)
+def test_sft_splits(request_, available, wanted):
+    if wanted is None:
+        with pytest.raises(ValueError):
+            splits.sft_splits(request_, available)
+    else:
+        assert splits.sft_splits(request_, available) == wanted
+
+
+def test_split_paths():
+    assert splits.split_path("/d/out.txt", "train", False) == "/d/out.txt"
+    assert splits.split_path("/d/out.txt", "train", True) == "/d/out_train.txt"
+    assert splits.split_path("/d/out.jsonl", "validation", True) == "/d/out_val.jsonl"
+
+
+def test_write_splits_prunes_folders_and_counts(spark):
+    tagged, base = new_path(spark, "tagged"), new_path(spark, "out") + ".txt"
+    rows = [(i, f"line {i}", ("train", "val", "test")[i % 3]) for i in range(30)]
+    spark.createDataFrame(rows, "id long, line string, split string").write.partitionBy("split").parquet(tagged)
+    table = spark.read.parquet(tagged)
+    wanted = splits.corpus_splits("both", {"train", "val", "test"})
+    written = splits.write_splits(table, wanted, base, lambda df, path: files.write_lines(df, path, key="id"))
+    assert {s: n for s, (_, n) in written.items()} == {"train": 10, "val": 10}
+    assert files.read_lines(spark, written["val"][0]).count() == 10
+    plan = table.where("split = 'val'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan
+
+
+def test_lines_keep_order_and_line_ends(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("one\r\ntwo\rthree\n\nlast".encode())
+    rows = files.read_lines(spark, str(tmp_path), keyed=True).orderBy("file", "block", "seq").collect()
+    assert [r["line"] for r in rows] == ["one", "two", "three", "", "last"]
+    assert files.read_whole(spark, str(tmp_path)).first()["text"] == "one\r\ntwo\rthree\n\nlast"
+    out = new_path(spark, "ordered")
+    df = spark.createDataFrame([(i, f"{i:04d}") for i in range(500)], "id long, line string").repartition(7, "line")
+    assert files.write_lines(df, out, key="id") == 500
+    back = files.read_lines(spark, out, keyed=True).orderBy("file", "block", "seq").collect()
+    assert [r["line"] for r in back] == [f"{i:04d}" for i in range(500)]
+
+
+def test_jsonl(spark, tmp_path):
+    out = new_path(spark, "jsonl")
+    rows = [(1, "é\n👍", 'quo"te', "x"), (2, "p", "r", "y")]
+    df = spark.createDataFrame(rows, "id long, prompt string, response string, other string")
+    assert files.write_jsonl(df, out, ["prompt", "response"], key="id") == 2
+    raw = [r["value"] for r in spark.read.text(out).collect()]
+    assert any("é" in line and "👍" in line for line in raw)
+    assert sorted(json.loads(line)["prompt"] for line in raw) == sorted(r[1] for r in rows)
+    assert sorted(map(tuple, files.read_jsonl(spark, out).collect())) == sorted(r[1:3] for r in rows)
+    mixed = tmp_path / "mixed.jsonl"
+    mixed.write_text('{"prompt": "a", "response": 5}\n\n{"prompt": null, "response": "b", "z": 1}\n')
+    assert [tuple(r) for r in files.read_jsonl(spark, str(mixed)).collect()] == [("a", "5"), (None, "b")]
+    bad = tmp_path / "bad.jsonl"
+    bad.write_text('{"prompt": "a"\n')
+    with pytest.raises((PySparkException, Py4JJavaError), match="MALFORMED|FAILED_READ"):
+        files.read_jsonl(spark, str(bad)).collect()
+
+
+def test_manifest(spark):
+    path = new_path(spark, "manifest")
+    cache.write_manifest(spark, {"source": "s", "max_samples": None, "splits": ["a", "b"], "rows": 7}, path)
+    assert cache.read_manifest(spark, path) == {"source": "s", "splits": ["a", "b"], "rows": 7}
+    assert cache.read_manifest(spark, path + "-none") is None
+
+
+def test_reuse_or_build(spark):
+    root, built = new_path(spark, "cache"), []
+
+    def build():
+        built.append(1)
+        return spark.range(10).select("id", F.lit(3).alias("n"))
+
+    for parameters, rebuild, builds in (
+        ({"max_len": 8}, False, 1), ({"max_len": 8}, False, 1), ({"max_len": 9}, False, 2), ({"max_len": 8}, True, 3),
+    ):
+        df, known = cache.reuse_or_build(spark, root, "t", parameters, build, F.col("n"), rebuild)
+        assert len(built) == builds
+        assert df.count() == 10 and (known["num_rows"], known["num_tokens"]) == (10, 30)
+
+
+def test_unfinished_build_is_not_reused(spark):
+    root = new_path(spark, "cache")
+
+    def fail():
+        return spark.range(5).select(F.raise_error(F.lit("lost")).cast("int").alias("n"))
+
+    with pytest.raises(PySparkException):
+        cache.reuse_or_build(spark, root, "t", {"a": 1}, fail, F.col("n"))
+    df, known = cache.reuse_or_build(spark, root, "t", {"a": 1}, lambda: spark.range(5).withColumn("n", F.lit(1)), F.col("n"))
+    assert known["num_rows"] == 5
+
+
+def test_token_cache_holds_the_stream(spark):
+    docs = spark.createDataFrame([(i, "ab\nc " * (i % 7)) for i in range(50)], "doc_id long, text string")
+    text = "".join(("ab c " * (i % 7)).strip() + "\n" for i in range(50) if i % 7)
+    tokenizer = CharTokenizer(tuple(sorted(set(text))))
+    root = new_path(spark, "cache")
+    rows, known = corpus.token_cache(spark, docs, "doc_id", tokenizer, root, "docs", size=32)
+    assert known["num_tokens"] == len(text)
+    ids = [i for r in rows.orderBy("chunk_id").collect() for i in r["ids"]]
+    assert ids == tokenizer.ids_of(text)
+    _, again = corpus.token_cache(spark, docs, "doc_id", tokenizer, root, "docs", size=32)
+    assert again["data"] == known["data"]
+
+
+def test_sft_cache_with_subwords(spark):
+    from catalog.queries import subword_tokenizer
+
+    turns = spark.createDataFrame(
+        [(c, t, ("user", "assistant")[t % 2], f"the {c} in {t}") for c in range(9) for t in range(4)],
+        "conv_id long, turn long, role string, text string",
+    )
+    rows, known = sft.sft_cache(spark, turns, subword_tokenizer(), new_path(spark, "cache"), "t", 32)
+    found = rows.orderBy("conv_id").collect()
+    assert [r["start"] for r in found] == [sum(x["length"] for x in found[:i]) for i in range(9)]
+    assert all(r["length"] <= 32 and r["input_ids"][-1] == 261 for r in found)
+    assert known["num_rows"] == 9
+
+
+def test_cluster_needs_a_shared_folder(spark):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+
+
+def test_spread_only_helps_small_inputs(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100).coalesce(1).write.parquet(path)
+    table = spark.read.parquet(path)
+    assert files.spread(table, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 100, 1, 64)
+    assert files.spread(wide, "id") is wide

@@ -115,6 +115,20 @@ def throughput(log: DataFrame, tokens: Column, seconds: Column) -> DataFrame:
     return sums.withColumn("tokens_per_sec", rate)
 
 
+def generation_stats(log: DataFrame) -> DataFrame:
+    """(run, tokens, seconds, first_latency, tokens_per_sec) of one generated token per step.
+
+    ``value`` holds the seconds that the token of a step took.
+    """
+    sums = log.groupBy("run").agg(
+        F.count("value").alias("tokens"),
+        F.sum("value").alias("seconds"),
+        F.min_by("value", F.struct("step", "event_id")).alias("first_latency"),
+    )
+    rate = F.col("tokens") / F.greatest("seconds", F.lit(1e-9))
+    return sums.withColumn("tokens_per_sec", rate)
+
+
 def elapsed_seconds(ts: str = "ts") -> Column:
     """Aggregate: seconds from the first to the last row, to the microsecond."""
     micros = F.unix_micros(F.max(F.col(ts).cast("timestamp"))) - F.unix_micros(

@@ -58,27 +58,33 @@ def export_prompt_response(stream: DataFrame, out: str, checkpoint: str, key: st
 def extend_token_cache(
     stream: DataFrame, root: str, checkpoint: str, key: str, tokenizer: Tokenizer
 ) -> None:
-    """Incremental token cache: rows (key, ids, n, start) whose positions go on from batch to batch.
-
-    Each batch writes its own folder and a manifest row. Its base is the sum over the manifests
-    of earlier batches, so a batch that is run again writes the same rows to the same place.
-    """
+    """Incremental token cache: rows (key, ids, n, start) whose positions go on from batch to batch."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        base = _tokens_before(spark, root, batch_id)
-        encoded = encode_lines(batch, tokenizer).select(key, "ids", F.size("ids").alias("n"))
-        written = materialize(encoded, "stream-tokens")
-        placed = running_total(written, [key], F.col("n"))
-        placed.withColumn("start", F.col("start") + base).write.mode("overwrite").parquet(
-            f"{root}/tokens/batch_id={batch_id}"
-        )
-        counts = written.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("tokens"))
-        counts.write.mode("overwrite").parquet(f"{root}/manifest/batch_id={batch_id}")
+        write_token_batch(batch, batch_id, root, key, tokenizer)
 
     each_batch(corpus_lines(stream, key), save, checkpoint)
 
 
+def write_token_batch(
+    lines: DataFrame, batch_id: int, root: str, key: str, tokenizer: Tokenizer
+) -> None:
+    """One batch of the cache: a folder of rows and a manifest row.
+
+    Its base is the sum over the manifests of earlier batches, so a batch that is run again
+    writes the same rows to the same place.
+    """
+    base = _tokens_before(lines.sparkSession, root, batch_id)
+    encoded = encode_lines(lines, tokenizer).select(key, "ids", F.size("ids").alias("n"))
+    written = materialize(encoded, "stream-tokens")
+    placed = running_total(written, [key], F.col("n"))
+    placed.withColumn("start", F.col("start") + base).write.mode("overwrite").parquet(
+        f"{root}/tokens/batch_id={batch_id}"
+    )
+    counts = written.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("tokens"))
+    counts.write.mode("overwrite").parquet(f"{root}/manifest/batch_id={batch_id}")
+
+
 def _tokens_before(spark: SparkSession, root: str, batch_id: int) -> int:
     if not path_exists(spark, f"{root}/manifest"):
         return 0
