@@ -110,6 +110,11 @@ raw_split as (
   select conv_id, case when r <= least(greatest(floor(total * {FRACTION})::bigint, 1), total - 1)
     then 'train' else 'val' end as split
   from raw)"""
+EXAMPLE_SPLIT = f"""example_split as (
+  select conv_id, total, case when r <= greatest(1, floor(total * {RATIO})::bigint) then 'val'
+    else 'train' end as split
+  from (select conv_id, count(*) over () as total,
+          row_number() over (order by {hashed(SEED, 'conv_id')}, conv_id) as r from examples))"""
 LINE_SPLIT = f"""line_split as (
   select *, case when r <= greatest(1, floor(total * {RATIO})::bigint) then 'val' else 'train' end
     as split
@@ -239,15 +244,23 @@ from line_split group by rollup (split)""",
   select 'validation', {cleaned('text')}, count(*) over () from benchmark
   where text is not null and text <> '')
 group by split, written, line""",
-    "export_manifest": with_(LINES, LINE_SPLIT)
-    + f"""select split as actual_split, 'both' as requested_split, 'text' as text_field,
-  {VAL_RATIO}::double as local_val_ratio, {SEED} as split_seed, count(*) as written
-from line_split group by split""",
-    "example_split": with_(TURNS, EXAMPLES)
-    + f"""select conv_id, case when r <= greatest(1, floor(total * {RATIO})::bigint) then 'val'
-  else 'train' end as split
-from (select conv_id, count(*) over () as total,
-        row_number() over (order by {hashed(SEED, 'conv_id')}, conv_id) as r from examples)""",
+    "export_summary": with_(LINES)
+    + """select coalesce(split, 'total') as split, count(*) as rows from (
+  select 'train' as split from lines
+  union all select 'validation' from benchmark where text is not null and text <> '')
+group by rollup (split)""",
+    "export_manifest": with_(LINES)
+    + """select 'both' as requested_split, split as actual_split, 'text' as text_field,
+  'train,validation' as available_splits, count(*) as written_samples from (
+  select 'train' as split from lines
+  union all select 'validation' from benchmark where text is not null and text <> '')
+group by split""",
+    "export_local_split": with_(TURNS, EXAMPLES, EXAMPLE_SPLIT)
+    + """select split, prompt, response, total as source_total,
+  count(*) over (partition by split) as written
+from example_split join examples using (conv_id)""",
+    "example_split": with_(TURNS, EXAMPLES, EXAMPLE_SPLIT)
+    + "select conv_id, split from example_split",
     "row_split": with_(RAW_SPLIT) + "select conv_id, split from raw_split",
     "split_members": with_(TURNS, EXAMPLES, RAW_SPLIT)
     + "select conv_id, split as side from examples join raw_split using (conv_id)",

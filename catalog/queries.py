@@ -13,6 +13,7 @@ from tokenmill.operators import splits as row_splits
 from tokenmill.operators import stream as token_streams
 from tokenmill.operators import tokens, windows
 from tokenmill.plans import corpus as corpus_plan
+from tokenmill.plans import export
 from tokenmill.plans import sft as sft_plan
 from tokenmill.session import materialize, new_path
 from tokenmill.sources import cache, files
@@ -112,6 +113,7 @@ def split_summary(spark, sf_dir):
 
 
 def split_files(spark, sf_dir):
+    """Train and validation files brought along, written apart and read back."""
     benchmark = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
     whole = named_splits.tagged_splits(
         {"train": corpus(spark, sf_dir), "validation": lines.corpus_lines(benchmark, "doc_id")}
@@ -132,20 +134,53 @@ def split_files(spark, sf_dir):
     )
 
 
+def _exported_corpus(spark, sf_dir) -> tuple[str, DataFrame]:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    benchmark = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
+    out = new_path(spark, "corpus") + ".txt"
+    return out, export.export_corpus(
+        spark, {"train": documents, "validation": benchmark}, "both", out, "doc_id"
+    )
+
+
+def export_summary(spark, sf_dir):
+    return export.export_total(_exported_corpus(spark, sf_dir)[1])
+
+
 def export_manifest(spark, sf_dir):
-    rows = _split_corpus(spark, sf_dir)
-    options = {
-        "requested_split": "both",
-        "text_field": "text",
-        "local_val_ratio": VAL_RATIO,
-        "split_seed": SEED,
-        "max_samples": None,
-    }
-    train, val = (
-        cache.export_manifest(spark, rows.where(F.col("split") == s), s, options)
-        for s in ("train", "val")
+    out, _ = _exported_corpus(spark, sf_dir)
+    read = [
+        spark.read.json(export.manifest_path(named_splits.split_path(out, split, True)))
+        for split in ("train", "validation")
+    ]
+    return read[0].unionByName(read[1]).select(
+        "requested_split",
+        "actual_split",
+        "text_field",
+        F.array_join("available_splits", ",").alias("available_splits"),
+        F.col("written_samples").cast("long").alias("written_samples"),
     )
-    return train.unionByName(val)
+
+
+def export_local_split(spark, sf_dir):
+    """Chat rows with a train split only: split, written as JSON lines, read back."""
+    arrays = chat.message_arrays(table(spark, sf_dir, "conversations"))
+    out = new_path(spark, "sft") + ".jsonl"
+    export.export_sft(
+        spark, {"train": arrays}, "both", out, "conv_id", "chat_messages", val_ratio=VAL_RATIO,
+        seed=SEED,
+    )
+    parts = {}
+    for split in ("train", "val"):
+        path = named_splits.split_path(out, split, True)
+        known = cache.read_manifest(spark, export.manifest_path(path))
+        parts[split] = files.read_jsonl(spark, path).select(
+            "prompt",
+            "response",
+            F.lit(known["source_total_examples"]).cast("long").alias("source_total"),
+            F.lit(known["written_samples"]).cast("long").alias("written"),
+        )
+    return named_splits.tagged_splits(parts)
 
 
 def example_split(spark, sf_dir):
@@ -707,7 +742,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         clean_lines, clean_pages, first_n_lines, shuffled_order, text_round_trip, whole_file,
-        split_summary, split_files, export_manifest, example_split, row_split, split_members,
+        split_summary, split_files, export_summary, export_manifest, export_local_split,
+        example_split, row_split, split_members,
         chat_examples, chat_array_examples, adjacent_pairs, jsonl_round_trip,
         char_vocab, encoded_lines, decode_round_trip,
         subword_encode, subword_round_trip, subword_positions, subword_chunks,

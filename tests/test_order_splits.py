@@ -87,10 +87,10 @@ def test_kth_smallest_breaks_ties_by_the_next_key(spark):
 @pytest.mark.parametrize("n", [0, 1, 40, 99, 100, 101])
 def test_first_rows_with_a_condition(spark, n):
     df = spark.range(200).withColumn("ok", F.col("id") % 2 == 1)
-    found = sorted(r["id"] for r in order.first_rows(df, "id", n, F.col("ok")).collect())
+    found = sorted(r["id"] for r in order.first_rows(df, ["id"], n, F.col("ok")).collect())
     assert found == list(range(1, 200, 2))[:n]
     sparse = spark.range(300).withColumn("ok", F.col("id") >= 250)
-    found = sorted(r["id"] for r in order.first_rows(sparse, "id", n, F.col("ok")).collect())
+    found = sorted(r["id"] for r in order.first_rows(sparse, ["id"], n, F.col("ok")).collect())
     assert found == list(range(250, 300))[:n]
 
 

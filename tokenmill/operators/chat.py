@@ -156,6 +156,14 @@ def _from_messages(df: DataFrame, key: str, min_turns: int) -> DataFrame:
     )
 
 
+def parsed_messages(text: Column, role: str = "role", content: str = "content") -> Column:
+    """Message list of a JSON text; null for anything that is not a list."""
+    listed = F.ltrim(text).startswith("[")
+    return F.when(
+        listed, F.from_json(text, f"array<struct<`{role}`: string, `{content}`: string>>")
+    )
+
+
 def chat_array_examples(
     df: DataFrame,
     key: str,

@@ -17,5 +17,5 @@ def corpus_lines(
     A text of whitespace alone becomes a blank line and still counts.
     """
     keep = has_text(F.col(text_field))
-    kept = df.where(keep) if max_rows is None else first_rows(df, key, max_rows, keep)
+    kept = df.where(keep) if max_rows is None else first_rows(df, [key], max_rows, keep)
     return kept.select(key, clean_line(F.col(text_field)).alias("line"))

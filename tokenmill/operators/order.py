@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenmill.functions.hashing import HASH_BITS, hash_bucket, seeded_hash
+from tokenmill.functions.hashing import hash_bucket, seeded_hash
 from tokenmill.session import materialize
 
 BUCKET = "_bucket"
@@ -150,8 +150,18 @@ def kth_smallest(df: DataFrame, keys: Sequence[str], k: int) -> tuple[int, ...]
     return (low, *tail)
 
 
-def first_rows(df: DataFrame, key: str, n: int, keep: Column | None = None) -> DataFrame:
-    """The first ``n`` rows, in the order of an integer key, for which ``keep`` holds.
+def at_most(keys: Sequence[str], bound: Sequence[int]) -> Column:
+    """Lexicographic ``keys <= bound`` as a plain predicate on literals."""
+    key, limit = F.col(keys[0]), F.lit(bound[0])
+    if len(keys) == 1:
+        return key <= limit
+    return (key < limit) | ((key == limit) & at_most(keys[1:], bound[1:]))
+
+
+def first_rows(
+    df: DataFrame, keys: Sequence[str], n: int, keep: Column | None = None
+) -> DataFrame:
+    """The first ``n`` rows, in the order of integer keys, for which ``keep`` holds.
 
     The key of the last such row is found first; the rows are then kept by a filter on it, which
     reaches the scan. No task and no driver holds the n rows, as a sorted limit would. The bound
@@ -160,12 +170,12 @@ def first_rows(df: DataFrame, key: str, n: int, keep: Column | None = None) -> D
     kept = df if keep is None else df.where(keep)
     if n <= 0:
         return kept.where(F.lit(False))
-    keys, rank = df.select(key), n
+    every, rank = df.select(*keys), n
     while True:
-        bound = kth_smallest(keys, [key], rank)
+        bound = kth_smallest(every, keys, rank)
         if bound is None:
             break
-        below = kept.where(F.col(key) <= bound[0])
+        below = kept.where(at_most(keys, bound))
         found = n if keep is None else below.count()
         if found == n:
             return below
@@ -173,8 +183,8 @@ def first_rows(df: DataFrame, key: str, n: int, keep: Column | None = None) -> D
             kept = below
             break
         rank *= 2
-    last = kth_smallest(kept.select(key), [key], n)
-    return kept if last is None else kept.where(F.col(key) <= last[0])
+    last = kth_smallest(kept.select(*keys), keys, n)
+    return kept if last is None else kept.where(at_most(keys, last))
 
 
 def shuffle_ranks(df: DataFrame, key: str, seed: int, out: str = "rank") -> DataFrame:
@@ -197,7 +207,7 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 __all__ = [
     "BUCKET",
-    "HASH_BITS",
+    "at_most",
     "bucket_bases",
     "first_rows",
     "key_buckets",

@@ -24,6 +24,11 @@ def _first_by_hash(ids: DataFrame, key: str, seed: int, count: int) -> Column:
     return (hash_now < top) | ((hash_now == top) & (F.col(key) <= last))
 
 
+def seeded_order(df: DataFrame, key: str, seed: int, out: str = "hash") -> DataFrame:
+    """Add the number by which seeded splits order their rows (ties go by ``key``)."""
+    return df.withColumn(out, seeded_hash(seed, F.col(key)))
+
+
 def _check(fraction: float, rows: int) -> None:
     if not 0.0 < fraction < 1.0:
         raise ValueError("fraction must lie between 0 and 1")

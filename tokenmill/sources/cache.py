@@ -36,15 +36,6 @@ def read_manifest(spark: SparkSession, path: str) -> dict | None:
     return spark.read.json(path).first().asDict()
 
 
-def export_manifest(
-    spark: SparkSession, source: DataFrame, split: str, options: dict
-) -> DataFrame:
-    """One row: the options of an export, its split and the rows it wrote."""
-    rows = source.agg(F.count(F.lit(1)).alias("written"))
-    literals = [F.lit(v).alias(k) for k, v in options.items() if v is not None]
-    return rows.select(F.lit(split).alias("actual_split"), *literals, "written")
-
-
 def reuse_or_build(
     spark: SparkSession,
     root: str,

@@ -17,6 +17,35 @@ def read_table(
     return reader.format(form).load(path)
 
 
+def split_folder(root: str, split: str, name: str | None = None) -> str:
+    """A dataset keeps one folder per split, under a folder per subset if it has subsets."""
+    return f"{root}/{name}/{split}" if name else f"{root}/{split}"
+
+
+def read_split(
+    spark: SparkSession,
+    root: str,
+    split: str,
+    name: str | None = None,
+    form: str = "parquet",
+    schema: StructType | None = None,
+    streaming: bool = False,
+) -> DataFrame:
+    """One split of a dataset, as a table or as a stream of its files."""
+    path = split_folder(root, split, name)
+    if not streaming:
+        return read_table(spark, path, form, schema)
+    known = schema or read_table(spark, path, form).schema
+    return spark.readStream.schema(known).format(form).load(path)
+
+
+def available_splits(spark: SparkSession, root: str, name: str | None = None) -> list[str]:
+    """Names of the split folders of a dataset."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}" if name else root)
+    listed = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
+    return sorted(s.getPath().getName() for s in listed if s.isDirectory())
+
+
 def spread(table: DataFrame, key: str) -> DataFrame:
     """A freshly read table for work that is heavy per row, such as encoding.
 
@@ -60,7 +89,9 @@ def _save(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
     return int(seen.get["rows"])
 
 
-def write_lines(df: DataFrame, path: str, line: str = "line", key: str | None = None) -> int:
+def write_lines(
+    df: DataFrame, path: str, line: str = "line", key: str | list[str] | None = None
+) -> int:
     """One line per row; returns the rows written.
 
     With a key the part files, in name order, follow the key.
@@ -69,7 +100,9 @@ def write_lines(df: DataFrame, path: str, line: str = "line", key: str | None =
     return _save(ordered.select(line), lambda rows: rows.write.mode("overwrite").text(path))
 
 
-def write_jsonl(df: DataFrame, path: str, fields: list[str], key: str | None = None) -> int:
+def write_jsonl(
+    df: DataFrame, path: str, fields: list[str], key: str | list[str] | None = None
+) -> int:
     """One JSON object per row, UTF-8 as it is; returns the rows written."""
     ordered = df if key is None else df.orderBy(key)
     return _save(ordered.select(*fields), lambda rows: rows.write.mode("overwrite").json(path))
