@@ -57,7 +57,7 @@ def test_positions(text_stream, id_stream):
 
 
 @pytest.mark.parametrize("size, overlap", [(1, 0), (7, 0), (64, 0), (64, 1), (10, 25), (10_000, 1)])
-@pytest.mark.parametrize("segment", [65_536, 5])
+@pytest.mark.parametrize("segment", [1024, 1])
 def test_chunks(monkeypatch, text_stream, id_stream, tokenizer, size, overlap, segment):
     monkeypatch.setattr(stream, "SEGMENT", segment)
     wanted = {

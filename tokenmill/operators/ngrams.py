@@ -5,25 +5,62 @@ A count model with add-one smoothing; it is no substitute for a trained network'
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+PAIR_SCHEMA = "split string, cur int, next int, n long"
+IDS_AT_ONCE = 1 << 20  # ids that a task counts in one step
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of one task: (split, first, stop, ids) rows to distinct pairs per step."""
+    for batch in batches:
+        splits = batch.column("split").to_pylist()
+        first, stop = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("first", "stop"))
+        ids = batch.column("ids")
+        ends = np.asarray(ids.offsets).astype(np.int64)
+        values = ids.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = 0
+        while row < len(splits):
+            # Rows of one split, up to IDS_AT_ONCE ids or a single longer row.
+            limit = max(int(np.searchsorted(ends, ends[row] + IDS_AT_ONCE, "right")) - 1, row + 1)
+            same = next((r for r in range(row, limit) if splits[r] != splits[row]), limit)
+            rows = slice(row, same)
+            begin = ends[rows]
+            inside = np.zeros(int(ends[same] - ends[row]) + 1, dtype=np.int64)
+            np.add.at(inside, begin + first[rows] - ends[row], 1)
+            np.add.at(inside, begin + stop[rows] - 1 - ends[row], -1)
+            wanted = np.flatnonzero(np.cumsum(inside[:-1])) + ends[row]
+            cur, after = values[wanted], values[wanted + 1]
+            pairs, counts = np.unique(cur << 32 | after, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([splits[row]] * len(pairs), type=pa.string()),
+                    pa.array((pairs >> 32).astype(np.int32)),
+                    pa.array((pairs & 0xFFFFFFFF).astype(np.int32)),
+                    pa.array(counts),
+                ],
+                names=["split", "cur", "next", "n"],
+            )
+            row = same
+
+
 def pair_counts(
     chunks: DataFrame, ids: str, size: int, parts: dict[str, tuple[int, int]]
 ) -> DataFrame:
     """(split, cur, next, n): adjacent pairs whose both tokens lie in a part [lo, hi) of the stream.
 
     ``chunks`` hold ``size`` tokens and one of overlap, so that every pair is in exactly one
-    chunk. All parts are counted in one pass, within a task before anything is shuffled.
+    chunk. All parts are counted in one pass. A row per token never exists: each task turns its
+    Arrow batches into distinct pairs, which are summed before and after one small shuffle.
     """
     column = F.col(ids)
-    pairs = F.zip_with(
-        F.slice(column, 1, F.size(column) - 1),
-        F.slice(column, 2, F.size(column) - 1),
-        lambda a, b: F.struct(a.alias("cur"), b.alias("next")),
-    )
     begin = F.col("chunk_id") * size
     bounds = F.array(
         *[
@@ -35,17 +72,12 @@ def pair_counts(
             for name, (lo, hi) in parts.items()
         ]
     )
-    opened = chunks.select(
-        F.explode(F.filter(bounds, lambda b: b["stop"] - b["first"] > 1)).alias("part"),
-        pairs.alias("pairs"),
-    )
-    wanted = F.slice(
-        "pairs", F.col("part.first") + 1, F.col("part.stop") - F.col("part.first") - 1
-    )
+    wanted = F.filter(bounds, lambda b: b["stop"] - b["first"] > 1)
     return (
-        opened.select("part.split", F.inline(wanted))
+        chunks.select(F.inline(wanted), column.alias("ids"))
+        .mapInArrow(_count_pairs, PAIR_SCHEMA)
         .groupBy("split", "cur", "next")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
 
 

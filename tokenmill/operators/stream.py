@@ -6,7 +6,7 @@ ids. Nothing here makes a row per token.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from tokenmill.operators.order import (
     stream_total,
 )
 
-SEGMENT = 65_536  # longest stretch of one document that is cut up in one go
+SEGMENT = 1_024  # small chunks are first cut together, about this many tokens at a time
 
 
 def is_text(df: DataFrame, content: str) -> bool:
@@ -70,26 +70,43 @@ def token_stream(df: DataFrame, key: str, content: str) -> Stream:
     return Stream(place(sized, bases, [key], F.col("n")), content, stream_total(bases))
 
 
-def _segments(df: DataFrame, content: str) -> DataFrame:
-    """Rows of at most SEGMENT tokens, so that cutting them up takes time linear in the text."""
-    column, n = F.col(content), F.col("n")
+def _segments(df: DataFrame, content: str, size: int) -> DataFrame:
+    """Rows that end at every multiple of ``size`` tokens of the stream.
+
+    Finding a place in a text means walking to it. Cutting a long document at once, in a single
+    pass, keeps the work linear in its length, where looking up every chunk's place would not.
+    """
+    column, start, n = F.col(content), F.col("start"), F.col("n")
+    head = F.expr(f"cast(least({size} - start % {size}, n) as int)")
+    rest = cut(df, content, head, n - head)
     if is_text(df, content):
-        parts = F.regexp_extract_all(column, F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0))
+        parts = F.regexp_extract_all(rest, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
     else:
         parts = F.transform(
-            F.sequence(F.lit(0), n - 1, F.lit(SEGMENT)), lambda i: F.slice(column, i + 1, SEGMENT)
+            F.sequence(head, n - 1, F.lit(size)), lambda i: F.slice(column, i + 1, size)
         )
+    first = cut(df, content, F.lit(0), head)
     others = [c for c in df.columns if c not in (content, "start", "n")]
     opened = df.select(
         *others,
         "start",
-        F.posexplode(F.when(n <= SEGMENT, F.array(column)).otherwise(parts)).alias("_i", content),
+        F.posexplode(
+            F.when(n <= head, F.array(column)).otherwise(F.concat(F.array(first), parts))
+        ).alias("_i", content),
+    )
+    begin = F.when(F.col("_i") == 0, start).otherwise(
+        F.expr(f"(start div {size} + _i) * {size}")
     )
     return opened.select(
-        *others,
-        (F.col("start") + F.col("_i") * SEGMENT).alias("start"),
-        content,
-        token_count(opened, content).alias("n"),
+        *others, begin.alias("start"), content, token_count(opened, content).alias("n")
+    )
+
+
+def _chunk_range(size: int, overlap: int) -> tuple[Column, Column]:
+    """First and last chunk that a row at ``start`` with ``n`` tokens has a part in."""
+    return (
+        F.expr(f"greatest((start - {overlap}) div {size}, 0L)"),
+        F.expr(f"(start + n - 1) div {size}"),
     )
 
 
@@ -99,11 +116,9 @@ def stream_pieces(stream: Stream, size: int, overlap: int = 0, keep: tuple = ())
     Chunk c covers the tokens from ``c * size`` on, ``size + overlap`` of them.
     """
     content = stream.content
-    rows = _segments(stream.rows.where("n > 0"), content)
+    rows = _segments(stream.rows.where("n > 0"), content, size * max(SEGMENT // size, 1))
     start, end = F.col("start"), F.col("start") + F.col("n")
-    first = F.expr(f"greatest((start - {overlap}) div {size}, 0L)")
-    last = F.expr(f"(start + n - 1) div {size}")
-    opened = rows.withColumn("chunk_id", F.explode(F.sequence(first, last)))
+    opened = rows.withColumn("chunk_id", F.explode(F.sequence(*_chunk_range(size, overlap))))
     low = F.col("chunk_id") * size
     pos = F.greatest(start, low)
     stop = F.least(end, low + (size + overlap))
@@ -124,12 +139,22 @@ def token_chunks(stream: Stream, size: int, overlap: int = 0) -> DataFrame:
     Both parts read the one shuffle by bucket. A group holds at most size + overlap pieces.
     """
     content, total = stream.content, stream.total
-    pieces = stream_pieces(stream, size, overlap, keep=(BUCKET, "_base", "_total"))
-    low = F.col("chunk_id") * size
-    high = F.least(low + (size + overlap), F.lit(total))
-    inside = (low >= F.col("_base")) & (high <= F.col("_base") + F.col("_total"))
-    whole = _assemble(pieces.where(inside), [BUCKET, "chunk_id"], content)
-    edges = _assemble(pieces.where(~inside), ["chunk_id"], content)
+
+    def inside(chunk: Column) -> Column:
+        low = chunk * size
+        high = F.least(low + (size + overlap), F.lit(total))
+        return (low >= F.col("_base")) & (high <= F.col("_base") + F.col("_total"))
+
+    def pieces(part: Stream) -> DataFrame:
+        return stream_pieces(part, size, overlap, keep=(BUCKET, "_base", "_total"))
+
+    first, last = _chunk_range(size, overlap)
+    at_border = stream.rows.where("n > 0").where(~(inside(first) & inside(last)))
+    chunk = F.col("chunk_id")
+    whole = _assemble(pieces(stream).where(inside(chunk)), [BUCKET, "chunk_id"], content)
+    edges = _assemble(
+        pieces(replace(stream, rows=at_border)).where(~inside(chunk)), ["chunk_id"], content
+    )
     return whole.select("chunk_id", content).unionByName(edges.select("chunk_id", content))
 
 
