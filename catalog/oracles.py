@@ -143,29 +143,53 @@ PROBS = f"""probs as (
 UNIFORM = f"{hashed(SEED, 'vec_id')} / {float(1 << 60)}::double"
 
 
-def windows(split: str, seed: int, rank: int, world: int) -> str:
+def windows(split: str, seed: int, rank: int, world: int, ids: bool = False) -> str:
     lo, hi = ("0", "cut") if split == "train" else ("cut", "n")
     slots = f"(hi - lo - {BLOCK} - {rank} + {world} - 1) // {world}"
+    source, token, comma = ("ids", "id", ",") if ids else ("chars", "ch", "")
     return (
         with_(
             *STREAM,
+            *((VOCAB, IDS) if ids else ()),
             f"bounds as (select {lo} as lo, {hi} as hi from total)",
             f"""draws as (
   select d, {hashed(seed + rank, 'd')} % ({slots}) * {world} + {rank} as start, lo
   from bounds, range(greatest((hi - lo) // 1024, 1)) as r(d))""",
             f"""wanted as (
   select d, start, o, lo + start + o as p from draws, range({BLOCK + 1}) as r(o))""",
-            """found as (
-  select d, start, o, ch from wanted join chars using (p))""",
+            f"""found as (
+  select d, start, o, {token} as t from wanted join {source} using (p))""",
         )
         + f"""select d // {2 * BATCH_ROWS} as step, d % {2 * BATCH_ROWS} // {BATCH_ROWS} as micro,
   d % {BATCH_ROWS} as row, start,
-  md5(string_agg(case when o < {BLOCK} then ch end, '' order by o)) as x_md5,
-  md5(string_agg(case when o > 0 then ch end, '' order by o)) as y_md5
+  md5(string_agg(case when o < {BLOCK} then t end, '{comma}' order by o)) as x_md5,
+  md5(string_agg(case when o > 0 then t end, '{comma}' order by o)) as y_md5
 from found group by d, start"""
     )
 
 
+def epoch(ids: bool) -> str:
+    source, token, comma = ("ids", "id", ",") if ids else ("chars", "ch", "")
+    span = BATCH_ROWS * CHUNK
+    return (
+        with_(
+            *STREAM,
+            *((VOCAB, IDS) if ids else ()),
+            f"""last as (
+  select greatest(1, ceil((n - {span} - 1)::double / {span})::bigint) * {BATCH_ROWS} as chunks
+  from total)""",
+            f"""xs as (select p // {CHUNK} as c,
+    md5(string_agg({token}, '{comma}' order by p)) as x_md5
+  from {source} group by c)""",
+            f"""ys as (select (p - 1) // {CHUNK} as c,
+    md5(string_agg({token}, '{comma}' order by p)) as y_md5
+  from {source} where p > 0 group by c)""",
+        )
+        + f"""select c // {BATCH_ROWS} as batch, c % {BATCH_ROWS} as row, x_md5, y_md5
+from xs join ys using (c), last where c < chunks"""
+    )
+
+
 def byte_pairs() -> str:
     """Lines as ids: the disjoint pairs become one private-use character each, then bytes."""
     text = "content"
@@ -342,17 +366,9 @@ from chars, total group by 1""",
   ('0x' || substr(md5(({SEED} + rank) || ':' || d), 1, 15))::bigint
     % ((n - {BLOCK} - rank + 2) // 3) * 3 + rank as start
 from total, range(3) as a(rank), range(greatest(n // 1024, 1)) as b(d)""",
-    "sequential_batches": with_(
-        *STREAM,
-        f"""last as (select greatest(1, ceil((n - {BATCH_ROWS * CHUNK} - 1)::double
-    / {BATCH_ROWS * CHUNK})::bigint) * {BATCH_ROWS} as chunks from total)""",
-        f"""xs as (select p // {CHUNK} as c, md5(string_agg(ch, '' order by p)) as x_md5
-  from chars group by c)""",
-        f"""ys as (select (p - 1) // {CHUNK} as c, md5(string_agg(ch, '' order by p)) as y_md5
-  from chars where p > 0 group by c)""",
-    )
-    + f"""select c // {BATCH_ROWS} as batch, c % {BATCH_ROWS} as row, x_md5, y_md5
-from xs join ys using (c), last where c < chunks""",
+    "sequential_batches": epoch(ids=False),
+    "cached_windows": windows("train", SEED, 0, 1, ids=True),
+    "cached_epoch": epoch(ids=True),
     "context_tail": with_(LINES) + f"select doc_id, right(line, {BLOCK}) as tail from lines",
     "token_budget": with_(LINES, PLACED, TOTAL)
     + f"""select plan, cut as train_tokens, n - cut as val_tokens, n as dataset_tokens,

@@ -80,9 +80,15 @@ def shuffled_order(spark, sf_dir):
     return order.shuffle_ranks(keys, "doc_id", SEED).select("doc_id", "rank")
 
 
-def text_round_trip(spark, sf_dir):
+def _written_lines(spark, sf_dir) -> str:
     path = new_path(spark, "lines")
-    files.write_lines(corpus(spark, sf_dir), path, key="doc_id")
+    ranges = order.key_ranges(table(spark, sf_dir, "documents"), "doc_id")
+    files.write_lines(corpus(spark, sf_dir), path, key="doc_id", ranges=ranges)
+    return path
+
+
+def text_round_trip(spark, sf_dir):
+    path = _written_lines(spark, sf_dir)
     back = files.read_lines(spark, path)
     return back.groupBy(F.md5("line").alias("line_md5")).agg(
         F.count(F.lit(1)).alias("copies"), F.max(F.length("line")).cast("long").alias("n")
@@ -90,9 +96,7 @@ def text_round_trip(spark, sf_dir):
 
 
 def whole_file(spark, sf_dir):
-    path = new_path(spark, "whole")
-    files.write_lines(corpus(spark, sf_dir), path, key="doc_id")
-    text = files.read_whole(spark, path)
+    text = files.read_whole(spark, _written_lines(spark, sf_dir))
     return text.agg(
         F.sum(F.length("text")).alias("chars"),
         F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n")))).alias("newlines"),
@@ -387,12 +391,16 @@ def token_chunks(spark, sf_dir):
     )
 
 
-def token_cache(spark, sf_dir):
+def _cached(spark, sf_dir):
+    tokenizer = fitted(spark, sf_dir)
     documents = table(spark, sf_dir, "documents")
-    rows, known = corpus_plan.token_cache(
-        spark, documents, "doc_id", fitted(spark, sf_dir), new_path(spark, "caches"),
-        "documents", size=1024,
+    return corpus_plan.token_cache(
+        spark, documents, "doc_id", tokenizer, new_path(spark, "caches"), "documents", size=1024
     )
+
+
+def token_cache(spark, sf_dir):
+    rows, known = _cached(spark, sf_dir)
     return rows.select(
         "chunk_id",
         F.size("ids").alias("n"),
@@ -401,6 +409,30 @@ def token_cache(spark, sf_dir):
     )
 
 
+def cached_windows(spark, sf_dir):
+    """Windows of ids from the cache, over the train part of the stream."""
+    rows, known = _cached(spark, sf_dir)
+    cut = int(known["num_tokens"] * TRAIN_FRACTION)
+    drawn = corpus_plan.cached_windows(
+        spark, rows, 1024, (0, cut), max(cut // 1024, 1), BATCH_ROWS, BLOCK, SEED, accumulate=2
+    )
+    return drawn.select(
+        "step", "micro", "row", "start",
+        digest(F.col("x")).alias("x_md5"), digest(F.col("y")).alias("y_md5"),
+    )
+
+
+def cached_epoch(spark, sf_dir):
+    """One sequential pass of batches over the cache."""
+    rows, known = _cached(spark, sf_dir)
+    batches = corpus_plan.cached_epoch(
+        spark, rows, 1024, known["num_tokens"], BATCH_ROWS, CHUNK
+    )
+    return batches.select(
+        "batch", "row", digest(F.col("x")).alias("x_md5"), digest(F.col("y")).alias("y_md5")
+    )
+
+
 def position_split(spark, sf_dir):
     parts = token_streams.position_split(corpus_stream(spark, sf_dir), TRAIN_FRACTION)
     return parts.select("split", "doc_id", "start", "n", F.md5("content").alias("content_md5"))
@@ -748,7 +780,8 @@ QUERIES = {
         char_vocab, encoded_lines, decode_round_trip,
         subword_encode, subword_round_trip, subword_positions, subword_chunks,
         sft_examples, sft_padded, sft_offsets, sft_cache, sft_batches,
-        token_positions, token_chunks, token_cache, position_split, split_token_counts,
+        token_positions, token_chunks, token_cache, cached_windows, cached_epoch,
+        position_split, split_token_counts,
         train_windows, val_windows, sharded_starts, sequential_batches, context_tail,
         token_budget, length_stats, supervised_stats, vector_parity, match_rate,
         snapshot_diff, snapshot_counts, one_sided_keys,

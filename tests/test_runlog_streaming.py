@@ -43,10 +43,14 @@ def test_latest(log):
 
 
 @pytest.mark.parametrize("every, offset", [(10, 0), (7, 1), (1000, 0)])
-@pytest.mark.parametrize("limit", [100_000, 0])
-def test_interval_steps(monkeypatch, log, every, offset, limit):
-    monkeypatch.setattr(runlog, "BROADCAST_ROWS", limit)
-    found = {(r["run"], r["step"]) for r in runlog.interval_steps(log, every, offset).collect()}
+@pytest.mark.parametrize("limit", ["10MB", "-1"])
+def test_interval_steps(spark, log, every, offset, limit):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        rows = runlog.interval_steps(log, every, offset).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    found = {(r["run"], r["step"]) for r in rows}
     last = {}
     for run, step, *_ in log_rows():
         last[run] = max(step, last.get(run, 0))

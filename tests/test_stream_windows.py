@@ -186,6 +186,28 @@ def test_sequential_batches(text_stream, full):
     assert got == wanted
 
 
+@pytest.mark.parametrize("size, block", [(16, 10), (16, 16), (16, 50), (300, 17)])
+def test_cached_ids_give_the_same_windows_and_epochs(spark, text_stream, tokenizer, size, block):
+    cache = plan.id_chunks(text_stream, tokenizer, size)
+    ids = tokenizer.ids_of(WHOLE)
+    for lo, hi in text_stream.split_at(0.8).values():
+        drawn = plan.cached_windows(spark, cache, size, (lo, hi), 30, 4, block, 3, rank=1, world=2)
+        again = plan.training_windows(spark, text_stream, (lo, hi), 30, 4, block, 3, rank=1, world=2)
+        rows = drawn.collect()
+        assert len(rows) == 30
+        for r in rows:
+            at = lo + r["start"]
+            assert r["x"] == ids[at : at + block] and r["y"] == ids[at + 1 : at + block + 1]
+        assert {(r["step"], r["row"], r["start"], len(r["x"])) for r in rows} == {
+            (r["step"], r["row"], r["start"], len(r["x"])) for r in again.collect()
+        }
+    epoch = plan.cached_epoch(spark, cache, size, len(ids), 3, block).collect()
+    assert len(epoch) == 3 * windows.epoch_batches(len(ids), 3, block)
+    for r in epoch:
+        at = (r["batch"] * 3 + r["row"]) * block
+        assert r["x"] == ids[at : at + block] and r["y"] == ids[at + 1 : at + block + 1]
+
+
 @pytest.mark.parametrize("size", [5, 64])
 def test_pair_counts(text_stream, tokenizer, size):
     chunks = plan.id_chunks(text_stream, tokenizer, size, overlap=1)

@@ -6,6 +6,7 @@ A DataFrame has no order, so every operator here takes an explicit unique order
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -25,12 +26,37 @@ def _cell(key: str, low: int, width: int) -> Column:
     return F.expr(f"(cast(`{key}` as bigint) - {low}L) div {width}L")
 
 
-def key_buckets(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Add an order-preserving bucket number of about ``rows_per_bucket`` rows each.
+@dataclass(frozen=True)
+class KeyRanges:
+    """Order-preserving buckets of a numeric key, as a fixed function of the key.
+
+    It holds literals only, so buckets survive recomputation and any partitioning. Either equal
+    ranges of ``width`` from ``low`` on, or the ranges between ``bounds``.
+    """
 
-    The bucket is a fixed function of the key, so it survives recomputation and any
-    partitioning. Dense unique integers get equal-width ranges, which cannot hold more rows than
-    their width. Other numeric keys get quantile bounds. Only the key column is read here.
+    key: str
+    count: int
+    low: int = 0
+    width: int = 0
+    bounds: tuple[float, ...] = ()
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """``df`` with its bucket number."""
+        if self.width:
+            return df.withColumn(BUCKET, _cell(self.key, self.low, self.width))
+        if not self.bounds:
+            return df.withColumn(BUCKET, F.lit(0).cast("long"))
+        edges = [-float("inf"), *self.bounds, float("inf")]
+        split = Bucketizer(splits=edges, inputCol="_key", outputCol=BUCKET)
+        keyed = split.transform(df.withColumn("_key", F.col(self.key).cast("double")))
+        return keyed.withColumn(BUCKET, F.col(BUCKET).cast("long")).drop("_key")
+
+
+def key_ranges(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> KeyRanges:
+    """Ranges of about ``rows_per_bucket`` rows each. Only the key column is read.
+
+    Dense unique integers get equal ranges, which cannot hold more rows than their width. Other
+    numeric keys get quantile bounds.
     """
     low, high, rows, known = df.agg(
         F.min(key), F.max(key), F.count(F.lit(1)), F.count(key)
@@ -38,24 +64,35 @@ def key_buckets(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET)
     if known < rows:
         raise ValueError(f"{rows - known} rows have no order key '{key}'")
     if not rows:
-        return df.withColumn(BUCKET, F.lit(0).cast("long"))
+        return KeyRanges(key, 1)
     parallel = 2 * df.sparkSession.sparkContext.defaultParallelism
     buckets = max(-(-rows // rows_per_bucket), min(parallel, rows))
-    dense = isinstance(low, int) and high - low < 4 * rows
-    if dense:
+    if isinstance(low, int) and high - low < 4 * rows:
         width = -(-(high - low + 1) // buckets)
-        return df.withColumn(BUCKET, _cell(key, low, width))
+        return KeyRanges(key, (high - low) // width + 1, low, width)
     buckets = min(buckets, MAX_QUANTILES)
     probabilities = [i / buckets for i in range(1, buckets)]
     numeric = df.select(F.col(key).cast("double").alias("_key"))
     bounds = sorted(set(numeric.approxQuantile("_key", probabilities, 0.5 / buckets)))
-    if not bounds:
-        return df.withColumn(BUCKET, F.lit(0).cast("long"))
-    split = Bucketizer(
-        splits=[-float("inf"), *bounds, float("inf")], inputCol="_key", outputCol=BUCKET
-    )
-    keyed = split.transform(df.withColumn("_key", F.col(key).cast("double")))
-    return keyed.withColumn(BUCKET, F.col(BUCKET).cast("long")).drop("_key")
+    return KeyRanges(key, len(bounds) + 1, bounds=tuple(bounds))
+
+
+def key_buckets(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """``df`` with a bucket column from its own key ranges."""
+    return key_ranges(df, key, rows_per_bucket).add(df)
+
+
+def in_order(df: DataFrame, keys: Sequence[str], ranges: KeyRanges | None = None) -> DataFrame:
+    """Rows sorted by ``keys`` over all partitions, one per range of the first key.
+
+    A plain sort would run everything before it twice, once to sample the keys. Ranges taken
+    from the key column of the source table cost next to nothing.
+    """
+    ranges = ranges or key_ranges(df.select(keys[0]), keys[0])
+    # Keys outside the ranges, if there are any, belong to the first or the last one.
+    inside = F.least(F.greatest(F.col(BUCKET), F.lit(0)), F.lit(ranges.count - 1))
+    placed = ranges.add(df).repartitionById(ranges.count, inside.cast("int"))
+    return placed.sortWithinPartitions(*keys).drop(BUCKET)
 
 
 def bucket_bases(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -207,10 +244,13 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 __all__ = [
     "BUCKET",
+    "KeyRanges",
     "at_most",
     "bucket_bases",
     "first_rows",
+    "in_order",
     "key_buckets",
+    "key_ranges",
     "kth_smallest",
     "place",
     "running_total",

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tokenmill.operators.ngrams import perplexity
 from tokenmill.operators.order import running_total
+from tokenmill.session import materialize
 
-BROADCAST_ROWS = 100_000
 MAX_PIVOT_VALUES = 1_000
 
 
@@ -40,13 +40,12 @@ def append_metrics(log: DataFrame, path: str) -> None:
 def interval_steps(log: DataFrame, every: int, offset: int = 0) -> DataFrame:
     """Rows of steps with (step + offset) % every = 0 and of each run's last step.
 
-    Offset 0 picks the reported steps, offset 1 the saved ones. The last steps are one row per
-    run; they are broadcast only after being counted, and joined by shuffle (which adaptive
-    execution splits where a run is hot) beyond BROADCAST_ROWS.
+    Offset 0 picks the reported steps, offset 1 the saved ones. The last steps, one row per run,
+    are written out, so Spark broadcasts them if their size allows and joins by shuffle (split by
+    adaptive execution where a run is hot) if not.
     """
-    last = log.groupBy(F.col("run").alias("_run")).agg(F.max("step").alias("_last"))
-    if last.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        last = F.broadcast(last)
+    steps = log.groupBy(F.col("run").alias("_run")).agg(F.max("step").alias("_last"))
+    last = materialize(steps, "last-steps")
     due = (F.col("step") + offset) % every == 0
     joined = log.join(last, F.col("run").eqNullSafe(F.col("_run")))
     return joined.where(due | (F.col("step") == F.col("_last"))).drop("_run", "_last")

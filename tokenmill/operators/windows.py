@@ -115,6 +115,18 @@ def epoch_batches(tokens: int, rows: int, block: int, full: bool = False) -> int
     return max(1, -(-(tokens - span - 1) // span))
 
 
+def sequential_starts(
+    spark: SparkSession, tokens: int, rows: int, block: int, full: bool = False
+) -> DataFrame:
+    """(batch, row, start) of a sequential reader, to gather its batches from stored chunks."""
+    batches = epoch_batches(tokens, rows, block, full)
+    return spark.range(batches * rows).select(
+        F.expr(f"id div {rows}").alias("batch"),
+        F.expr(f"id % {rows}").alias("row"),
+        (F.col("id") * block).alias("start"),
+    )
+
+
 def sequential_batches(
     chunks: DataFrame, tokens: int, rows: int, block: int, full: bool = False
 ) -> DataFrame:

@@ -17,8 +17,10 @@ from tokenmill.operators.stream import (
 )
 from tokenmill.operators.tokens import CharTokenizer, Tokenizer, encode_lines
 from tokenmill.operators.windows import (
+    chunk_pieces,
     gather_windows,
     micro_batches,
+    sequential_starts,
     shifted_pair,
     window_starts,
 )
@@ -111,13 +113,64 @@ def training_windows(
     x and y have the stream's own content: text, or ids.
     """
     lo, hi = tokens
-    starts = micro_batches(
-        window_starts(spark, draws, hi - lo, block, seed, rank, world), batch, accumulate
-    )
-    named = starts.withColumn("window_start", F.col("start"))
+    starts = _named_starts(spark, tokens, draws, batch, block, seed, accumulate, rank, world)
     pieces = stream_pieces(stream, block)
-    windows = gather_windows(pieces, named, block, block, stream.content, base=lo)
-    x, y = shifted_pair(windows, stream.content, block)
+    found = gather_windows(pieces, starts, block, block, stream.content, base=tokens[0])
+    return _pairs(found, stream.content, block)
+
+
+def cached_windows(
+    spark: SparkSession,
+    cache: DataFrame,
+    size: int,
+    tokens: tuple[int, int],
+    draws: int,
+    batch: int,
+    block: int,
+    seed: int,
+    accumulate: int = 1,
+    rank: int = 0,
+    world: int = 1,
+) -> DataFrame:
+    """The same draws from a token cache of chunks of ``size`` ids: nothing is tokenized again.
+
+    Chunks outside the token range are skipped by the statistics of the files.
+    """
+    lo, hi = tokens
+    starts = _named_starts(spark, tokens, draws, batch, block, seed, accumulate, rank, world)
+    near = cache.where(F.col("chunk_id").between(lo // size, (hi - 1) // size))
+    found = gather_windows(chunk_pieces(near, size, "ids"), starts, block, size, "ids", base=lo)
+    return _pairs(found, "ids", block)
+
+
+def cached_epoch(
+    spark: SparkSession, cache: DataFrame, size: int, tokens: int, rows: int, block: int
+) -> DataFrame:
+    """(batch, row, x, y) of one sequential pass over a token cache."""
+    starts = sequential_starts(spark, tokens, rows, block)
+    found = gather_windows(chunk_pieces(cache, size, "ids"), starts, block, size, "ids")
+    x, y = shifted_pair(found, "ids", block)
+    return found.select("batch", "row", x.alias("x"), y.alias("y"))
+
+
+def _named_starts(
+    spark: SparkSession,
+    tokens: tuple[int, int],
+    draws: int,
+    batch: int,
+    block: int,
+    seed: int,
+    accumulate: int,
+    rank: int,
+    world: int,
+) -> DataFrame:
+    lo, hi = tokens
+    drawn = window_starts(spark, draws, hi - lo, block, seed, rank, world)
+    return micro_batches(drawn, batch, accumulate).withColumn("window_start", F.col("start"))
+
+
+def _pairs(windows: DataFrame, content: str, block: int) -> DataFrame:
+    x, y = shifted_pair(windows, content, block)
     return windows.select(
         "step", "micro", "row", F.col("window_start").alias("start"), x.alias("x"), y.alias("y")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tokenmill.operators.chat import chat_array_examples, prompt_response_rows
 from tokenmill.operators.lines import corpus_lines
-from tokenmill.operators.order import first_rows
+from tokenmill.operators.order import first_rows, key_ranges
 from tokenmill.operators.splits import example_split, seeded_order
 from tokenmill.session import materialize
 from tokenmill.sources.cache import write_manifest
@@ -50,7 +50,7 @@ def export_corpus(
     for split in splits:
         path = split_path(out, split, len(splits) > 1)
         lines = corpus_lines(tables[split], key, text_field, max_rows)
-        rows = write_lines(lines, path, key=key)
+        rows = write_lines(lines, path, key=key, ranges=key_ranges(tables[split], key))
         entries = {
             "requested_split": requested,
             "actual_split": split,

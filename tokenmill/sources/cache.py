@@ -21,8 +21,8 @@ def fingerprint(parameters: dict) -> str:
 
 def manifest(spark: SparkSession, entries: dict) -> DataFrame:
     """One row with a column per entry that is set; lists stay lists."""
-    known = {k: v for k, v in entries.items() if v is not None}
-    return spark.createDataFrame([tuple(known.values())], schema=list(known))
+    known = [F.lit(v).alias(k) for k, v in entries.items() if v is not None]
+    return spark.range(1).select(*known)
 
 
 def write_manifest(spark: SparkSession, entries: dict, path: str) -> None:

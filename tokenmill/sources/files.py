@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tokenmill.operators.order import KeyRanges, in_order
+
 
 def read_table(
     spark: SparkSession, path: str, form: str = "parquet", schema: StructType | None = None
@@ -82,7 +84,7 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
 def _save(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
     """Write rows and return how many, counted as they pass and not by a second job.
 
-    The counter must come last: a sort above it would read its rows once more for sampling.
+    The counter must come last, so that no step above it runs its rows twice.
     """
     seen = Observation()
     write(df.observe(seen, F.count(F.lit(1)).alias("rows")))
@@ -90,22 +92,39 @@ def _save(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
 
 
 def write_lines(
-    df: DataFrame, path: str, line: str = "line", key: str | list[str] | None = None
+    df: DataFrame,
+    path: str,
+    line: str = "line",
+    key: str | Sequence[str] | None = None,
+    ranges: KeyRanges | None = None,
 ) -> int:
     """One line per row; returns the rows written.
 
-    With a key the part files, in name order, follow the key.
+    With a numeric key the part files, in name order, follow the key; ``ranges`` may bring its
+    ranges from a table that is cheaper to read.
     """
-    ordered = df if key is None else df.orderBy(key)
-    return _save(ordered.select(line), lambda rows: rows.write.mode("overwrite").text(path))
+    rows = _ordered(df, key, ranges).select(line)
+    return _save(rows, lambda ready: ready.write.mode("overwrite").text(path))
 
 
 def write_jsonl(
-    df: DataFrame, path: str, fields: list[str], key: str | list[str] | None = None
+    df: DataFrame,
+    path: str,
+    fields: Sequence[str],
+    key: str | Sequence[str] | None = None,
+    ranges: KeyRanges | None = None,
 ) -> int:
-    """One JSON object per row, UTF-8 as it is; returns the rows written."""
-    ordered = df if key is None else df.orderBy(key)
-    return _save(ordered.select(*fields), lambda rows: rows.write.mode("overwrite").json(path))
+    """One JSON object per row, UTF-8 as it is; returns the rows written. Order as above."""
+    rows = _ordered(df, key, ranges).select(*fields)
+    return _save(rows, lambda ready: ready.write.mode("overwrite").json(path))
+
+
+def _ordered(
+    df: DataFrame, key: str | Sequence[str] | None, ranges: KeyRanges | None
+) -> DataFrame:
+    if key is None:
+        return df
+    return in_order(df, [key] if isinstance(key, str) else list(key), ranges)
 
 
 def read_jsonl(
