@@ -17,9 +17,3 @@ def seeded_hash(seed: int | str, *keys: Column) -> Column:
 def seeded_fraction(seed: int | str, *keys: Column) -> Column:
     """Uniform double in [0, 1)."""
     return seeded_hash(seed, *keys) / F.lit(float(1 << HASH_BITS))
-
-
-def hash_bucket(value: Column, buckets: int) -> Column:
-    """Order-preserving bucket of a seeded hash; buckets are even because the hash is."""
-    bits = max(buckets - 1, 0).bit_length()
-    return F.shiftright(value, HASH_BITS - bits).cast("long")

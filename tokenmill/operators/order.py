@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenmill.functions.hashing import hash_bucket, seeded_hash
+from tokenmill.functions.hashing import HASH_BITS, seeded_hash
 from tokenmill.session import materialize
 
 BUCKET = "_bucket"
+GROUP = "_group"
 ROWS_PER_BUCKET = 200_000
 MAX_QUANTILES = 10_000
 HISTOGRAM_BINS = 4_096
@@ -95,6 +96,11 @@ def in_order(df: DataFrame, keys: Sequence[str], ranges: KeyRanges | None = None
     return placed.sortWithinPartitions(*keys).drop(BUCKET)
 
 
+def _with_group(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A struct is never null, so rows without a group meet their sums by plain equality."""
+    return df.withColumn(GROUP, F.struct(*by)) if by else df
+
+
 def bucket_bases(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
     """Per bucket: sum of ``value`` and its sum over all earlier buckets (of the same ``by``).
 
@@ -102,9 +108,12 @@ def bucket_bases(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFr
     over one row per bucket, not over the data. The result is written out because both the
     stream total and the positions are taken from it.
     """
-    totals = df.groupBy(*by, BUCKET).agg(F.sum(value).cast("long").alias("_total"))
+    group = [GROUP] if by else []
+    totals = _with_group(df, by).groupBy(*group, BUCKET).agg(
+        F.sum(value).cast("long").alias("_total")
+    )
     earlier = (
-        Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*group).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     )
     bases = totals.withColumn("_base", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
     return materialize(bases, "bases")
@@ -122,22 +131,17 @@ def place(
     by: Sequence[str] = (),
     out: str = "start",
 ) -> DataFrame:
-    """Exclusive running sum of ``value`` by ``order``, from a window within each bucket."""
+    """Exclusive running sum of ``value`` by ``order``, from a window within each bucket.
+
+    The window and the join with the bases go by the same columns: one shuffle of the rows.
+    """
+    keys = [GROUP, BUCKET] if by else [BUCKET]
     within = (
-        Window.partitionBy(*by, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    local = df.withColumn("_local", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    if by:
-        renamed = bases.select(
-            *[F.col(c).alias(f"_by_{c}") for c in by], F.col(BUCKET).alias("_b"), "_base", "_total"
-        )
-        same = local[BUCKET] == renamed["_b"]
-        for c in by:
-            same = same & local[c].eqNullSafe(renamed[f"_by_{c}"])
-        joined = local.join(renamed, same).drop("_b", *[f"_by_{c}" for c in by])
-    else:
-        joined = local.join(bases, BUCKET)
-    return joined.withColumn(out, (F.col("_base") + F.col("_local")).cast("long")).drop("_local")
+    local = _with_group(df, by).withColumn("_local", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    total = (F.col("_base") + F.col("_local")).cast("long")
+    return local.join(bases, keys).withColumn(out, total).drop("_local", GROUP)
 
 
 def running_total(
@@ -224,22 +228,25 @@ def first_rows(
     return kept if last is None else kept.where(at_most(keys, last))
 
 
-def shuffle_ranks(df: DataFrame, key: str, seed: int, out: str = "rank") -> DataFrame:
-    """Rank from 0 of every row in the order of a seeded hash of its key.
-
-    The hash is uniform, so its leading bits are even buckets as they stand.
-    """
-    rows = df.count()
+def _hash_ranges(df: DataFrame) -> KeyRanges:
+    """Even ranges of a seeded hash: it is uniform, so only the number of rows matters."""
     parallel = 2 * df.sparkSession.sparkContext.defaultParallelism
-    buckets = max(-(-rows // ROWS_PER_BUCKET), parallel)
+    buckets = max(-(-df.count() // ROWS_PER_BUCKET), parallel)
+    width = -(-(1 << HASH_BITS) // buckets)
+    return KeyRanges("_hash", buckets, 0, width)
+
+
+def shuffle_ranks(df: DataFrame, key: str, seed: int, out: str = "rank") -> DataFrame:
+    """Rank from 0 of every row in the order of a seeded hash of its key."""
     hashed = df.withColumn("_hash", seeded_hash(seed, F.col(key)))
-    keyed = hashed.withColumn(BUCKET, hash_bucket(F.col("_hash"), buckets))
+    keyed = _hash_ranges(df).add(hashed)
     return running_total(keyed, ["_hash", key], F.lit(1), out=out).drop("_hash")
 
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """Rows in seeded random order: a distributed range sort by hash, equal on every cluster."""
-    return df.orderBy(seeded_hash(seed, F.col(key)), key)
+    """Rows in seeded random order over all partitions, the same on every cluster."""
+    hashed = df.withColumn("_hash", seeded_hash(seed, F.col(key)))
+    return in_order(hashed, ["_hash", key], _hash_ranges(df)).drop("_hash")
 
 
 __all__ = [
