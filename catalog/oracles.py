@@ -255,6 +255,8 @@ ORACLES = {
     "text_round_trip": with_(LINES)
     + """select md5(line) as line_md5, count(*) as copies, max(length(line)) as n
 from lines group by line""",
+    "numbered_lines": with_(LINES)
+    + "select row_number() over (order by doc_id) - 1 as row, md5(line) as line_md5 from lines",
     "whole_file": with_(LINES)
     + """select (sum(length(line)) + count(*))::bigint as chars, count(*) as newlines
 from lines""",
@@ -327,6 +329,21 @@ from sequence_ group by p // {CHUNK}""",
   {joined('labels')} as labels_md5, true as reused, true as rebuilt,
   (sum(n) over ())::bigint as num_tokens
 from sft""",
+    "sft_split_caches": with_(
+        *SFT,
+        "numbered as (select *, row_number() over (order by conv_id) - 1 as row from sft)",
+        f"""ranked as (
+  select *, count(*) over () as total,
+    row_number() over (order by {hashed(SEED, 'row')}, row) as r from numbered)""",
+        f"""sides as (
+  select *, case when r <= least(greatest(floor(total * {FRACTION})::bigint, 1), total - 1)
+    then 'train' else 'val' end as split
+  from ranked)""",
+    )
+    + f"""select split, row,
+  (sum(n) over (partition by split order by row) - n)::bigint as start, n::int as length,
+  {joined('ids')} as ids_md5, {joined('labels')} as labels_md5
+from sides""",
     "sft_batches": with_(
         *SFT,
         "numbered as (select *, row_number() over (order by conv_id) - 1 as idx from sft)",

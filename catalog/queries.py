@@ -95,6 +95,11 @@ def text_round_trip(spark, sf_dir):
     )
 
 
+def numbered_lines(spark, sf_dir):
+    lines_read = files.read_lines(spark, _written_lines(spark, sf_dir), keyed=True)
+    return files.number_rows(lines_read).select("row", F.md5("line").alias("line_md5"))
+
+
 def whole_file(spark, sf_dir):
     text = files.read_whole(spark, _written_lines(spark, sf_dir))
     return text.agg(
@@ -364,6 +369,23 @@ def sft_cache(spark, sf_dir):
     )
 
 
+def sft_split_caches(spark, sf_dir):
+    """Examples as JSON lines, read back, numbered, split as raw rows, cached per side."""
+    turns = table(spark, sf_dir, "conversations")
+    path = new_path(spark, "jsonl")
+    files.write_jsonl(chat_examples(spark, sf_dir), path, ["prompt", "response"], key="conv_id")
+    raw = files.number_rows(files.read_jsonl(spark, path, keyed=True))
+    caches = sft_plan.sft_split_caches(
+        spark, raw, "row", sft_plan.chat_vocabulary(turns), new_path(spark, "caches"),
+        "examples", MAX_LEN, TRAIN_FRACTION, SEED,
+    )
+    rows = named_splits.tagged_splits({name: df for name, (df, _) in caches.items()})
+    return rows.select(
+        "split", "row", "start", "length",
+        digest(F.col("input_ids")).alias("ids_md5"), digest(F.col("labels")).alias("labels_md5"),
+    )
+
+
 def sft_batches(spark, sf_dir):
     rows = materialize(_sft_rows(spark, sf_dir), "sft-rows")
     draws = 4 * rows.count()
@@ -773,13 +795,14 @@ def stream_rate(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_lines, clean_pages, first_n_lines, shuffled_order, text_round_trip, whole_file,
+        clean_lines, clean_pages, first_n_lines, shuffled_order, text_round_trip, numbered_lines,
+        whole_file,
         split_summary, split_files, export_summary, export_manifest, export_local_split,
         example_split, row_split, split_members,
         chat_examples, chat_array_examples, adjacent_pairs, jsonl_round_trip,
         char_vocab, encoded_lines, decode_round_trip,
         subword_encode, subword_round_trip, subword_positions, subword_chunks,
-        sft_examples, sft_padded, sft_offsets, sft_cache, sft_batches,
+        sft_examples, sft_padded, sft_offsets, sft_cache, sft_split_caches, sft_batches,
         token_positions, token_chunks, token_cache, cached_windows, cached_epoch,
         position_split, split_token_counts,
         train_windows, val_windows, sharded_starts, sequential_batches, context_tail,

@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tokenmill import session
+from tokenmill.operators.splits import row_split
 from tokenmill.operators.tokens import CharTokenizer
 from tokenmill.plans import corpus, sft
 from tokenmill.session import new_path
@@ -91,6 +92,26 @@ def test_lines_keep_order_and_line_ends(spark, tmp_path):
     assert [r["line"] for r in back] == [f"{i:04d}" for i in range(500)]
 
 
+def test_row_numbers_follow_files_blocks_and_lines(spark, tmp_path):
+    texts = {"b.txt": [f"b{i}" for i in range(3000)], "a.txt": ["", "x", ""], "c/d.txt": ["last"]}
+    for name, rows in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("".join(f"{r}\n" for r in rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")  # several parts per file
+    try:
+        lines = files.read_lines(spark, f"{tmp_path}/*.txt", keyed=True)
+        numbered = files.number_rows(lines)
+        assert lines.select("file", "block").distinct().count() > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    wanted = texts["a.txt"] + texts["b.txt"]
+    assert [tuple(r) for r in numbered.orderBy("row").collect()] == list(enumerate(wanted))
+    examples = tmp_path / "e.jsonl"
+    examples.write_text("".join('{"prompt": "p%d", "response": "r"}\n\n' % i for i in range(50)))
+    rows = files.number_rows(files.read_jsonl(spark, str(examples), keyed=True)).orderBy("row")
+    assert [(r["row"], r["prompt"]) for r in rows.collect()] == [(i, f"p{i}") for i in range(50)]
+
+
 def test_jsonl(spark, tmp_path):
     out = new_path(spark, "jsonl")
     rows = [(1, "é\n👍", 'quo"te', "x"), (2, "p", "r", "y")]
@@ -170,6 +191,25 @@ def test_sft_cache_with_subwords(spark):
     assert known["num_rows"] == 9
 
 
+def test_split_caches(spark):
+    rows = [(i, "q" if i % 4 else " ", f"r{i % 10}") for i in range(80)]
+    raw = spark.createDataFrame(rows, "row long, prompt string, response string")
+    tokenizer = CharTokenizer(tuple(sorted(set("qr0123456789"))))
+    root = new_path(spark, "cache")
+    caches = sft.sft_split_caches(spark, raw, "row", tokenizer, root, "s", 8, 0.75)
+    side = {r["row"]: r["split"] for r in row_split(raw, "row", 0.75, 42).collect()}
+    for name, (df, known) in caches.items():
+        found = df.orderBy("row").collect()
+        assert [r["row"] for r in found] == [i for i in range(80) if i % 4 and side[i] == name]
+        assert [r["start"] for r in found] == [4 * i for i in range(len(found))]
+        assert known["num_tokens"] == 4 * len(found)
+    again = sft.sft_split_caches(spark, raw, "row", tokenizer, root, "s", 8, 0.75)
+    assert all(again[s][1]["data"] == caches[s][1]["data"] for s in caches)
+    useless = raw.where("row % 4 = 0")
+    with pytest.raises(ValueError, match="no usable row"):
+        sft.sft_split_caches(spark, useless, "row", tokenizer, root, "useless", 8, 0.75)
+
+
 def test_cluster_needs_a_shared_folder(spark):
     class Conf:
         def get(self, *_):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.operators.chat import chat_examples, chat_tails, clean_turns
 from tokenmill.operators.sft import draw_examples, padded, sft_rows, with_index, with_offsets
+from tokenmill.operators.splits import row_split
 from tokenmill.operators.tokens import CharTokenizer, Tokenizer
 from tokenmill.operators.windows import micro_batches
 from tokenmill.session import materialize
@@ -35,6 +39,23 @@ def chat_rows(
     return sft_rows(examples, tokenizer, max_len, "conv_id")
 
 
+def _cache(
+    spark: SparkSession,
+    root: str,
+    parameters: dict,
+    tokenizer: Tokenizer,
+    rows: Callable[[], DataFrame],
+    key: str,
+    rebuild: bool,
+) -> tuple[DataFrame, dict]:
+    named = {"tokenizer": tokenizer.name, "vocab_size": tokenizer.vocab_size, **parameters}
+
+    def build() -> DataFrame:
+        return with_offsets(materialize(rows(), "sft-rows"), key)
+
+    return reuse_or_build(spark, root, "sft", named, build, F.col("length"), rebuild)
+
+
 def sft_cache(
     spark: SparkSession,
     turns: DataFrame,
@@ -46,21 +67,47 @@ def sft_cache(
     min_turns: int = 2,
     rebuild: bool = False,
 ) -> tuple[DataFrame, dict]:
-    """Cached (conv_id, input_ids, labels, length, supervised, start)."""
-    parameters = {
-        "source": source,
-        "split": split,
-        "tokenizer": tokenizer.name,
-        "vocab_size": tokenizer.vocab_size,
-        "max_len": max_len,
-        "min_turns": min_turns,
-    }
+    """Cached (conv_id, input_ids, labels, length, supervised, start) of chat rows."""
+    parameters = {"source": source, "split": split, "max_len": max_len, "min_turns": min_turns}
 
-    def build() -> DataFrame:
-        rows = materialize(chat_rows(turns, tokenizer, max_len, min_turns), "sft-rows")
-        return with_offsets(rows, "conv_id")
+    def rows() -> DataFrame:
+        return chat_rows(turns, tokenizer, max_len, min_turns)
+
+    return _cache(spark, root, parameters, tokenizer, rows, "conv_id", rebuild)
+
+
+def sft_split_caches(
+    spark: SparkSession,
+    raw: DataFrame,
+    key: str,
+    tokenizer: Tokenizer,
+    root: str,
+    source: str,
+    max_len: int,
+    train_fraction: float = 0.95,
+    seed: int = 42,
+    fields: tuple[str, str] = ("prompt", "response"),
+    rebuild: bool = False,
+) -> dict[str, tuple[DataFrame, dict]]:
+    """Train and val caches from one table of examples, split before unusable rows are dropped.
+
+    Fails if either side has no usable row.
+    """
+    split = cache(lambda: materialize(row_split(raw, key, train_fraction, seed), "split-rows"))
+    caches = {}
+    for name in ("train", "val"):
+        parameters = {
+            "source": source, "split": name, "max_len": max_len, "fields": list(fields),
+            "train_fraction": train_fraction, "seed": seed,
+        }
+
+        def rows(name=name) -> DataFrame:
+            return sft_rows(split().where(F.col("split") == name), tokenizer, max_len, key, *fields)
 
-    return reuse_or_build(spark, root, "sft", parameters, build, F.col("length"), rebuild)
+        caches[name] = _cache(spark, root, parameters, tokenizer, rows, key, rebuild)
+    if not all(known["num_rows"] for _, known in caches.values()):
+        raise ValueError("train or val has no usable row")
+    return caches
 
 
 def sft_batches(

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from tokenmill.operators.order import KeyRanges, in_order
+from tokenmill.session import materialize
 
 
 def read_table(
@@ -60,20 +62,44 @@ def spread(table: DataFrame, key: str) -> DataFrame:
     return table.repartition(cores, key)
 
 
+SOURCE_ORDER = ("file", "block", "seq")
+
+
+def _source_order() -> list[Column]:
+    """Where a row was read: its file, the part of the file, its place in the task that read it."""
+    return [
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"),
+    ]
+
+
 def read_lines(spark: SparkSession, path: str, keyed: bool = False) -> DataFrame:
     """(line) of text files; line feed, carriage return and both together end a line.
 
-    ``keyed`` adds (file, block, seq), whose order is the order of the source.
+    ``keyed`` adds SOURCE_ORDER, by which the rows have the order of the source.
     """
-    lines = spark.read.text(path)
-    if not keyed:
-        return lines.select(F.col("value").alias("line"))
-    return lines.select(
-        F.col("_metadata.file_name").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"),
-        F.col("value").alias("line"),
+    order = _source_order() if keyed else []
+    return spark.read.text(path).select(*order, F.col("value").alias("line"))
+
+
+def number_rows(rows: DataFrame, out: str = "row") -> DataFrame:
+    """Rows of a keyed read with their number from 0 in source order: a key for everything else.
+
+    The rows are written once, which fixes ``seq``. Rows of one part of a file are numbered
+    without gaps, so a number is the count of rows in earlier parts plus an offset; the window
+    runs over one row per part.
+    """
+    written = materialize(rows, "rows")
+    parts = written.groupBy("file", "block").agg(
+        F.min("seq").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
+    earlier = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    joined = written.join(materialize(bases, "parts"), ["file", "block"])
+    number = F.col("_base") + F.col("seq") - F.col("_first")
+    others = [c for c in rows.columns if c not in SOURCE_ORDER]
+    return joined.select(number.alias(out), *others)
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
@@ -128,11 +154,18 @@ def _ordered(
 
 
 def read_jsonl(
-    spark: SparkSession, path: str, fields: tuple[str, ...] = ("prompt", "response")
+    spark: SparkSession,
+    path: str,
+    fields: Sequence[str] = ("prompt", "response"),
+    keyed: bool = False,
 ) -> DataFrame:
-    """The named fields as text. Blank lines are skipped, a malformed line fails the job."""
+    """The named fields as text. Blank lines are skipped, a malformed line fails the job.
+
+    ``keyed`` adds SOURCE_ORDER.
+    """
     schema = StructType([StructField(f, StringType()) for f in fields])
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return rows.select(*(_source_order() if keyed else []), *fields)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
