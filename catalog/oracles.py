@@ -19,6 +19,7 @@ from catalog.queries import (
     VAL_RATIO,
 )
 from tokenmill.functions.text import WHITESPACE
+from tokenmill.operators.tokens import SEGMENT
 
 FRACTION = f"{TRAIN_FRACTION}::double"
 RATIO = f"{VAL_RATIO}::double"
@@ -217,6 +218,18 @@ def plan_rows() -> str:
 ROUND_OVER = ", ".join(
     f"round(avg((n > {x})::int::double), 6) as over_{x}" for x in LENGTH_LIMITS
 )
+LENGTH_STATS = f"""select count(*) as rows, min(n) as min_len, max(n) as max_len,
+  round(avg(n), 6) as mean_len, round(quantile_cont(n, 0.5), 6) as p50,
+  round(quantile_cont(n, 0.9), 6) as p90, round(quantile_cont(n, 0.95), 6) as p95,
+  round(quantile_cont(n, 0.99), 6) as p99, {ROUND_OVER}
+"""
+MERGED = " ".join(
+    f"- (length(t) - length(replace(t, '{pair}', ''))) // 2" for pair in MERGES
+)  # each pair takes one id instead of two
+EXAMPLE_BYTES = f"""sizes as (
+  select (sum(strlen(t) {MERGED}) + 1)::bigint as n from (
+    select conv_id, prompt as t from examples union all select conv_id, response from examples)
+  group by conv_id)"""
 RUNS = ("click", "error", "purchase", "signup", "view")
 SWEEP = ", ".join(f"round(avg(value) filter (run = '{r}'), 6) as {r}" for r in RUNS)
 DELTAS = ", ".join(
@@ -393,12 +406,8 @@ from total, range(3) as a(rank), range(greatest(n // 1024, 1)) as b(d)""",
   round(batch * block * steps / cut::double * 100, 6) as coverage_percent,
   round(batch * block * steps / cut::double, 6) as epochs
 from total, (values {plan_rows()}) as v(plan, batch, block, steps)""",
-    "length_stats": with_(LINES, PLACED)
-    + f"""select count(*) as rows, min(n) as min_len, max(n) as max_len,
-  round(avg(n), 6) as mean_len, round(quantile_cont(n, 0.5), 6) as p50,
-  round(quantile_cont(n, 0.9), 6) as p90, round(quantile_cont(n, 0.95), 6) as p95,
-  round(quantile_cont(n, 0.99), 6) as p99, {ROUND_OVER}
-from placed""",
+    "length_stats": with_(LINES, PLACED) + LENGTH_STATS + "from placed",
+    "sft_length_stats": with_(TURNS, EXAMPLES, EXAMPLE_BYTES) + LENGTH_STATS + "from sizes",
     "supervised_stats": with_(*SFT, RAW_SPLIT)
     + """select split, count(*) as examples, sum(n)::bigint as tokens,
   sum(supervised)::bigint as supervised, round(sum(supervised) / sum(n)::double, 6) as ratio
@@ -516,9 +525,9 @@ where r <= 3""",
 from loss""",
     "stream_clean": CLEAN_LINES,
     "stream_tokens": with_(*STREAM, VOCAB, IDS)
-    + """select doc_id, min(p) as start, count(*) as n,
-  md5(string_agg(id, ',' order by p)) as ids_md5
-from ids group by doc_id""",
+    + f"""select doc_id, ((p - start) // {SEGMENT})::int as seg, min(p) as start,
+  count(*)::int as n, md5(string_agg(id, ',' order by p)) as ids_md5
+from ids join placed using (doc_id) group by doc_id, (p - start) // {SEGMENT}""",
     "stream_chat": CHAT_EXAMPLES,
     "stream_pairs": ADJACENT,
     "stream_latest": LATEST_ROWS,

@@ -305,7 +305,9 @@ def subword_positions(spark, sf_dir):
         table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"
     )
     stream = corpus_plan.id_stream(documents, "doc_id", subword_tokenizer())
-    return stream.rows.select("doc_id", "start", F.col("n").cast("long").alias("n"))
+    return stream.rows.groupBy("doc_id").agg(
+        F.min("start").alias("start"), F.sum("n").alias("n")
+    )
 
 
 def subword_chunks(spark, sf_dir):
@@ -528,6 +530,14 @@ def length_stats(spark, sf_dir):
     )
 
 
+def sft_length_stats(spark, sf_dir):
+    lengths = sft.example_lengths(chat_examples(spark, sf_dir), subword_tokenizer(), "conv_id")
+    stats = reports.length_stats(lengths, F.col("length"), LENGTH_LIMITS)
+    return stats.withColumns(
+        {c: F.round(c, 6) for c in stats.columns if c not in ("rows", "min_len", "max_len")}
+    )
+
+
 def supervised_stats(spark, sf_dir):
     rows = _sft_rows(spark, sf_dir).select("conv_id", "length", "supervised")
     stats = reports.supervised_stats(rows.join(row_split(spark, sf_dir), "conv_id"))
@@ -740,9 +750,7 @@ def stream_tokens(spark, sf_dir):
         fitted(spark, sf_dir),
     )
     rows = sinks.read_token_cache(spark, root)
-    return rows.select(
-        "doc_id", "start", F.col("n").cast("long").alias("n"), digest(F.col("ids")).alias("ids_md5")
-    )
+    return rows.select("doc_id", "seg", "start", "n", digest(F.col("ids")).alias("ids_md5"))
 
 
 def stream_chat(spark, sf_dir):
@@ -806,7 +814,7 @@ QUERIES = {
         token_positions, token_chunks, token_cache, cached_windows, cached_epoch,
         position_split, split_token_counts,
         train_windows, val_windows, sharded_starts, sequential_batches, context_tail,
-        token_budget, length_stats, supervised_stats, vector_parity, match_rate,
+        token_budget, length_stats, sft_length_stats, supervised_stats, vector_parity, match_rate,
         snapshot_diff, snapshot_counts, one_sided_keys,
         softmax_topk, argmax_scores, draw_topk, draw_whole,
         log_append, log_latest, log_interval, log_saved_steps, log_tokens, log_loss,

@@ -15,7 +15,7 @@ TEXTS = {
     i: "".join(RNG.choice(ALPHABET) for _ in range(RNG.choice([1, 2, 5, 30, 200])))
     for i in RNG.sample(range(10_000), 120)
 }
-TEXTS[5] = "x" * 900
+TEXTS[5] = "x" * 2900
 TEXTS[10_001] = ""
 TEXTS[10_002] = "\n"
 KEPT = sorted(k for k, t in TEXTS.items() if t)
@@ -45,15 +45,18 @@ def id_stream(documents, tokenizer):
     return plan.id_stream(documents, "doc_id", tokenizer)
 
 
-def test_positions(text_stream, id_stream):
+def test_positions(text_stream, id_stream, tokenizer):
     at = 0
     wanted = {}
     for k in KEPT:
         wanted[k] = (at, len(LINES[k]))
         at += len(LINES[k])
-    for s in (text_stream, id_stream):
-        assert s.total == len(WHOLE)
-        assert {r["doc_id"]: (r["start"], r["n"]) for r in s.rows.collect()} == wanted
+    assert text_stream.total == id_stream.total == len(WHOLE)
+    assert {r["doc_id"]: (r["start"], r["n"]) for r in text_stream.rows.collect()} == wanted
+    segments = id_stream.rows.orderBy("start").collect()
+    assert [r["start"] for r in segments if r["seg"] == 0] == [wanted[k][0] for k in KEPT]
+    assert [i for r in segments for i in r["content"]] == tokenizer.ids_of(WHOLE)
+    assert all(r["n"] == len(r["content"]) <= tokens.SEGMENT for r in segments)
 
 
 @pytest.mark.parametrize("size, overlap", [(1, 0), (7, 0), (64, 0), (64, 1), (10, 25), (10_000, 1)])

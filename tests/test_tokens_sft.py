@@ -166,6 +166,17 @@ def test_subword_rows_encode_once(spark):
     assert plan.count("encode_subwords(") == 2
 
 
+def test_example_lengths(spark):
+    df = spark.createDataFrame(
+        [(1, " the sound ", "é"), (2, " ", "x"), (3, "a", None)], "id long, prompt string, response string"
+    )
+    subword = tokens.SubwordTokenizer(byte_pair_definition(), "bytes", "<|end|>")
+    found = sft.example_lengths(df, subword, "id").collect()
+    assert [tuple(r) for r in found] == [(1, len(subword.ids_of("the sound")), 3, len(subword.ids_of("the sound")) + 3)]
+    chars = tokens.CharTokenizer(tuple(sorted("the sound é")))
+    assert [tuple(r) for r in sft.example_lengths(df, chars, "id").collect()] == [(1, 9, 2, 11)]
+
+
 def test_max_len_must_exceed_one(spark):
     df = spark.createDataFrame([(1, "a", "b")], "id long, prompt string, response string")
     with pytest.raises(ValueError):

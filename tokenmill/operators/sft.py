@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.functions.sequences import (
@@ -71,6 +71,33 @@ def sft_rows(
     )
 
 
+def example_lengths(
+    examples: DataFrame,
+    tokenizer: Tokenizer,
+    key: str,
+    prompt_field: str = "prompt",
+    response_field: str = "response",
+) -> DataFrame:
+    """(key, prompt_len, response_len, length) in ids, before any truncation.
+
+    The response counts its end-of-sequence id. This is what a sequence length is chosen from.
+    """
+    texts = examples.select(
+        key,
+        as_text(F.col(prompt_field)).alias("p"),
+        as_text(F.col(response_field)).alias("r"),
+    ).where("p <> '' and r <> ''")
+
+    def ids(text: str) -> Column:
+        if isinstance(tokenizer, CharTokenizer):
+            return F.length(text)
+        return F.size(tokenizer.encode(F.col(text)))
+
+    eos = 0 if tokenizer.eos_id is None else 1
+    sized = texts.select(key, ids("p").alias("prompt_len"), (ids("r") + eos).alias("response_len"))
+    return sized.withColumn("length", F.col("prompt_len") + F.col("response_len"))
+
+
 def with_offsets(rows: DataFrame, key: str) -> DataFrame:
     """Add ``start``, the position of the row's first token among all rows in key order."""
     return running_total(rows, [key], F.col("length"))

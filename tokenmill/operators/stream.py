@@ -1,11 +1,12 @@
 """The token stream: every document placed at its global position, cut into chunks and splits.
 
-A document's content is either its line with the line feed (a character is a token) or an array of
-ids. Nothing here makes a row per token.
+A row's content is either a line with its line feed (a character is a token) or an array of ids, a
+whole document's or a segment of it. Nothing here makes a row per token.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -42,7 +43,7 @@ def cut(df: DataFrame, content: str, skip: Column, size: Column) -> Column:
 
 @dataclass(frozen=True)
 class Stream:
-    """Documents with their ``start`` and ``n``, and the number of tokens in all."""
+    """Rows with their ``start`` and ``n``, and the number of tokens in all."""
 
     rows: DataFrame
     content: str
@@ -58,16 +59,16 @@ class Stream:
         return {"train": (0, middle), "val": (middle, self.total)}
 
 
-def token_stream(df: DataFrame, key: str, content: str) -> Stream:
-    """Place documents in key order.
+def token_stream(df: DataFrame, order: Sequence[str], content: str) -> Stream:
+    """Place rows in the order of unique numeric keys.
 
     A column ``n`` is taken as the token count if there is one (a written table then gives it
     without its contents being read); a bucket column is used if there is one.
     """
-    keyed = df if BUCKET in df.columns else key_buckets(df, key)
+    keyed = df if BUCKET in df.columns else key_buckets(df, order[0])
     sized = keyed if "n" in df.columns else keyed.withColumn("n", token_count(df, content))
     bases = bucket_bases(sized, F.col("n"))
-    return Stream(place(sized, bases, [key], F.col("n")), content, stream_total(bases))
+    return Stream(place(sized, bases, order, F.col("n")), content, stream_total(bases))
 
 
 def _segments(df: DataFrame, content: str, size: int) -> DataFrame:

@@ -16,6 +16,33 @@ MAX_CODE_POINT = 0x10FFFF  # fixed value: the end of Unicode
 NATIVE_TABLE_LIMIT = 65_536
 
 
+SEGMENT = 1_024  # ids in a stored row
+AT_ONCE = 1 << 20  # characters, or ids, that a kernel holds in unpacked form
+
+
+def _row_groups(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about AT_ONCE units, one longer row at least."""
+    ends = np.cumsum(lengths)
+    row = 0
+    while row < len(ends):
+        done = ends[row - 1] if row else 0
+        stop = max(int(np.searchsorted(ends, done + AT_ONCE, "right")), row + 1)
+        yield row, stop
+        row = stop
+
+
+def _lists(rows: list[np.ndarray], lengths: np.ndarray, missing: pa.Array) -> pa.ListArray:
+    values = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(
+        pa.array(offsets), pa.array(values.astype(np.int32, copy=False)), mask=missing
+    )
+
+
+def _sizes(lengths: pa.Array) -> np.ndarray:
+    return pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def char_vocabulary(df: DataFrame, text: str = "line", also: str = "\n") -> DataFrame:
     """(id, ch): the distinct characters in code point order, ids from 0.
 
@@ -72,15 +99,18 @@ class CharTokenizer:
         def encode_chars(batch: pa.Array) -> pa.Array:
             table = np.full(int(known.max(initial=0)) + 2, -1, dtype=np.int32)
             table[known] = np.arange(len(known), dtype=np.int32)
-            lengths = pc.fill_null(pc.utf8_length(batch), 0).to_numpy(zero_copy_only=False)
-            joined = "".join(t for t in batch.to_pylist() if t is not None)
-            points = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
-            ids = table[np.minimum(points, len(table) - 1)]
-            unknown = int((ids < 0).sum())
-            if unknown:
-                raise ValueError(f"{unknown} characters are not in the vocabulary")
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=batch.is_null())
+            lengths = _sizes(pc.utf8_length(batch))
+            rows = []
+            for low, high in _row_groups(lengths):
+                texts = batch[low:high].to_pylist()
+                joined = "".join(t for t in texts if t is not None)
+                points = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
+                ids = table[np.minimum(points, len(table) - 1)]
+                unknown = int((ids < 0).sum())
+                if unknown:
+                    raise ValueError(f"{unknown} characters are not in the vocabulary")
+                rows.append(ids)
+            return _lists(rows, lengths, batch.is_null())
 
         return encode_chars(text)
 
@@ -117,17 +147,17 @@ class CharTokenizer:
 
         @F.arrow_udf("string")
         def decode_chars(batch: pa.Array) -> pa.Array:
-            values = batch.flatten().to_numpy(zero_copy_only=False)
-            lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
-            keep = values != eos if skip_special else np.ones(len(values), dtype=bool)
-            kept = np.concatenate([[0], np.cumsum(keep)])
-            ends = kept[np.concatenate([[0], np.cumsum(lengths)])]
-            text = points[values[keep]].tobytes().decode("utf-32-le")
-            valid = batch.is_valid().to_pylist()
-            return pa.array(
-                [text[ends[i] : ends[i + 1]] if ok else None for i, ok in enumerate(valid)],
-                type=pa.string(),
-            )
+            found = []
+            for low, high in _row_groups(_sizes(pc.list_value_length(batch))):
+                part = batch[low:high]
+                values = part.flatten().to_numpy(zero_copy_only=False)
+                keep = values != eos if skip_special else np.ones(len(values), dtype=bool)
+                kept = np.concatenate([[0], np.cumsum(keep)])
+                lengths = _sizes(pc.list_value_length(part))
+                ends = kept[np.concatenate([[0], np.cumsum(lengths)])]
+                text = points[values[keep]].tobytes().decode("utf-32-le")
+                found += [text[a:b] for a, b in zip(ends, ends[1:])]
+            return pa.array(found, type=pa.string(), mask=np.asarray(batch.is_null()))
 
         return decode_chars(ids)
 
@@ -182,13 +212,14 @@ class SubwordTokenizer:
 
             tokenizer = Tokenizer.from_str(definition)
             for batch in batches:
-                texts = [t if t is not None else "" for t in batch.to_pylist()]
-                encoded = tokenizer.encode_batch(texts, add_special_tokens=False)
-                valid = batch.is_valid().to_pylist()
-                yield pa.array(
-                    [e.ids if ok else None for e, ok in zip(encoded, valid)],
-                    type=pa.list_(pa.int32()),
-                )
+                rows = []
+                # An encoding takes some hundred bytes per id, so few are held at a time.
+                for low, high in _row_groups(_sizes(pc.utf8_length(batch))):
+                    texts = [t if t is not None else "" for t in batch[low:high].to_pylist()]
+                    encoded = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+                    rows += [np.array(e.ids, dtype=np.int32) for e in encoded]
+                lengths = np.array([len(r) for r in rows], dtype=np.int64)
+                yield _lists(rows, lengths, batch.is_null())
 
         return encode_subwords(text)
 
@@ -204,12 +235,11 @@ class SubwordTokenizer:
 
             tokenizer = Tokenizer.from_str(definition)
             for batch in batches:
-                rows = [r if r is not None else [] for r in batch.to_pylist()]
-                texts = tokenizer.decode_batch(rows, skip_special_tokens=skip_special)
-                valid = batch.is_valid().to_pylist()
-                yield pa.array(
-                    [t if ok else None for t, ok in zip(texts, valid)], type=pa.string()
-                )
+                found = []
+                for low, high in _row_groups(_sizes(pc.list_value_length(batch))):
+                    ids = [r if r is not None else [] for r in batch[low:high].to_pylist()]
+                    found += tokenizer.decode_batch(ids, skip_special_tokens=skip_special)
+                yield pa.array(found, type=pa.string(), mask=np.asarray(batch.is_null()))
 
         return decode_subwords(ids)
 
@@ -225,6 +255,28 @@ def encode_lines(df: DataFrame, tokenizer: Tokenizer, line: str = "line") -> Dat
     return df.withColumn("ids", F.concat(tokenizer.encode(F.col(line)), newline))
 
 
+def encoded_segments(
+    df: DataFrame, key: str, tokenizer: Tokenizer, line: str = "line", size: int = SEGMENT
+) -> DataFrame:
+    """(key, seg, ids, n): the ids of each line and its newline in rows of at most ``size``.
+
+    The stored form of a token stream: a row stays small however long its document is.
+    """
+    if isinstance(tokenizer, CharTokenizer):
+        text = F.concat(F.col(line), F.lit("\n"))
+        parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+        cut = df.select(key, F.posexplode(parts).alias("seg", "text"))
+        rows = cut.select(key, "seg", tokenizer.encode(F.col("text")).alias("ids"))
+    else:
+        whole = encode_lines(df, tokenizer, line).where(F.size("ids") > 0)
+        parts = F.transform(
+            F.sequence(F.lit(0), F.size("ids") - 1, F.lit(size)),
+            lambda i: F.slice("ids", i + 1, size),
+        )
+        rows = whole.select(key, F.posexplode(parts).alias("seg", "ids"))
+    return rows.withColumn("n", F.size("ids"))
+
+
 def append_eos(ids: Column, tokenizer: Tokenizer) -> Column:
     eos = tokenizer.eos_id
     return ids if eos is None else F.concat(ids, F.array(F.lit(eos).cast("int")))

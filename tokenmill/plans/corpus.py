@@ -15,7 +15,7 @@ from tokenmill.operators.stream import (
     token_chunks,
     token_stream,
 )
-from tokenmill.operators.tokens import CharTokenizer, Tokenizer, encode_lines
+from tokenmill.operators.tokens import CharTokenizer, Tokenizer, encoded_segments
 from tokenmill.operators.windows import (
     chunk_pieces,
     gather_windows,
@@ -39,16 +39,17 @@ def line_stream(df: DataFrame, key: str, text_field: str = "text") -> Stream:
     lines = key_buckets(df, key).where(has_text(F.col(text_field))).select(
         key, BUCKET, F.concat(clean_line(F.col(text_field)), F.lit("\n")).alias(CONTENT)
     )
-    return token_stream(lines, key, CONTENT)
+    return token_stream(lines, [key], CONTENT)
 
 
 def id_stream(df: DataFrame, key: str, tokenizer: Tokenizer, text_field: str = "text") -> Stream:
-    """Stream of any tokenizer's ids. Encoding is the costly step, so it is written once."""
-    encoded = encode_lines(corpus_lines(df, key, text_field), tokenizer)
-    written = materialize(
-        encoded.select(key, F.col("ids").alias(CONTENT), F.size("ids").alias("n")), "encoded"
-    )
-    return token_stream(written, key, CONTENT)
+    """Stream of any tokenizer's ids, in segments (see ``seg``) of documents.
+
+    Encoding is the costly step, so it is written once; the sums read its counts only.
+    """
+    segments = encoded_segments(corpus_lines(df, key, text_field), key, tokenizer)
+    written = materialize(segments.withColumnRenamed("ids", CONTENT), "encoded")
+    return token_stream(written, [key, "seg"], CONTENT)
 
 
 def corpus_stream(

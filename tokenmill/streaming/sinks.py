@@ -12,7 +12,7 @@ from tokenmill.operators.chat import chat_array_examples, prompt_response_rows
 from tokenmill.operators.lines import corpus_lines
 from tokenmill.operators.order import running_total
 from tokenmill.operators.runlog import latest, period_rates
-from tokenmill.operators.tokens import Tokenizer, encode_lines
+from tokenmill.operators.tokens import Tokenizer, encoded_segments
 from tokenmill.session import materialize
 from tokenmill.sources.files import path_exists
 
@@ -58,7 +58,7 @@ def export_prompt_response(stream: DataFrame, out: str, checkpoint: str, key: st
 def extend_token_cache(
     stream: DataFrame, root: str, checkpoint: str, key: str, tokenizer: Tokenizer
 ) -> None:
-    """Incremental token cache: rows (key, ids, n, start) whose positions go on from batch to batch."""
+    """Incremental token cache: rows (key, seg, ids, n, start); positions go on between batches."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
         write_token_batch(batch, batch_id, root, key, tokenizer)
@@ -75,9 +75,8 @@ def write_token_batch(
     writes the same rows to the same place.
     """
     base = _tokens_before(lines.sparkSession, root, batch_id)
-    encoded = encode_lines(lines, tokenizer).select(key, "ids", F.size("ids").alias("n"))
-    written = materialize(encoded, "stream-tokens")
-    placed = running_total(written, [key], F.col("n"))
+    written = materialize(encoded_segments(lines, key, tokenizer), "stream-tokens")
+    placed = running_total(written, [key, "seg"], F.col("n"))
     placed.withColumn("start", F.col("start") + base).write.mode("overwrite").parquet(
         f"{root}/tokens/batch_id={batch_id}"
     )
