@@ -166,6 +166,22 @@ def test_subword_rows_encode_once(spark):
     assert plan.count("encode_subwords(") == 2
 
 
+@pytest.mark.parametrize("size", [1, 3, 1024])
+def test_segments_hold_all_ids_and_encode_once(lines, fitted, size):
+    subword = tokens.SubwordTokenizer(byte_pair_definition(), "bytes")
+    for tokenizer in (fitted, subword):
+        rows = tokens.encoded_segments(lines, "id", tokenizer, size=size)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython [") == 1
+        found = {}
+        for r in rows.orderBy("id", "seg").collect():
+            assert len(r["ids"]) == r["n"] <= size
+            found.setdefault(r["id"], []).extend(r["ids"])
+        assert found == {
+            i: tokenizer.ids_of(text) + tokenizer.ids_of("\n") for i, text in enumerate(LINES)
+        }
+
+
 def test_example_lengths(spark):
     df = spark.createDataFrame(
         [(1, " the sound ", "é"), (2, " ", "x"), (3, "a", None)], "id long, prompt string, response string"

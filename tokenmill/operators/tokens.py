@@ -268,11 +268,12 @@ def encoded_segments(
         cut = df.select(key, F.posexplode(parts).alias("seg", "text"))
         rows = cut.select(key, "seg", tokenizer.encode(F.col("text")).alias("ids"))
     else:
-        whole = encode_lines(df, tokenizer, line).where(F.size("ids") > 0)
-        parts = F.transform(
-            F.sequence(F.lit(0), F.size("ids") - 1, F.lit(size)),
-            lambda i: F.slice("ids", i + 1, size),
-        )
+        # No filter on the ids: it would be moved below the encoder's result and encode once more.
+        whole = encode_lines(df, tokenizer, line)
+        starts = F.when(
+            F.size("ids") > 0, F.sequence(F.lit(0), F.size("ids") - 1, F.lit(size))
+        ).otherwise(F.array().cast("array<int>"))
+        parts = F.transform(starts, lambda i: F.slice("ids", i + 1, size))
         rows = whole.select(key, F.posexplode(parts).alias("seg", "ids"))
     return rows.withColumn("n", F.size("ids"))
 
