@@ -79,15 +79,7 @@ CHAT_VOCAB = """chat_vocab as (
   select ch, (row_number() over (order by ch) - 1)::int as id from (
     select distinct unnest(string_split(content, '')) as ch from turns
     union select unnest(string_split('Human: Assistant: System: ' || chr(10), ''))))"""
-SFT = (
-    TURNS,
-    EXAMPLES,
-    CHAT_VOCAB,
-    """coded as (
-  select conv_id,
-    list_transform(string_split(prompt, ''), lambda c: m[c]) as p,
-    list_append(list_transform(string_split(response, ''), lambda c: m[c]), v) as r
-  from examples, (select map(list(ch), list(id)) as m, count(*)::int as v from chat_vocab))""",
+CUT_AND_MASK = (
     f"""trimmed as (
   select conv_id, p[1 + least(len(p), over_by):] as p,
     r[1 + over_by - least(len(p), over_by):] as r
@@ -103,6 +95,17 @@ SFT = (
     (sum(n) over (order by conv_id) - n)::bigint as start
   from rows_)""",
 )
+SFT = (
+    TURNS,
+    EXAMPLES,
+    CHAT_VOCAB,
+    """coded as (
+  select conv_id,
+    list_transform(string_split(prompt, ''), lambda c: m[c]) as p,
+    list_append(list_transform(string_split(response, ''), lambda c: m[c]), v) as r
+  from examples, (select map(list(ch), list(id)) as m, count(*)::int as v from chat_vocab))""",
+    *CUT_AND_MASK,
+)
 RAW_SPLIT = f"""raw as (
   select conv_id, row_number() over (order by {hashed(SEED, 'conv_id')}, conv_id) as r,
     count(*) over () as total
@@ -191,19 +194,28 @@ from xs join ys using (c), last where c < chunks"""
     )
 
 
-def byte_pairs() -> str:
-    """Lines as ids: the disjoint pairs become one private-use character each, then bytes."""
-    text = "content"
+def merged(text: str) -> str:
+    """The disjoint pairs as one private-use character each."""
     for i, pair in enumerate(MERGES):
         text = f"replace({text}, '{pair}', chr({0xE000 + i}))"
+    return text
+
+
+def codes(chars: str) -> str:
+    """Each distinct character of a table of characters with its ids, joined by commas."""
     cases = " ".join(f"when ch = chr({0xE000 + i}) then '{256 + i}'" for i in range(len(MERGES)))
-    return f"""subchars as (
-  select doc_id, generate_subscripts(a, 1) as i, unnest(a) as ch
-  from (select doc_id, string_split({text}, '') as a from placed)),
-codes as (
+    return f"""codes as (
   select ch, case {cases} else array_to_string(list_transform(range(1, length(h), 2),
     lambda k: ('0x' || substr(h, k, 2))::int), ',') end as code
-  from (select ch, hex(encode(ch)) as h from (select distinct ch from subchars))),
+  from (select ch, hex(encode(ch)) as h from (select distinct ch from {chars})))"""
+
+
+def byte_pairs() -> str:
+    """Lines as ids: merged pairs, then bytes."""
+    return f"""subchars as (
+  select doc_id, generate_subscripts(a, 1) as i, unnest(a) as ch
+  from (select doc_id, string_split({merged('content')}, '') as a from placed)),
+{codes('subchars')},
 subids as (
   select doc_id, i, code, len(string_split(code, ',')) as n from subchars join codes using (ch)),
 subrows as (
@@ -211,6 +223,26 @@ subrows as (
   from subids group by doc_id)"""
 
 
+SUBWORD_SFT = (
+    TURNS,
+    EXAMPLES,
+    f"""sides as (
+  select conv_id, side, generate_subscripts(a, 1) as i, unnest(a) as ch from (
+    select conv_id, 'p' as side, string_split({merged('prompt')}, '') as a from examples
+    union all
+    select conv_id, 'r', string_split({merged('response')}, '') from examples))""",
+    codes("sides"),
+    """sided as (
+  select conv_id, side,
+    list_transform(string_split(string_agg(code, ',' order by i), ','), lambda x: x::int) as ids
+  from sides join codes using (ch) group by conv_id, side)""",
+    f"""coded as (
+  select a.conv_id, a.ids as p, list_append(b.ids, {256 + len(MERGES)}) as r
+  from sided a join sided b on a.conv_id = b.conv_id and a.side = 'p' and b.side = 'r')""",
+    *CUT_AND_MASK,
+)
+
+
 def plan_rows() -> str:
     return ", ".join(f"('{p}', {b}, {k}, {s})" for p, b, k, s in PLANS)
 
@@ -331,6 +363,9 @@ from ids group by doc_id""",
 from sequence_ group by p // {CHUNK}""",
     "sft_examples": with_(*SFT)
     + f"""select conv_id, n::int as n_tokens, supervised::int as n_supervised,
+  {joined('ids')} as ids_md5, {joined('labels')} as labels_md5 from sft""",
+    "sft_subword_examples": with_(*SUBWORD_SFT)
+    + f"""select conv_id, n::int as n_tokens, supervised::int as n_supervised,
   {joined('ids')} as ids_md5, {joined('labels')} as labels_md5 from sft""",
     "sft_padded": with_(*SFT)
     + f"""select conv_id,

@@ -286,7 +286,7 @@ def byte_pair_definition(merges=MERGES, end="<|end|>") -> str:
 
 
 def subword_tokenizer() -> tokens.SubwordTokenizer:
-    return tokens.SubwordTokenizer(byte_pair_definition(), "bytes", "<|end|>")
+    return tokens.SubwordTokenizer(byte_pair_definition(), "bytes", "<|end|>", line_safe=True)
 
 
 def subword_encode(spark, sf_dir):
@@ -340,6 +340,18 @@ def sft_examples(spark, sf_dir):
     )
 
 
+def sft_subword_examples(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    rows = sft_plan.chat_rows(turns, subword_tokenizer(), MAX_LEN)
+    return rows.select(
+        "conv_id",
+        F.col("length").alias("n_tokens"),
+        F.col("supervised").alias("n_supervised"),
+        digest(F.col("input_ids")).alias("ids_md5"),
+        digest(F.col("labels")).alias("labels_md5"),
+    )
+
+
 def sft_padded(spark, sf_dir):
     rows = sft.padded(_sft_rows(spark, sf_dir), ["conv_id"], MAX_LEN)
     return rows.select("conv_id", digest(F.col("x")).alias("x_md5"), digest(F.col("y")).alias("y_md5"))
@@ -810,7 +822,7 @@ QUERIES = {
         chat_examples, chat_array_examples, adjacent_pairs, jsonl_round_trip,
         char_vocab, encoded_lines, decode_round_trip,
         subword_encode, subword_round_trip, subword_positions, subword_chunks,
-        sft_examples, sft_padded, sft_offsets, sft_cache, sft_split_caches, sft_batches,
+        sft_examples, sft_subword_examples, sft_padded, sft_offsets, sft_cache, sft_split_caches, sft_batches,
         token_positions, token_chunks, token_cache, cached_windows, cached_epoch,
         position_split, split_token_counts,
         train_windows, val_windows, sharded_starts, sequential_batches, context_tail,

@@ -102,14 +102,35 @@ def test_chat_examples(spark, turns, min_turns):
 
 
 @pytest.mark.parametrize("chars", [1, 7, 40, 256, 100_000])
-def test_chat_tails_are_the_ends_of_examples(spark, turns, chars):
-    found = {r[0]: (r[1], r[2]) for r in chat.chat_tails(chat.clean_turns(turns), chars).collect()}
-    wanted = {c: model(m, 2) for c, m in CONVERSATIONS.items()}
-    assert found == {c: (e[0][-chars:], e[1][-chars:]) for c, e in wanted.items() if e}
+def test_chat_tails_end_like_examples(spark, turns, chars):
+    count = chat.turns_for(chars, chat.MIN_TURN_CHARS)
+    found = {r[0]: (r[1], r[2]) for r in chat.chat_tails(chat.clean_turns(turns), count).collect()}
+    wanted = {c: e for c, e in ((c, model(m, 2)) for c, m in CONVERSATIONS.items()) if e}
+    assert set(found) == set(wanted)
+    for conv, (prompt, response) in wanted.items():
+        assert found[conv][0][-chars:] == prompt[-chars:] and found[conv][1] == response
+
+
+@pytest.mark.parametrize("max_len", [2, 16, 64, 300])
+def test_chat_rows_from_tails_equal_whole_prompts(spark, turns, max_len):
+    from dataclasses import replace
+
+    from catalog.queries import subword_tokenizer
+    from tokenmill.plans.sft import chat_rows, chat_vocabulary
+
+    whole = replace(subword_tokenizer(), line_safe=False)
+    rows = chat_rows(turns, whole, max_len).orderBy("conv_id").collect()
+    tails = chat_rows(turns, replace(whole, line_safe=True), max_len).orderBy("conv_id").collect()
+    assert rows == tails and len(rows) == len([m for m in CONVERSATIONS.values() if model(m, 2)])
+    vocabulary = chat_vocabulary(turns)
+    for r in chat_rows(turns, vocabulary, max_len).collect():
+        prompt, response = model(CONVERSATIONS[r["conv_id"]], 2)
+        ids = vocabulary.ids_of(prompt + response) + [vocabulary.eos_id]
+        assert r["input_ids"] == ids[-max_len:]
 
 
 def test_tail_filter_runs_before_the_shuffle(spark, turns):
-    plan = chat.recent_turns(chat.clean_turns(turns), 256)._jdf.queryExecution().toString()
+    plan = chat.recent_turns(chat.clean_turns(turns), 27)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 

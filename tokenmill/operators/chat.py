@@ -17,7 +17,9 @@ SPEAKER_SEPARATOR = ": "
 PROMPT_END = "\n\nAssistant:"
 
 BLOCK = 64  # turns of one conversation that are joined in one step
-# Every kept turn adds at least "Human: ", one character and the separator to a prompt.
+# Every kept turn adds at least "Human: ", one character and the separator to a prompt: so many
+# characters, and two ids (text, line ends) of a tokenizer whose ids end at line ends.
+MIN_TURN_IDS = 2
 MIN_TURN_CHARS = len("Human") + len(SPEAKER_SEPARATOR) + 1 + len(TURN_SEPARATOR)
 
 
@@ -109,34 +111,33 @@ def chat_examples(turns: DataFrame, min_turns: int = 2) -> DataFrame:
     )
 
 
-def recent_turns(turns: DataFrame, chars: int, min_turns: int = 2) -> DataFrame:
-    """The last turns of each conversation that can reach into the last ``chars`` of a prompt.
+def recent_turns(turns: DataFrame, count: int) -> DataFrame:
+    """The last ``count`` turns of each conversation.
 
-    Exact for anything that trims prompts from the left to ``chars`` or less. The rank filter is
-    applied before the shuffle as well, so a conversation of any length sends only its tail.
+    The rank filter is applied before the shuffle as well, so a conversation of any length sends
+    only its tail.
     """
-    needed = max(min_turns, chars // MIN_TURN_CHARS + 2)
     newest = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
-    return (
-        turns.withColumn("_rank", F.row_number().over(newest))
-        .where(F.col("_rank") <= needed)
-        .drop("_rank")
-    )
+    ranked = turns.withColumn("_rank", F.row_number().over(newest))
+    return ranked.where(F.col("_rank") <= count).drop("_rank")
+
 
+def turns_for(ids: int, ids_per_turn: int, min_turns: int = 2) -> int:
+    """Turns that surely reach over the last ``ids`` ids of a prompt, and the response."""
+    return max(min_turns, -(-ids // ids_per_turn) + 2)
 
-def chat_tails(turns: DataFrame, chars: int, min_turns: int = 2) -> DataFrame:
-    """Like chat_examples, with prompts cut on the left to ``chars`` and responses likewise.
 
-    Groups hold a bounded number of turns and are already placed by ``recent_turns``.
+def chat_tails(turns: DataFrame, count: int, min_turns: int = 2) -> DataFrame:
+    """Examples whose prompts are made of the last ``count`` turns only.
+
+    Exact for anything that then trims the prompt from the left to fewer ids than these turns
+    have (see ``turns_for``). Groups hold ``count`` turns at most and stay where ``recent_turns``
+    has put them.
     """
-    recent = recent_turns(turns, chars, min_turns)
-    messages = recent.groupBy("conv_id").agg(
+    messages = recent_turns(turns, count).groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "speaker", "content"))).alias("messages")
     )
-    return _from_messages(messages, "conv_id", min_turns).select(
-        "conv_id", F.right("prompt", F.lit(chars)).alias("prompt"),
-        F.right("response", F.lit(chars)).alias("response"),
-    )
+    return _from_messages(messages, "conv_id", min_turns)
 
 
 def _from_messages(df: DataFrame, key: str, min_turns: int) -> DataFrame:

@@ -172,17 +172,22 @@ class SubwordTokenizer:
     """Any tokenizer file of the ``tokenizers`` library, run per Arrow batch.
 
     ``definition`` is the file's JSON text. It is read once on the driver and loaded once per
-    task; its size is that of a vocabulary, not of the data.
+    task; its size is that of a vocabulary, not of the data. ``line_safe`` promises that no id
+    spans a line end and the text after it, and that such a text's ids do not depend on what
+    comes before. Then chat rows need no more turns than survive the truncation.
     """
 
     definition: str
     name: str = "subword"
     eos_token: str | None = None
+    line_safe: bool = False
 
     @classmethod
-    def from_file(cls, path: str, eos_token: str | None = None) -> SubwordTokenizer:
+    def from_file(
+        cls, path: str, eos_token: str | None = None, line_safe: bool = False
+    ) -> SubwordTokenizer:
         with open(path, encoding="utf-8") as f:
-            return cls(f.read(), name=path.rsplit("/", 1)[-1], eos_token=eos_token)
+            return cls(f.read(), path.rsplit("/", 1)[-1], eos_token, line_safe)
 
     def _load(self):
         from tokenizers import Tokenizer

@@ -8,7 +8,14 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.operators.chat import chat_examples, chat_tails, clean_turns
+from tokenmill.operators.chat import (
+    MIN_TURN_CHARS,
+    MIN_TURN_IDS,
+    chat_examples,
+    chat_tails,
+    clean_turns,
+    turns_for,
+)
 from tokenmill.operators.sft import draw_examples, padded, sft_rows, with_index, with_offsets
 from tokenmill.operators.splits import row_split
 from tokenmill.operators.tokens import CharTokenizer, Tokenizer
@@ -28,12 +35,14 @@ def chat_rows(
 ) -> DataFrame:
     """(conv_id, input_ids, labels, length, supervised) from long chat rows.
 
-    With one id per character, only the turns that can survive the truncation are put together.
-    Subword ids depend on the whole prompt, so there it is built in full.
+    Where ids do not depend on earlier turns, only the turns that can survive the truncation are
+    put together. Other subword tokenizers need the whole prompt.
     """
     cleaned = clean_turns(turns)
     if isinstance(tokenizer, CharTokenizer):
-        examples = chat_tails(cleaned, max_len, min_turns)
+        examples = chat_tails(cleaned, turns_for(max_len, MIN_TURN_CHARS, min_turns), min_turns)
+    elif tokenizer.line_safe:
+        examples = chat_tails(cleaned, turns_for(max_len, MIN_TURN_IDS, min_turns), min_turns)
     else:
         examples = chat_examples(cleaned, min_turns)
     return sft_rows(examples, tokenizer, max_len, "conv_id")
