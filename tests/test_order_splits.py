@@ -111,6 +111,20 @@ def test_shuffle_is_the_hash_order(spark):
     assert [r["id"] for r in order.shuffled(spark.range(700), "id", 4).collect()] == keys
 
 
+@pytest.mark.parametrize("limit", [10_000, 5, 1])
+@pytest.mark.parametrize("kind", sorted(KEY_SETS))
+def test_in_order(monkeypatch, spark, kind, limit):
+    monkeypatch.setattr(order, "MAX_PARTITIONS", limit)
+    keys = sorted(set(KEY_SETS[kind]))
+    df = spark.createDataFrame([(k, str(k)) for k in reversed(keys)], "k long, t string")
+    placed = order.in_order(df.repartition(7, "t"), ["k"])
+    assert [r["k"] for r in placed.collect()] == keys
+    assert placed.columns == ["k", "t"]
+    # Ranges of a part of the keys still place all of them.
+    some = order.key_ranges(df.where("k % 3 = 0"), "k")
+    assert [r["k"] for r in order.in_order(df, ["k"], some).collect()] == keys
+
+
 @pytest.mark.parametrize("n, ratio", [(2, 0.05), (2, 0.9), (30, 0.01), (100, 0.05), (100, 0.99)])
 def test_example_split(spark, n, ratio):
     found = splits.example_split(spark.range(n).repartition(3), "id", ratio, 42).collect()

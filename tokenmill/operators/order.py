@@ -20,6 +20,7 @@ BUCKET = "_bucket"
 GROUP = "_group"
 ROWS_PER_BUCKET = 200_000
 MAX_QUANTILES = 10_000
+MAX_PARTITIONS = 10_000  # of an ordered table; beyond it neighboring ranges share one
 HISTOGRAM_BINS = 4_096
 
 
@@ -84,15 +85,17 @@ def key_buckets(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET)
 
 
 def in_order(df: DataFrame, keys: Sequence[str], ranges: KeyRanges | None = None) -> DataFrame:
-    """Rows sorted by ``keys`` over all partitions, one per range of the first key.
+    """Rows sorted by ``keys`` over all partitions, each a range of the first key.
 
     A plain sort would run everything before it twice, once to sample the keys. Ranges taken
     from the key column of the source table cost next to nothing.
     """
     ranges = ranges or key_ranges(df.select(keys[0]), keys[0])
+    partitions = min(ranges.count, MAX_PARTITIONS)
     # Keys outside the ranges, if there are any, belong to the first or the last one.
-    inside = F.least(F.greatest(F.col(BUCKET), F.lit(0)), F.lit(ranges.count - 1))
-    placed = ranges.add(df).repartitionById(ranges.count, inside.cast("int"))
+    inside = f"least(greatest({BUCKET}, 0L), {ranges.count - 1}L)"
+    number = F.expr(f"cast({inside} * {partitions} div {ranges.count} as int)")
+    placed = ranges.add(df).repartitionById(partitions, number)
     return placed.sortWithinPartitions(*keys).drop(BUCKET)
 
 
