@@ -14,17 +14,20 @@ def md5_60(seed, key):
     return int(hashlib.md5(f"{seed}:{key}".encode()).hexdigest()[:15], 16)
 
 
+RNG = random.Random(1)
 KEY_SETS = {
     "dense": list(range(500)),
     "one": [42],
     "negative": list(range(-250, 250, 2)),
-    "sparse": [random.Random(1).randrange(-(2**62), 2**62) for _ in range(400)],
+    "sparse": [RNG.randrange(-(2**63) + 2**52, 2**63) for _ in range(400)],
     "clustered": list(range(300)) + [10**15 + 7 * i for i in range(100)],
 }
 
 
 @pytest.mark.parametrize("kind", sorted(KEY_SETS))
-def test_running_total(spark, kind):
+@pytest.mark.parametrize("quantiles", [1000, 3])
+def test_running_total(monkeypatch, spark, kind, quantiles):
+    monkeypatch.setattr(order, "MAX_QUANTILES", quantiles)
     keys = sorted(set(KEY_SETS[kind]))
     rng = random.Random(3)
     n = {k: rng.randint(0, 9) for k in keys}
@@ -65,6 +68,18 @@ def test_buckets_follow_the_key_and_stay_small(spark):
     assert all(a["hi"] < b["lo"] for a, b in zip(rows, rows[1:]))
 
 
+@pytest.mark.parametrize("kind", ["sparse", "clustered"])
+def test_cells_of_quantiles_follow_the_key(monkeypatch, spark, kind):
+    monkeypatch.setattr(order, "MAX_QUANTILES", 4)
+    df = spark.createDataFrame([(k,) for k in KEY_SETS[kind]], "k long")
+    ranges = order.key_ranges(df, "k", rows_per_bucket=10)
+    assert ranges.cells == 10
+    rows = ranges.add(df).orderBy("k").collect()
+    numbers = [r["_bucket"] for r in rows]
+    assert numbers == sorted(numbers) and 0 <= numbers[0] and numbers[-1] < ranges.count
+    assert len(set(numbers)) > 10
+
+
 def test_null_order_key_is_an_error(spark):
     df = spark.createDataFrame([(1,), (None,)], "k long")
     with pytest.raises(ValueError, match="no order key"):

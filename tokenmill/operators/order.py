@@ -18,14 +18,19 @@ from tokenmill.session import materialize
 
 BUCKET = "_bucket"
 GROUP = "_group"
-ROWS_PER_BUCKET = 200_000
-MAX_QUANTILES = 10_000
+ROWS_PER_BUCKET = 20_000
+MAX_QUANTILES = 1_000
 MAX_PARTITIONS = 10_000  # of an ordered table; beyond it neighboring ranges share one
 HISTOGRAM_BINS = 4_096
 
 
 def _cell(key: str, low: int, width: int) -> Column:
-    return F.expr(f"(cast(`{key}` as bigint) - {low}L) div {width}L")
+    """Number of the key's range of ``width``; ranges begin at multiples of it, low's is 0.
+
+    The key is rounded before anything is subtracted, so keys far apart cannot overflow.
+    """
+    value = f"cast(`{key}` as bigint)"
+    return F.expr(f"({value} - pmod({value}, {width}L)) div {width}L - {low // width}L")
 
 
 @dataclass(frozen=True)
@@ -33,32 +38,40 @@ class KeyRanges:
     """Order-preserving buckets of a numeric key, as a fixed function of the key.
 
     It holds literals only, so buckets survive recomputation and any partitioning. Either equal
-    ranges of ``width`` from ``low`` on, or the ranges between ``bounds``.
+    ranges of ``width`` from ``low`` on, or the ranges between ``edges``, each of them cut into
+    ``cells`` of equal width.
     """
 
     key: str
     count: int
     low: int = 0
     width: int = 0
-    bounds: tuple[float, ...] = ()
+    edges: tuple[float, ...] = ()
+    cells: int = 1
 
     def add(self, df: DataFrame) -> DataFrame:
         """``df`` with its bucket number."""
         if self.width:
             return df.withColumn(BUCKET, _cell(self.key, self.low, self.width))
-        if not self.bounds:
+        if len(self.edges) < 3:
             return df.withColumn(BUCKET, F.lit(0).cast("long"))
-        edges = [-float("inf"), *self.bounds, float("inf")]
-        split = Bucketizer(splits=edges, inputCol="_key", outputCol=BUCKET)
+        splits = [-float("inf"), *self.edges[1:-1], float("inf")]
+        split = Bucketizer(splits=splits, inputCol="_key", outputCol="_range")
         keyed = split.transform(df.withColumn("_key", F.col(self.key).cast("double")))
-        return keyed.withColumn(BUCKET, F.col(BUCKET).cast("long")).drop("_key")
+        number, edges = F.col("_range").cast("int"), F.lit(list(self.edges))
+        low, high = F.get(edges, number), F.get(edges, number + 1)
+        share = (F.col("_key") - low) / F.greatest(high - low, F.lit(1e-300))
+        cell = F.least(F.greatest(F.floor(share * self.cells), F.lit(0)), F.lit(self.cells - 1))
+        return keyed.withColumn(BUCKET, (number * self.cells + cell).cast("long")).drop(
+            "_key", "_range"
+        )
 
 
 def key_ranges(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> KeyRanges:
     """Ranges of about ``rows_per_bucket`` rows each. Only the key column is read.
 
     Dense unique integers get equal ranges, which cannot hold more rows than their width. Other
-    numeric keys get quantile bounds.
+    numeric keys get up to MAX_QUANTILES quantiles, and equal cells within these beyond that.
     """
     low, high, rows, known = df.agg(
         F.min(key), F.max(key), F.count(F.lit(1)), F.count(key)
@@ -71,12 +84,16 @@ def key_ranges(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET)
     buckets = max(-(-rows // rows_per_bucket), min(parallel, rows))
     if isinstance(low, int) and high - low < 4 * rows:
         width = -(-(high - low + 1) // buckets)
-        return KeyRanges(key, (high - low) // width + 1, low, width)
-    buckets = min(buckets, MAX_QUANTILES)
-    probabilities = [i / buckets for i in range(1, buckets)]
+        return KeyRanges(key, high // width - low // width + 1, low, width)
+    quantiles = min(buckets, MAX_QUANTILES)
+    probabilities = [i / quantiles for i in range(quantiles + 1)]
     numeric = df.select(F.col(key).cast("double").alias("_key"))
-    bounds = sorted(set(numeric.approxQuantile("_key", probabilities, 0.5 / buckets)))
-    return KeyRanges(key, len(bounds) + 1, bounds=tuple(bounds))
+    found = numeric.approxQuantile("_key", probabilities, 0.5 / quantiles)
+    edges = tuple(sorted(set(found)))
+    if len(edges) < 3:
+        return KeyRanges(key, 1)
+    cells = -(-buckets // quantiles)
+    return KeyRanges(key, (len(edges) - 1) * cells, edges=edges, cells=cells)
 
 
 def key_buckets(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
