@@ -287,6 +287,9 @@ where lower(role) not in ('assistant', 'bot', 'model', 'gpt', 'system')
   and lower(next_role) in ('assistant', 'bot', 'model', 'gpt')
   and {stripped('text')} <> '' and {stripped('reply')} <> ''"""
 )
+METRICS = (
+    with_(LOG) + "select run, step, event_id, split || '/loss' as metric, value from log"
+)
 LATEST_ROWS = with_(LOG, LATEST) + "select * from latest"
 
 ORACLES = {
@@ -499,8 +502,7 @@ group by vec_id""",
     sum(p) over (partition by vec_id) * ({UNIFORM}) as target from probs)""",
     )
     + "select vec_id, min(i)::int as choice from mass where below > target group by vec_id",
-    "log_append": with_(LOG)
-    + "select run, step, event_id, split || '/loss' as metric, value from log",
+    "log_append": METRICS,
     "log_latest": LATEST_ROWS,
     "log_interval": with_(LOG, LATEST)
     + """select run, step, value
@@ -565,6 +567,7 @@ from loss""",
 from ids join placed using (doc_id) group by doc_id, (p - start) // {SEGMENT}""",
     "stream_chat": CHAT_EXAMPLES,
     "stream_pairs": ADJACENT,
+    "stream_append": METRICS,
     "stream_latest": LATEST_ROWS,
     "stream_rate": with_(LOG)
     + RATES

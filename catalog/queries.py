@@ -791,6 +791,12 @@ def _new_log(spark, sf_dir) -> DataFrame:
     return run_log(events.withColumn("ts", F.col("ts").cast("timestamp")))
 
 
+def stream_append(spark, sf_dir):
+    out = new_path(spark, "stream-metrics")
+    sinks.export_metrics(_new_log(spark, sf_dir).drop("split"), out, f"{out}-state")
+    return spark.read.parquet(out).select("run", "step", "event_id", "metric", "value")
+
+
 def stream_latest(spark, sf_dir):
     root = new_path(spark, "stream-latest")
     sinks.maintain_latest(_new_log(spark, sf_dir), root, f"{root}-state")
@@ -832,6 +838,7 @@ QUERIES = {
         log_append, log_latest, log_interval, log_saved_steps, log_tokens, log_loss,
         log_split_losses, log_rates, log_throughput, log_generation, log_sweep,
         next_token_counts, next_token_topk, held_out_loss,
-        stream_clean, stream_tokens, stream_chat, stream_pairs, stream_latest, stream_rate,
+        stream_clean, stream_tokens, stream_chat, stream_pairs, stream_append, stream_latest,
+        stream_rate,
     )
 }

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+import bench
 from __spark_entry__ import entry, oracle_sql, queries
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -29,6 +30,10 @@ def test_every_query_has_sql():
     assert set(queries()) == set(oracle_sql())
 
 
+def test_bench_runs_registered_queries():
+    assert set(bench.HEADLINE) <= set(queries())
+
+
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query_equals_sql(spark, duck, name):
     found = queries()[name](spark, SF_DIR)

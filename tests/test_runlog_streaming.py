@@ -120,6 +120,9 @@ def test_stream_of_lines_resumes(spark):
         sinks.export_lines(read(), out, f"{out}-state", "doc_id")
     batch = corpus_lines(spark.createDataFrame(first + second, schema), "doc_id")
     assert sorted(spark.read.parquet(out).collect()) == sorted(batch.collect())
+    sinks.export_lines(read(), f"{out}-text", f"{out}-text-state", "doc_id", form="text")
+    lines = [r["value"] for r in spark.read.text(f"{out}-text").collect()]
+    assert sorted(lines) == sorted(r["line"] for r in batch.collect())
 
 
 def test_token_cache_grows_and_survives_replay(spark):
@@ -157,6 +160,18 @@ def test_chat_stream_equals_batch(spark):
     assert sorted(spark.read.parquet(out).collect()) == sorted(chat.chat_array_examples(df, "conv_id").collect())
 
 
+def test_metrics_are_appended_by_metric(spark):
+    folder, out = new_path(spark, "in"), new_path(spark, "metrics")
+    schema = SCHEMA + ", metric string"
+    rows = [(*r, ("train/loss", "val/loss")[r[3] % 2]) for r in log_rows(60)]
+    empty = spark.createDataFrame([], schema).schema
+    for part in (rows[:20], rows[20:]):
+        arrive(spark, part, schema, folder)
+        sinks.export_metrics(sinks.read_new(spark, folder, empty), out, f"{out}-state")
+    found = spark.read.parquet(out)
+    assert found.count() == 60 and found.where("metric = 'val/loss'").count() == 30
+
+
 def test_latest_stream_equals_batch(spark):
     folder, root = new_path(spark, "in"), new_path(spark, "latest")
     rows = log_rows()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +27,16 @@ def _run(writer, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def append_parquet(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
+def append_files(
+    stream: DataFrame,
+    out: str,
+    checkpoint: str,
+    form: str = "parquet",
+    partition_by: Sequence[str] = (),
+) -> None:
     """Append what is available now; the sink's own log makes a repeated batch harmless."""
-    _run(stream.writeStream.outputMode(mode).format("parquet").option("path", out), checkpoint)
+    writer = stream.writeStream.outputMode("append").format(form).option("path", out)
+    _run(writer.partitionBy(*partition_by) if partition_by else writer, checkpoint)
 
 
 def each_batch(
@@ -39,20 +46,40 @@ def each_batch(
 
 
 def export_lines(
-    stream: DataFrame, out: str, checkpoint: str, key: str, text_field: str = "text"
+    stream: DataFrame,
+    out: str,
+    checkpoint: str,
+    key: str,
+    text_field: str = "text",
+    form: str = "parquet",
+) -> None:
+    """Incremental corpus export: (key, line) rows, or the lines alone with form 'text'."""
+    lines = corpus_lines(stream, key, text_field)
+    append_files(lines.select("line") if form == "text" else lines, out, checkpoint, form)
+
+
+def export_chat(
+    stream: DataFrame,
+    out: str,
+    checkpoint: str,
+    key: str,
+    min_turns: int = 2,
+    form: str = "parquet",
 ) -> None:
-    """Incremental corpus export."""
-    append_parquet(corpus_lines(stream, key, text_field), out, checkpoint)
+    """Incremental example export from message arrays; stateless. Form 'json' is JSON lines."""
+    append_files(chat_array_examples(stream, key, min_turns=min_turns), out, checkpoint, form)
 
 
-def export_chat(stream: DataFrame, out: str, checkpoint: str, key: str, min_turns: int = 2) -> None:
-    """Incremental example export from message arrays; stateless."""
-    append_parquet(chat_array_examples(stream, key, min_turns=min_turns), out, checkpoint)
+def export_prompt_response(
+    stream: DataFrame, out: str, checkpoint: str, key: str, form: str = "parquet"
+) -> None:
+    """Incremental example export from prompt/response rows; stateless."""
+    append_files(prompt_response_rows(stream, key), out, checkpoint, form)
 
 
-def export_prompt_response(stream: DataFrame, out: str, checkpoint: str, key: str) -> None:
-    """Incremental example export from prompt/response rows; stateless."""
-    append_parquet(prompt_response_rows(stream, key), out, checkpoint)
+def export_metrics(log: DataFrame, out: str, checkpoint: str) -> None:
+    """Incremental append to a metric table, one folder per metric."""
+    append_files(log, out, checkpoint, partition_by=["metric"])
 
 
 def extend_token_cache(
@@ -116,4 +143,4 @@ def export_rates(
     Rows later than ``delay`` are dropped by the watermark; the last open period is not written.
     """
     rates = period_rates(log.withWatermark("ts", delay), period, seconds, tokens)
-    append_parquet(rates, out, checkpoint)
+    append_files(rates, out, checkpoint)
