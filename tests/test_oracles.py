@@ -43,6 +43,17 @@ def test_query_equals_sql(spark, duck, name):
     rows = [tuple(r) for r in found.collect()]
     assert rows
     assert in_column_order(rows, found.columns) == in_column_order(wanted.fetchall(), columns)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    for slow in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert slow not in plan
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    plan = queries()["first_n_lines"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(doc_id,99)" in plan
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+    plan = queries()["log_tokens"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<event_id:bigint,event_type:string>" in plan
 
 
 def test_entry(spark):
