@@ -292,6 +292,14 @@ METRICS = (
 )
 LATEST_ROWS = with_(LOG, LATEST) + "select * from latest"
 
+TOKEN_CACHE = (
+    with_(*STREAM, VOCAB, IDS)
+    + """select p // 1024 as chunk_id, count(*)::int as n,
+  md5(string_agg(id, ',' order by p)) as ids_md5,
+  (sum(count(*)) over ())::bigint as num_tokens
+from ids group by p // 1024"""
+)
+
 ORACLES = {
     "clean_lines": CLEAN_LINES,
     "clean_pages": f"""select page_id, length({cleaned('html')})::int as n,
@@ -412,11 +420,8 @@ from draws join numbered using (idx)""",
     + f"""select p // {CHUNK} as chunk_id, count(*)::int as n,
   md5(string_agg(ch, '' order by p)) as content_md5
 from chars group by p // {CHUNK}""",
-    "token_cache": with_(*STREAM, VOCAB, IDS)
-    + """select p // 1024 as chunk_id, count(*)::int as n,
-  md5(string_agg(id, ',' order by p)) as ids_md5,
-  (sum(count(*)) over ())::bigint as num_tokens
-from ids group by p // 1024""",
+    "token_cache": TOKEN_CACHE,
+    "file_token_cache": TOKEN_CACHE,
     "position_split": with_(*STREAM)
     + """select split, doc_id, min(q) as start, count(*)::int as n,
   md5(string_agg(ch, '' order by q)) as content_md5

@@ -54,7 +54,8 @@ def corpus_stream(spark: SparkSession, sf_dir: str) -> token_streams.Stream:
 
 
 def fitted(spark: SparkSession, sf_dir: str) -> tokens.CharTokenizer:
-    return tokens.CharTokenizer.fit(spread_corpus(spark, sf_dir))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return corpus_plan.corpus_vocabulary(files.spread(documents, "doc_id"), "doc_id")
 
 
 # --- text -------------------------------------------------------------------------------------
@@ -304,7 +305,7 @@ def subword_positions(spark, sf_dir):
     documents = files.spread(
         table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"
     )
-    stream = corpus_plan.id_stream(documents, "doc_id", subword_tokenizer())
+    stream = corpus_plan.corpus_stream(documents, "doc_id", subword_tokenizer())
     return stream.rows.groupBy("doc_id").agg(
         F.min("start").alias("start"), F.sum("n").alias("n")
     )
@@ -315,7 +316,7 @@ def subword_chunks(spark, sf_dir):
         table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"
     )
     tokenizer = subword_tokenizer()
-    stream = corpus_plan.id_stream(documents, "doc_id", tokenizer)
+    stream = corpus_plan.corpus_stream(documents, "doc_id", tokenizer)
     return corpus_plan.id_chunks(stream, tokenizer, CHUNK).select(
         "chunk_id", F.size("ids").alias("n"), digest(F.col("ids")).alias("ids_md5")
     )
@@ -469,6 +470,21 @@ def cached_epoch(spark, sf_dir):
     )
 
 
+def file_token_cache(spark, sf_dir):
+    """The cache from text lines on disk: written, read back, numbered, tokenized."""
+    lines_read = files.read_lines(spark, _written_lines(spark, sf_dir), keyed=True)
+    rows, known = corpus_plan.token_cache(
+        spark, files.number_rows(lines_read), "row", fitted(spark, sf_dir),
+        new_path(spark, "caches"), "lines", size=1024, text_field=None,
+    )
+    return rows.select(
+        "chunk_id",
+        F.size("ids").alias("n"),
+        digest(F.col("ids")).alias("ids_md5"),
+        F.lit(known["num_tokens"]).cast("long").alias("num_tokens"),
+    )
+
+
 def position_split(spark, sf_dir):
     parts = token_streams.position_split(corpus_stream(spark, sf_dir), TRAIN_FRACTION)
     return parts.select("split", "doc_id", "start", "n", F.md5("content").alias("content_md5"))
@@ -829,7 +845,8 @@ QUERIES = {
         char_vocab, encoded_lines, decode_round_trip,
         subword_encode, subword_round_trip, subword_positions, subword_chunks,
         sft_examples, sft_subword_examples, sft_padded, sft_offsets, sft_cache, sft_split_caches, sft_batches,
-        token_positions, token_chunks, token_cache, cached_windows, cached_epoch,
+        token_positions, token_chunks, token_cache, file_token_cache, cached_windows,
+        cached_epoch,
         position_split, split_token_counts,
         train_windows, val_windows, sharded_starts, sequential_batches, context_tail,
         token_budget, length_stats, sft_length_stats, supervised_stats, vector_parity, match_rate,

@@ -7,10 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenmill.operators import ngrams, stream, tokens, windows
+from tokenmill.operators.lines import corpus_lines
+from catalog.queries import subword_tokenizer
 from tokenmill.plans import corpus as plan
+from tokenmill.session import new_path
+from tokenmill.sources import files
 
 RNG = random.Random(11)
-ALPHABET = "ab é👍\n日"
+ALPHABET = "ab é👍\n\r日"
 TEXTS = {
     i: "".join(RNG.choice(ALPHABET) for _ in range(RNG.choice([1, 2, 5, 30, 200])))
     for i in RNG.sample(range(10_000), 120)
@@ -19,7 +23,8 @@ TEXTS[5] = "x" * 2900
 TEXTS[10_001] = ""
 TEXTS[10_002] = "\n"
 KEPT = sorted(k for k, t in TEXTS.items() if t)
-LINES = {k: TEXTS[k].replace("\n", " ").strip() + "\n" for k in KEPT}
+# A carriage return ends a line once the corpus is read back from its file.
+LINES = {k: TEXTS[k].replace("\n", " ").strip().replace("\r", "\n") + "\n" for k in KEPT}
 WHOLE = "".join(LINES[k] for k in KEPT)
 
 
@@ -42,7 +47,11 @@ def tokenizer():
 
 @pytest.fixture(scope="module")
 def id_stream(documents, tokenizer):
-    return plan.id_stream(documents, "doc_id", tokenizer)
+    lines = corpus_lines(documents, "doc_id")
+    segments = tokens.encoded_segments(lines, "doc_id", tokenizer)
+    return stream.token_stream(
+        segments.withColumnRenamed("ids", "content"), ["doc_id", "seg"], "content"
+    )
 
 
 def test_positions(text_stream, id_stream, tokenizer):
@@ -59,6 +68,26 @@ def test_positions(text_stream, id_stream, tokenizer):
     assert all(r["n"] == len(r["content"]) <= tokens.SEGMENT for r in segments)
 
 
+def test_files_give_the_same_stream(spark, documents, tokenizer):
+    path = new_path(spark, "lines")
+    files.write_lines(corpus_lines(documents, "doc_id"), path, key="doc_id")
+    numbered = files.number_rows(files.read_lines(spark, path, keyed=True))
+    assert numbered.count() == WHOLE.count("\n")
+    subword = subword_tokenizer()
+    for given in (tokenizer, subword):
+        cached, known = plan.token_cache(
+            spark, numbered, "row", given, new_path(spark, "cache"), "lines", 64, text_field=None
+        )
+        direct, _ = plan.token_cache(
+            spark, documents, "doc_id", given, new_path(spark, "cache"), "documents", 64
+        )
+        rows = cached.orderBy("chunk_id").collect()
+        assert rows == direct.orderBy("chunk_id").collect()
+        ids = [i for line in WHOLE[:-1].split("\n") for i in given.ids_of(line) + given.ids_of("\n")]
+        assert [i for r in rows for i in r["ids"]] == ids and known["num_tokens"] == len(ids)
+    assert plan.corpus_vocabulary(documents, "doc_id").chars == tokenizer.chars
+
+
 @pytest.mark.parametrize("size, overlap", [(1, 0), (7, 0), (64, 0), (64, 1), (10, 25), (10_000, 1)])
 @pytest.mark.parametrize("segment", [1024, 1])
 def test_chunks(monkeypatch, text_stream, id_stream, tokenizer, size, overlap, segment):

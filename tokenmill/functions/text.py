@@ -23,6 +23,11 @@ def clean_line(text: Column) -> Column:
     return strip(F.translate(text, "\n", " "))
 
 
+def line_ends(line: Column) -> Column:
+    """A carriage return ends a line too, as it does once the line is read back from a file."""
+    return F.translate(line, "\r", "\n")
+
+
 def as_text(value: Column) -> Column:
     """Any scalar as stripped text."""
     return strip(value.cast("string"))

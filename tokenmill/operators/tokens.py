@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tokenmill.functions.text import line_ends
+
 MAX_CODE_POINT = 0x10FFFF  # fixed value: the end of Unicode
 NATIVE_TABLE_LIMIT = 65_536
 
@@ -206,6 +208,13 @@ class SubwordTokenizer:
         return self._load().encode(text, add_special_tokens=False).ids
 
     def encode(self, text: Column) -> Column:
+        return self._encoder(None)(text)
+
+    def encode_lines(self, line: Column) -> Column:
+        """Ids of the line and of its newline; a carriage return ends a line as well."""
+        return self._encoder(self.ids_of("\n"))(line)
+
+    def _encoder(self, newline: list[int] | None) -> Callable[[Column], Column]:
         definition = self.definition
 
         @F.arrow_udf("array<int>")
@@ -216,17 +225,25 @@ class SubwordTokenizer:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_str(definition)
+            end = np.array(newline or [], dtype=np.int32)
             for batch in batches:
                 rows = []
                 # An encoding takes some hundred bytes per id, so few are held at a time.
                 for low, high in _row_groups(_sizes(pc.utf8_length(batch))):
                     texts = [t if t is not None else "" for t in batch[low:high].to_pylist()]
-                    encoded = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-                    rows += [np.array(e.ids, dtype=np.int32) for e in encoded]
+                    parts = [[t] if newline is None else t.split("\r") for t in texts]
+                    encoded = iter(
+                        tokenizer.encode_batch_fast(
+                            [p for row in parts for p in row], add_special_tokens=False
+                        )
+                    )
+                    for row in parts:
+                        ids = [np.array(next(encoded).ids, dtype=np.int32) for _ in row]
+                        rows.append(np.concatenate([x for i in ids for x in (i, end)]))
                 lengths = np.array([len(r) for r in rows], dtype=np.int64)
                 yield _lists(rows, lengths, batch.is_null())
 
-        return encode_subwords(text)
+        return encode_subwords
 
     def decode(self, ids: Column, skip_special: bool = True) -> Column:
         definition = self.definition
@@ -255,9 +272,9 @@ Tokenizer = CharTokenizer | SubwordTokenizer
 def encode_lines(df: DataFrame, tokenizer: Tokenizer, line: str = "line") -> DataFrame:
     """Add ``ids``: the line's ids and then the newline's, also for a blank or the last line."""
     if isinstance(tokenizer, CharTokenizer):
-        return df.withColumn("ids", tokenizer.encode(F.concat(F.col(line), F.lit("\n"))))
-    newline = F.lit(tokenizer.ids_of("\n")).cast("array<int>")
-    return df.withColumn("ids", F.concat(tokenizer.encode(F.col(line)), newline))
+        text = F.concat(line_ends(F.col(line)), F.lit("\n"))
+        return df.withColumn("ids", tokenizer.encode(text))
+    return df.withColumn("ids", tokenizer.encode_lines(F.col(line)))
 
 
 def encoded_segments(
@@ -268,7 +285,7 @@ def encoded_segments(
     The stored form of a token stream: a row stays small however long its document is.
     """
     if isinstance(tokenizer, CharTokenizer):
-        text = F.concat(F.col(line), F.lit("\n"))
+        text = F.concat(line_ends(F.col(line)), F.lit("\n"))
         parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
         cut = df.select(key, F.posexplode(parts).alias("seg", "text"))
         rows = cut.select(key, "seg", tokenizer.encode(F.col("text")).alias("ids"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.functions.text import clean_line, has_text
+from tokenmill.functions.text import clean_line, has_text, line_ends
 from tokenmill.operators.lines import corpus_lines
 from tokenmill.operators.order import BUCKET, key_buckets
 from tokenmill.operators.stream import (
@@ -15,7 +15,12 @@ from tokenmill.operators.stream import (
     token_chunks,
     token_stream,
 )
-from tokenmill.operators.tokens import CharTokenizer, Tokenizer, encoded_segments
+from tokenmill.operators.tokens import (
+    CharTokenizer,
+    SubwordTokenizer,
+    Tokenizer,
+    encoded_segments,
+)
 from tokenmill.operators.windows import (
     chunk_pieces,
     gather_windows,
@@ -30,26 +35,37 @@ from tokenmill.sources.cache import reuse_or_build
 CONTENT = "content"
 
 
-def line_stream(df: DataFrame, key: str, text_field: str = "text") -> Stream:
-    """Character stream of a corpus: every line with its line feed, as text until the very end.
-
-    Buckets come from the key column alone, before the text is read. Text is shuffled once, as
-    UTF-8; ids, four bytes a character, are made last.
-    """
-    lines = key_buckets(df, key).where(has_text(F.col(text_field))).select(
-        key, BUCKET, F.concat(clean_line(F.col(text_field)), F.lit("\n")).alias(CONTENT)
-    )
-    return token_stream(lines, [key], CONTENT)
+def corpus_vocabulary(df: DataFrame, key: str, text_field: str = "text") -> CharTokenizer:
+    """Characters of a corpus as its token stream has them."""
+    lines = corpus_lines(df, key, text_field)
+    return CharTokenizer.fit(lines.select(line_ends(F.col("line")).alias("line")))
 
 
-def id_stream(df: DataFrame, key: str, tokenizer: Tokenizer, text_field: str = "text") -> Stream:
-    """Stream of any tokenizer's ids, in segments (see ``seg``) of documents.
+def stream_of_lines(
+    lines: DataFrame, key: str, tokenizer: Tokenizer | None = None, line: str = "line"
+) -> Stream:
+    """Token stream of (key, line) rows, blank ones included; numbered lines of files, say.
 
-    Encoding is the costly step, so it is written once; the sums read its counts only.
+    One id per character (or no tokenizer yet): the stream is text until the very end. It is
+    shuffled once, as UTF-8; ids, four bytes a character, are made last. Subword ids come in
+    segments (see ``seg``) of documents. Encoding is the costly step, so it is written once; the
+    sums read its counts only.
     """
-    segments = encoded_segments(corpus_lines(df, key, text_field), key, tokenizer)
-    written = materialize(segments.withColumnRenamed("ids", CONTENT), "encoded")
-    return token_stream(written, [key, "seg"], CONTENT)
+    if isinstance(tokenizer, SubwordTokenizer):
+        segments = encoded_segments(lines, key, tokenizer, line)
+        written = materialize(segments.withColumnRenamed("ids", CONTENT), "encoded")
+        return token_stream(written, [key, "seg"], CONTENT)
+    content = F.concat(line_ends(F.col(line)), F.lit("\n")).alias(CONTENT)
+    bucket = [c for c in lines.columns if c == BUCKET]
+    return token_stream(lines.select(key, *bucket, content), [key], CONTENT)
+
+
+def line_stream(df: DataFrame, key: str, text_field: str = "text") -> Stream:
+    """Character stream of a corpus. Buckets come from the key column, before any text is read."""
+    lines = key_buckets(df, key).where(has_text(F.col(text_field))).select(
+        key, BUCKET, clean_line(F.col(text_field)).alias("line")
+    )
+    return stream_of_lines(lines, key)
 
 
 def corpus_stream(
@@ -57,7 +73,7 @@ def corpus_stream(
 ) -> Stream:
     if isinstance(tokenizer, CharTokenizer):
         return line_stream(df, key, text_field)
-    return id_stream(df, key, tokenizer, text_field)
+    return stream_of_lines(corpus_lines(df, key, text_field), key, tokenizer)
 
 
 def id_chunks(stream: Stream, tokenizer: Tokenizer, size: int, overlap: int = 0) -> DataFrame:
@@ -77,10 +93,13 @@ def token_cache(
     source: str,
     size: int = 1024,
     split: str = "full",
-    text_field: str = "text",
+    text_field: str | None = "text",
     rebuild: bool = False,
 ) -> tuple[DataFrame, dict]:
-    """Cached (chunk_id, ids). Files are sorted by chunk, so a range of chunks skips row groups."""
+    """Cached (chunk_id, ids). Files are sorted by chunk, so a range of chunks skips row groups.
+
+    Without a text field, ``df`` holds (key, line) rows as read from text files.
+    """
     parameters = {
         "source": source,
         "split": split,
@@ -91,7 +110,10 @@ def token_cache(
     }
 
     def build() -> DataFrame:
-        stream = corpus_stream(df, key, tokenizer, text_field)
+        if text_field is None:
+            stream = stream_of_lines(df, key, tokenizer)
+        else:
+            stream = corpus_stream(df, key, tokenizer, text_field)
         return id_chunks(stream, tokenizer, size).sortWithinPartitions("chunk_id")
 
     return reuse_or_build(spark, root, "tokens", parameters, build, F.size("ids"), rebuild)
