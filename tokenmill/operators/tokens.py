@@ -15,9 +15,7 @@ from pyspark.sql.window import Window
 from tokenmill.functions.text import line_ends
 
 MAX_CODE_POINT = 0x10FFFF  # fixed value: the end of Unicode
-NATIVE_TABLE_LIMIT = 65_536
-
-
+NATIVE_TABLE_LIMIT = 65_536  # code points that a literal lookup table may span
 SEGMENT = 1_024  # ids in a stored row
 AT_ONCE = 1 << 20  # characters, or ids, that a kernel holds in unpacked form
 
