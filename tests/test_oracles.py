@@ -5,6 +5,7 @@ import pytest
 
 import bench
 from __spark_entry__ import entry, oracle_sql, queries
+from catalog.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
@@ -27,14 +28,14 @@ def in_column_order(rows, columns):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) <= set(oracle_sql())
 
 
 def test_bench_runs_registered_queries():
     assert set(bench.HEADLINE) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     found = queries()[name](spark, SF_DIR)
     wanted = duck.execute(oracle_sql()[name])
