@@ -6,20 +6,60 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.llm import bpe
+from tokenmill.llm import bpe, langid, line_crf, line_dedup, unigram
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+HELD_OUT = 2  # remainder of crc32(doc_id) by 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
 def op4_byte_bpe(spark, sf_dir):
     """Ids and decoded bytes of every document, as digests."""
     model = bpe.model_bytes(bpe.read_ranks(BYTE_BPE))
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.round_trip(documents, model, public_tokenizers.PATTERN).drop("text")
+    return bpe.round_trip(texts(spark, sf_dir), model, public_tokenizers.PATTERN).drop("text")
+
+
+def op5_line_dedup(spark, sf_dir):
+    """Line counts of every document and the digest of its kept lines."""
+    marked = line_dedup.with_bitmaps(texts(spark, sf_dir))
+    return line_dedup.digests(marked).drop("text")
+
+
+def op7_unigram_counts(spark, sf_dir):
+    """Token count of every document."""
+    vocabulary = unigram.read_vocabulary(PIECES)
+    return unigram.count_tokens(texts(spark, sf_dir), vocabulary).drop("text")
+
+
+def op8_line_crf(spark, sf_dir):
+    """Plain counts of every document, the share of its content lines and the verdict."""
+    documents = texts(spark, sf_dir)
+    field = line_crf.fit(documents, table(spark, sf_dir, "labels"))
+    return line_crf.judge(documents, field).drop("text")
+
+
+def held_out(doc_id: str = "doc_id"):
+    remainder = F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
+    return F.coalesce(remainder == HELD_OUT, F.lit(False))
+
+
+def op10_ecoc_language(spark, sf_dir):
+    """Predicted language of every document, learned from three quarters of them."""
+    documents = table(spark, sf_dir, "documents")
+    model = langid.fit(documents.where(~held_out() & F.col("doc_id").isNotNull()))
+    tested = documents.select("doc_id", "text", held_out().alias("held_out"))
+    return langid.predict(tested, model).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe,)}
+QUERIES = {
+    f.__name__: f
+    for f in (op4_byte_bpe, op5_line_dedup, op7_unigram_counts, op8_line_crf, op10_ecoc_language)
+}
