@@ -6,10 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.llm import bpe, langid, line_crf, line_dedup, unigram
+from tokenmill.llm import bpe, hash_tree, langid, line_crf, line_dedup, unigram, warc
+from tokenmill.session import new_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+SHARDS = 8
+TREE = hash_tree.even_tree(regions=2, racks=2, shards=2)
 HELD_OUT = 2  # remainder of crc32(doc_id) by 4
 
 
@@ -33,6 +36,13 @@ def op5_line_dedup(spark, sf_dir):
     return line_dedup.digests(marked).drop("text")
 
 
+def op6_warc_segments(spark, sf_dir):
+    """Digest and record type of every page, from archives that were written and read back."""
+    path = new_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "html"), path)
+    return warc.page_digests(spark, path)
+
+
 def op7_unigram_counts(spark, sf_dir):
     """Token count of every document."""
     vocabulary = unigram.read_vocabulary(PIECES)
@@ -46,6 +56,15 @@ def op8_line_crf(spark, sf_dir):
     return line_crf.judge(documents, field).drop("text")
 
 
+def op9_hash_tree(spark, sf_dir):
+    """Shard and slot of every document, and its shard once there is one more."""
+    assigned = hash_tree.assign(texts(spark, sf_dir), TREE)
+    grown = hash_tree.shard_of(F.col("doc_id"), hash_tree.with_shard(TREE, SHARDS))
+    return hash_tree.with_slots(assigned).select(
+        "*", F.lit(hash_tree.LAW).alias("law"), grown.alias("grown_shard")
+    )
+
+
 def held_out(doc_id: str = "doc_id"):
     remainder = F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
     return F.coalesce(remainder == HELD_OUT, F.lit(False))
@@ -61,5 +80,8 @@ def op10_ecoc_language(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op4_byte_bpe, op5_line_dedup, op7_unigram_counts, op8_line_crf, op10_ecoc_language)
+    for f in (
+        op4_byte_bpe, op5_line_dedup, op6_warc_segments, op7_unigram_counts, op8_line_crf,
+        op9_hash_tree, op10_ecoc_language,
+    )
 }
