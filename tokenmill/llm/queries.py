@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.llm import bpe, hash_tree, langid, line_crf, line_dedup, unigram, warc
+from tokenmill.llm import bpe, hash_tree, langid, line_crf, line_dedup, pii, unigram, warc
 from tokenmill.session import new_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -24,6 +24,11 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op3_pii_boosting(spark, sf_dir):
+    """Counts and places of personal data in every document."""
+    return pii.digests(pii.spans(texts(spark, sf_dir)))
+
+
 def op4_byte_bpe(spark, sf_dir):
     """Ids and decoded bytes of every document, as digests."""
     model = bpe.model_bytes(bpe.read_ranks(BYTE_BPE))
@@ -81,7 +86,7 @@ def op10_ecoc_language(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op4_byte_bpe, op5_line_dedup, op6_warc_segments, op7_unigram_counts, op8_line_crf,
+        op3_pii_boosting, op4_byte_bpe, op5_line_dedup, op6_warc_segments, op7_unigram_counts, op8_line_crf,
         op9_hash_tree, op10_ecoc_language,
     )
 }
