@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.llm import bpe, hash_tree, langid, line_crf, line_dedup, pii, unigram, warc
+from tokenmill.llm import bpe, hash_tree, langid, line_crf, line_dedup, minmax, pii, unigram, warc
 from tokenmill.session import new_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -24,6 +24,11 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_minmax_dedup(spark, sf_dir):
+    """Near-duplicate component of every document: 3-word shingles, similarity 0.85."""
+    return minmax.near_duplicates(texts(spark, sf_dir), width=3, percent=85)
+
+
 def op3_pii_boosting(spark, sf_dir):
     """Counts and places of personal data in every document."""
     return pii.digests(pii.spans(texts(spark, sf_dir)))
@@ -86,7 +91,7 @@ def op10_ecoc_language(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op3_pii_boosting, op4_byte_bpe, op5_line_dedup, op6_warc_segments, op7_unigram_counts, op8_line_crf,
+        op1_minmax_dedup, op3_pii_boosting, op4_byte_bpe, op5_line_dedup, op6_warc_segments, op7_unigram_counts, op8_line_crf,
         op9_hash_tree, op10_ecoc_language,
     )
 }
