@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.llm import bpe, hash_tree, langid, line_crf, line_dedup, minmax, pii, unigram, warc
+from tokenmill.llm import bpe, hash_tree, langid, leaks, line_crf, line_dedup, minmax, pii, unigram, warc
 from tokenmill.session import new_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -29,6 +29,11 @@ def op1_minmax_dedup(spark, sf_dir):
     return minmax.near_duplicates(texts(spark, sf_dir), width=3, percent=85)
 
 
+def op2_seeded_alignment(spark, sf_dir):
+    """Every document and benchmark item that leaks into it."""
+    return leaks.leaks(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op3_pii_boosting(spark, sf_dir):
     """Counts and places of personal data in every document."""
     return pii.digests(pii.spans(texts(spark, sf_dir)))
@@ -91,7 +96,8 @@ def op10_ecoc_language(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_minmax_dedup, op3_pii_boosting, op4_byte_bpe, op5_line_dedup, op6_warc_segments, op7_unigram_counts, op8_line_crf,
+        op1_minmax_dedup, op2_seeded_alignment, op3_pii_boosting, op4_byte_bpe, op5_line_dedup,
+        op6_warc_segments, op7_unigram_counts, op8_line_crf,
         op9_hash_tree, op10_ecoc_language,
     )
 }
