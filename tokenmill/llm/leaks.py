@@ -10,7 +10,7 @@
    the matched words, less one for each changed, missing or added word, over twice the item's words.
 
 A document leaks an item if some passage scores at least ``similarity``. Words are runs of
-characters other than the six ASCII white-space ones, A-Z lower-cased. Items with fewer words than
+characters other than the six ASCII white-space ones, all letters lower-cased. Items with fewer words than
 an n-gram have no seeds and are never found, null texts have no words. Items that share an id are
 all tried, the best counts. Rows that repeat are one leak; documents without an id are found with
 a null id. Other columns are ignored.
@@ -67,7 +67,7 @@ def item_words(items: DataFrame, key: str = "item_id", text: str = "text") -> Da
             lists = _lists(words.hashes, words.first[:-1], words.first[1:])
             yield pa.RecordBatch.from_arrays([batch.column("_item"), lists], ["item", "words"])
 
-    named = items.select(F.col(key).cast("long").alias("_item"), F.col(text).alias("_text"))
+    named = items.select(F.col(key).cast("long").alias("_item"), F.lower(text).alias("_text"))
     found = named.mapInArrow(run, "item long, words array<long>").where(F.size("words") >= GRAM)
     return found.distinct().select("item", F.xxhash64("words").alias("version"), "words")
 
@@ -162,7 +162,7 @@ def passages(docs: DataFrame, table: np.ndarray, least_words: int, key: str, tex
                     names,
                 )
 
-    named = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text"))
+    named = docs.select(F.col(key).cast("long").alias("_doc"), F.lower(text).alias("_text"))
     return named.mapInArrow(
         run, "doc long, start long, words array<long>, gram long, n_docs long"
     )
