@@ -140,6 +140,12 @@ def _codec(model: bytes, pattern: str) -> Codec:
     return Codec(model, pattern)
 
 
+def _id_lists(ids: list[bytes]) -> pa.Array:
+    sizes = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
+    values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
+    return pa.ListArray.from_arrays(pa.array(sizes), values)
+
+
 def _pieces(column: pa.Array) -> Iterator[list[str]]:
     """The texts in lists of about a megabyte."""
     offsets = text_bytes(column)[1]
@@ -153,9 +159,7 @@ def encode(df: DataFrame, model: bytes, pattern: str, text: str = "text") -> Dat
     def kernel(batch: pa.RecordBatch) -> list[pa.Array]:
         codec = _codec(model, pattern)
         ids = [i for texts in _pieces(batch.column(text)) for i in codec.encode(texts)]
-        sizes = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
-        values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
-        return [pa.ListArray.from_arrays(pa.array(sizes), values)]
+        return [_id_lists(ids)]
 
     return add_columns(df, [StructField("ids", ArrayType(IntegerType()))], kernel)
 
@@ -175,29 +179,36 @@ def decode(df: DataFrame, model: bytes, pattern: str, ids: str = "ids") -> DataF
     return add_columns(df, [StructField("decoded", BinaryType())], kernel)
 
 
-def round_trip(df: DataFrame, model: bytes, pattern: str, text: str = "text") -> DataFrame:
+def round_trip(
+    df: DataFrame, model: bytes, pattern: str, text: str = "text", with_ids: bool = False
+) -> DataFrame:
     """``df`` with n_tokens, ids_sha256 and decoded_sha256 of every text, encoded and decoded.
 
-    Ids and bytes stay in the task that makes them, a megabyte of text at a time.
+    Bytes stay in the task that makes them, a megabyte of text at a time, and so do ids unless
+    they are asked for.
     """
 
     def kernel(batch: pa.RecordBatch) -> list[pa.Array]:
         codec = _codec(model, pattern)
-        n, of_ids, of_bytes = [], [], []
+        n, of_ids, of_bytes, every = [], [], [], []
         for texts in _pieces(batch.column(text)):
             ids = codec.encode(texts)
             n += [len(i) // 4 for i in ids]
+            every += ids if with_ids else []
             of_ids += [hashlib.sha256(i).hexdigest() for i in ids]
             flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
             decoded = memoryview(codec.decode(flat))
             ends = np.concatenate([[0], np.cumsum(codec.sizes[flat])])
             cuts = ends[np.cumsum([0, *(len(i) // 4 for i in ids)])].tolist()
             of_bytes += [hashlib.sha256(decoded[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:])]
-        return [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+        digests = [pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+        return [pa.array(n, pa.int64()), *digests, *([_id_lists(every)] if with_ids else [])]
 
     fields = [
         StructField("n_tokens", LongType()),
         StructField("ids_sha256", StringType()),
         StructField("decoded_sha256", StringType()),
     ]
+    if with_ids:
+        fields.append(StructField("ids", ArrayType(IntegerType())))
     return add_columns(df, fields, kernel)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,7 +98,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_minmax_dedup, op2_seeded_alignment, op3_pii_boosting, op4_byte_bpe, op5_line_dedup,
-        op6_warc_segments, op7_unigram_counts, op8_line_crf,
-        op9_hash_tree, op10_ecoc_language,
+        op6_warc_segments, op7_unigram_counts, op8_line_crf, op9_hash_tree, op10_ecoc_language,
     )
 }
+QUERIES["pipeline"] = corpus_pipeline.run
