@@ -126,11 +126,13 @@ LINE_SPLIT = f"""line_split as (
           row_number() over (order by {hashed(SEED, 'doc_id')}, doc_id) as r from lines))"""
 LOG = """log as (
   select event_type as run, user_id as step, ts, event_id, value,
-    case when event_id % 10 = 0 then 'val' else 'train' end as split
+    case when event_id % 10 = 0 then 'val' else 'train' end as split,
+    case when event_id % 10 = 0 then 'val/loss' else 'train/loss' end as metric
   from events)"""
 LATEST = """latest as (
-  select run, step, event_id, value from (
-    select *, row_number() over (partition by run, step order by ts desc, event_id desc) as r
+  select run, step, metric, event_id, value from (
+    select *, row_number() over (
+      partition by run, step, metric order by ts desc, event_id desc) as r
     from log) where r = 1)"""
 SNAPSHOTS = """a as (select doc_id, (n_chars % 2)::bigint as shape from documents),
 b as (select doc_id, quality::bigint as shape from labels)"""
@@ -510,17 +512,23 @@ group by vec_id""",
     "log_append": METRICS,
     "log_latest": LATEST_ROWS,
     "log_interval": with_(LOG, LATEST)
-    + """select run, step, value
+    + """select run, step, metric, value
 from (select *, max(step) over (partition by run) as last from latest)
 where step % 10 = 0 or step = last""",
     "log_saved_steps": with_(LOG, LATEST)
-    + """select run, step, value
+    + """select run, step, metric, value
 from (select *, max(step) over (partition by run) as last from latest)
 where (step + 1) % 25 = 0 or step = last""",
     "log_tokens": with_(LOG)
-    + f"""select run, event_id,
-  (sum({TOKENS_PER_STEP}) over (partition by run order by event_id))::bigint as tokens_seen
-from log""",
+    + f"""select run, step,
+  (sum({TOKENS_PER_STEP}) over (partition by run order by step))::bigint as tokens_seen
+from (select distinct run, step from log where split = 'train')""",
+    "log_sweep_rows": with_(
+        LOG, "means as (select step, run, avg(value) as value from log group by step, run)"
+    )
+    + """select means.step, means.run, round(means.value, 6) as value,
+  round(means.value - base.value, 6) as delta
+from means left join means as base on base.step = means.step and base.run = 'click'""",
     "log_loss": with_(LOG)
     + """select *, round(case when mean_loss < 20 then exp(mean_loss)
   else 'infinity'::double end, 3) as perplexity
@@ -574,9 +582,5 @@ from ids join placed using (doc_id) group by doc_id, (p - start) // {SEGMENT}"""
     "stream_pairs": ADJACENT,
     "stream_append": METRICS,
     "stream_latest": LATEST_ROWS,
-    "stream_rate": with_(LOG)
-    + RATES
-    + """
-having date_trunc('day', ts) + interval 1 day
-  <= (select max(ts) - interval 1 hour from events)""",
+    "stream_rate": with_(LOG) + RATES,
 }

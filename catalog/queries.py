@@ -668,22 +668,24 @@ def log_append(spark, sf_dir):
 
 
 def log_latest(spark, sf_dir):
-    return runlog.latest(_log(spark, sf_dir)).select("run", "step", "event_id", "value")
+    return runlog.latest(_log(spark, sf_dir)).select("run", "step", "metric", "event_id", "value")
 
 
 def log_interval(spark, sf_dir):
     log = runlog.latest(_log(spark, sf_dir))
-    return runlog.interval_steps(log, 10).select("run", "step", "value")
+    return runlog.interval_steps(log, 10).select("run", "step", "metric", "value")
 
 
 def log_saved_steps(spark, sf_dir):
     log = runlog.latest(_log(spark, sf_dir))
-    return runlog.interval_steps(log, 25, offset=1).select("run", "step", "value")
+    return runlog.interval_steps(log, 25, offset=1).select("run", "step", "metric", "value")
 
 
 def log_tokens(spark, sf_dir):
-    seen = runlog.tokens_seen(_log(spark, sf_dir), ["event_id"], F.lit(TOKENS_PER_STEP))
-    return seen.select("run", "event_id", "tokens_seen")
+    """Tokens seen after each training step; a step that was run again counts once."""
+    train = runlog.latest(_log(spark, sf_dir).where("metric = 'train/loss'"))
+    seen = runlog.tokens_seen(materialize(train, "train-steps"), ["step"], F.lit(TOKENS_PER_STEP))
+    return seen.select("run", "step", "tokens_seen")
 
 
 def log_loss(spark, sf_dir):
@@ -721,6 +723,11 @@ def log_generation(spark, sf_dir):
     return stats.withColumns({c: F.round(c, 6) for c in ("seconds", "tokens_per_sec")})
 
 
+def log_sweep_rows(spark, sf_dir):
+    rows = runlog.sweep_rows(_log(spark, sf_dir), baseline="click")
+    return rows.withColumns({c: F.round(c, 6) for c in ("value", "delta")})
+
+
 def log_sweep(spark, sf_dir):
     wide = runlog.sweep(_log(spark, sf_dir), baseline="click")
     return wide.select("step", *[F.round(c, 6).alias(c) for c in wide.columns if c != "step"])
@@ -816,16 +823,15 @@ def stream_append(spark, sf_dir):
 def stream_latest(spark, sf_dir):
     root = new_path(spark, "stream-latest")
     sinks.maintain_latest(_new_log(spark, sf_dir), root, f"{root}-state")
-    return sinks.read_latest(spark, root).select("run", "step", "event_id", "value")
+    return sinks.read_latest(spark, root).select("run", "step", "metric", "event_id", "value")
 
 
 def stream_rate(spark, sf_dir):
-    out = new_path(spark, "stream-rates")
+    root = new_path(spark, "stream-rates")
     sinks.export_rates(
-        _new_log(spark, sf_dir), out, f"{out}-state", "1 hour", "1 day", 86400.0,
-        F.lit(TOKENS_PER_STEP),
+        _new_log(spark, sf_dir), root, f"{root}-state", "1 day", F.lit(TOKENS_PER_STEP)
     )
-    return spark.read.parquet(out).select(
+    return sinks.read_rates(spark, root, 86400.0).select(
         "run",
         F.date_format("period_start", "yyyy-MM-dd").alias("day"),
         "batches",
@@ -853,7 +859,7 @@ QUERIES = {
         snapshot_diff, snapshot_counts, one_sided_keys,
         softmax_topk, argmax_scores, draw_topk, draw_whole,
         log_append, log_latest, log_interval, log_saved_steps, log_tokens, log_loss,
-        log_split_losses, log_rates, log_throughput, log_generation, log_sweep,
+        log_split_losses, log_rates, log_throughput, log_generation, log_sweep, log_sweep_rows,
         next_token_counts, next_token_topk, held_out_loss,
         stream_clean, stream_tokens, stream_chat, stream_pairs, stream_append, stream_latest,
         stream_rate,

@@ -11,7 +11,7 @@ from tokenmill.operators.lines import corpus_lines
 from tokenmill.session import new_path
 from tokenmill.streaming import sinks
 
-SCHEMA = "run string, step long, ts timestamp, event_id long, value double"
+SCHEMA = "run string, step long, ts timestamp, event_id long, value double, metric string"
 T0 = dt.datetime(2024, 1, 1)
 
 
@@ -20,7 +20,8 @@ def log_rows(n=600, seed=1):
     rows = []
     for i in range(n):
         run = "hot" if rng.random() < 0.6 else rng.choice("ab")
-        rows.append((run, rng.randrange(40), T0 + dt.timedelta(minutes=7 * i), i, rng.randrange(3000) / 100))
+        rows.append((run, rng.randrange(40), T0 + dt.timedelta(minutes=7 * i), i, rng.randrange(3000) / 100,
+                     rng.choice(["train/loss", "train/loss", "val/loss"])))
     return rows
 
 
@@ -31,15 +32,16 @@ def log(spark):
 
 def newest(rows):
     best = {}
-    for run, step, ts, event, value in rows:
-        if (run, step) not in best or (ts, event) > best[(run, step)][:2]:
-            best[(run, step)] = (ts, event, value)
+    for run, step, ts, event, value, metric in rows:
+        key = (run, step, metric)
+        if key not in best or (ts, event) > best[key][:2]:
+            best[key] = (ts, event, value)
     return {k: v[2] for k, v in best.items()}
 
 
 def test_latest(log):
     found = runlog.latest(log).collect()
-    assert {(r["run"], r["step"]): r["value"] for r in found} == newest(log_rows())
+    assert {(r["run"], r["step"], r["metric"]): r["value"] for r in found} == newest(log_rows())
 
 
 @pytest.mark.parametrize("every, offset", [(10, 0), (7, 1), (1000, 0)])
@@ -62,14 +64,14 @@ def test_interval_steps(spark, log, every, offset, limit):
 def test_tokens_seen(log):
     found = {r["event_id"]: r["tokens_seen"] for r in runlog.tokens_seen(log, ["event_id"], F.col("step") + 1).collect()}
     sums, wanted = {}, {}
-    for run, step, _, event, _ in log_rows():
+    for run, step, _, event, *_ in log_rows():
         sums[run] = sums.get(run, 0) + step + 1
         wanted[event] = sums[run]
     assert found == wanted
 
 
 def test_mean_loss_and_perplexity(spark):
-    rows = [("a", 1, T0, 1, 10.0), ("a", 1, T0, 2, 20.0), ("b", 1, T0, 3, 20.0), ("c", 1, T0, 4, None)]
+    rows = [("a", 1, T0, 1, 10.0, "train/loss"), ("a", 1, T0, 2, 20.0, "train/loss"), ("b", 1, T0, 3, 20.0, "train/loss"), ("c", 1, T0, 4, None, "train/loss")]
     found = {r["run"]: r for r in runlog.mean_loss(spark.createDataFrame(rows, SCHEMA), ["run"]).collect()}
     assert found["a"]["mean_loss"] == 15.0 and found["a"]["perplexity"] == pytest.approx(3269017.37, abs=0.01)
     assert found["b"]["perplexity"] == float("inf")
@@ -77,21 +79,21 @@ def test_mean_loss_and_perplexity(spark):
 
 
 def test_throughput_without_time(spark):
-    rows = [("a", 1, T0, 1, 1.0), ("b", 1, T0, 2, 1.0), ("b", 2, T0 + dt.timedelta(seconds=4), 3, 1.0)]
+    rows = [("a", 1, T0, 1, 1.0, "train/loss"), ("b", 1, T0, 2, 1.0, "train/loss"), ("b", 2, T0 + dt.timedelta(seconds=4), 3, 1.0, "train/loss")]
     df = spark.createDataFrame(rows, SCHEMA)
     found = {r["run"]: r["tokens_per_sec"] for r in runlog.throughput(df, F.lit(10), runlog.elapsed_seconds()).collect()}
     assert found == {"a": pytest.approx(10 / 1e-9), "b": 5.0}
 
 
 def test_generation_stats(spark):
-    rows = [("a", 0, T0, 1, 0.5), ("a", 1, T0, 2, 0.25), ("a", 2, T0, 3, 0.25), ("b", 0, T0, 4, 0.0)]
+    rows = [("a", 0, T0, 1, 0.5, "train/loss"), ("a", 1, T0, 2, 0.25, "train/loss"), ("a", 2, T0, 3, 0.25, "train/loss"), ("b", 0, T0, 4, 0.0, "train/loss")]
     found = {r["run"]: tuple(r)[1:] for r in runlog.generation_stats(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert found["a"] == (3, 1.0, 0.5, 3.0)
     assert found["b"] == (1, 0.0, 0.0, pytest.approx(1e9))
 
 
 def test_sweep(spark):
-    rows = [("base", 1, T0, 1, 2.0), ("new", 1, T0, 2, 1.5), ("base", 2, T0, 3, 1.0)]
+    rows = [("base", 1, T0, 1, 2.0, "train/loss"), ("new", 1, T0, 2, 1.5, "train/loss"), ("base", 2, T0, 3, 1.0, "train/loss")]
     found = {r["step"]: r.asDict() for r in runlog.sweep(spark.createDataFrame(rows, SCHEMA), "base").collect()}
     assert found[1] == {"step": 1, "base": 2.0, "new": 1.5, "new_delta": -0.5}
     assert found[2]["new_delta"] is None
@@ -99,7 +101,7 @@ def test_sweep(spark):
 
 def test_append(spark, log):
     path = new_path(spark, "test-metrics")
-    full = log.withColumn("metric", F.lit("train/loss"))
+    full = log
     runlog.append_metrics(full.where("event_id < 100"), path)
     runlog.append_metrics(full.where("event_id >= 100"), path)
     assert spark.read.parquet(path).count() == 600
@@ -162,8 +164,8 @@ def test_chat_stream_equals_batch(spark):
 
 def test_metrics_are_appended_by_metric(spark):
     folder, out = new_path(spark, "in"), new_path(spark, "metrics")
-    schema = SCHEMA + ", metric string"
-    rows = [(*r, ("train/loss", "val/loss")[r[3] % 2]) for r in log_rows(60)]
+    schema = SCHEMA
+    rows = [(*r[:5], ("train/loss", "val/loss")[r[3] % 2]) for r in log_rows(60)]
     empty = spark.createDataFrame([], schema).schema
     for part in (rows[:20], rows[20:]):
         arrive(spark, part, schema, folder)
@@ -180,22 +182,55 @@ def test_latest_stream_equals_batch(spark):
         arrive(spark, part, SCHEMA, folder)
         sinks.maintain_latest(sinks.read_new(spark, folder, df.schema), root, f"{root}-state")
     found = sinks.read_latest(spark, root).collect()
-    assert {(r["run"], r["step"]): r["value"] for r in found} == newest(rows)
+    assert {(r["run"], r["step"], r["metric"]): r["value"] for r in found} == newest(rows)
 
 
-def test_rates_drop_rows_behind_the_watermark(spark):
-    folder, out = new_path(spark, "in"), new_path(spark, "rates")
-    day = dt.timedelta(days=1)
+def test_two_metrics_of_a_step_are_both_kept(spark):
+    rows = [("a", 1, T0, 1, 2.0, "train/loss"), ("a", 1, T0, 2, 3.0, "val/loss"),
+            ("a", 1, T0, 3, 4.0, "train/loss")]
+    found = runlog.latest(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["metric"], r["value"]) for r in found} == {("train/loss", 4.0), ("val/loss", 3.0)}
+
+
+WAVES = [
+    [("a", 1, T0, 1, 2.0, "m"), ("a", 2, T0 + dt.timedelta(hours=12), 2, 4.0, "m")],
+    [("a", 3, T0 + dt.timedelta(days=3), 3, 6.0, "m")],
+    [("a", 4, T0, 4, 100.0, "m"), ("a", 5, T0 + dt.timedelta(days=5), 5, None, "m")],
+]
+
+
+@pytest.mark.parametrize("every", [1, 2, 16])
+def test_rates_keep_late_rows_and_open_periods(spark, monkeypatch, every):
+    monkeypatch.setattr(sinks, "COMPACT_EVERY", every)
+    folder, root = new_path(spark, "in"), new_path(spark, "rates")
     schema = spark.createDataFrame([], SCHEMA).schema
-    waves = [
-        [("a", 1, T0, 1, 2.0), ("a", 2, T0 + day / 2, 2, 4.0)],
-        [("a", 3, T0 + 3 * day, 3, 6.0)],
-        [("a", 4, T0, 4, 100.0), ("a", 5, T0 + 5 * day, 5, 1.0)],
-    ]
-    for rows in waves:
+    for rows in WAVES:
         arrive(spark, rows, SCHEMA, folder)
         sinks.export_rates(
+            sinks.read_new(spark, folder, schema), root, f"{root}-state", "1 day", F.lit(10)
+        )
+    every_row = spark.createDataFrame([r for w in WAVES for r in w], SCHEMA)
+    wanted = runlog.period_rates(every_row, "1 day", 86400.0, F.lit(10)).collect()
+    assert sorted(sinks.read_rates(spark, root, 86400.0).collect()) == sorted(wanted)
+    # A batch that is run again leaves the result as it is.
+    parts = runlog.period_parts(spark.createDataFrame(WAVES[2], SCHEMA), "1 day", F.lit(10))
+    sinks.save_part(parts, 2, root, runlog.merged_parts)
+    assert sorted(sinks.read_rates(spark, root, 86400.0).collect()) == sorted(wanted)
+
+
+def test_closed_rates_leave_out_rows_behind_the_watermark(spark):
+    folder, out = new_path(spark, "in"), new_path(spark, "rates")
+    schema = spark.createDataFrame([], SCHEMA).schema
+    for rows in WAVES:
+        arrive(spark, rows, SCHEMA, folder)
+        sinks.export_closed_rates(
             sinks.read_new(spark, folder, schema), out, f"{out}-state", "1 hour", "1 day", 86400.0, F.lit(10)
         )
     found = {r["period_start"]: (r["batches"], r["mean_value"]) for r in spark.read.parquet(out).collect()}
-    assert found == {T0: (2, 3.0), T0 + 3 * day: (1, 6.0)}
+    assert found == {T0: (2, 3.0), T0 + dt.timedelta(days=3): (1, 6.0)}
+
+
+def test_sweep_rows_of_many_runs(spark):
+    rows = [(f"r{i}", s, T0, i, float(i + s), "m") for i in range(1200) for s in (1, 2)]
+    found = runlog.sweep_rows(spark.createDataFrame(rows, SCHEMA), "r7").collect()
+    assert len(found) == 2400 and all(r["delta"] == float(r["run"][1:]) - 7 for r in found)

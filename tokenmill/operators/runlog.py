@@ -15,8 +15,6 @@ from tokenmill.operators.ngrams import perplexity
 from tokenmill.operators.order import running_total
 from tokenmill.session import materialize
 
-MAX_PIVOT_VALUES = 1_000
-
 
 def metric_rows(
     df: DataFrame, run: str, step: str, ts: str, event_id: str, value: str, metric: Column | str
@@ -52,19 +50,22 @@ def interval_steps(log: DataFrame, every: int, offset: int = 0) -> DataFrame:
 
 
 def latest(log: DataFrame) -> DataFrame:
-    """(run, step, value, ts, event_id): the row written last for each step of a run.
+    """(run, step, metric, value, ts, event_id): the row written last for each metric of a step.
 
     A resumed run writes some steps again. An aggregate keeps one row per task and key, so a step
-    written very often is no hot spot; it also runs on streams.
+    written very often is no hot spot.
     """
     newest = F.max(F.struct("ts", "event_id", "value")).alias("m")
-    return log.groupBy("run", "step").agg(newest).select(
-        "run", "step", "m.value", "m.ts", "m.event_id"
+    return log.groupBy("run", "step", "metric").agg(newest).select(
+        "run", "step", "metric", "m.value", "m.ts", "m.event_id"
     )
 
 
 def tokens_seen(log: DataFrame, order: Sequence[str], tokens: Column) -> DataFrame:
-    """Add ``tokens_seen``: tokens of this and all earlier rows of the run."""
+    """Add ``tokens_seen``: tokens of this and all earlier rows of the run.
+
+    A step's tokens must count once: pass the training metric's rows of ``latest``.
+    """
     before = running_total(log, order, tokens, by=["run"], out="_before")
     return before.withColumn("tokens_seen", (F.col("_before") + tokens).cast("long")).drop(
         "_before"
@@ -105,6 +106,37 @@ def period_rates(
     )
 
 
+def period_parts(log: DataFrame, period: str, tokens: Column, ts: str = "ts") -> DataFrame:
+    """(run, period_start, batches, values, value_sum, tokens): sums that add up over parts."""
+    return (
+        log.groupBy("run", F.window(ts, period).alias("w"))
+        .agg(
+            F.count(F.lit(1)).alias("batches"),
+            F.count("value").alias("values"),
+            F.sum("value").alias("value_sum"),
+            F.sum(tokens).cast("long").alias("tokens"),
+        )
+        .select("run", F.col("w.start").alias("period_start"), "batches", "values", "value_sum", "tokens")
+    )
+
+
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """One row per run and period from any number of parts."""
+    sums = ("batches", "values", "value_sum", "tokens")
+    return parts.groupBy("run", "period_start").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def part_rates(parts: DataFrame, seconds: float) -> DataFrame:
+    """(run, period_start, batches, mean_value, tokens_per_sec) from parts, as ``period_rates``."""
+    return merged_parts(parts).select(
+        "run",
+        "period_start",
+        "batches",
+        (F.col("value_sum") / F.col("values")).alias("mean_value"),
+        (F.col("tokens") / F.lit(seconds)).alias("tokens_per_sec"),
+    )
+
+
 def throughput(log: DataFrame, tokens: Column, seconds: Column) -> DataFrame:
     """(run, tokens, seconds, tokens_per_sec); no time at all counts as a nanosecond."""
     sums = log.groupBy("run").agg(
@@ -136,13 +168,21 @@ def elapsed_seconds(ts: str = "ts") -> Column:
     return micros / F.lit(1e6)
 
 
+def sweep_rows(log: DataFrame, baseline: str) -> DataFrame:
+    """(step, run, value, delta to the baseline's mean of the step), for any number of runs."""
+    means = log.groupBy("step", "run").agg(F.avg("value").alias("value"))
+    base = means.where(F.col("run") == baseline).select("step", F.col("value").alias("_base"))
+    joined = means.join(materialize(base, "baseline"), "step", "left")
+    return joined.withColumn("delta", F.col("value") - F.col("_base")).drop("_base")
+
+
 def sweep(log: DataFrame, baseline: str, runs: Sequence[str] | None = None) -> DataFrame:
-    """(step, one column per run, <run>_delta to the baseline): mean value of each step."""
+    """(step, one column per run, <run>_delta to the baseline): mean value of each step.
+
+    A wide table has a column per run, whose names the plan must hold; ``sweep_rows`` has none.
+    """
     if runs is None:
-        found = log.select("run").distinct().orderBy("run").limit(MAX_PIVOT_VALUES + 1).collect()
-        if len(found) > MAX_PIVOT_VALUES:
-            raise ValueError(f"more than {MAX_PIVOT_VALUES} runs: name the runs to compare")
-        runs = [r["run"] for r in found]
+        runs = [r["run"] for r in log.select("run").distinct().orderBy("run").collect()]
     wide = log.groupBy("step").pivot("run", list(runs)).agg(F.avg("value"))
     deltas = [
         (F.col(f"`{r}`") - F.col(f"`{baseline}`")).alias(f"{r}_delta")

@@ -45,9 +45,7 @@ def read_split(
 
 def available_splits(spark: SparkSession, root: str, name: str | None = None) -> list[str]:
     """Names of the split folders of a dataset."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}" if name else root)
-    listed = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
-    return sorted(s.getPath().getName() for s in listed if s.isDirectory())
+    return child_names(spark, f"{root}/{name}" if name else root)
 
 
 def spread(table: DataFrame, key: str) -> DataFrame:
@@ -171,3 +169,12 @@ def read_jsonl(
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it does not exist."""
+    if not path_exists(spark, path):
+        return []
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
+    return sorted(s.getPath().getName() for s in listed if s.isDirectory())

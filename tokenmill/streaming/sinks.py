@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tokenmill.operators.chat import chat_array_examples, prompt_response_rows
 from tokenmill.operators.lines import corpus_lines
 from tokenmill.operators.order import running_total
-from tokenmill.operators.runlog import latest, period_rates
+from tokenmill.operators.runlog import (
+    latest,
+    merged_parts,
+    part_rates,
+    period_parts,
+    period_rates,
+)
 from tokenmill.operators.tokens import Tokenizer, encoded_segments
 from tokenmill.session import materialize
-from tokenmill.sources.files import path_exists
+from tokenmill.sources.files import child_names, path_exists
+
+Merge = Callable[[DataFrame], DataFrame]
 
 
 def read_new(spark: SparkSession, path: str, schema: StructType, form: str = "parquet") -> DataFrame:
@@ -122,25 +130,73 @@ def read_token_cache(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/tokens").drop("batch_id")
 
 
+COMPACT_EVERY = 16  # batches between two merged copies of a state table
+
+
+def save_part(rows: DataFrame, batch_id: int, root: str, merge: Merge) -> None:
+    """One batch's rows of a state table; every COMPACT_EVERY batches all rows so far are merged.
+
+    A batch that is run again writes the same rows to the same place.
+    """
+    rows.write.mode("overwrite").parquet(f"{root}/parts/batch_id={batch_id}")
+    if (batch_id + 1) % COMPACT_EVERY == 0:
+        merged = merge(_parts(rows.sparkSession, root, batch_id))
+        merged.write.mode("overwrite").parquet(f"{root}/merged/{batch_id}")
+
+
+def _parts(spark: SparkSession, root: str, last: int | None = None) -> DataFrame:
+    """The newest finished merged copy before ``last``, and the parts written after it."""
+    names = child_names(spark, f"{root}/merged")
+    finished = [
+        int(n) for n in names
+        if (last is None or int(n) < last) and path_exists(spark, f"{root}/merged/{n}/_SUCCESS")
+    ]
+    newest = max(finished, default=-1)
+    later = spark.read.parquet(f"{root}/parts").where(F.col("batch_id") > newest).drop("batch_id")
+    if newest < 0:
+        return later
+    return later.unionByName(spark.read.parquet(f"{root}/merged/{newest}"))
+
+
 def maintain_latest(log: DataFrame, root: str, checkpoint: str) -> None:
-    """Last value per (run, step) of a growing log. A batch writes the keys it changed."""
+    """Last value per (run, step, metric) of a growing log.
+
+    A batch writes the keys it has, so the stream keeps no state of its own.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
+        save_part(latest(batch), batch_id, root, latest)
 
-    each_batch(latest(log), save, checkpoint, mode="update")
+    each_batch(log, save, checkpoint)
 
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame:
-    return latest(spark.read.parquet(root))
+    return latest(_parts(spark, root))
 
 
 def export_rates(
+    log: DataFrame, root: str, checkpoint: str, period: str, tokens: Column
+) -> None:
+    """Sums per run and period of what has arrived, however late; ``read_rates`` adds them up."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        save_part(period_parts(batch, period, tokens), batch_id, root, merged_parts)
+
+    each_batch(log, save, checkpoint)
+
+
+def read_rates(spark: SparkSession, root: str, seconds: float) -> DataFrame:
+    """Rates of all periods so far, the open ones too."""
+    return part_rates(_parts(spark, root), seconds)
+
+
+def export_closed_rates(
     log: DataFrame, out: str, checkpoint: str, delay: str, period: str, seconds: float, tokens
 ) -> None:
-    """Rates of the periods that are over: a period is written once the watermark has passed it.
+    """Rates of the periods that are over, each written once and for all.
 
-    Rows later than ``delay`` are dropped by the watermark; the last open period is not written.
+    That is the feature of a watermark: a period is written once ``delay`` has passed, later rows
+    are left out and the last open period is not written. ``export_rates`` leaves nothing out.
     """
     rates = period_rates(log.withWatermark("ts", delay), period, seconds, tokens)
     append_files(rates, out, checkpoint)
