@@ -405,6 +405,14 @@ from sft""",
   (sum(n) over (partition by split order by row) - n)::bigint as start, n::int as length,
   {joined('ids')} as ids_md5, {joined('labels')} as labels_md5
 from sides""",
+    "sft_file_caches": with_(*SFT, RAW_SPLIT)
+    + f"""select split, row_number() over w - 1 as row,
+  (sum(n) over w - n)::bigint as start, n::int as length,
+  {joined('ids')} as ids_md5, {joined('labels')} as labels_md5
+from sft join raw_split using (conv_id) window w as (partition by split order by conv_id)""",
+    "string_key_order": """select doc_id::varchar as name, row_number() over w - 1 as rank,
+  (sum(length(text)) over w - length(text))::bigint as start
+from documents window w as (order by doc_id::varchar)""",
     "sft_batches": with_(
         *SFT,
         "numbered as (select *, row_number() over (order by conv_id) - 1 as idx from sft)",
@@ -460,7 +468,9 @@ from sft join raw_split using (conv_id) group by split""",
     "vector_parity": """with d as (
   select vec_id, abs(x - round(x, 2)) as d
   from (select vec_id, unnest(embedding)::double as x from embeddings))
-select count(distinct vec_id) as vectors, round(max(d), 6) as max_abs_diff,
+select count(distinct vec_id) as vectors,
+  (select count(*) from embeddings) - count(distinct vec_id) as unmatched,
+  round(max(d), 6) as max_abs_diff,
   round(avg(d), 6) as mean_abs_diff from d""",
     "match_rate": with_(
         *STREAM,
@@ -469,8 +479,9 @@ select count(distinct vec_id) as vectors, round(max(d), 6) as max_abs_diff,
   window w as (partition by doc_id order by p))""",
     )
     + """select count(*) filter (ch = next) as matches, count(*) as total,
-  round(count(*) filter (ch = next) * 100.0 / count(*)::double, 6) as match_percent
-from moved where i > 8 and next is not null""",
+  round(count(*) filter (ch = next) * 100.0 / count(*)::double, 6) as match_percent,
+  0::bigint as unmatched
+from moved where i > 8""",
     "snapshot_diff": with_(SNAPSHOTS)
     + """select coalesce(a.doc_id, b.doc_id) as doc_id, a.shape as left_shape,
   b.shape as right_shape, case when b.doc_id is null then 'only_left'

@@ -76,6 +76,16 @@ def first_n_lines(spark, sf_dir):
     )
 
 
+def string_key_order(spark, sf_dir):
+    """Rank and number of characters before each document, by its id as a string."""
+    named = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("name"), F.length("text").cast("long").alias("n")
+    )
+    ranked = order.dense_key(named, "name", "rank")
+    placed = order.running_total(materialize(ranked, "ranked"), ["rank"], F.col("n"))
+    return placed.select("name", "rank", "start")
+
+
 def shuffled_order(spark, sf_dir):
     keys = table(spark, sf_dir, "documents").select("doc_id")
     return order.shuffle_ranks(keys, "doc_id", SEED).select("doc_id", "rank")
@@ -287,7 +297,7 @@ def byte_pair_definition(merges=MERGES, end="<|end|>") -> str:
 
 
 def subword_tokenizer() -> tokens.SubwordTokenizer:
-    return tokens.SubwordTokenizer(byte_pair_definition(), "bytes", "<|end|>", line_safe=True)
+    return tokens.SubwordTokenizer(byte_pair_definition(), "bytes", "<|end|>")
 
 
 def subword_encode(spark, sf_dir):
@@ -401,11 +411,36 @@ def sft_split_caches(spark, sf_dir):
     )
 
 
+def sft_file_caches(spark, sf_dir):
+    """Train and validation examples as two files, read back, numbered, cached per file."""
+    turns = table(spark, sf_dir, "conversations")
+    named = row_split(spark, sf_dir).join(chat_examples(spark, sf_dir), "conv_id")
+    named = materialize(named, "sides")
+    sides, sources = {}, {}
+    for side in ("train", "val"):
+        sources[side] = new_path(spark, f"{side}-jsonl")
+        files.write_jsonl(
+            named.where(F.col("split") == side), sources[side], ["prompt", "response"], key="conv_id"
+        )
+        sides[side] = files.number_rows(files.read_jsonl(spark, sources[side], keyed=True))
+    caches = sft_plan.sft_file_caches(
+        spark, sides, "row", sft_plan.chat_vocabulary(turns), new_path(spark, "caches"), sources, MAX_LEN
+    )
+    rows = named_splits.tagged_splits({name: df for name, (df, _) in caches.items()})
+    return rows.select(
+        "split", "row", "start", "length",
+        digest(F.col("input_ids")).alias("ids_md5"), digest(F.col("labels")).alias("labels_md5"),
+    )
+
+
 def sft_batches(spark, sf_dir):
-    rows = materialize(_sft_rows(spark, sf_dir), "sft-rows")
-    draws = 4 * rows.count()
+    turns = table(spark, sf_dir, "conversations")
+    rows, known = sft_plan.sft_cache(
+        spark, turns, sft_plan.chat_vocabulary(turns), new_path(spark, "caches"), "conversations", MAX_LEN
+    )
+    draws = 4 * known["num_rows"]
     batches = sft_plan.sft_batches(
-        spark, rows, "conv_id", draws, BATCH_ROWS, MAX_LEN, SEED, accumulate=2
+        spark, rows, "conv_id", draws, BATCH_ROWS, MAX_LEN, SEED, accumulate=2, manifest=known
     )
     return batches.select(
         "step", "micro", "row", "conv_id",
@@ -843,14 +878,15 @@ def stream_rate(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_lines, clean_pages, first_n_lines, shuffled_order, text_round_trip, numbered_lines,
+        clean_lines, clean_pages, first_n_lines, shuffled_order, string_key_order, text_round_trip, numbered_lines,
         whole_file,
         split_summary, split_files, export_summary, export_manifest, export_local_split,
         example_split, row_split, split_members,
         chat_examples, chat_array_examples, adjacent_pairs, jsonl_round_trip,
         char_vocab, encoded_lines, decode_round_trip,
         subword_encode, subword_round_trip, subword_positions, subword_chunks,
-        sft_examples, sft_subword_examples, sft_padded, sft_offsets, sft_cache, sft_split_caches, sft_batches,
+        sft_examples, sft_subword_examples, sft_padded, sft_offsets, sft_cache, sft_split_caches, sft_file_caches,
+        sft_batches,
         token_positions, token_chunks, token_cache, file_token_cache, cached_windows,
         cached_epoch,
         position_split, split_token_counts,

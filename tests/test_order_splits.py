@@ -129,7 +129,7 @@ def test_shuffle_is_the_hash_order(spark):
 @pytest.mark.parametrize("limit", [10_000, 5, 1])
 @pytest.mark.parametrize("kind", sorted(KEY_SETS))
 def test_in_order(monkeypatch, spark, kind, limit):
-    monkeypatch.setattr(order, "MAX_PARTITIONS", limit)
+    monkeypatch.setattr(order, "_partitions", lambda df, ranges: min(ranges.count, limit))
     keys = sorted(set(KEY_SETS[kind]))
     df = spark.createDataFrame([(k, str(k)) for k in reversed(keys)], "k long, t string")
     placed = order.in_order(df.repartition(7, "t"), ["k"])
@@ -173,3 +173,17 @@ def test_membership(spark):
     assert sorted(r["id"] for r in splits.others(rows, "id", chosen).collect()) == [
         0, 1, 2, 4, 5, 6, 8, 9,
     ]
+
+
+def test_string_keys_are_refused_or_ranked(spark):
+    names = [str(i) for i in range(1, 41)] + ["é", "z" * 50, ""]
+    df = spark.createDataFrame([(n, len(n)) for n in names], "name string, n int").repartition(6)
+    with pytest.raises(TypeError, match="use dense_key"):
+        order.running_total(df, ["name"], F.col("n"))
+    ranked = order.dense_key(df, "name", "rank")
+    found = {r["name"]: r["rank"] for r in ranked.collect()}
+    assert sorted(found, key=found.get) == sorted(names, key=lambda n: n.encode())
+    assert sorted(found.values()) == list(range(len(names)))
+    assert order.dense_key(df.where("false"), "name", "rank").count() == 0
+    with pytest.raises(ValueError, match="no order key"):
+        order.dense_key(df.selectExpr("nullif(name, '7') as name"), "name", "rank")

@@ -54,6 +54,22 @@ def test_vector_parity_and_match_rate(spark):
     assert (r["matches"], r["total"], r["match_percent"]) == (0, 0, 0.0)
 
 
+def test_parity_reports_one_sided_keys_and_longer_tails(spark):
+    schema = "k int, v array<double>"
+    a = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.5]), (4, None)], schema)
+    b = spark.createDataFrame([(1, [1.5, 2.0]), (3, [9.0])], schema)
+    r = reports.vector_parity(a, b, "k", "v").first()
+    assert (r["vectors"], r["unmatched"], r["max_abs_diff"], r["mean_abs_diff"]) == (1, 3, 0.5, 0.25)
+    short = spark.createDataFrame([(1, [1.0]), (2, [0.5])], schema)
+    with pytest.raises(Exception, match="differ in length"):
+        reports.vector_parity(a, short, "k", "v").collect()
+    schema = "k int, ids array<int>"
+    left = spark.createDataFrame([(1, [9, 1, 2, 3]), (2, [9, 5])], schema)
+    right = spark.createDataFrame([(1, [9, 1]), (3, [8, 5, 6])], schema)
+    r = reports.match_rate(left, right, "k", "ids", skip=1).first()
+    assert (r["matches"], r["total"], r["unmatched"]) == (1, 3 + 1 + 2, 2)
+
+
 def test_diff(spark):
     a = spark.createDataFrame([("w", [2, 3]), ("x", [1]), ("n", None)], "key string, shape array<int>")
     b = spark.createDataFrame([("w", [2, 3]), ("x", [4]), ("y", [7]), ("n", None)], "key string, shape array<int>")

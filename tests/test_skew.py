@@ -1,10 +1,12 @@
 """One key holds a third of all rows or more: results stay whole and no task gets the group."""
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.functions import spark_partition_id
 
 from tokenmill.operators import chat, order, runlog
 from tokenmill.operators.order import BUCKET, key_buckets
+from tokenmill.plans import sft
 
 
 def hot_turns(spark, n=30_000):
@@ -29,8 +31,16 @@ def test_hot_conversation_is_whole(spark):
     spoken = [("Human: ", "Assistant: ")[i % 2] + f"m{i}" for i in range(29_999)]
     assert row["prompt"] == "\n\n".join(spoken) + "\n\nAssistant:"
     assert row["response"] == "m29999"
-    tail = chat.chat_tails(turns, chat.turns_for(256, chat.MIN_TURN_CHARS)).where("conv_id = 1")
-    assert row["prompt"].endswith(tail.first()["prompt"]) and len(tail.first()["prompt"]) > 256
+
+
+@pytest.mark.parametrize("max_len", [256, 4096])
+def test_hot_conversation_is_cut_in_its_turns(spark, max_len):
+    turns = hot_turns(spark)
+    vocabulary = sft.chat_vocabulary(turns)
+    row = sft.chat_rows(turns, vocabulary, max_len).where("conv_id = 1").first()
+    spoken = "\n\n".join(("Human: ", "Assistant: ")[i % 2] + f"m{i}" for i in range(29_999))
+    ids = vocabulary.ids_of((spoken + "\n\nAssistant:m29999")[-max_len:]) + [vocabulary.eos_id]
+    assert row["input_ids"] == ids[-max_len:]
 
 
 def test_hot_conversation_pairs_are_spread(spark):

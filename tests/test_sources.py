@@ -177,6 +177,62 @@ def test_token_cache_holds_the_stream(spark):
     assert again["data"] == known["data"]
 
 
+def test_caches_are_rebuilt_when_anything_changes(spark):
+    from catalog.queries import subword_tokenizer
+    from dataclasses import replace
+
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame([(1, "ab"), (2, "ba b")], schema)
+    chars = CharTokenizer(("\n", " ", "a", "b", "x"))
+    root = new_path(spark, "cache")
+
+    def built(df=docs, tokenizer=chars, key="doc_id", **more):
+        return corpus.token_cache(spark, df, key, tokenizer, root, "docs", size=8, **more)[1]["data"]
+
+    first = built()
+    assert built() == first
+    assert built(tokenizer=CharTokenizer(("\n", " ", "a", "b", "y"))) != first
+    other = spark.createDataFrame([(1, "ab"), (2, "ba a")], schema)
+    assert built(df=other) != first
+    assert built(df=docs.withColumn("k", -F.col("doc_id")), key="k") != first
+    assert built(version="7") == built(df=other, version="7") != first
+    subword = subword_tokenizer()
+    assert built(tokenizer=subword) != built(tokenizer=replace(subword, eos_token=None))
+    path = new_path(spark, "docs")
+    docs.write.parquet(path)
+    once = built(df=spark.read.parquet(path))
+    assert built(df=spark.read.parquet(path)) == once
+    assert built(df=spark.read.parquet(path).where("doc_id > 1")) != once
+    other.write.mode("append").parquet(path)
+    assert built(df=spark.read.parquet(path).dropDuplicates(["doc_id"])) != once
+
+    turns = "conv_id long, turn long, role string, text string"
+    one = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "bot", "b")], turns)
+    two = spark.createDataFrame([(1, 0, "user", "b"), (1, 1, "bot", "b")], turns)
+    vocabulary = sft.chat_vocabulary(one)
+    made = [sft.sft_cache(spark, t, vocabulary, root, "t", 16) for t in (one, one, two)]
+    assert made[0][1]["data"] == made[1][1]["data"] != made[2][1]["data"]
+    with pytest.raises(ValueError, match="built for 16"):
+        sft.sft_batches(spark, made[0][0], "conv_id", 2, 1, 8, 1, manifest=made[0][1])
+    with pytest.raises(Exception, match="longer than the block"):
+        sft.sft_batches(spark, made[0][0], "conv_id", 2, 1, 8, 1).collect()
+
+
+def test_file_caches(spark):
+    schema = "row long, prompt string, response string"
+    train = spark.createDataFrame([(i, f"q{i}", "a") for i in range(5)], schema)
+    val = spark.createDataFrame([(i, " " if i else "q", "a") for i in range(3)], schema)
+    tokenizer = CharTokenizer(tuple(sorted("qa01234")))
+    root = new_path(spark, "cache")
+    sources = {"train": "t.jsonl", "val": "v.jsonl"}
+    caches = sft.sft_file_caches(spark, {"train": train, "val": val}, "row", tokenizer, root, sources, 8)
+    assert [r["start"] for r in caches["train"][0].orderBy("row").collect()] == [0, 4, 8, 12, 16]
+    assert caches["val"][1]["num_rows"] == 1 and caches["val"][1]["source"] == "v.jsonl"
+    with pytest.raises(ValueError, match="val has no usable row"):
+        sides = {"train": train, "val": val.where("row > 0")}
+        sft.sft_file_caches(spark, sides, "row", tokenizer, root, sources, 8)
+
+
 def test_sft_cache_with_subwords(spark):
     from catalog.queries import subword_tokenizer
 

@@ -83,6 +83,8 @@ def test_files_give_the_same_stream(spark, documents, tokenizer):
         )
         rows = cached.orderBy("chunk_id").collect()
         assert rows == direct.orderBy("chunk_id").collect()
+        firsts = [r["ids"][0] for r in rows]
+        assert [r["next_id"] for r in rows] == [*firsts[1:], None]
         ids = [i for line in WHOLE[:-1].split("\n") for i in given.ids_of(line) + given.ids_of("\n")]
         assert [i for r in rows for i in r["ids"]] == ids and known["num_tokens"] == len(ids)
     assert plan.corpus_vocabulary(documents, "doc_id").chars == tokenizer.chars
@@ -240,6 +242,22 @@ def test_cached_ids_give_the_same_windows_and_epochs(spark, text_stream, tokeniz
         assert r["x"] == ids[at : at + block] and r["y"] == ids[at + 1 : at + block + 1]
 
 
+@pytest.mark.parametrize("block", [8, 16, 64, 48])
+def test_epochs_of_a_written_cache(spark, documents, tokenizer, block):
+    cache, known = plan.token_cache(
+        spark, documents, "doc_id", tokenizer, new_path(spark, "cache"), "documents", 64
+    )
+    ids = tokenizer.ids_of(WHOLE)
+    found = plan.cached_epoch(spark, cache, 64, known["num_tokens"], 2, block)
+    moved = "Exchange" in found._jdf.queryExecution().executedPlan().toString()
+    assert moved == (64 % block != 0)
+    rows = found.collect()
+    assert len(rows) == 2 * windows.epoch_batches(len(ids), 2, block)
+    for r in rows:
+        at = (r["batch"] * 2 + r["row"]) * block
+        assert r["x"] == ids[at : at + block] and r["y"] == ids[at + 1 : at + block + 1]
+
+
 @pytest.mark.parametrize("size", [5, 64])
 def test_pair_counts(text_stream, tokenizer, size):
     chunks = plan.id_chunks(text_stream, tokenizer, size, overlap=1)

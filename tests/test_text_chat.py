@@ -101,37 +101,33 @@ def test_chat_examples(spark, turns, min_turns):
     assert {r[0]: (r[1], r[2]) for r in again.collect()} == wanted
 
 
-@pytest.mark.parametrize("chars", [1, 7, 40, 256, 100_000])
-def test_chat_tails_end_like_examples(spark, turns, chars):
-    count = chat.turns_for(chars, chat.MIN_TURN_CHARS)
-    found = {r[0]: (r[1], r[2]) for r in chat.chat_tails(chat.clean_turns(turns), count).collect()}
-    wanted = {c: e for c, e in ((c, model(m, 2)) for c, m in CONVERSATIONS.items()) if e}
-    assert set(found) == set(wanted)
-    for conv, (prompt, response) in wanted.items():
-        assert found[conv][0][-chars:] == prompt[-chars:] and found[conv][1] == response
-
-
-@pytest.mark.parametrize("max_len", [2, 16, 64, 300])
-def test_chat_rows_from_tails_equal_whole_prompts(spark, turns, max_len):
-    from dataclasses import replace
-
-    from catalog.queries import subword_tokenizer
+@pytest.mark.parametrize("max_len", [2, 16, 64, 300, 100_000])
+def test_chat_rows_from_turns_equal_whole_prompts(spark, turns, max_len):
+    from tokenmill.operators.sft import sft_rows
     from tokenmill.plans.sft import chat_rows, chat_vocabulary
 
-    whole = replace(subword_tokenizer(), line_safe=False)
-    rows = chat_rows(turns, whole, max_len).orderBy("conv_id").collect()
-    tails = chat_rows(turns, replace(whole, line_safe=True), max_len).orderBy("conv_id").collect()
-    assert rows == tails and len(rows) == len([m for m in CONVERSATIONS.values() if model(m, 2)])
     vocabulary = chat_vocabulary(turns)
-    for r in chat_rows(turns, vocabulary, max_len).collect():
+    rows = chat_rows(turns, vocabulary, max_len).orderBy("conv_id").collect()
+    whole = sft_rows(chat.chat_examples(chat.clean_turns(turns)), vocabulary, max_len, "conv_id")
+    assert rows == whole.orderBy("conv_id").collect()
+    assert len(rows) == len([m for m in CONVERSATIONS.values() if model(m, 2)])
+    for r in rows:
         prompt, response = model(CONVERSATIONS[r["conv_id"]], 2)
         ids = vocabulary.ids_of(prompt + response) + [vocabulary.eos_id]
         assert r["input_ids"] == ids[-max_len:]
 
 
-def test_tail_filter_runs_before_the_shuffle(spark, turns):
-    plan = chat.recent_turns(chat.clean_turns(turns), 27)._jdf.queryExecution().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+def test_an_unknown_character_in_a_cut_turn_fails(spark):
+    from tokenmill.operators.tokens import CharTokenizer
+    from tokenmill.plans.sft import chat_rows
+
+    known = CharTokenizer(tuple(sorted(set("Human: Assistant:\nabc"))))
+    schema = "conv_id long, turn long, role string, text string"
+    turns = [(1, 0, "user", "aéa")] + [(1, t, ("user", "bot")[t % 2], "abc") for t in range(1, 40)]
+    good = chat_rows(spark.createDataFrame(turns[2:], schema), known, 8).collect()
+    assert [len(r["input_ids"]) for r in good] == [8]
+    with pytest.raises(Exception, match="1 characters are not in the vocabulary"):
+        chat_rows(spark.createDataFrame(turns, schema), known, 8).collect()
 
 
 def test_null_and_empty_message_arrays(spark):

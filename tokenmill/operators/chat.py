@@ -9,18 +9,14 @@ from pyspark.sql.window import Window
 from tokenmill.functions.text import as_text, strip
 
 # Role names, the speakers they stand for and the layout of a prompt.
-HUMAN_ROLES = ("human", "user")
 ASSISTANT_ROLES = ("assistant", "bot", "model", "gpt")
 SYSTEM_ROLES = ("system",)
 TURN_SEPARATOR = "\n\n"
 SPEAKER_SEPARATOR = ": "
-PROMPT_END = "\n\nAssistant:"
+PROMPT_OPENING = "Assistant:"  # of the response, at the end of a prompt
+PROMPT_END = TURN_SEPARATOR + PROMPT_OPENING
 
 BLOCK = 64  # turns of one conversation that are joined in one step
-# Every kept turn adds at least "Human: ", one character and the separator to a prompt: so many
-# characters, and two ids (text, line ends) of a tokenizer whose ids end at line ends.
-MIN_TURN_IDS = 2
-MIN_TURN_CHARS = len("Human") + len(SPEAKER_SEPARATOR) + 1 + len(TURN_SEPARATOR)
 
 
 def speaker(role: Column) -> Column:
@@ -111,33 +107,26 @@ def chat_examples(turns: DataFrame, min_turns: int = 2) -> DataFrame:
     )
 
 
-def recent_turns(turns: DataFrame, count: int) -> DataFrame:
-    """The last ``count`` turns of each conversation.
+def example_parts(turns: DataFrame, min_turns: int = 2) -> DataFrame:
+    """(conv_id, turn, text, last): what prompts and responses are made of, a row per turn.
 
-    The rank filter is applied before the shuffle as well, so a conversation of any length sends
-    only its tail.
+    A prompt is the texts of all turns but the last, each with its separator, and the opening of
+    the response; the last turn's text is the response. Only conversations that make an example
+    are kept; no conversation is put together.
     """
-    newest = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
-    ranked = turns.withColumn("_rank", F.row_number().over(newest))
-    return ranked.where(F.col("_rank") <= count).drop("_rank")
-
-
-def turns_for(ids: int, ids_per_turn: int, min_turns: int = 2) -> int:
-    """Turns that surely reach over the last ``ids`` ids of a prompt, and the response."""
-    return max(min_turns, -(-ids // ids_per_turn) + 2)
-
-
-def chat_tails(turns: DataFrame, count: int, min_turns: int = 2) -> DataFrame:
-    """Examples whose prompts are made of the last ``count`` turns only.
-
-    Exact for anything that then trims the prompt from the left to fewer ids than these turns
-    have (see ``turns_for``). Groups hold ``count`` turns at most and stay where ``recent_turns``
-    has put them.
-    """
-    messages = recent_turns(turns, count).groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "speaker", "content"))).alias("messages")
+    ends = turns.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.max(F.struct("turn", "speaker")).alias("_end")
+    )
+    usable = ends.where(
+        (F.col("_n") >= F.lit(max(min_turns, 2))) & (F.col("_end.speaker") == "Assistant")
+    ).select("conv_id", F.col("_end.turn").alias("_end"))
+    joined = turns.join(usable, "conv_id")
+    last = F.col("turn") == F.col("_end")
+    spoken = F.concat(_spoken(F.col("speaker"), F.col("content")), F.lit(TURN_SEPARATOR))
+    return joined.select(
+        "conv_id", "turn", F.when(last, F.col("content")).otherwise(spoken).alias("text"),
+        last.alias("last"),
     )
-    return _from_messages(messages, "conv_id", min_turns)
 
 
 def _from_messages(df: DataFrame, key: str, min_turns: int) -> DataFrame:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 from tokenmill.functions.hashing import HASH_BITS, seeded_hash
@@ -20,7 +21,7 @@ BUCKET = "_bucket"
 GROUP = "_group"
 ROWS_PER_BUCKET = 20_000
 MAX_QUANTILES = 1_000
-MAX_PARTITIONS = 10_000  # of an ordered table; beyond it neighboring ranges share one
+BYTES_PER_PARTITION = 256 << 20  # of an ordered table; smaller neighboring ranges share one
 HISTOGRAM_BINS = 4_096
 
 
@@ -72,7 +73,11 @@ def key_ranges(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET)
 
     Dense unique integers get equal ranges, which cannot hold more rows than their width. Other
     numeric keys get up to MAX_QUANTILES quantiles, and equal cells within these beyond that.
+    Keys of other types, strings say, have no cells: ``dense_key`` numbers them first.
     """
+    if not isinstance(df.schema[key].dataType, NumericType):
+        kind = df.schema[key].dataType.simpleString()
+        raise TypeError(f"order key '{key}' is {kind}, not a number: use dense_key")
     low, high, rows, known = df.agg(
         F.min(key), F.max(key), F.count(F.lit(1)), F.count(key)
     ).first()
@@ -101,6 +106,41 @@ def key_buckets(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET)
     return key_ranges(df, key, rows_per_bucket).add(df)
 
 
+def dense_key(df: DataFrame, key: str, out: str) -> DataFrame:
+    """``df`` with ``out``, the rank from 0 of a unique key of any sortable type.
+
+    Spark deals the keys alone to ranges and sorts within each; a rank is the number of keys in
+    earlier ranges plus the place in its own, so neither a window nor a task sees them all.
+    """
+    keys = df.select(F.col(key).alias("_key"))
+    if keys.where(F.col("_key").isNull()).limit(1).count():
+        raise ValueError(f"rows have no order key '{key}'")
+    dealt = keys.repartitionByRange("_key").sortWithinPartitions("_key")
+    placed = materialize(dealt.withColumn("_place", F.monotonically_increasing_id()), "sorted-keys")
+    part = F.shiftright("_place", 33).alias("_part")
+    parts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    ranked = placed.withColumn("_part", part).join(materialize(bases, "parts"), "_part")
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    ranks = ranked.select("_key", (F.col("_base") + inside).cast("long").alias(out))
+    return df.join(ranks, F.col(key) == F.col("_key")).drop("_key")
+
+
+def in_key_ranges(df: DataFrame, key: str, count: int) -> DataFrame:
+    """Rows of dense numbers 0 to ``count`` - 1 placed by ranges of them and sorted."""
+    partitions = max(1, min(count, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    number = F.expr(f"cast({key} * {partitions} div {max(count, 1)} as int)")
+    return df.repartitionById(partitions, number).sortWithinPartitions(key)
+
+
+def _partitions(df: DataFrame, ranges: KeyRanges) -> int:
+    """As many partitions as the estimated bytes ask for, one per range at most."""
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    wanted = max(-(-estimate // BYTES_PER_PARTITION), df.sparkSession.sparkContext.defaultParallelism)
+    return min(ranges.count, wanted)
+
+
 def in_order(df: DataFrame, keys: Sequence[str], ranges: KeyRanges | None = None) -> DataFrame:
     """Rows sorted by ``keys`` over all partitions, each a range of the first key.
 
@@ -108,7 +148,7 @@ def in_order(df: DataFrame, keys: Sequence[str], ranges: KeyRanges | None = None
     from the key column of the source table cost next to nothing.
     """
     ranges = ranges or key_ranges(df.select(keys[0]), keys[0])
-    partitions = min(ranges.count, MAX_PARTITIONS)
+    partitions = _partitions(df, ranges)
     # Keys outside the ranges, if there are any, belong to the first or the last one.
     inside = f"least(greatest({BUCKET}, 0L), {ranges.count - 1}L)"
     number = F.expr(f"cast({inside} * {partitions} div {ranges.count} as int)")
@@ -274,7 +314,9 @@ __all__ = [
     "KeyRanges",
     "at_most",
     "bucket_bases",
+    "dense_key",
     "first_rows",
+    "in_key_ranges",
     "in_order",
     "key_buckets",
     "key_ranges",

@@ -92,41 +92,65 @@ def supervised_stats(rows: DataFrame, split: str = "split") -> DataFrame:
     )
 
 
+def _paired(left: DataFrame, right: DataFrame, key: str, a: Column, b: Column) -> DataFrame:
+    """(_a, _b, _both): the values of both sides; a key of one side only has null on the other."""
+    return (
+        left.select(key, a.alias("_a"), F.lit(True).alias("_left"))
+        .join(right.select(key, b.alias("_b"), F.lit(True).alias("_right")), key, "full")
+        .select("_a", "_b", (F.col("_left") & F.col("_right")).alias("_both"))
+    )
+
+
+def _unmatched() -> Column:
+    return F.count_if(F.col("_both").isNull()).alias("unmatched")
+
+
 def vector_parity(
     left: DataFrame, right: DataFrame, key: str, vector: str, other: str | None = None
 ) -> DataFrame:
-    """One row: vectors compared, largest and mean absolute difference over all their entries."""
-    pairs = left.select(key, F.col(vector).alias("_a")).join(
-        right.select(key, F.col(other or vector).alias("_b")), key
+    """One row: vectors compared, keys of one side only, largest and mean absolute difference.
+
+    Vectors of one key must have the same length; others fail the job.
+    """
+    pairs = _paired(left, right, key, F.col(vector), F.col(other or vector))
+    unequal = F.col("_both") & ~F.size("_a").eqNullSafe(F.size("_b"))
+    checked = F.when(unequal, F.raise_error(F.lit("vectors of one key differ in length"))).otherwise(
+        abs_difference(F.col("_a"), F.col("_b"))
     )
     measured = pairs.select(
+        "_both",
         bind(
-            abs_difference(F.col("_a"), F.col("_b")),
+            checked.cast("array<double>"),
             lambda d: F.struct(
                 F.array_max(d).alias("top"), vector_sum(d).alias("sum"), F.size(d).alias("n")
             ),
-        ).alias("d")
+        ).alias("d"),
     )
     return measured.agg(
-        F.count(F.lit(1)).alias("vectors"),
+        F.count("_both").alias("vectors"),
+        _unmatched(),
         F.max("d.top").alias("max_abs_diff"),
-        (F.sum("d.sum") / F.sum("d.n")).alias("mean_abs_diff"),
+        (F.sum("d.sum") / F.sum(F.when(F.col("_both"), F.col("d.n")))).alias("mean_abs_diff"),
     )
 
 
 def match_rate(
     left: DataFrame, right: DataFrame, key: str, ids: str, skip: int = 0
 ) -> DataFrame:
-    """One row: equal positions, positions compared and their percentage.
+    """One row: equal positions, positions of the longer side, their percentage, one-sided keys.
 
-    The first ``skip`` ids of a row are the prompt and do not count.
+    The first ``skip`` ids of a row are the prompt and do not count. A position that one side
+    lacks, or a whole row, counts as unequal.
     """
     tail = F.greatest(F.size(ids) - skip, F.lit(0))
     kept = F.slice(F.col(ids), skip + 1, tail)
-    pairs = left.select(key, kept.alias("_a")).join(right.select(key, kept.alias("_b")), key)
+    pairs = _paired(left, right, key, kept, kept)
+    sizes = [F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) for c in ("_a", "_b")]
+    same = F.when(F.col("_both"), equal_positions(F.col("_a"), F.col("_b"))).otherwise(0)
     sums = pairs.agg(
-        F.coalesce(F.sum(equal_positions(F.col("_a"), F.col("_b"))), F.lit(0)).alias("matches"),
-        F.coalesce(F.sum(F.least(F.size("_a"), F.size("_b"))), F.lit(0)).alias("total"),
+        F.coalesce(F.sum(same), F.lit(0)).alias("matches"),
+        F.coalesce(F.sum(F.greatest(*sizes)), F.lit(0)).alias("total"),
+        _unmatched(),
     )
     share = F.col("matches") * 100.0 / F.greatest("total", F.lit(1))
-    return sums.select("matches", "total", share.alias("match_percent"))
+    return sums.select("matches", "total", share.alias("match_percent"), "unmatched")

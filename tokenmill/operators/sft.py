@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions.sequences import (
     IGNORE_INDEX,
+    last_ids,
     next_token_labels,
     pad_to,
     supervised_count,
     truncate_pair,
 )
 from tokenmill.functions.text import as_text
+from tokenmill.operators.chat import PROMPT_OPENING
 from tokenmill.operators.order import running_total
 from tokenmill.operators.tokens import CharTokenizer, Tokenizer, append_eos
 from tokenmill.operators.windows import draw_indices
+from tokenmill.session import materialize
 
 PAD_ID = 0  # fixed value: filler id of padded rows
 
@@ -33,16 +36,10 @@ def sft_rows(
     Usable means that neither side is null and both have ids. The response ends with the
     end-of-sequence id; overlong pairs lose ids from the left, prompt first.
     """
-    if max_len <= 1:
-        raise ValueError("max_len must be above 1")
-    prompt, response = as_text(F.col(prompt_field)), as_text(F.col(response_field))
-    if isinstance(tokenizer, CharTokenizer):
-        # A character is an id, so what the truncation would drop need not be encoded.
-        prompt, response = F.right(prompt, F.lit(max_len)), F.right(response, F.lit(max_len))
     # A blank side has no ids under any tokenizer, so it goes before the encoding.
-    texts = examples.select(key, prompt.alias("p"), response.alias("r")).where(
-        "p <> '' and r <> ''"
-    )
+    texts = examples.select(
+        key, as_text(F.col(prompt_field)).alias("p"), as_text(F.col(response_field)).alias("r")
+    ).where("p <> '' and r <> ''")
     ids = tokenizer.encode(F.col("p")).alias("p"), tokenizer.encode(F.col("r")).alias("r")
     if isinstance(tokenizer, CharTokenizer):
         encoded = texts.select(key, *ids)
@@ -52,7 +49,14 @@ def sft_rows(
         encoded = texts.select(key, F.inline(F.array(F.struct(*ids)))).where(
             (F.size("p") > 0) & (F.size("r") > 0)
         )
-    ended = encoded.withColumn("r", append_eos(F.col("r"), tokenizer))
+    return masked_rows(encoded, tokenizer, max_len, key)
+
+
+def masked_rows(pairs: DataFrame, tokenizer: Tokenizer, max_len: int, key: str) -> DataFrame:
+    """Fine-tuning rows from ids (key, p, r) of prompts, or of their tails, and responses."""
+    if max_len <= 1:
+        raise ValueError("max_len must be above 1")
+    ended = pairs.withColumn("r", append_eos(F.col("r"), tokenizer))
     kept_prompt, kept_response = truncate_pair(F.col("p"), F.col("r"), max_len)
     joined = ended.select(
         key,
@@ -71,6 +75,32 @@ def sft_rows(
     )
 
 
+def turn_pairs(parts: DataFrame, tokenizer: CharTokenizer, max_len: int) -> DataFrame:
+    """(conv_id, p, r) from the texts (conv_id, turn, text, last) that examples are made of.
+
+    Every text is encoded in a row of its own, so an unknown character anywhere fails the job. A
+    running sum from the end tells which texts truncation can reach; only those are put together,
+    ``max_len`` ids at most and one text more, however long the conversation is.
+    """
+    ids = parts.select("conv_id", "turn", "last", tokenizer.encode(F.col("text")).alias("ids"))
+    written = materialize(
+        ids.select(
+            "conv_id", (-F.col("turn")).alias("_back"), "last", F.size("ids").alias("n"),
+            last_ids(F.col("ids"), max_len).alias("ids"),
+        ),
+        "turn-ids",
+    )
+    placed = running_total(written, ["_back"], F.col("n"), by=["conv_id"], out="_after")
+    reached = placed.where(F.col("_after") < max_len)
+    tail = F.array_sort(F.collect_list(F.when(~F.col("last"), F.struct(-F.col("_back"), "ids"))))
+    grouped = reached.groupBy("conv_id").agg(
+        F.transform(tail, lambda t: t["ids"]).alias("parts"),
+        F.max(F.when(F.col("last"), F.col("ids"))).alias("r"),
+    )
+    opening = F.lit(tokenizer.ids_of(PROMPT_OPENING)).cast("array<int>")
+    return grouped.select("conv_id", F.concat(F.flatten("parts"), opening).alias("p"), "r")
+
+
 def example_lengths(
     examples: DataFrame,
     tokenizer: Tokenizer,
@@ -109,10 +139,15 @@ def with_index(rows: DataFrame, key: str) -> DataFrame:
 
 
 def padded(rows: DataFrame, key: list[str], block: int, pad_id: int = PAD_ID) -> DataFrame:
-    """(key, x, y): ids filled up with ``pad_id`` and labels with IGNORE_INDEX, ``block`` each."""
+    """(key, x, y): ids filled up with ``pad_id`` and labels with IGNORE_INDEX, ``block`` each.
+
+    A row longer than the block fails the job: ids are never cut here.
+    """
+    too_long = F.raise_error(F.lit(f"a row is longer than the block of {block} ids"))
+    ids = F.when(F.size("input_ids") <= block, F.col("input_ids")).otherwise(too_long)
     return rows.select(
         *key,
-        pad_to(F.col("input_ids"), block, pad_id).alias("x"),
+        pad_to(ids, block, pad_id).alias("x"),
         pad_to(F.col("labels"), block, IGNORE_INDEX).alias("y"),
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -76,6 +77,11 @@ class CharTokenizer:
     def name(self) -> str:
         return f"char-{len(self.chars)}"
 
+    @property
+    def identity(self) -> str:
+        """Digest of the whole definition."""
+        return hashlib.md5("".join(self.chars).encode("utf-8")).hexdigest()
+
     @property
     def eos_id(self) -> int:
         return len(self.chars)
@@ -172,22 +178,23 @@ class SubwordTokenizer:
     """Any tokenizer file of the ``tokenizers`` library, run per Arrow batch.
 
     ``definition`` is the file's JSON text. It is read once on the driver and loaded once per
-    task; its size is that of a vocabulary, not of the data. ``line_safe`` promises that no id
-    spans a line end and the text after it, and that such a text's ids do not depend on what
-    comes before. Then chat rows need no more turns than survive the truncation.
+    task; its size is that of a vocabulary, not of the data.
     """
 
     definition: str
     name: str = "subword"
     eos_token: str | None = None
-    line_safe: bool = False
 
     @classmethod
-    def from_file(
-        cls, path: str, eos_token: str | None = None, line_safe: bool = False
-    ) -> SubwordTokenizer:
+    def from_file(cls, path: str, eos_token: str | None = None) -> SubwordTokenizer:
         with open(path, encoding="utf-8") as f:
-            return cls(f.read(), path.rsplit("/", 1)[-1], eos_token, line_safe)
+            return cls(f.read(), path.rsplit("/", 1)[-1], eos_token)
+
+    @property
+    def identity(self) -> str:
+        """Digest of the whole definition and the end-of-sequence token."""
+        text = f"{self.eos_token!r}\n{self.definition}"
+        return hashlib.md5(text.encode("utf-8")).hexdigest()
 
     def _load(self):
         from tokenizers import Tokenizer

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions.text import clean_line, has_text, line_ends
 from tokenmill.operators.lines import corpus_lines
-from tokenmill.operators.order import BUCKET, key_buckets
+from tokenmill.operators.order import BUCKET, in_key_ranges, key_buckets
 from tokenmill.operators.stream import (
     Stream,
     is_text,
@@ -23,6 +23,7 @@ from tokenmill.operators.tokens import (
 )
 from tokenmill.operators.windows import (
     chunk_pieces,
+    epoch_batches,
     gather_windows,
     micro_batches,
     sequential_starts,
@@ -30,7 +31,7 @@ from tokenmill.operators.windows import (
     window_starts,
 )
 from tokenmill.session import materialize
-from tokenmill.sources.cache import reuse_or_build
+from tokenmill.sources.cache import data_identity, reuse_or_build
 
 CONTENT = "content"
 
@@ -95,16 +96,24 @@ def token_cache(
     split: str = "full",
     text_field: str | None = "text",
     rebuild: bool = False,
+    version: str | None = None,
 ) -> tuple[DataFrame, dict]:
-    """Cached (chunk_id, ids). Files are sorted by chunk, so a range of chunks skips row groups.
+    """Cached (chunk_id, ids, next_id): chunks and the id that follows each of them.
 
-    Without a text field, ``df`` holds (key, line) rows as read from text files.
+    Files hold ranges of chunks, so a range of chunks skips whole files. Without a text field,
+    ``df`` holds (key, line) rows as read from text files. Another tokenizer, end of sequence,
+    key, field or other data lead to another cache; ``version`` may name the data instead of
+    having it looked at.
     """
     parameters = {
         "source": source,
+        "version": version or data_identity(df),
         "split": split,
         "tokenizer": tokenizer.name,
+        "tokenizer_digest": tokenizer.identity,
+        "eos_id": tokenizer.eos_id,
         "vocab_size": tokenizer.vocab_size,
+        "key": key,
         "text_field": text_field,
         "chunk_size": size,
     }
@@ -114,7 +123,11 @@ def token_cache(
             stream = stream_of_lines(df, key, tokenizer)
         else:
             stream = corpus_stream(df, key, tokenizer, text_field)
-        return id_chunks(stream, tokenizer, size).sortWithinPartitions("chunk_id")
+        chunks = id_chunks(stream, tokenizer, size, overlap=1).select(
+            "chunk_id", F.slice("ids", 1, size).alias("ids"), F.get("ids", F.lit(size)).alias("next_id")
+        )
+        # Where the stream leaves off, the overlap alone would make a chunk of its own.
+        return in_key_ranges(chunks.where(F.size("ids") > 0), "chunk_id", -(-stream.total // size))
 
     return reuse_or_build(spark, root, "tokens", parameters, build, F.size("ids"), rebuild)
 
@@ -169,7 +182,27 @@ def cached_windows(
 def cached_epoch(
     spark: SparkSession, cache: DataFrame, size: int, tokens: int, rows: int, block: int
 ) -> DataFrame:
-    """(batch, row, x, y) of one sequential pass over a token cache."""
+    """(batch, row, x, y) of one sequential pass over a token cache.
+
+    Blocks that divide the chunks are cut where the chunks are, with no shuffle at all; others
+    are gathered from the chunks they touch.
+    """
+    if size % block == 0 and "next_id" in cache.columns:
+        last = epoch_batches(tokens, rows, block) * rows
+        per_chunk = size // block
+        ids = F.when(F.col("next_id").isNull(), F.col("ids")).otherwise(
+            F.concat("ids", F.array("next_id"))
+        )
+        number = F.col("chunk_id") * per_chunk + F.col("part")
+        parts = F.explode(F.sequence(F.lit(0), F.lit(per_chunk - 1))).alias("part")
+        cut = cache.select("chunk_id", ids.alias("ids"), parts).where(number < last)
+        low = F.col("part") * block + 1
+        return cut.select(
+            F.expr(f"(chunk_id * {per_chunk} + part) div {rows}").alias("batch"),
+            F.expr(f"(chunk_id * {per_chunk} + part) % {rows}").alias("row"),
+            F.slice("ids", low, F.lit(block)).alias("x"),
+            F.slice("ids", low + 1, F.lit(block)).alias("y"),
+        )
     starts = sequential_starts(spark, tokens, rows, block)
     found = gather_windows(chunk_pieces(cache, size, "ids"), starts, block, size, "ids")
     x, y = shifted_pair(found, "ids", block)

@@ -8,20 +8,21 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.operators.chat import (
-    MIN_TURN_CHARS,
-    MIN_TURN_IDS,
-    chat_examples,
-    chat_tails,
-    clean_turns,
-    turns_for,
+from tokenmill.operators.chat import chat_examples, clean_turns, example_parts
+from tokenmill.operators.sft import (
+    draw_examples,
+    masked_rows,
+    padded,
+    sft_rows,
+    turn_pairs,
+    with_index,
+    with_offsets,
 )
-from tokenmill.operators.sft import draw_examples, padded, sft_rows, with_index, with_offsets
 from tokenmill.operators.splits import row_split
 from tokenmill.operators.tokens import CharTokenizer, Tokenizer
 from tokenmill.operators.windows import micro_batches
 from tokenmill.session import materialize
-from tokenmill.sources.cache import reuse_or_build
+from tokenmill.sources.cache import data_identity, reuse_or_build
 
 
 def chat_vocabulary(turns: DataFrame) -> CharTokenizer:
@@ -35,17 +36,15 @@ def chat_rows(
 ) -> DataFrame:
     """(conv_id, input_ids, labels, length, supervised) from long chat rows.
 
-    Where ids do not depend on earlier turns, only the turns that can survive the truncation are
-    put together. Other subword tokenizers need the whole prompt.
+    With an id per character, turns are encoded apart and only those that truncation reaches are
+    put together. A subword tokenizer may join what stands on both sides of a turn's end, so it
+    needs the whole prompt, as one string.
     """
     cleaned = clean_turns(turns)
     if isinstance(tokenizer, CharTokenizer):
-        examples = chat_tails(cleaned, turns_for(max_len, MIN_TURN_CHARS, min_turns), min_turns)
-    elif tokenizer.line_safe:
-        examples = chat_tails(cleaned, turns_for(max_len, MIN_TURN_IDS, min_turns), min_turns)
-    else:
-        examples = chat_examples(cleaned, min_turns)
-    return sft_rows(examples, tokenizer, max_len, "conv_id")
+        pairs = turn_pairs(example_parts(cleaned, min_turns), tokenizer, max_len)
+        return masked_rows(pairs, tokenizer, max_len, "conv_id")
+    return sft_rows(chat_examples(cleaned, min_turns), tokenizer, max_len, "conv_id")
 
 
 def _cache(
@@ -57,7 +56,10 @@ def _cache(
     key: str,
     rebuild: bool,
 ) -> tuple[DataFrame, dict]:
-    named = {"tokenizer": tokenizer.name, "vocab_size": tokenizer.vocab_size, **parameters}
+    named = {
+        "tokenizer": tokenizer.name, "tokenizer_digest": tokenizer.identity,
+        "eos_id": tokenizer.eos_id, "vocab_size": tokenizer.vocab_size, "key": key, **parameters,
+    }
 
     def build() -> DataFrame:
         return with_offsets(materialize(rows(), "sft-rows"), key)
@@ -75,9 +77,16 @@ def sft_cache(
     split: str = "train",
     min_turns: int = 2,
     rebuild: bool = False,
+    version: str | None = None,
 ) -> tuple[DataFrame, dict]:
-    """Cached (conv_id, input_ids, labels, length, supervised, start) of chat rows."""
-    parameters = {"source": source, "split": split, "max_len": max_len, "min_turns": min_turns}
+    """Cached (conv_id, input_ids, labels, length, supervised, start) of chat rows.
+
+    ``version`` may name the data instead of having it looked at.
+    """
+    parameters = {
+        "source": source, "version": version or data_identity(turns), "split": split,
+        "max_len": max_len, "min_turns": min_turns,
+    }
 
     def rows() -> DataFrame:
         return chat_rows(turns, tokenizer, max_len, min_turns)
@@ -97,17 +106,19 @@ def sft_split_caches(
     seed: int = 42,
     fields: tuple[str, str] = ("prompt", "response"),
     rebuild: bool = False,
+    version: str | None = None,
 ) -> dict[str, tuple[DataFrame, dict]]:
     """Train and val caches from one table of examples, split before unusable rows are dropped.
 
     Fails if either side has no usable row.
     """
+    data = version or data_identity(raw)
     split = cache(lambda: materialize(row_split(raw, key, train_fraction, seed), "split-rows"))
     caches = {}
     for name in ("train", "val"):
         parameters = {
-            "source": source, "split": name, "max_len": max_len, "fields": list(fields),
-            "train_fraction": train_fraction, "seed": seed,
+            "source": source, "version": data, "split": name, "max_len": max_len,
+            "fields": list(fields), "train_fraction": train_fraction, "seed": seed,
         }
 
         def rows(name=name) -> DataFrame:
@@ -119,6 +130,38 @@ def sft_split_caches(
     return caches
 
 
+def sft_file_caches(
+    spark: SparkSession,
+    sides: dict[str, DataFrame],
+    key: str,
+    tokenizer: Tokenizer,
+    root: str,
+    sources: dict[str, str],
+    max_len: int,
+    fields: tuple[str, str] = ("prompt", "response"),
+    rebuild: bool = False,
+) -> dict[str, tuple[DataFrame, dict]]:
+    """A cache per side from examples that were brought apart, a train and a validation file say.
+
+    ``sides`` are tables with a key (see ``number_rows``) and the two fields. Fails if a side has
+    no usable row.
+    """
+    caches = {}
+    for name, raw in sides.items():
+        parameters = {
+            "source": sources[name], "version": data_identity(raw), "split": name,
+            "max_len": max_len, "fields": list(fields),
+        }
+
+        def rows(raw=raw) -> DataFrame:
+            return sft_rows(raw, tokenizer, max_len, key, *fields)
+
+        caches[name] = _cache(spark, root, parameters, tokenizer, rows, key, rebuild)
+        if not caches[name][1]["num_rows"]:
+            raise ValueError(f"{name} has no usable row")
+    return caches
+
+
 def sft_batches(
     spark: SparkSession,
     rows: DataFrame,
@@ -128,11 +171,16 @@ def sft_batches(
     block: int,
     seed: int,
     accumulate: int = 1,
+    manifest: dict | None = None,
 ) -> DataFrame:
     """(step, micro, row, key, x, y): padded batches of examples drawn with replacement.
 
-    ``rows`` should be a written table: it is counted, numbered and read.
+    ``rows`` should be a written table: it is counted, numbered and read. Given the manifest of
+    its cache, a block other than the cache's length is refused; a longer row fails the job in
+    any case.
     """
+    if manifest is not None and manifest["max_len"] != block:
+        raise ValueError(f"the cache was built for {manifest['max_len']} ids, not {block}")
     indexed = with_index(rows, key)
     drawn = draw_examples(spark, indexed, draws, rows.count(), seed)
     named = micro_batches(drawn, batch, accumulate)

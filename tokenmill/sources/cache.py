@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Callable
 
@@ -19,6 +20,27 @@ def fingerprint(parameters: dict) -> str:
     return hashlib.md5(text.encode("utf-8")).hexdigest()
 
 
+def data_identity(df: DataFrame) -> str:
+    """Digest of what a table holds: its files with their lengths and times, and its plan.
+
+    A table that is not made of files alone is identified by the sum of its rows' hashes, which
+    reads it once.
+    """
+    plan = re.sub(r"#\d+L?", "#", df._jdf.queryExecution().analyzed().toString())
+    files = sorted(df.inputFiles())
+    if not files or re.search("LocalRelation|LogicalRDD", plan):
+        hashed = F.xxhash64(*df.columns).cast("decimal(20,0)")
+        row = df.agg(F.count(F.lit(1)), F.sum(hashed), F.bit_xor(F.xxhash64(*df.columns, F.lit(1))))
+        return fingerprint({"columns": df.columns, "rows": [str(x) for x in row.first()]})
+    spark = df.sparkSession
+    digest = hashlib.md5(plan.encode("utf-8"))
+    for name in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        digest.update(f"{name}:{status.getLen()}:{status.getModificationTime()}\n".encode())
+    return digest.hexdigest()
+
+
 def manifest(spark: SparkSession, entries: dict) -> DataFrame:
     """One row with a column per entry that is set; lists stay lists."""
     known = [F.lit(v).alias(k) for k, v in entries.items() if v is not None]
