@@ -26,22 +26,24 @@ def _smallest(neighbors: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("a").alias("n"), F.col("b").alias("o")).unionByName(
-        edges.select(F.col("b").alias("n"), F.col("a").alias("o"))
+    """Edges (a, b) from every larger neighbor of a node to the smallest one; rows may repeat."""
+    ends = F.array(
+        F.struct(F.col("a").alias("n"), F.col("b").alias("o")),
+        F.struct(F.col("b").alias("n"), F.col("a").alias("o")),
     )
+    both = edges.select(F.explode(ends).alias("e")).select("e.n", "e.o")
     joined = both.join(_smallest(both), "n").where(F.col("o") > F.col("n"))
-    return joined.select(F.col("o").alias("a"), F.col("m").alias("b")).distinct()
+    return joined.select(F.col("o").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
+    """Edges from a node and its smaller neighbors to the smallest of them."""
     down = edges.select(
         F.greatest("a", "b").alias("n"), F.least("a", "b").alias("o")
     ).where(F.col("n") > F.col("o"))
     joined = down.join(_smallest(down), "n")
-    links = joined.select(F.col("o").alias("a"), F.col("m").alias("b")).unionByName(
-        joined.select(F.col("n").alias("a"), F.col("m").alias("b"))
-    )
-    return links.where(F.col("a") != F.col("b")).distinct()
+    hooked = F.explode(F.array("n", "o")).alias("a")
+    return joined.select(hooked, F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

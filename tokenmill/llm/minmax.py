@@ -228,9 +228,15 @@ def links(docs: DataFrame, members: DataFrame, key: str, text: str, width: int,
     def compare(table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_numpy()
         rows = [np.frombuffer(s.as_py(), np.uint64) for s in table.column("shingles")]
-        found = confirmed_links(rows, percent)
-        ends = np.array(found, np.int64).reshape(-1, 2)
-        return pa.table({"a": nodes[ends[:, 0]], "b": nodes[ends[:, 1]]})
+        parts = _Parts(len(rows))
+        for one, other in confirmed_links(rows, percent):
+            parts.join(one, other)
+        # Links of a part become a star: what lies in one block needs no further contraction.
+        roots = np.array([parts.find(x) for x in range(len(rows))])
+        smallest = np.full(len(rows), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, roots, nodes)
+        hub = smallest[roots]
+        return pa.table({"a": nodes[nodes != hub], "b": hub[nodes != hub]})
 
     return placed.groupBy("group", "i", "j").applyInArrow(compare, "a long, b long")
 
