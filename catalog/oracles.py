@@ -302,6 +302,17 @@ TOKEN_CACHE = (
 from ids group by p // 1024"""
 )
 
+LENIENT = (
+    TURNS,
+    EXAMPLES,
+    RAW_SPLIT,
+    f"""lenient as (
+  select * from (
+    select case split when 'train' then 'train' else 'test' end as split, prompt, response,
+      row_number() over (partition by split order by conv_id) as r
+    from examples join raw_split using (conv_id)) where r <= {FIRST_ROWS})""",
+)
+
 ORACLES = {
     "clean_lines": CLEAN_LINES,
     "clean_pages": f"""select page_id, length({cleaned('html')})::int as n,
@@ -339,6 +350,13 @@ group by rollup (split)""",
   select 'train' as split from lines
   union all select 'validation' from benchmark where text is not null and text <> '')
 group by split""",
+    "export_manifest_fields": with_(*LENIENT)
+    + f"""select 'conversations' as source, null::varchar as subset, 'both' as requested_split,
+  split as actual_split, 'prompt_response' as format, 'prompt' as prompt_field,
+  'response' as response_field, 'messages' as messages_field,
+  {FIRST_ROWS}::bigint as max_samples, 'test,train' as available_splits,
+  count(*) as written_samples from lenient group by split""",
+    "export_lenient_split": with_(*LENIENT) + "select split, prompt, response from lenient",
     "export_local_split": with_(TURNS, EXAMPLES, EXAMPLE_SPLIT)
     + """select split, prompt, response, total as source_total,
   count(*) over (partition by split) as written
@@ -350,6 +368,7 @@ from example_split join examples using (conv_id)""",
     + "select conv_id, split as side from examples join raw_split using (conv_id)",
     "chat_examples": CHAT_EXAMPLES,
     "chat_array_examples": CHAT_EXAMPLES,
+    "json_text_examples": CHAT_EXAMPLES,
     "adjacent_pairs": ADJACENT,
     "jsonl_round_trip": with_(TURNS, EXAMPLES) + "select prompt, response from examples",
     "char_vocab": with_(*STREAM, VOCAB) + "select id, ch from vocab",
@@ -585,6 +604,7 @@ where r <= 3""",
     + """select pairs, round(mean_loss, 6) as mean_loss, round(exp(mean_loss), 6) as perplexity
 from loss""",
     "stream_clean": CLEAN_LINES,
+    "stream_split": CLEAN_LINES,
     "stream_tokens": with_(*STREAM, VOCAB, IDS)
     + f"""select doc_id, ((p - start) // {SEGMENT})::int as seg, min(p) as start,
   count(*)::int as n, md5(string_agg(id, ',' order by p)) as ids_md5

@@ -124,8 +124,10 @@ def whole_file(spark, sf_dir):
 
 def _split_corpus(spark, sf_dir) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
+    # The split is looked for among the keys in several passes; the text is read for them once.
     keys = documents.where("text is not null and text <> ''").select("doc_id")
-    return row_splits.example_split(corpus(spark, sf_dir), "doc_id", VAL_RATIO, SEED, ids=keys)
+    ids = materialize(keys, "keys")
+    return row_splits.example_split(corpus(spark, sf_dir), "doc_id", VAL_RATIO, SEED, ids=ids)
 
 
 def split_summary(spark, sf_dir):
@@ -182,6 +184,46 @@ def export_manifest(spark, sf_dir):
     )
 
 
+def export_manifest_fields(spark, sf_dir):
+    """Manifest of an export of prompt/response rows with a cap: all fields, unset ones as null."""
+    out, _ = _lenient_export(spark, sf_dir)
+    parts = [
+        spark.read.json(export.manifest_path(named_splits.split_path(out, split, True)))
+        for split in ("train", "test")
+    ]
+    return parts[0].unionByName(parts[1]).select(
+        "source", "subset", "requested_split", "actual_split", "format", "prompt_field",
+        "response_field", "messages_field", F.col("max_samples").cast("long").alias("max_samples"),
+        F.array_join("available_splits", ",").alias("available_splits"),
+        F.col("written_samples").cast("long").alias("written_samples"),
+    )
+
+
+def _lenient_export(spark, sf_dir):
+    """Both splits of a dataset that has 'train' and 'test': the latter stands for validation."""
+    sides = materialize(row_split(spark, sf_dir).join(chat_examples(spark, sf_dir), "conv_id"), "sides")
+    tables = {
+        name: sides.where(F.col("split") == side).select("conv_id", "prompt", "response")
+        for name, side in (("train", "train"), ("test", "val"))
+    }
+    out = new_path(spark, "lenient") + ".jsonl"
+    summary = export.export_sft(
+        spark, tables, "both", out, "conv_id", max_rows=FIRST_ROWS, source="conversations"
+    )
+    return out, summary
+
+
+def export_lenient_split(spark, sf_dir):
+    """The first prompt/response rows of each split, written as JSON lines and read back."""
+    out, _ = _lenient_export(spark, sf_dir)
+    return named_splits.tagged_splits(
+        {
+            split: files.read_jsonl(spark, named_splits.split_path(out, split, True))
+            for split in ("train", "test")
+        }
+    )
+
+
 def export_local_split(spark, sf_dir):
     """Chat rows with a train split only: split, written as JSON lines, read back."""
     arrays = chat.message_arrays(table(spark, sf_dir, "conversations"))
@@ -244,13 +286,22 @@ def chat_array_examples(spark, sf_dir):
     return chat.chat_array_examples(arrays, "conv_id")
 
 
+def json_text_examples(spark, sf_dir):
+    """Examples from message lists that are stored as JSON text."""
+    arrays = chat.message_arrays(table(spark, sf_dir, "conversations"))
+    stored = arrays.select("conv_id", F.to_json("messages").alias("messages"))
+    parsed = stored.withColumn("messages", chat.parsed_messages(F.col("messages")))
+    return chat.chat_array_examples(parsed, "conv_id")
+
+
 def adjacent_pairs(spark, sf_dir):
     return chat.adjacent_turns(table(spark, sf_dir, "conversations"))
 
 
 def jsonl_round_trip(spark, sf_dir):
     path = new_path(spark, "jsonl")
-    files.write_jsonl(chat_examples(spark, sf_dir), path, ["prompt", "response"], key="conv_id")
+    ranges = order.key_ranges(table(spark, sf_dir, "conversations").select("conv_id"), "conv_id")
+    files.write_jsonl(chat_examples(spark, sf_dir), path, ["prompt", "response"], "conv_id", ranges)
     return files.read_jsonl(spark, path)
 
 
@@ -398,7 +449,8 @@ def sft_split_caches(spark, sf_dir):
     """Examples as JSON lines, read back, numbered, split as raw rows, cached per side."""
     turns = table(spark, sf_dir, "conversations")
     path = new_path(spark, "jsonl")
-    files.write_jsonl(chat_examples(spark, sf_dir), path, ["prompt", "response"], key="conv_id")
+    ranges = order.key_ranges(turns.select("conv_id"), "conv_id")
+    files.write_jsonl(chat_examples(spark, sf_dir), path, ["prompt", "response"], "conv_id", ranges)
     raw = files.number_rows(files.read_jsonl(spark, path, keyed=True))
     caches = sft_plan.sft_split_caches(
         spark, raw, "row", sft_plan.chat_vocabulary(turns), new_path(spark, "caches"),
@@ -813,6 +865,17 @@ def stream_clean(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+def stream_split(spark, sf_dir):
+    """A split of a named subset, read as a stream of its files."""
+    root, out = new_path(spark, "dataset"), new_path(spark, "stream-split")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents.write.parquet(files.split_folder(root, "train", "plain"))
+    names = files.available_splits(spark, root, "plain")
+    stream = files.read_split(spark, root, names[0], "plain", streaming=True)
+    sinks.export_lines(stream, out, f"{out}-state", "doc_id")
+    return spark.read.parquet(out)
+
+
 def stream_tokens(spark, sf_dir):
     root = new_path(spark, "stream-cache")
     sinks.extend_token_cache(
@@ -880,9 +943,10 @@ QUERIES = {
     for f in (
         clean_lines, clean_pages, first_n_lines, shuffled_order, string_key_order, text_round_trip, numbered_lines,
         whole_file,
-        split_summary, split_files, export_summary, export_manifest, export_local_split,
+        split_summary, split_files, export_summary, export_manifest, export_manifest_fields,
+        export_lenient_split, export_local_split,
         example_split, row_split, split_members,
-        chat_examples, chat_array_examples, adjacent_pairs, jsonl_round_trip,
+        chat_examples, chat_array_examples, json_text_examples, adjacent_pairs, jsonl_round_trip,
         char_vocab, encoded_lines, decode_round_trip,
         subword_encode, subword_round_trip, subword_positions, subword_chunks,
         sft_examples, sft_subword_examples, sft_padded, sft_offsets, sft_cache, sft_split_caches, sft_file_caches,
@@ -897,7 +961,7 @@ QUERIES = {
         log_append, log_latest, log_interval, log_saved_steps, log_tokens, log_loss,
         log_split_losses, log_rates, log_throughput, log_generation, log_sweep, log_sweep_rows,
         next_token_counts, next_token_topk, held_out_loss,
-        stream_clean, stream_tokens, stream_chat, stream_pairs, stream_append, stream_latest,
+        stream_clean, stream_split, stream_tokens, stream_chat, stream_pairs, stream_append, stream_latest,
         stream_rate,
     )
 }

@@ -288,25 +288,25 @@ def first_rows(
     return kept if last is None else kept.where(at_most(keys, last))
 
 
-def _hash_ranges(df: DataFrame) -> KeyRanges:
+def hash_ranges(df: DataFrame, column: str = "_hash") -> KeyRanges:
     """Even ranges of a seeded hash: it is uniform, so only the number of rows matters."""
     parallel = 2 * df.sparkSession.sparkContext.defaultParallelism
     buckets = max(-(-df.count() // ROWS_PER_BUCKET), parallel)
     width = -(-(1 << HASH_BITS) // buckets)
-    return KeyRanges("_hash", buckets, 0, width)
+    return KeyRanges(column, buckets, 0, width)
 
 
 def shuffle_ranks(df: DataFrame, key: str, seed: int, out: str = "rank") -> DataFrame:
     """Rank from 0 of every row in the order of a seeded hash of its key."""
     hashed = df.withColumn("_hash", seeded_hash(seed, F.col(key)))
-    keyed = _hash_ranges(df).add(hashed)
+    keyed = hash_ranges(df).add(hashed)
     return running_total(keyed, ["_hash", key], F.lit(1), out=out).drop("_hash")
 
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Rows in seeded random order over all partitions, the same on every cluster."""
     hashed = df.withColumn("_hash", seeded_hash(seed, F.col(key)))
-    return in_order(hashed, ["_hash", key], _hash_ranges(df)).drop("_hash")
+    return in_order(hashed, ["_hash", key], hash_ranges(df)).drop("_hash")
 
 
 __all__ = [
@@ -316,6 +316,7 @@ __all__ = [
     "bucket_bases",
     "dense_key",
     "first_rows",
+    "hash_ranges",
     "in_key_ranges",
     "in_order",
     "key_buckets",

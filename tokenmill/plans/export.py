@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tokenmill.operators.chat import chat_array_examples, prompt_response_rows
 from tokenmill.operators.lines import corpus_lines
-from tokenmill.operators.order import first_rows, key_ranges
+from tokenmill.operators.order import KeyRanges, first_rows, hash_ranges, key_ranges
 from tokenmill.operators.splits import example_split, seeded_order
 from tokenmill.session import materialize
 from tokenmill.sources.cache import write_manifest
@@ -17,6 +17,7 @@ from tokenmill.sources.files import write_jsonl, write_lines
 from tokenmill.sources.splits import corpus_splits, sft_splits, split_path
 
 FORMATS = ("prompt_response", "chat_messages")
+FIELDS = {"prompt": "prompt", "response": "response", "messages": "messages"}
 
 
 def manifest_path(out: str) -> str:
@@ -42,8 +43,13 @@ def export_corpus(
     key: str,
     text_field: str = "text",
     max_rows: int | None = None,
+    source: str | None = None,
+    subset: str | None = None,
 ) -> DataFrame:
-    """Write the requested splits as text lines in key order; (split, output, rows) of each."""
+    """Write the requested splits as text lines in key order; (split, output, rows) of each.
+
+    ``source`` and ``subset`` name the dataset in the manifests.
+    """
     available = sorted(tables)
     splits = corpus_splits(requested, available)
     written = {}
@@ -52,6 +58,8 @@ def export_corpus(
         lines = corpus_lines(tables[split], key, text_field, max_rows)
         rows = write_lines(lines, path, key=key, ranges=key_ranges(tables[split], key))
         entries = {
+            "source": source,
+            "subset": subset,
             "requested_split": requested,
             "actual_split": split,
             "text_field": text_field,
@@ -90,14 +98,18 @@ def export_sft(
     max_rows: int | None = None,
     val_ratio: float = 0.05,
     seed: int = 42,
+    source: str | None = None,
+    subset: str | None = None,
 ) -> DataFrame:
     """Write the requested splits as prompt/response JSON lines; (split, output, rows) of each.
 
     If both splits are asked for and there is only 'train', the usable examples are split here, in
     seeded order, and written in that order. The cap holds for each split.
     """
-    names, available = dict(fields or {}), sorted(tables)
+    names, available = {**FIELDS, **(fields or {})}, sorted(tables)
     common = {
+        "source": source,
+        "subset": subset,
         "requested_split": requested,
         "format": form,
         "min_turns": min_turns,
@@ -113,6 +125,7 @@ def export_sft(
         # Examples are counted, ranked and written twice: their conversion is worth one write.
         examples = materialize(convert("train"), "examples")
         parts = example_split(seeded_order(examples, key, seed), key, val_ratio, seed)
+        even = hash_ranges(examples, "hash")
         local = {
             "local_split": True,
             "local_val_ratio": val_ratio,
@@ -120,10 +133,15 @@ def export_sft(
             "source_total_examples": examples.count(),
         }
         splits = {s: parts.where(F.col("split") == s) for s in ("train", "val")}
-        return _write_examples(spark, splits, out, ["hash", key], max_rows, {**common, **local})
+        ranges = {s: even for s in splits}
+        return _write_examples(
+            spark, splits, out, ["hash", key], max_rows, {**common, **local}, ranges
+        )
     resolved = sft_splits(requested, available)
     splits = {s: convert(s) for s in resolved}
-    return _write_examples(spark, splits, out, [key], max_rows, common)
+    # Ranges come from the source's keys, so no conversion runs just to place its rows.
+    ranges = {s: key_ranges(tables[s].select(key), key) for s in resolved}
+    return _write_examples(spark, splits, out, [key], max_rows, common, ranges)
 
 
 def _write_examples(
@@ -133,12 +151,13 @@ def _write_examples(
     order: list[str],
     max_rows: int | None,
     entries: dict,
+    ranges: Mapping[str, KeyRanges],
 ) -> DataFrame:
     written = {}
     for split, rows in splits.items():
         path = split_path(out, split, len(splits) > 1)
         kept = rows if max_rows is None else first_rows(rows, order, max_rows)
-        count = write_jsonl(kept, path, ["prompt", "response"], key=order)
+        count = write_jsonl(kept, path, ["prompt", "response"], order, ranges[split])
         write_manifest(
             spark,
             {**entries, "actual_split": split, "written_samples": count, "output": path},

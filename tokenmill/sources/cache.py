@@ -42,13 +42,16 @@ def data_identity(df: DataFrame) -> str:
 
 
 def manifest(spark: SparkSession, entries: dict) -> DataFrame:
-    """One row with a column per entry that is set; lists stay lists."""
-    known = [F.lit(v).alias(k) for k, v in entries.items() if v is not None]
+    """One row with a column per entry; lists stay lists, an unset entry is a null string."""
+    known = [
+        (F.lit(None).cast("string") if v is None else F.lit(v)).alias(k) for k, v in entries.items()
+    ]
     return spark.range(1).select(*known)
 
 
 def write_manifest(spark: SparkSession, entries: dict, path: str) -> None:
-    manifest(spark, entries).coalesce(1).write.mode("overwrite").json(path)
+    rows = manifest(spark, entries).coalesce(1)
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict | None:
