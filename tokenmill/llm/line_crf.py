@@ -2,8 +2,8 @@
 
 Every line has a feature vector; two states, content and boilerplate, follow each other along a
 document. The field's emission and transition weights are fitted to documents that carry a quality
-label (each of their lines has the document's label). Viterbi decoding marks the lines of every
-document, and a document stays if content lines hold at least half of its words.
+label (see ``line_states``). Viterbi decoding marks the lines of every document, and a document
+stays if content lines hold at least half of its words.
 
 Words are runs of characters other than the six ASCII white-space ones. A null text has no words
 and fails. Without labels only the plain counts decide. Repeated rows are judged alike. Other
@@ -37,9 +37,12 @@ from tokenmill.llm.arrays import (
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 CONTENT_SHARE = 0.5
-DOCS_PER_LABEL = 1_000  # expected size of the training sample of each label
-LINES_PER_DOC = 64  # of a training document
-STEPS, RATE, PENALTY = 200, 0.1, 1e-3
+DOCS_PER_LABEL = 600  # expected size of the training sample of each label
+LINES_PER_DOC = 32  # of a training document
+STEPS, RATE, PENALTY = 150, 0.2, 1e-5
+# Most training documents are of one state throughout; without a price on transitions the field
+# would learn that a state never changes within a document.
+MOVE_PENALTY = 0.05
 CONTENT, BOILERPLATE = 1, 0
 
 _SYMBOLS = byte_class(b"#*$%&|<>")
@@ -50,6 +53,7 @@ _CLAIMS = byte_class(b"!")
 _BARS = byte_class(b"|")
 _LEAD = byte_class(bytes([*range(128), *range(192, 256)]))  # first bytes of characters
 FEATURES = 10
+REPEATED = 9  # the feature: share of a line's words in windows that the text repeats
 
 
 @dataclass(frozen=True)
@@ -161,9 +165,17 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
-def fit_field(documents: list[np.ndarray], labels: np.ndarray) -> Field | None:
-    """Maximum likelihood with a square penalty; None unless both labels occur."""
-    if len(set(labels.tolist())) < 2:
+def line_states(documents: list[np.ndarray], labels: list[int]) -> list[np.ndarray]:
+    """The state of each training line: its document's label, but boilerplate where it repeats."""
+    return [
+        np.where(lines[:, REPEATED] >= 0.5, BOILERPLATE, label)
+        for lines, label in zip(documents, labels)
+    ]
+
+
+def fit_field(documents: list[np.ndarray], states: list[np.ndarray]) -> Field | None:
+    """Maximum likelihood with a square penalty; None unless both states occur."""
+    if len({int(s) for chain in states for s in chain}) < 2:
         return None
     longest = max(map(len, documents))
     x = np.zeros((len(documents), longest, FEATURES))
@@ -171,10 +183,11 @@ def fit_field(documents: list[np.ndarray], labels: np.ndarray) -> Field | None:
     for i, lines in enumerate(documents):
         x[i, : len(lines)], mask[i, : len(lines)] = lines, True
     truth = np.zeros((len(documents), longest, 2))
-    truth[np.arange(len(documents)), :, labels] = 1
-    truth *= mask[:, :, None]
+    true_moves = np.zeros((2, 2))
+    for i, chain in enumerate(states):
+        truth[i, np.arange(len(chain)), chain] = 1
+        np.add.at(true_moves, (chain[:-1], chain[1:]), 1)
     steps = mask[:, 1:].sum()
-    true_moves = np.array([[mask[labels == a, 1:].sum() * (a == b) for b in (0, 1)] for a in (0, 1)])
     weight, move = np.zeros((2, FEATURES)), np.zeros((2, 2))
     state = [np.zeros_like(v) for v in (weight, weight, move, move)]
     for step in range(1, STEPS + 1):
@@ -197,7 +210,7 @@ def fit_field(documents: list[np.ndarray], labels: np.ndarray) -> Field | None:
         moves = (np.exp(np.minimum(pair, 0)) * mask[:, 1:, None, None]).sum((0, 1))
         grads = (
             np.einsum("dts,dtf->sf", truth - marginal, x) / mask.sum() - PENALTY * weight,
-            (true_moves - moves) / max(steps, 1) - PENALTY * move,
+            (true_moves - moves) / max(steps, 1) - MOVE_PENALTY * move,
         )
         for k, (value, grad) in enumerate(zip((weight, move), grads)):
             first, second = state[2 * k], state[2 * k + 1]
@@ -249,7 +262,7 @@ def fit(
     found = sample.mapInArrow(run, "lines array<double>, label int").toArrow()
     order = sorted(zip(found["label"].to_pylist(), found["lines"].to_pylist()))
     documents = [np.array(lines).reshape(-1, FEATURES) for _, lines in order]
-    return fit_field(documents, np.array([y for y, _ in order], int)) if documents else None
+    return fit_field(documents, line_states(documents, [y for y, _ in order]))
 
 
 def judge(df: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
