@@ -44,21 +44,32 @@ def _sizes(lengths: pa.Array) -> np.ndarray:
     return pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _distinct_chars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every character of a task's texts once, from the code points of whole batches."""
+    seen = np.zeros(0, dtype=np.uint32)
+    for batch in batches:
+        texts = batch.column(0)
+        for low, high in _row_groups(_sizes(pc.utf8_length(texts))):
+            joined = "".join(t for t in texts[low:high].to_pylist() if t is not None)
+            points = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
+            seen = np.union1d(seen, points)
+    chars = pa.array([chr(p) for p in seen.tolist()], pa.string())
+    yield pa.RecordBatch.from_arrays([chars], ["ch"])
+
+
 def char_vocabulary(df: DataFrame, text: str = "line", also: str = "\n") -> DataFrame:
     """(id, ch): the distinct characters in code point order, ids from 0.
 
-    Each row and each task sends a character once. The window numbers the distinct characters
-    only, of which Unicode has 1,114,112 at most.
+    Each task sends a character once. The window numbers the distinct characters only, of which
+    Unicode has 1,114,112 at most.
     """
-    found = df.select(F.explode(F.array_distinct(F.split(F.col(text), ""))).alias("ch"))
+    found = df.select(text).mapInArrow(_distinct_chars, "ch string")
     if also:
         # The stream puts these characters between the lines, so they exist if any line does.
         extra = df.limit(1).select(F.explode(F.split(F.lit(also), "")).alias("ch"))
-        found = found.union(extra)
+        found = found.union(extra.where("ch <> ''"))
     rank = F.row_number().over(Window.orderBy(F.ascii("ch")))
-    return (
-        found.where("ch <> ''").distinct().select((rank - 1).cast("int").alias("id"), "ch")
-    )
+    return found.distinct().select((rank - 1).cast("int").alias("id"), "ch")
 
 
 @dataclass(frozen=True)
