@@ -48,20 +48,6 @@ def test_speakers(spark):
     ]
 
 
-def model(messages, min_turns):
-    """The rule in plain words: clean, count, last must be the assistant, rest is the prompt."""
-    who = {"assistant": "Assistant", "bot": "Assistant", "gpt": "Assistant", "system": "System"}
-    turns = [
-        (who.get((role or "").strip().lower(), "Human"), content.strip())
-        for role, content in messages
-        if content is not None and content.strip()
-    ]
-    if len(turns) < max(min_turns, 2) or turns[-1][0] != "Assistant":
-        return None
-    prompt = "\n\n".join(": ".join(t) for t in turns[:-1]) + "\n\nAssistant:"
-    return prompt, turns[-1][1]
-
-
 CONVERSATIONS = {
     1: [("user", "hi"), ("assistant", " hello ")],
     2: [("system", "be kind"), ("assistant", "ok")],
@@ -77,6 +63,27 @@ CONVERSATIONS = {
 }
 
 
+SPEAKERS = ("Human", "Assistant")
+# Written by hand: usable messages, prompt, response. The other conversations make no example.
+EXAMPLES = {
+    1: (2, "Human: hi\n\nAssistant:", "hello"),
+    2: (2, "System: be kind\n\nAssistant:", "ok"),
+    4: (4, "Human: a\n\nAssistant: b\n\nHuman: c\n\nAssistant:", "d"),
+    8: (3, "Human: t\nt\n\nHuman: u\n\nAssistant:", "é👍"),
+    9: (
+        200,
+        "".join(f"{SPEAKERS[i % 2]}: turn {i}\n\n" for i in range(199)) + "Assistant:",
+        "turn 199",
+    ),
+    10: (2, "Human: q\n\nAssistant:", "r"),
+    11: (
+        44,
+        "".join(f"{SPEAKERS[i % 2]}: t{i}\n\n" for i in range(65) if i % 3) + "Assistant:",
+        "t65",
+    ),
+}
+
+
 @pytest.fixture(scope="module")
 def turns(spark):
     rows = [
@@ -89,8 +96,7 @@ def turns(spark):
 
 @pytest.mark.parametrize("min_turns", [1, 2, 4])
 def test_chat_examples(spark, turns, min_turns):
-    wanted = {c: model(m, min_turns) for c, m in CONVERSATIONS.items()}
-    wanted = {c: e for c, e in wanted.items() if e}
+    wanted = {c: (p, r) for c, (n, p, r) in EXAMPLES.items() if n >= min_turns}
     cleaned = chat.clean_turns(turns)
     long = {r[0]: (r[1], r[2]) for r in chat.chat_examples(cleaned, min_turns).collect()}
     assert long == wanted
@@ -110,9 +116,9 @@ def test_chat_rows_from_turns_equal_whole_prompts(spark, turns, max_len):
     rows = chat_rows(turns, vocabulary, max_len).orderBy("conv_id").collect()
     whole = sft_rows(chat.chat_examples(chat.clean_turns(turns)), vocabulary, max_len, "conv_id")
     assert rows == whole.orderBy("conv_id").collect()
-    assert len(rows) == len([m for m in CONVERSATIONS.values() if model(m, 2)])
+    assert len(rows) == len(EXAMPLES)
     for r in rows:
-        prompt, response = model(CONVERSATIONS[r["conv_id"]], 2)
+        _, prompt, response = EXAMPLES[r["conv_id"]]
         ids = vocabulary.ids_of(prompt + response) + [vocabulary.eos_id]
         assert r["input_ids"] == ids[-max_len:]
 
