@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.arrays import Words, row_pieces, shingles
+from tokenmill.llm.arrays import Words, row_pieces, shingles, text_bytes
 from tokenmill.session import materialize
 
 GRAM = 3
@@ -127,11 +127,10 @@ def passages(docs: DataFrame, table: np.ndarray, least_words: int, key: str, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = Words(batch.column("_text"))
-            for lo, hi in row_pieces(words.first):
-                first = words.first[lo : hi + 1]
-                hashes = words.hashes[first[0] : first[-1]]
-                first = first - first[0]
+            texts = batch.column("_text")
+            for lo, hi in row_pieces(text_bytes(texts)[1]):
+                words = Words(texts.slice(lo, hi - lo))
+                hashes, first = words.hashes, words.first
                 grams, row, at = _full_grams(hashes, first)
                 hit = np.flatnonzero(_hits(table, grams))
                 if not len(hit):

@@ -30,13 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.arrays import ODD, Words, distinct_per_row, mix, row_pieces, shingles
+from tokenmill.llm.arrays import (
+    ODD,
+    Words,
+    distinct_per_row,
+    mix,
+    row_pieces,
+    shingles,
+    text_bytes,
+)
 from tokenmill.llm.components import components
 from tokenmill.session import materialize
 
 PERMUTATIONS_PER_BAND = 3  # two values each
 MISS = 1e-7
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 100_000
 BATCH_SHINGLES = 1 << 16
 
 
@@ -48,11 +56,12 @@ def band_count(percent: int) -> int:
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, values, offsets): the sets of a text column, a part at a time."""
-    words = Words(column)
-    for lo, hi in row_pieces(words.first, BATCH_SHINGLES):
-        first = words.first[lo : hi + 1]
-        found = shingles(words.hashes[first[0] : first[-1]], first - first[0], width)
-        yield lo, hi, *distinct_per_row(*found)
+    for begin, end in row_pieces(text_bytes(column)[1]):
+        words = Words(column.slice(begin, end - begin))
+        for lo, hi in row_pieces(words.first, BATCH_SHINGLES):
+            first = words.first[lo : hi + 1]
+            found = shingles(words.hashes[first[0] : first[-1]], first - first[0], width)
+            yield begin + lo, begin + hi, *distinct_per_row(*found)
 
 
 @lru_cache(maxsize=2)
