@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
@@ -22,7 +22,7 @@ GROUP = "_group"
 ROWS_PER_BUCKET = 20_000
 MAX_QUANTILES = 1_000
 BYTES_PER_PARTITION = 256 << 20  # of an ordered table; smaller neighboring ranges share one
-HISTOGRAM_BINS = 4_096
+HISTOGRAM_BINS = 16_384
 
 
 def _cell(key: str, low: int, width: int) -> Column:
@@ -221,30 +221,45 @@ def running_total(
     return placed.drop(BUCKET, "_base", "_total")
 
 
-def kth_smallest(df: DataFrame, keys: Sequence[str], k: int) -> tuple[int, ...] | None:
+def _histogram(df: DataFrame, key: str, low: int, high: int) -> list[Row]:
+    """(n, lo, hi) of the keys from ``low`` to ``high``, in at most HISTOGRAM_BINS ranges."""
+    width = -(-(high - low + 1) // HISTOGRAM_BINS)
+    inside = df.where(F.col(key).between(low, high))
+    return (
+        inside.groupBy(_cell(key, low, width).alias("bin"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+        .orderBy("bin")
+        .collect()
+    )
+
+
+def key_histogram(df: DataFrame, key: str) -> list[Row]:
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    return [] if low is None else _histogram(df, key, low, high)
+
+
+def kth_smallest(
+    df: DataFrame, keys: Sequence[str], k: int, known: list[Row] | None = None
+) -> tuple[int, ...] | None:
     """The k-th smallest (from 1) combination of integer ``keys``; None beyond the last row.
 
     Histograms of at most HISTOGRAM_BINS rows narrow the range until one value is left, so
-    neither a sort nor a collect of rows is needed at any size.
+    neither a sort nor a collect of rows is needed at any size. ``known`` is the ``key_histogram``
+    of the first key, if there is one already.
     """
     key, rest = keys[0], keys[1:]
-    low, high, rows = df.agg(F.min(key), F.max(key), F.count(key)).first()
-    if k < 1 or k > rows:
+    bins = key_histogram(df, key) if known is None else known
+    if k < 1 or k > sum(row["n"] for row in bins):
         return None
-    while low < high:
-        width = -(-(high - low + 1) // HISTOGRAM_BINS)
-        inside = df.where(F.col(key).between(low, high))
-        histogram = (
-            inside.groupBy(_cell(key, low, width).alias("bin"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"))
-            .orderBy("bin")
-            .collect()
-        )
-        for row in histogram:
+    while True:
+        for row in bins:
             if k <= row["n"]:
                 low, high = row["lo"], row["hi"]
                 break
             k -= row["n"]
+        if low == high:
+            break
+        bins = _histogram(df, key, low, high)
     if not rest:
         return (low,)
     tail = kth_smallest(df.where(F.col(key) == low), rest, k)
@@ -272,8 +287,9 @@ def first_rows(
     if n <= 0:
         return kept.where(F.lit(False))
     every, rank = df.select(*keys), n
+    known = key_histogram(every, keys[0])
     while True:
-        bound = kth_smallest(every, keys, rank)
+        bound = kth_smallest(every, keys, rank, known)
         if bound is None:
             break
         below = kept.where(at_most(keys, bound))
