@@ -7,22 +7,38 @@ no language and go in the first stage; documents without an id are never duplica
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.llm import bpe, langid, leaks, line_dedup, minmax
+from tokenmill.llm.arrays import bound_batches
 from tokenmill.session import materialize
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
+def _stage(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage with Arrow batches of bounded size."""
+
+    @wraps(work)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return work(spark, docs, sf_dir)
+
+    return stage
+
+
 def _wrapped(docs: DataFrame) -> DataFrame:
     """Rows as one column, so that no column of theirs meets an operator's."""
     return docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("text"))
 
 
+@_stage
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language, or with one that the codewords leave ambiguous."""
     model = langid.fit(docs)
@@ -31,6 +47,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where(clear).select("row.*")
 
 
+@_stage
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop repeated lines from all documents but the last one that holds them."""
     reduced = line_dedup.kept_text(line_dedup.with_bitmaps(_wrapped(docs)))
@@ -39,6 +56,7 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return reduced.select(row.alias("row")).select("row.*")
 
 
+@_stage
 def single_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates, the one with the smallest id."""
     marks = minmax.near_duplicates(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
@@ -58,6 +76,7 @@ def single_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return kept.select(*docs.columns)
 
 
+@_stage
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
     found = leaks.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -65,6 +84,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
 
 
+@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every document."""
     model = bpe.model_bytes(bpe.read_ranks(VOCABULARY))

@@ -12,11 +12,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 PIECE = 1 << 20
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -190,6 +192,15 @@ def row_pieces(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, i
         lo = hi
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES or one row, unless the session has a setting of its own.
+
+    A worker then holds a few megabytes, however long the texts are.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def add_columns(
     df: DataFrame,
     fields: Sequence[StructField],

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.llm import bpe, hash_tree, langid, leaks, line_crf, line_dedup, minmax, pii, unigram, warc
+from tokenmill.llm.arrays import bound_batches
 from tokenmill.session import new_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -18,6 +19,7 @@ HELD_OUT = 2  # remainder of crc32(doc_id) by 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
