@@ -21,8 +21,13 @@ def _fingerprint(edges: DataFrame) -> tuple:
 
 
 def _smallest(neighbors: DataFrame) -> DataFrame:
-    """(n, m): the smallest of a node and its neighbors."""
-    return neighbors.groupBy("n").agg(F.least(F.min("o"), F.col("n")).alias("m"))
+    """(n, m): the smallest of a node and its neighbors.
+
+    It is written, so that the join with it is an ordinary one: broadcast if its size allows, else
+    a shuffle whose hot nodes adaptive execution can split.
+    """
+    found = neighbors.groupBy("n").agg(F.least(F.min("o"), F.col("n")).alias("m"))
+    return materialize(found, "smallest")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -56,7 +61,7 @@ def components(edges: DataFrame) -> DataFrame:
     )
     before = _fingerprint(state)
     while True:
-        state = materialize(_small_star(_large_star(state)), "stars")
+        state = materialize(_small_star(materialize(_large_star(state), "hooks")), "stars")
         after = _fingerprint(state)
         if after == before:
             break
