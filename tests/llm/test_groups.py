@@ -179,6 +179,50 @@ def test_leaks(spark):
     assert score[3001, 5] == score[None, 4] == 1
 
 
+def every_leak(rows, items):
+    """Leaks by alignment of all documents with all items."""
+    ids = {}
+    hashed = lambda text: np.array([ids.setdefault(w, len(ids)) for w in text.split()])
+    pairs = [(d, i, hashed(t), hashed(x)) for d, t in rows for i, x in items]
+    scores = leaks.align([p[2] for p in pairs], [p[3] for p in pairs])
+    return {p[:2]: s for p, s in zip(pairs, scores) if s >= leaks.SIMILARITY}
+
+
+def inside(seed, words):
+    host = prose(seed, 60).split()
+    return " ".join([*host[:30], *words, *host[30:]])
+
+
+def check_leaks(spark, rows, items, planted):
+    wanted = every_leak(rows, items)
+    assert planted <= wanted.keys()
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    out = leaks.leaks(table(spark, rows), benchmark).collect()
+    assert {(r[0], r[1]): r[2] for r in out} == pytest.approx(wanted) and len(out) == len(wanted)
+
+
+def test_leaks_of_edited_copies(spark):
+    """Few or no frequent n-grams survive, with verbatim copies of the item elsewhere or without."""
+    items = [(i, prose(9000 + i, n)) for i, n in enumerate((15, 38, 38, 59))]
+    rows, planted = [], set()
+    for i, text in items:
+        new = text.split()
+        new[4::5] = ["changed"] * len(new[4::5])
+        pairs = [y for k, x in enumerate(text.split()) for y in ([x, f"new{k}"] if k % 2 else [x])]
+        rows += [(i, inside(i, new)), (10 + i, inside(10 + i, pairs))]
+        planted |= {(i, i), (10 + i, i)}
+    rows += [(100 + d, inside(100 + d, items[2][1].split())) for d in range(20)]
+    pick = random.Random(6)
+    for d in range(200, 300):
+        i, text = items[pick.randrange(4)]
+        new = text.split()
+        for _ in range(pick.randint(0, len(new) // 2)):
+            place, kind = pick.randrange(len(new)), pick.random()
+            new[place : place + 1] = [] if kind < 0.3 else ["changed"] if kind < 0.6 else [new[place], "added"]
+        rows.append((d, inside(d, new)))
+    check_leaks(spark, rows, items, planted)
+
+
 def test_leaks_of_nothing(spark):
     items = spark.createDataFrame([(1, "a short test item of words")], "item_id long, text string")
     assert leaks.leaks(empty(spark), items).count() == 0

@@ -1,25 +1,31 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of passages.
-
-1. Every n-gram of a test item sets a bit in a table of bounded size. Documents are read once: runs
-   of words whose n-grams hit the table become passages, with their word hashes, and hits are
-   counted per document. False hits only cost work; what follows is exact.
-2. An item's seeds are its n-grams that are no more frequent among the documents than its median
-   n-gram, so an item that very many documents copy still has seeds. Distinct passages meet items
-   where they share a seed; equal passages are scored once.
-3. A passage is aligned with the item around the diagonals of the shared seeds. The score is twice
-   the matched words, less one for each changed, missing or added word, over twice the item's words.
-
-A document leaks an item if some passage scores at least ``similarity``. Words are runs of
-characters other than the six ASCII white-space ones, all letters lower-cased. Items with fewer words than
-an n-gram have no seeds and are never found, null texts have no words. Items that share an id are
-all tried, the best counts. Rows that repeat are one leak; documents without an id are found with
-a null id. Other columns are ignored.
+"""Benchmark decontamination: shared n-grams as seeds, then Smith-Waterman alignment around them.
+
+The score is twice the matched words, less one for each changed, missing or added word, over twice
+the item's words; a document leaks an item if some stretch of it scores at least ``similarity``.
+Seeds lose no such stretch. With s for the similarity and n for the item's words,
+
+1. a stretch has at most 2(1-s)n added words, so it is no longer than n + 2(1-s)n words;
+2. its matched words are at most n and each error parts at most two of them, so at least
+   (2s-1)n - 1 pairs of neighbours match: that many places of its 2-grams are the item's.
+
+All 2-grams of all items are seeds, frequent or not. Documents are read once per group of items, of
+bounded size. Where a document holds that many seeds of an item within that many words, it is
+aligned with the item, from the longest stretch before the first of them to the longest after the
+last. False seeds only cost work. The second bound says nothing for items of up to 1/(2s-1) words
+(5 at 0.6): they need one shared 2-gram, as do all items for similarities up to a half.
+
+Words are runs of characters other than the six ASCII white-space ones, all letters lower-cased.
+Items with fewer than LEAST_WORDS words are never found, null texts have no words. Items that share
+an id are all tried, the best counts. Rows that repeat are one leak; documents without an id are
+found with a null id. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +35,15 @@ from pyspark.sql import functions as F
 from tokenmill.llm.arrays import Words, row_pieces, shingles, text_bytes
 from tokenmill.session import materialize
 
-GRAM = 3
+GRAM = 2
+LEAST_WORDS = 3
 SIMILARITY = 0.6
-GAP = 24  # words without a hit that end a passage
 BITS_PER_GRAM = 64
-MIN_BITS, MAX_BITS = 1 << 16, 1 << 26  # of the table: 8 MB at most, whatever the items
 MATCH, CHANGE, SKIP = 2, -1, -1
 ALIGNED_CELLS = 1 << 18  # of one array of alignments
+ITEM_WORDS = 1 << 20  # of one group of items
+MATCHED_SEEDS = 1 << 21  # expanded at a time, or those of one document
+ALIGNED_WORDS = 1 << 20  # of stretches handed over at a time, or one stretch
 
 
 def _full_grams(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,7 +67,7 @@ def _lists(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
 
 
 def item_words(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, version, words): a row per distinct item text with a whole n-gram."""
+    """(item, version, words): a row per distinct item text of LEAST_WORDS or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,52 +76,45 @@ def item_words(items: DataFrame, key: str = "item_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([batch.column("_item"), lists], ["item", "words"])
 
     named = items.select(F.col(key).cast("long").alias("_item"), F.lower(text).alias("_text"))
-    found = named.mapInArrow(run, "item long, words array<long>").where(F.size("words") >= GRAM)
+    found = named.mapInArrow(run, "item long, words array<long>").where(F.size("words") >= LEAST_WORDS)
     return found.distinct().select("item", F.xxhash64("words").alias("version"), "words")
 
 
-def item_grams(items: DataFrame) -> DataFrame:
-    """(item, version, gram, at, n_words) of items (item, version, words)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, first = _flat(batch.column("words"))
-            grams, row, at = _full_grams(hashes, first)
-            rows = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("item").take(rows), batch.column("version").take(rows),
-                    pa.array(grams.view(np.int64)), pa.array(at), pa.array(np.diff(first)[row]),
-                ],
-                ["item", "version", "gram", "at", "n_words"],
-            )
-
-    return items.mapInArrow(run, "item long, version long, gram long, at long, n_words long")
-
-
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = lists.offsets.to_numpy().astype(np.int64)
     values = lists.values.to_numpy().view(np.uint64)
     return values[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def bit_table(grams: DataFrame) -> np.ndarray:
-    """Bits of all grams, in 64-bit words; a power of two of them, at most MAX_BITS bits."""
-    n = grams.agg(F.approx_count_distinct("gram")).first()[0]
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << math.ceil(math.log2(BITS_PER_GRAM * max(n, 1)))))
-    place = F.col("gram").bitwiseAND(F.lit(bits - 1))
-    words = (
-        grams.select(
-            F.shiftright(place, 6).alias("word"),
-            F.expr(f"shiftleft(1L, cast((gram & {bits - 1}L) & 63L as int))").alias("bit"),
-        )
-        .groupBy("word")
-        .agg(F.bit_or("bit").alias("bits"))
-        .toArrow()
-    )
+class Seeds(NamedTuple):
+    """The n-grams of a group of items, sorted, with a bit table to rule out most others."""
+
+    table: np.ndarray
+    grams: np.ndarray
+    item: np.ndarray  # number of each gram's item in the group
+    words: np.ndarray  # of all items
+    first: np.ndarray
+    ids: pa.Array
+    longest: np.ndarray  # words of a stretch, by item
+    least: np.ndarray  # places with seeds of a stretch, by item
+
+
+def seeds(items: pa.Table, similarity: float) -> Seeds:
+    items = items.combine_chunks()
+    words, first = _flat(items["words"].combine_chunks())
+    grams, item, _ = _full_grams(words, first)
+    order = np.lexsort((item, grams))
+    grams, item = grams[order], item[order]
+    new = np.append(True, (np.diff(grams) != 0) | (np.diff(item) != 0))
+    grams, item = grams[new], item[new]
+    bits = max(1 << 16, 1 << math.ceil(math.log2(BITS_PER_GRAM * max(len(grams), 1))))
+    place = grams & np.uint64(bits - 1)
     table = np.zeros(bits // 64, np.uint64)
-    table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    return table
+    np.bitwise_or.at(table, place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
+    n = np.diff(first)
+    longest = n + np.floor(2 * (1 - similarity) * n + 1e-9).astype(np.int64)
+    least = np.maximum(np.ceil((2 * similarity - 1) * n - 1 - 1e-9).astype(np.int64), 1)
+    return Seeds(table, grams, item, words, first, items["item"].combine_chunks(), longest, least)
 
 
 def _hits(table: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -121,81 +122,51 @@ def _hits(table: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return table[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1) > 0
 
 
-def passages(docs: DataFrame, table: np.ndarray, least_words: int, key: str, text: str) -> DataFrame:
-    """Passages (doc, start, words) and hit counts (gram, n_docs), told apart by null columns."""
-    names = ["doc", "start", "words", "gram", "n_docs"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("_text")
-            for lo, hi in row_pieces(text_bytes(texts)[1]):
-                words = Words(texts.slice(lo, hi - lo))
-                hashes, first = words.hashes, words.first
-                grams, row, at = _full_grams(hashes, first)
-                hit = np.flatnonzero(_hits(table, grams))
-                if not len(hit):
-                    continue
-                grams, row, at = grams[hit], row[hit], at[hit]
-                cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(at) > GAP)) + 1
-                begin, last = np.append(0, cut), np.append(cut, len(row)) - 1
-                long_enough = at[last] + GRAM - at[begin] >= least_words
-                begin, last = begin[long_enough], last[long_enough]
-                n = len(begin)
-                starts = first[row[begin]] + at[begin]
-                ends = first[row[begin]] + at[last] + GRAM
-                once = np.unique(np.stack([row.astype(np.uint64), grams], 1), axis=0)[:, 1]
-                counted, docs_with = np.unique(once, return_counts=True)
-                m = len(counted)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays(
-                            [batch.column("_doc").take(pa.array(row[begin] + lo)), pa.nulls(m, pa.int64())]
-                        ),
-                        pa.concat_arrays([pa.array(at[begin]), pa.nulls(m, pa.int64())]),
-                        pa.concat_arrays(
-                            [_lists(hashes, starts, ends), pa.nulls(m, pa.list_(pa.int64()))]
-                        ),
-                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(counted.view(np.int64))]),
-                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(docs_with)]),
-                    ],
-                    names,
-                )
-
-    named = docs.select(F.col(key).cast("long").alias("_doc"), F.lower(text).alias("_text"))
-    return named.mapInArrow(
-        run, "doc long, start long, words array<long>, gram long, n_docs long"
-    )
-
-
-def rare_seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """The rows of ``grams`` that no more documents hold than their item's median gram."""
-    held = counts.groupBy("gram").agg(F.sum("n_docs").alias("n_docs"))
-    known = grams.join(held, "gram", "left").withColumn(
-        "n_docs", F.coalesce("n_docs", F.lit(0).cast("long"))
-    )
-    median = known.groupBy("item", "version").agg(F.percentile("n_docs", 0.5).alias("median"))
-    return known.join(median, ["item", "version"]).where(F.col("n_docs") <= F.col("median")).drop(
-        "median"
-    )
-
-
-def _passage_grams(distinct: DataFrame) -> DataFrame:
-    """(p1, p2, gram, place) of distinct passages."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, first = _flat(batch.column("words"))
-            grams, row, at = _full_grams(hashes, first)
-            rows = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("p1").take(rows), batch.column("p2").take(rows),
-                    pa.array(grams.view(np.int64)), pa.array(at),
-                ],
-                ["p1", "p2", "gram", "place"],
-            )
-
-    return distinct.mapInArrow(run, "p1 long, p2 long, gram long, place long")
+def stretches(known: Seeds, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, item, begin, end) of all stretches that may reach the similarity; words of ``hashes``."""
+    grams, row, at = _full_grams(hashes, first)
+    hit = np.flatnonzero(_hits(known.table, grams))
+    low = np.searchsorted(known.grams, grams[hit], "left")
+    amount = np.searchsorted(known.grams, grams[hit], "right") - low
+    row, at = row[hit], at[hit]
+    per_row = np.bincount(row, amount, len(first) - 1).astype(np.int64)
+    of_row = np.searchsorted(row, np.arange(len(first)))
+    for lo, hi in row_pieces(np.concatenate([[0], np.cumsum(per_row)]), MATCHED_SEEDS):
+        part = slice(of_row[lo], of_row[hi])
+        sizes = amount[part]
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        if not offsets[-1]:
+            continue
+        entry = np.repeat(low[part] - offsets[:-1], sizes) + np.arange(offsets[-1])
+        item, r, place = known.item[entry], np.repeat(row[part], sizes), np.repeat(at[part], sizes)
+        order = np.lexsort((place, item, r))
+        item, r, place = item[order], r[order], place[order]
+        # A seed counts if it is one of ``least`` that follow each other within ``longest`` words.
+        n, least, longest = len(item), known.least[item], known.longest[item]
+        last = np.arange(n) + least - 1
+        inside = np.flatnonzero(last < n)
+        end = last[inside]
+        inside = inside[
+            (r[end] == r[inside]) & (item[end] == item[inside])
+            & (place[end] + GRAM - place[inside] <= longest[inside])
+        ]
+        change = np.zeros(n + 1, np.int64)
+        np.add.at(change, inside, 1)
+        np.add.at(change, last[inside] + 1, -1)
+        good = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+        if not len(good):
+            continue
+        item, r, place, longest = item[good], r[good], place[good], longest[good]
+        cut = np.flatnonzero(
+            (np.diff(r) != 0) | (np.diff(item) != 0) | (np.diff(place) > longest[1:])
+        ) + 1
+        begin, last = np.append(0, cut), np.append(cut, len(item)) - 1
+        r, item, longest = r[begin], item[begin], longest[begin]
+        yield (
+            r, item,
+            np.maximum(first[r] + place[begin] + GRAM - longest, first[r]),
+            np.minimum(first[r] + place[last] + longest, first[r + 1]),
+        )
 
 
 def align(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
@@ -207,9 +178,9 @@ def align(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
         few = max(1, ALIGNED_CELLS // max(width, 1))
         part, order = order[-few:], order[:-few]
         height = max(len(items[x]) for x in part)
-        text = np.zeros((len(part), width), np.int64)
+        text = np.zeros((len(part), width), np.uint64)
         inside = np.zeros((len(part), width), bool)
-        item = np.zeros((len(part), height), np.int64)
+        item = np.zeros((len(part), height), np.uint64)
         rows = np.zeros((len(part), height), bool)
         for i, x in enumerate(part):
             text[i, : len(passages[x])], inside[i, : len(passages[x])] = passages[x], True
@@ -227,6 +198,36 @@ def align(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     return best
 
 
+def _leaks_of(docs: DataFrame, known: Seeds, similarity: float) -> DataFrame:
+    """(doc, item, score) of stretches of (_doc, _text) that reach the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("_text")
+            for lo, hi in row_pieces(text_bytes(texts)[1]):
+                words = Words(texts.slice(lo, hi - lo))
+                for row, item, begin, end in stretches(known, words.hashes, words.first):
+                    sizes = np.concatenate([[0], np.cumsum(end - begin)])
+                    for a, b in row_pieces(sizes, ALIGNED_WORDS):
+                        scores = align(
+                            [words.hashes[x:y] for x, y in zip(begin[a:b], end[a:b])],
+                            [known.words[known.first[i] : known.first[i + 1]] for i in item[a:b]],
+                        )
+                        near = np.flatnonzero(scores >= similarity)
+                        if not len(near):
+                            continue
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                batch.column("_doc").take(pa.array(row[a:b][near] + lo)),
+                                known.ids.take(pa.array(item[a:b][near])),
+                                pa.array(scores[near]),
+                            ],
+                            ["doc", "item", "score"],
+                        )
+
+    return docs.mapInArrow(run, "doc long, item long, score double")
+
+
 def leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -239,52 +240,18 @@ def leaks(
     """(key, item_key, similarity) of every document and item that leaks into it."""
     schema = f"`{key}` long, `{item_key}` long, similarity double"
     tested = materialize(item_words(items, item_key, item_text), "test-items")
-    shortest = tested.agg(F.min(F.size("words"))).first()[0]
-    if shortest is None:
+    total = tested.agg(F.sum(F.size("words"))).first()[0]
+    if total is None:
         return docs.sparkSession.createDataFrame([], schema)
-    grams = materialize(item_grams(tested), "test-grams")
-    least_words = math.ceil(similarity * shortest)
-    read = materialize(passages(docs, bit_table(grams), least_words, key, text), "passages")
-    seeds = materialize(rare_seeds(grams, read.where(F.col("gram").isNotNull())), "seeds")
-    found = read.where(F.col("gram").isNull()).select(
-        "doc", F.xxhash64("words").alias("p1"), F.xxhash64("words", F.lit(1)).alias("p2"), "words"
-    )
-    distinct = materialize(
-        found.groupBy("p1", "p2").agg(F.first("words").alias("words")), "distinct-passages"
-    )
-    shared = _passage_grams(distinct).join(seeds, "gram").withColumn(
-        "diagonal", F.col("place") - F.col("at")
-    )
-    window = F.floor(F.col("diagonal") / (2 * F.col("n_words")))
-    met = shared.groupBy("p1", "p2", "item", "version", window.alias("window")).agg(
-        F.min("diagonal").alias("low"), F.max("diagonal").alias("high")
-    )
-    pairs = met.join(distinct, ["p1", "p2"]).join(
-        tested.select("item", "version", F.col("words").alias("item_words")), ["item", "version"]
-    )
-    slack = F.ceil(F.size("item_words") / 2).cast("int")
-    low = F.greatest(F.col("low") - slack, F.lit(0)).cast("int")
-    size = (F.col("high") + F.size("item_words") + slack).cast("int") - low
-    cut = pairs.select("p1", "p2", "item", F.slice("words", low + 1, size).alias("part"), "item_words")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts, wanted = (
-                [row.values.to_numpy() for row in batch.column(c)] for c in ("part", "item_words")
-            )
-            scores = pa.array(align(parts, wanted))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("p1", "p2", "item")] + [scores],
-                ["p1", "p2", "item", "score"],
-            )
-
-    aligned = cut.mapInArrow(run, "p1 long, p2 long, item long, score double")
-    near = aligned.where(F.col("score") >= similarity).groupBy("p1", "p2", "item").agg(
-        F.max("score").alias("score")
-    )
-    holders = found.select("doc", "p1", "p2").distinct()
+    named = docs.select(F.col(key).cast("long").alias("_doc"), F.lower(text).alias("_text"))
+    groups = math.ceil(total / ITEM_WORDS)
+    found = []
+    for group in range(groups):
+        part = tested.where(F.pmod("version", F.lit(groups)) == group).toArrow()
+        if part.num_rows:
+            found.append(_leaks_of(named, seeds(part, similarity), similarity))
     return (
-        holders.join(materialize(near, "leaked-passages"), ["p1", "p2"])
+        reduce(DataFrame.unionAll, found)
         .groupBy(F.col("doc").alias(key), F.col("item").alias(item_key))
         .agg(F.max("score").alias("similarity"))
     )
