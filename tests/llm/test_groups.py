@@ -223,6 +223,20 @@ def test_leaks_of_edited_copies(spark):
     check_leaks(spark, rows, items, planted)
 
 
+def test_leaks_with_long_insertions_and_changed_ends(spark):
+    items = [(i, prose(9100 + i, n)) for i, n in enumerate((10, 38, 59))]
+    rows, planted = [], set()
+    for i, text in items[1:]:
+        words, added = text.split(), prose(9200 + i, 22).split()
+        half = len(words) // 2
+        rows.append((i, inside(i, [*words[:half], *added, *words[half:]])))
+        planted.add((i, i))
+    ends = items[0][1].split()
+    ends[2] = ends[7] = "changed"
+    rows += [(10, inside(10, ends)), (11, " ".join(ends)), (12, inside(12, ends[3:7]))]
+    check_leaks(spark, rows, items, planted | {(10, 0), (11, 0)})
+
+
 def test_leaks_of_nothing(spark):
     items = spark.createDataFrame([(1, "a short test item of words")], "item_id long, text string")
     assert leaks.leaks(empty(spark), items).count() == 0
