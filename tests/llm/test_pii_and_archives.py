@@ -85,6 +85,37 @@ def test_spans(spark, monkeypatch, size):
     assert not any(r["added"] for r in clean)
 
 
+def iban(i):
+    body = f"{10**17 + 7919 * i:018d}"
+    return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+
+
+def test_generated_kinds_are_added(spark):
+    """Spelled-out addresses, IPv6, accounts and phones without '+' are found, versions are not."""
+    rows, planted, versions = personal_rows(), {}, {}
+    rows += [(5000 + i, f"{prose(i, 8)} call +1 (437) 555-{1000 + i} or so") for i in range(200)]
+    for i in range(40):
+        groups = ":".join(f"{(i + 1) * 7919 * k % 65536:x}" for k in range(1, 9))
+        account = iban(i)
+        for k, (kind, body) in enumerate((
+            ("spelled_email", f"bob{i} (at) mail{i % 5} (dot) example (dot) org"), ("ip6", groups),
+            ("account", " ".join(account[j : j + 4] for j in range(0, 22, 4))),
+            ("number", f"(437) 555-{2000 + 3 * i}"), ("number", f"1 (437) 555-{3000 + 3 * i}"),
+        )):
+            before = prose(100 * i + k, 6) + " so "
+            rows.append((6000 + 10 * i + k, f"{before}{body} and more"))
+            planted[6000 + 10 * i + k] = kind, len(before), len(before) + len(body)
+        before = prose(i, 6) + " version "
+        versions[8000 + i] = f"{before}{2000 + i}.{i % 7}.300.{900 + i} is out"
+        versions[9000 + i] = f"{prose(i, 6)} at 12:{i}:45:10:{i} it was"
+    assert all(pii._mod_97(iban(i)) for i in range(40))
+    out = pii.spans(table(spark, rows + list(versions.items()))).collect()
+    added = {r["doc_id"]: [(a["kind"], a["start"], a["end"]) for a in r["added"]] for r in out}
+    missed = [d for d, span in planted.items() if span not in added[d]]
+    assert not missed, [(planted[d], added[d]) for d in missed[:5]]
+    assert not any(added[d] for d in versions)
+
+
 def test_digests(spark):
     rows = personal_rows()[:60]
     out = pii.digests(pii.spans(table(spark, rows))).collect()
