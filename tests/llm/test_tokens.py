@@ -137,6 +137,22 @@ def test_unigram_pieces_with_line_feeds():
     assert counter.count(texts) == wanted
 
 
+def test_unigram_counts_of_runs_of_spaces(spark, vocabulary):
+    code = ["    def f(x):\n        return  x\n\n\n\ta", "a      b", "  ", "   \n   ", "▁▁ a"]
+    texts = strings(5, 2000) + [t or "" for _, t in awkward()] + code + ["a" + " " * 99 + "b "]
+    texts += [t.replace("a", "  ") for t in strings(6, 500)]
+    reaching = (("▁", -1.0), ("a", -1.0), ("b", -2.0), ("a▁b", -1.5), ("▁▁", -1.5), ("\n▁▁", -1.2), ("\n", -1.0))
+    for pieces in (vocabulary, reaching, reaching[:5]):
+        library = unigram_library(pieces)
+        library.pre_tokenizer = pre_tokenizers.Metaspace(
+            replacement="▁", prepend_scheme="always", split=False
+        )
+        wanted = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert unigram.Counter(pieces, split=False).count(texts) == wanted
+    out = unigram.count_tokens(table(spark, [(1, "a      b")]), vocabulary, split=False).collect()
+    assert [r["n_tokens"] for r in out] == [3]
+
+
 def test_unigram_column(spark, vocabulary):
     out = unigram.count_tokens(clashing(table(spark), "n_tokens"), vocabulary).collect()
     counter = unigram.Counter(vocabulary)

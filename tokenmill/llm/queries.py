@@ -64,7 +64,7 @@ def op6_warc_segments(spark, sf_dir):
 def op7_unigram_counts(spark, sf_dir):
     """Token count of every document."""
     vocabulary = unigram.read_vocabulary(PIECES)
-    return unigram.count_tokens(texts(spark, sf_dir), vocabulary).drop("text")
+    return unigram.count_tokens(texts(spark, sf_dir), vocabulary, split=False).drop("text")
 
 
 def op8_line_crf(spark, sf_dir):

@@ -1,19 +1,22 @@
 """Token counts of a unigram vocabulary: best segmentation by dynamic programming, counts only.
 
-A text is cut like a word-start tokenizer does it: white-space marks begin pre-tokens, one mark
-stands before the text. Within a pre-token an Aho-Corasick automaton lists every vocabulary piece
-that ends at a character, longest first, and the program keeps the best sum of scores and its number
-of pieces per character. Of equal sums the longest last piece wins, which is the rule of the usual
+White space becomes marks, one mark stands before the text. With ``split`` every mark begins a
+pre-token, as word-start tokenizers cut; without it a text is one, as a model encodes it, and pieces
+may hold runs of marks. An Aho-Corasick automaton lists every vocabulary piece that ends at a
+character, longest first, and the program keeps the best sum of scores and its number of pieces per
+character. Of equal sums the longest last piece wins, which is the rule of the usual
 implementations. A character that no single-character piece covers may stand alone at the least
-score minus ten; it counts as its bytes.
+score minus ten; it counts as its bytes. Scores are the model file's, whatever they mean there.
 
-No piece reaches over a pre-token's start, so counts of pre-tokens add up exactly, and equal
-pre-tokens are counted once per worker. Line feeds, where no piece has one, cut pre-tokens further.
+Texts are cut further only where no piece can reach over, so counts of parts add up exactly, and
+equal parts are counted once per worker: before a run of marks, unless a piece has a mark after
+another character, and at line feeds, unless a piece has one.
 Texts are taken whole; null and empty ones have no tokens. Other columns are kept.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -44,13 +47,18 @@ def read_vocabulary(path: str) -> Vocabulary:
 
 
 class Counter:
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, split: bool = True):
+        self.split = split
         self.matches = ahocorasick.Automaton()
         for piece, score in vocabulary:
             self.matches.add_word(piece, (len(piece), score))
         self.matches.make_automaton()
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
         self.cut_lines = not any("\n" in piece for piece, _ in vocabulary)
+        cut_words = not any(MARK in piece.lstrip(MARK) for piece, _ in vocabulary)
+        start, inner = (f"[{MARK}\n]", "\n") if self.cut_lines else (MARK, "")
+        rest = f"{MARK}*[^{MARK}{inner}]*" if cut_words else f"[^{inner}]*" if inner else ".*"
+        self.parts = re.compile(start + rest, re.S)
         self.cache: dict[str, int] = {}
 
     def best(self, segment: str) -> tuple[float, int]:
@@ -78,12 +86,17 @@ class Counter:
     def _word(self, word: str) -> int:
         if self.cut_lines and word.startswith("\n"):
             return 1 + self.best(word[1:])[1]
+        if not self.split:
+            return self.best(word)[1]
         return self.best(MARK + word)[1]
 
     def words(self, text: str) -> list[str]:
-        """Pre-tokens without their mark; after a cut, with the line feed in its place."""
+        """Parts to count; of pre-tokens without their mark, after a cut with the line feed in its place."""
         if not text:
             return []
+        if not self.split:
+            text = text.replace(" ", MARK)
+            return self.parts.findall(text if text[0] == MARK else MARK + text)
         text = text.replace(MARK, " ")
         text = text[1:] if text[0] == " " else text
         return (text.replace("\n", " \n") if self.cut_lines else text).split(" ")
@@ -103,15 +116,17 @@ class Counter:
 
 
 @lru_cache(maxsize=2)
-def _counter(vocabulary: Vocabulary) -> Counter:
-    return Counter(vocabulary)
+def _counter(vocabulary: Vocabulary, split: bool) -> Counter:
+    return Counter(vocabulary, split)
 
 
-def count_tokens(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
+def count_tokens(
+    df: DataFrame, vocabulary: Vocabulary, text: str = "text", split: bool = True
+) -> DataFrame:
     """``df`` with ``n_tokens`` of every text."""
 
     def kernel(batch: pa.RecordBatch) -> list[pa.Array]:
-        counter, column = _counter(vocabulary), batch.column(text)
+        counter, column = _counter(vocabulary, split), batch.column(text)
         counts = []
         for lo, hi in row_pieces(text_bytes(column)[1]):
             counts += counter.count([t or "" for t in column.slice(lo, hi - lo).to_pylist()])
