@@ -1,3 +1,43 @@
 """SQL for the queries of this subpackage that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from tokenmill.llm import phrases
+
+_PHRASES = f"""with pieces as (
+  select lang, unnest(regexp_split_to_array(body, '[.,;:!?\\x0A-\\x0D]')) as piece from (
+    select coalesce(lang, 'und') as lang, translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body from documents)),
+words as (
+  select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w
+  from pieces),
+places as (
+  select lang, w, unnest(range(1, len(w) + 1)) as i from words),
+runs as (
+  select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase
+  from places cross join (select unnest(range(1, {phrases.MAX_WORDS + 1})) as k)
+  where i + k - 1 <= len(w)),
+counts as (select lang, k, phrase, count(*) as f from runs group by all),
+totals as (select lang, sum(f)::bigint as n from counts where k = 1 group by lang),
+candidates as (
+  select lang, k, phrase, f as a, string_split(phrase, ' ') as w from counts
+  where k >= 2 and f >= {phrases.MIN_COUNT}),
+cuts as (
+  select c.lang, c.phrase, c.k, c.w, c.a, j, x.f as l, y.f as r,
+    ({phrases.SCALE}::hugeint * c.a) // (x.f + y.f) as score
+  from (select *, unnest(range(1, k)) as j from candidates) c
+  join counts x on x.lang = c.lang and x.phrase = array_to_string(c.w[1 : j], ' ')
+  join counts y on y.lang = c.lang and y.phrase = array_to_string(c.w[j + 1 : c.k], ' ')),
+scored as (
+  select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+inner_parts as (
+  select lang, a, array_to_string(w[i : i + m - 1], ' ') as phrase
+  from (select *, unnest(range(1, k - m + 2)) as i
+    from (select *, unnest(range(2, k)) as m from candidates))),
+longest as (select lang, phrase, max(a) as most from inner_parts group by all),
+ranked as (
+  select s.*, row_number() over (partition by s.lang order by score desc, a desc, s.phrase) as rank
+  from scored s left join longest o on o.lang = s.lang and o.phrase = s.phrase
+  where o.most is null or 100::hugeint * o.most < {phrases.COVERED_PERCENT}::hugeint * s.a)
+select r.lang, r.rank::bigint as rank, r.phrase, r.a, r.l, r.r, t.n, r.score::bigint as score
+from ranked r join totals t on t.lang = r.lang where rank <= {phrases.TOP}"""
+
+ORACLES: dict[str, str] = {"op11_toivonen_phrases": _PHRASES}

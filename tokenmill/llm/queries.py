@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.llm import bpe, hash_tree, langid, leaks, line_crf, line_dedup, minmax, pii, unigram, warc
+from tokenmill.llm import bpe, hash_tree, langid, leaks, line_crf, line_dedup, minmax, phrases, pii, unigram, warc
 from tokenmill.llm.arrays import bound_batches
 from tokenmill.session import new_path
 
@@ -96,11 +96,17 @@ def op10_ecoc_language(spark, sf_dir):
     return langid.predict(tested, model).drop("text")
 
 
+def op11_toivonen_phrases(spark, sf_dir):
+    """The strongest phrases of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minmax_dedup, op2_seeded_alignment, op3_pii_boosting, op4_byte_bpe, op5_line_dedup,
         op6_warc_segments, op7_unigram_counts, op8_line_crf, op9_hash_tree, op10_ecoc_language,
+        op11_toivonen_phrases,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
