@@ -192,6 +192,32 @@ def row_pieces(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, i
         lo = hi
 
 
+def text_slabs(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, pa.Array]]:
+    """(number of the first row, texts): whole rows of about ``limit`` bytes in all, or part of one.
+
+    A row of more than twice the limit comes in several arrays of one text each, cut in front of white
+    space, so that no word is cut.
+    """
+    data, offsets = text_bytes(column)
+    for lo, hi in row_pieces(offsets, limit):
+        at, end = int(offsets[lo]), int(offsets[hi])
+        if hi - lo > 1 or end - at <= 2 * limit:
+            yield lo, _texts(data[at:end], offsets[lo : hi + 1] - at)
+            continue
+        while at < end:
+            cut = min(at + limit, end)
+            while cut < end and not SPACE[data[cut]]:
+                found = np.flatnonzero(SPACE[data[cut : min(cut + limit, end)]])
+                cut = cut + int(found[0]) if len(found) else min(cut + limit, end)
+            yield lo, _texts(data[at:cut], np.array([0, cut - at]))
+            at = cut
+
+
+def _texts(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, buffers)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of BATCH_BYTES or one row, unless the session has a setting of its own.
 

@@ -1,6 +1,6 @@
 """SQL for the queries of this subpackage that SQL can express."""
 
-from tokenmill.llm import phrases
+from tokenmill.llm import filter_audit, phrases
 
 _PHRASES = f"""with pieces as (
   select lang, unnest(regexp_split_to_array(body, '[.,;:!?\\x0A-\\x0D]')) as piece from (
@@ -40,4 +40,53 @@ ranked as (
 select r.lang, r.rank::bigint as rank, r.phrase, r.a, r.l, r.r, t.n, r.score::bigint as score
 from ranked r join totals t on t.lang = r.lang where rank <= {phrases.TOP}"""
 
-ORACLES: dict[str, str] = {"op11_toivonen_phrases": _PHRASES}
+_AUDIT = f"""with texts as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+split as (
+  select *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+  from texts),
+marks as (
+  select doc_id, part,
+    (len(w) < {filter_audit.MIN_WORDS})::int
+    + 2 * (100 * len(list_distinct(w)) < {filter_audit.DISTINCT_PERCENT} * len(w))::int
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g'))
+      > {filter_audit.CAPITALS_PERCENT} * length(t))::int
+    + 8 * regexp_matches(t, '[#$%&*|]')::int
+    + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int as failed
+  from split),
+known as (
+  select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic
+  from labels group by doc_id),
+counts as (
+  select part, failed, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic
+  from marks left join known using (doc_id) group by part, failed),
+letters as (select unnest(range(5)) as i),
+orders as (
+  select [a.i, b.i, c.i, d.i, e.i] as o from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps as (
+  select o, step, o[step] as i, list_sum(list_transform(o[1 : step - 1], lambda x: 1 << x)) as earlier
+  from (select o, unnest(range(1, 6)) as step from orders)),
+masks as (
+  select array_to_string(list_transform(o, lambda x: chr((65 + x)::int)), '') as filter_order,
+    step::int as step, 1 << i as own, coalesce(earlier, 0)::int as earlier from steps),
+rows as (
+  select part, filter_order, step, own,
+    sum(n) filter (failed & (earlier | own) = 0) as kept,
+    sum(n) filter (failed & own <> 0 and failed & earlier = 0) as removed,
+    sum(n) filter (failed & own <> 0 and failed & earlier <> 0) as redundant,
+    sum(n) filter (failed = own) as unique_fails,
+    sum(good) filter (failed & own <> 0 and failed & earlier = 0) as good_lost,
+    sum(toxic) filter (failed & own <> 0 and failed & earlier = 0) as toxic_lost
+  from counts cross join masks group by all)
+select part, filter_order, step, coalesce(kept, 0)::bigint as kept,
+  coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant,
+  coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost,
+  coalesce(toxic_lost, 0)::bigint as toxic_lost,
+  sum(coalesce(removed, 0)) over (partition by part, own)::bigint as shapley
+from rows"""
+
+ORACLES: dict[str, str] = {
+    "op11_toivonen_phrases": _PHRASES,
+    "op13_filter_potential": _AUDIT,
+}

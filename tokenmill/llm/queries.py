@@ -7,7 +7,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.llm import bpe, hash_tree, langid, leaks, line_crf, line_dedup, minmax, phrases, pii, unigram, warc
+from tokenmill.llm import (
+    bpe, filter_audit, hash_tree, langid, leaks, line_crf, line_dedup, minmax, phrases, pii, secrets,
+    unigram, warc,
+)
 from tokenmill.llm.arrays import bound_batches
 from tokenmill.session import new_path
 
@@ -101,12 +104,24 @@ def op11_toivonen_phrases(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_trigram_secrets(spark, sf_dir):
+    """Counts and places of secrets in every document."""
+    return secrets.digests(secrets.spans(texts(spark, sf_dir)))
+
+
+def op13_filter_potential(spark, sf_dir):
+    """What five filters remove, by language, order and step."""
+    failures = filter_audit.failed_filters(table(spark, sf_dir, "documents"))
+    labels = table(spark, sf_dir, "labels")
+    return filter_audit.audit(filter_audit.count_failures(failures, labels))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minmax_dedup, op2_seeded_alignment, op3_pii_boosting, op4_byte_bpe, op5_line_dedup,
         op6_warc_segments, op7_unigram_counts, op8_line_crf, op9_hash_tree, op10_ecoc_language,
-        op11_toivonen_phrases,
+        op11_toivonen_phrases, op12_trigram_secrets, op13_filter_potential,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
