@@ -471,6 +471,12 @@ from total, range(3) as a(rank), range(greatest(n // 1024, 1)) as b(d)""",
     "sequential_batches": epoch(ids=False),
     "cached_windows": windows("train", SEED, 0, 1, ids=True),
     "cached_epoch": epoch(ids=True),
+    "flat_token_cache": TOKEN_CACHE,
+    "flat_windows": windows("train", SEED, 0, 1, ids=True),
+    "flat_sft_cache": with_(*SFT)
+    + f"""select row_number() over (order by conv_id) - 1 as index, start, n::int as length,
+  {joined('ids')} as ids_md5, {joined('labels')} as labels_md5, (sum(n) over ())::bigint as num_tokens
+from sft""",
     "context_tail": with_(LINES) + f"select doc_id, right(line, {BLOCK}) as tail from lines",
     "token_budget": with_(LINES, PLACED, TOTAL)
     + f"""select plan, cut as train_tokens, n - cut as val_tokens, n as dataset_tokens,

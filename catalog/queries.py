@@ -16,7 +16,7 @@ from tokenmill.plans import corpus as corpus_plan
 from tokenmill.plans import export
 from tokenmill.plans import sft as sft_plan
 from tokenmill.session import materialize, new_path
-from tokenmill.sources import cache, files
+from tokenmill.sources import cache, files, flat
 from tokenmill.sources import splits as named_splits
 from tokenmill.streaming import sinks
 
@@ -546,6 +546,52 @@ def cached_windows(spark, sf_dir):
     )
 
 
+def _flat(spark, sf_dir):
+    rows, known = _cached(spark, sf_dir)
+    prefix = new_path(spark, "flat")
+    return prefix, corpus_plan.write_flat_cache(rows, known, prefix)
+
+
+def flat_token_cache(spark, sf_dir):
+    """The cache as one flat file, read back in ranges of bytes."""
+    prefix, known = _flat(spark, sf_dir)
+    rows = flat.read_tokens(spark, prefix, split_bytes=1 << 20)
+    return rows.select(
+        "chunk_id",
+        F.size("ids").alias("n"),
+        digest(F.col("ids")).alias("ids_md5"),
+        F.lit(known["num_tokens"]).cast("long").alias("num_tokens"),
+    )
+
+
+def flat_windows(spark, sf_dir):
+    """Windows of ids that tasks read from the flat file, over the train part of the stream."""
+    prefix, known = _flat(spark, sf_dir)
+    cut = int(known["num_tokens"] * TRAIN_FRACTION)
+    drawn = corpus_plan.flat_windows(
+        spark, prefix, (0, cut), max(cut // 1024, 1), BATCH_ROWS, BLOCK, SEED, accumulate=2
+    )
+    return drawn.select(
+        "step", "micro", "row", "start",
+        digest(F.col("x")).alias("x_md5"), digest(F.col("y")).alias("y_md5"),
+    )
+
+
+def flat_sft_cache(spark, sf_dir):
+    """Fine-tuning rows as flat files of ids, labels and offsets, read back in ranges of bytes."""
+    turns = table(spark, sf_dir, "conversations")
+    rows, known = sft_plan.sft_cache(
+        spark, turns, sft_plan.chat_vocabulary(turns), new_path(spark, "caches"), "conversations", MAX_LEN
+    )
+    prefix = new_path(spark, "flat")
+    written = sft_plan.write_flat_cache(rows, known, prefix)
+    return flat.read_examples(spark, prefix, split_bytes=1 << 18).select(
+        "index", "start", "length",
+        digest(F.col("input_ids")).alias("ids_md5"), digest(F.col("labels")).alias("labels_md5"),
+        F.lit(written["num_tokens"]).cast("long").alias("num_tokens"),
+    )
+
+
 def cached_epoch(spark, sf_dir):
     """One sequential pass of batches over the cache."""
     rows, known = _cached(spark, sf_dir)
@@ -952,7 +998,7 @@ QUERIES = {
         sft_examples, sft_subword_examples, sft_padded, sft_offsets, sft_cache, sft_split_caches, sft_file_caches,
         sft_batches,
         token_positions, token_chunks, token_cache, file_token_cache, cached_windows,
-        cached_epoch,
+        cached_epoch, flat_token_cache, flat_windows, flat_sft_cache,
         position_split, split_token_counts,
         train_windows, val_windows, sharded_starts, sequential_batches, context_tail,
         token_budget, length_stats, sft_length_stats, supervised_stats, vector_parity, match_rate,

@@ -31,6 +31,7 @@ from tokenmill.operators.windows import (
     window_starts,
 )
 from tokenmill.session import materialize
+from tokenmill.sources import flat
 from tokenmill.sources.cache import data_identity, reuse_or_build
 
 CONTENT = "content"
@@ -132,6 +133,14 @@ def token_cache(
     return reuse_or_build(spark, root, "tokens", parameters, build, F.size("ids"), rebuild)
 
 
+def write_flat_cache(cache: DataFrame, known: dict, prefix: str) -> dict:
+    """Write a token cache as one flat file (see ``sources.flat``); returns its manifest."""
+    return flat.write_tokens(
+        cache, prefix, int(known["chunk_size"]), source_file=known["source"],
+        split_name=known["split"], tokenizer=known["tokenizer"],
+    )
+
+
 def training_windows(
     spark: SparkSession,
     stream: Stream,
@@ -179,6 +188,24 @@ def cached_windows(
     return _pairs(found, "ids", block)
 
 
+def flat_windows(
+    spark: SparkSession,
+    prefix: str,
+    tokens: tuple[int, int],
+    draws: int,
+    batch: int,
+    block: int,
+    seed: int,
+    accumulate: int = 1,
+    rank: int = 0,
+    world: int = 1,
+) -> DataFrame:
+    """The same draws from a flat file: the draws move, and only the ids that they ask for are read."""
+    starts = _named_starts(spark, tokens, draws, batch, block, seed, accumulate, rank, world)
+    found = flat.gather(starts.withColumn("start", F.col("start") + tokens[0]), prefix, block + 1, tokens)
+    return _pairs(found, "ids", block)
+
+
 def cached_epoch(
     spark: SparkSession, cache: DataFrame, size: int, tokens: int, rows: int, block: int
 ) -> DataFrame:

@@ -22,6 +22,7 @@ from tokenmill.operators.splits import row_split
 from tokenmill.operators.tokens import CharTokenizer, Tokenizer
 from tokenmill.operators.windows import micro_batches
 from tokenmill.session import materialize
+from tokenmill.sources import flat
 from tokenmill.sources.cache import data_identity, reuse_or_build
 
 
@@ -140,16 +141,18 @@ def sft_file_caches(
     max_len: int,
     fields: tuple[str, str] = ("prompt", "response"),
     rebuild: bool = False,
+    versions: dict[str, str] | None = None,
 ) -> dict[str, tuple[DataFrame, dict]]:
     """A cache per side from examples that were brought apart, a train and a validation file say.
 
-    ``sides`` are tables with a key (see ``number_rows``) and the two fields. Fails if a side has
-    no usable row.
+    ``sides`` are tables with a key (see ``number_rows``) and the two fields; ``versions`` may name
+    the data of a side instead of having it looked at. Fails if a side has no usable row.
     """
     caches = {}
     for name, raw in sides.items():
         parameters = {
-            "source": sources[name], "version": data_identity(raw), "split": name,
+            "source": sources[name], "split": name,
+            "version": (versions or {}).get(name) or data_identity(raw),
             "max_len": max_len, "fields": list(fields),
         }
 
@@ -162,6 +165,16 @@ def sft_file_caches(
     return caches
 
 
+def write_flat_cache(rows: DataFrame, known: dict, prefix: str) -> dict:
+    """Write a fine-tuning cache as flat files (see ``sources.flat``); returns their manifest."""
+    fields = known.get("fields") or ["prompt", "response"]
+    return flat.write_examples(
+        with_index(rows, known["key"]), prefix, source_file=known["source"],
+        split_name=known["split"], tokenizer=known["tokenizer"], max_seq_len=int(known["max_len"]),
+        prompt_field=fields[0], response_field=fields[1],
+    )
+
+
 def sft_batches(
     spark: SparkSession,
     rows: DataFrame,

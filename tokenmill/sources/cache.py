@@ -7,6 +7,7 @@ import json
 import re
 import uuid
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -20,25 +21,67 @@ def fingerprint(parameters: dict) -> str:
     return hashlib.md5(text.encode("utf-8")).hexdigest()
 
 
+# Parts of a plan that its description does not pin down: code, rows in memory, other sources.
+_OPAQUE = re.compile(
+    r"Python|Scala(UDF|UDAF|Aggregator)|LogicalRDD|LocalRelation|MapIn|MapPartitions|"
+    r"MapElements|FlatMap|CoGroup|TypedFilter|ScriptTransformation|DataSourceV2|StreamingRelation|"
+    r"Subquery$|ListQuery|^Exists$|HiveTable|^Rand|^Uuid$|^Shuffle$"
+)
+_EXPRESSION_ID = re.compile(r'"id":(\d+),"jvmId":"[^"]*"')
+
+
 def data_identity(df: DataFrame) -> str:
     """Digest of what a table holds: its files with their lengths and times, and its plan.
 
-    A table that is not made of files alone is identified by the sum of its rows' hashes, which
-    reads it once.
+    The plan counts with all its expressions and with the format and options of what it reads. A
+    table that is not made of files and built-in functions alone is identified by the sum of its
+    rows' hashes, which reads it once.
     """
-    plan = re.sub(r"#\d+L?", "#", df._jdf.queryExecution().analyzed().toString())
-    files = sorted(df.inputFiles())
-    if not files or re.search("LocalRelation|LogicalRDD", plan):
-        hashed = F.xxhash64(*df.columns).cast("decimal(20,0)")
-        row = df.agg(F.count(F.lit(1)), F.sum(hashed), F.bit_xor(F.xxhash64(*df.columns, F.lit(1))))
-        return fingerprint({"columns": df.columns, "rows": [str(x) for x in row.first()]})
-    spark = df.sparkSession
-    digest = hashlib.md5(plan.encode("utf-8"))
-    for name in files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
-        digest.update(f"{name}:{status.getLen()}:{status.getModificationTime()}\n".encode())
-    return digest.hexdigest()
+    plan = df._jdf.queryExecution().analyzed()
+    described = plan.toJSON()
+    classes = {c.rsplit(".", 1)[-1] for c in re.findall(r'"class":"([^"]+)"', described)}
+    files = df.inputFiles()
+    if not files or any(map(_OPAQUE.search, classes)):
+        return _row_identity(df)
+    leaves = plan.collectLeaves()
+    read = [_read_as(leaves.apply(i)) for i in range(leaves.size())]
+    if None in read:
+        return _row_identity(df)
+    numbers: dict[str, int] = {}  # expressions by their first mention, alike in every session
+
+    def number(found: re.Match) -> str:
+        return f'"id":{numbers.setdefault(found[1], len(numbers))}'
+
+    described = _EXPRESSION_ID.sub(number, described)
+    return fingerprint({"plan": described, "read": read, "files": _file_identity(df, files)})
+
+
+def _read_as(leaf) -> str | None:
+    """Format and options of a relation; None if it is not made of files."""
+    relation = leaf.relation() if leaf.getClass().getSimpleName() == "LogicalRelation" else None
+    if relation is None or relation.getClass().getSimpleName() != "HadoopFsRelation":
+        return None
+    pairs, options = relation.options().iterator(), []
+    while pairs.hasNext():
+        options.append(pairs.next().toString())
+    return f"{relation.fileFormat().getClass().getName()} {sorted(options)}"
+
+
+def _file_identity(df: DataFrame, files: list[str]) -> list[str]:
+    """Sums over the files' names, lengths and times; Spark lists them, in parallel if they are many."""
+    literal = [re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(name)) for name in files]
+    listed = df.sparkSession.read.format("binaryFile").load(literal)
+    return _sums(listed.select("path", "length", "modificationTime").distinct())
+
+
+def _row_identity(df: DataFrame) -> str:
+    return fingerprint({"columns": df.columns, "rows": _sums(df)})
+
+
+def _sums(rows: DataFrame) -> list[str]:
+    hashed = F.xxhash64(*rows.columns).cast("decimal(20,0)")
+    other = F.bit_xor(F.xxhash64(*rows.columns, F.lit(1)))
+    return [str(x) for x in rows.agg(F.count(F.lit(1)), F.sum(hashed), other).first()]
 
 
 def manifest(spark: SparkSession, entries: dict) -> DataFrame:
