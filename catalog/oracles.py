@@ -472,6 +472,8 @@ from total, range(3) as a(rank), range(greatest(n // 1024, 1)) as b(d)""",
     "cached_windows": windows("train", SEED, 0, 1, ids=True),
     "cached_epoch": epoch(ids=True),
     "flat_token_cache": TOKEN_CACHE,
+    "bucketed_windows": windows("train", SEED, 0, 1, ids=True),
+    "grown_token_cache": TOKEN_CACHE,
     "flat_windows": windows("train", SEED, 0, 1, ids=True),
     "flat_sft_cache": with_(*SFT)
     + f"""select row_number() over (order by conv_id) - 1 as index, start, n::int as length,

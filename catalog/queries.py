@@ -13,7 +13,7 @@ from tokenmill.operators import splits as row_splits
 from tokenmill.operators import stream as token_streams
 from tokenmill.operators import tokens, windows
 from tokenmill.plans import corpus as corpus_plan
-from tokenmill.plans import export
+from tokenmill.plans import export, growing
 from tokenmill.plans import sft as sft_plan
 from tokenmill.session import materialize, new_path
 from tokenmill.sources import cache, files, flat
@@ -592,6 +592,38 @@ def flat_sft_cache(spark, sf_dir):
     )
 
 
+def bucketed_windows(spark, sf_dir):
+    """Windows of ids from a cache in buckets, which stays where it is."""
+    rows, known = _cached(spark, sf_dir)
+    rows = corpus_plan.bucketed_cache(rows, known, new_path(spark, "buckets"))
+    cut = int(known["num_tokens"] * TRAIN_FRACTION)
+    drawn = corpus_plan.cached_windows(
+        spark, rows, 1024, (0, cut), max(cut // 1024, 1), BATCH_ROWS, BLOCK, SEED, accumulate=2
+    )
+    return drawn.select(
+        "step", "micro", "row", "start",
+        digest(F.col("x")).alias("x_md5"), digest(F.col("y")).alias("y_md5"),
+    )
+
+
+def grown_token_cache(spark, sf_dir):
+    """The cache from two folders of text lines, of which the second one comes later."""
+    lines, folder = corpus(spark, sf_dir), new_path(spark, "lines")
+    low, high = table(spark, sf_dir, "documents").agg(F.min("doc_id"), F.max("doc_id")).first()
+    early = F.col("doc_id") <= (low + high) // 2
+    arguments = spark, f"{folder}/*", fitted(spark, sf_dir), new_path(spark, "caches")
+    files.write_lines(lines.where(early), f"{folder}/a", key="doc_id")
+    growing.refresh(*arguments)
+    files.write_lines(lines.where(~early), f"{folder}/b", key="doc_id")
+    stream, known = growing.refresh(*arguments)
+    return token_streams.token_chunks(stream, 1024).select(
+        "chunk_id",
+        F.size("ids").alias("n"),
+        digest(F.col("ids")).alias("ids_md5"),
+        F.lit(known["num_tokens"]).cast("long").alias("num_tokens"),
+    )
+
+
 def cached_epoch(spark, sf_dir):
     """One sequential pass of batches over the cache."""
     rows, known = _cached(spark, sf_dir)
@@ -998,7 +1030,8 @@ QUERIES = {
         sft_examples, sft_subword_examples, sft_padded, sft_offsets, sft_cache, sft_split_caches, sft_file_caches,
         sft_batches,
         token_positions, token_chunks, token_cache, file_token_cache, cached_windows,
-        cached_epoch, flat_token_cache, flat_windows, flat_sft_cache,
+        cached_epoch, flat_token_cache, flat_windows, flat_sft_cache, bucketed_windows,
+        grown_token_cache,
         position_split, split_token_counts,
         train_windows, val_windows, sharded_starts, sequential_batches, context_tail,
         token_budget, length_stats, sft_length_stats, supervised_stats, vector_parity, match_rate,

@@ -32,9 +32,10 @@ from tokenmill.operators.windows import (
 )
 from tokenmill.session import materialize
 from tokenmill.sources import flat
-from tokenmill.sources.cache import data_identity, reuse_or_build
+from tokenmill.sources.cache import data_identity, reuse_or_build, write_bucketed
 
 CONTENT = "content"
+BUCKET_BYTES = 256 << 20
 
 
 def corpus_vocabulary(df: DataFrame, key: str, text_field: str = "text") -> CharTokenizer:
@@ -188,6 +189,20 @@ def cached_windows(
     return _pairs(found, "ids", block)
 
 
+def bucketed_cache(
+    cache: DataFrame, known: dict, path: str, buckets: int | None = None
+) -> DataFrame:
+    """A token cache in files by a hash of the chunk number, for many draws: see ``write_bucketed``.
+
+    ``cached_windows`` then shuffles draws and what they ask for, never the cache. There are as many
+    buckets as make files of about BUCKET_BYTES, and no fewer than shuffles have partitions.
+    """
+    if buckets is None:
+        least = int(cache.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(-(-int(known["num_tokens"]) * 4 // BUCKET_BYTES), least)
+    return write_bucketed(cache, path, "chunk_id", buckets)
+
+
 def flat_windows(
     spark: SparkSession,
     prefix: str,

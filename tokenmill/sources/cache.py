@@ -139,3 +139,32 @@ def reuse_or_build(
         }
         write_manifest(spark, known, f"{path}/manifest")
     return spark.read.parquet(known["data"]), known
+
+
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """``df`` written in ``buckets`` files by a hash of ``key``, sorted by it, and read with that known.
+
+    A join on the key then leaves the table where it is and moves the other side alone.
+    """
+    spark = df.sparkSession
+    dealt = df.repartition(buckets, key)
+    writer = dealt.write.bucketBy(buckets, key).sortBy(key).option("path", path)
+    writer.format("parquet").saveAsTable(_table_name(path))
+    return spark.table(_table_name(path))
+
+
+def read_bucketed(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
+    """A table that ``write_bucketed`` has written, in another session say."""
+    name = _table_name(path)
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+        place = path.replace("'", "\\'")
+        spark.sql(
+            f"create table {name} ({columns}) using parquet clustered by (`{key}`) sorted by (`{key}`)"
+            f" into {buckets} buckets location '{place}'"
+        )
+    return spark.table(name)
+
+
+def _table_name(path: str) -> str:
+    return f"bucketed_{fingerprint({'path': path})}"

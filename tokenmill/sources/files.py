@@ -72,7 +72,7 @@ def _source_order() -> list[Column]:
     ]
 
 
-def read_lines(spark: SparkSession, path: str, keyed: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], keyed: bool = False) -> DataFrame:
     """(line) of text files; line feed, carriage return and both together end a line.
 
     ``keyed`` adds SOURCE_ORDER, by which the rows have the order of the source.
@@ -81,11 +81,11 @@ def read_lines(spark: SparkSession, path: str, keyed: bool = False) -> DataFrame
     return spark.read.text(path).select(*order, F.col("value").alias("line"))
 
 
-def number_rows(rows: DataFrame, out: str = "row") -> DataFrame:
+def number_rows(rows: DataFrame, out: str = "row", keep: Sequence[str] = ()) -> DataFrame:
     """Rows of a keyed read with their number from 0 in source order: a key for everything else.
 
-    The rows are written once, which fixes ``seq``. Rows of one part of a file are numbered
-    without gaps, so a number is the count of rows in earlier parts plus an offset; the window
+    ``keep`` names columns of SOURCE_ORDER that stay. The rows are written once, which fixes
+    ``seq``. Rows of one part of a file are numbered without gaps, so a number is the count of rows in earlier parts plus an offset; the window
     runs over one row per part.
     """
     written = materialize(rows, "rows")
@@ -96,7 +96,7 @@ def number_rows(rows: DataFrame, out: str = "row") -> DataFrame:
     bases = parts.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     joined = written.join(materialize(bases, "parts"), ["file", "block"])
     number = F.col("_base") + F.col("seq") - F.col("_first")
-    others = [c for c in rows.columns if c not in SOURCE_ORDER]
+    others = [c for c in rows.columns if c not in SOURCE_ORDER or c in keep]
     return joined.select(number.alias(out), *others)
 
 
