@@ -4,12 +4,14 @@ A sample of the documents proposes phrases that may be frequent. The full pass c
 and their negative border: all phrases of the corpus whose first and last parts (one word shorter)
 are both proposed, every single word among them. All occurrences are counted, so results do not
 depend on the sample. A frequent phrase of the border that was not proposed is a failure: phrases
-around it were not counted. Failures are then proposed as well and another pass counts the new
-phrases alone, until no failure is left; phrases of ``max_words`` words cannot fail, so there are at
-most ``max_words`` passes over the whole corpus.
-
-Proposals travel as bitmaps of hashed phrases, one per phrase length, of 2 ** MOST_BITS bits (8 MB)
-at most, however many phrases there are. A phrase that shares its bit with a proposed one is counted
+around it were not counted. An expansion pass then counts all phrases whose parts are frequent or, not
+being counted yet, may be: these parts are in turn made of such parts. So whatever is frequent has been
+counted after it, and the set is closed. Most phrases of a border occur once, so these passes count
+61-bit hashes and no strings; a last pass counts the words of all phrases whose hash is frequent, by
+which a shared hash costs time but never changes a count.
+
+Proposed and frequent hashes travel as bitmaps, one per phrase length, of 2 ** MOST_BITS bits (8 MB)
+at most, however many phrases there are. A phrase that shares its bit with another one is counted
 without need, never the other way round; a full bitmap means that everything is counted.
 
 Text is lower-cased (A-Z), split at ``.,;:!?`` and line breaks into pieces and those at blanks and
@@ -44,11 +46,12 @@ TOP = 2000
 SCALE = 2_000_000
 NO_LANGUAGE = "und"
 
-SLAB = 2 << 20
+SLAB = 1 << 20
 _BLANK, _BREAK = 32, 10
 _PLAIN = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9
 )
+HASH_BITS = 61  # a key is the phrase's length above so many bits of its hash
 COUNTS = "lang string, words int, phrase string, n long"
 Bits = dict[int, tuple[np.ndarray, int]]  # phrase length -> (bitmap, log2 of its bits)
 
@@ -122,9 +125,15 @@ def _extend(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix(hashes * ODD + words)
 
 
+def _keys(hashes: np.ndarray, words: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - HASH_BITS)) | np.uint64(words << HASH_BITS)
+
+
 def _holds(bits: tuple[np.ndarray, int], hashes: np.ndarray) -> np.ndarray:
+    """Whether the bits of hashes (or of keys) are set."""
     bitmap, log = bits
-    at = hashes >> np.uint64(64 - log)
+    low = hashes & np.uint64((1 << HASH_BITS) - 1)
+    at = low >> np.uint64(HASH_BITS - log)
     return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -147,6 +156,16 @@ class _Slab:
         self.lang = languages[rows]
         self.word_hashes = _hashes(words)[self.codes] if words else np.zeros(0, np.uint64)
         self.first_hashes = mix(self.word_hashes + language_hashes[self.lang])
+        self._grown = 1, self.first_hashes
+
+    def hashes(self, words: int) -> np.ndarray:
+        """Hashes of all phrases of ``words`` words, over breaks as well; asked for in rising order."""
+        length, hashes = self._grown
+        while length < words:
+            hashes = _extend(hashes[:-1], self.word_hashes[length:])
+            length += 1
+        self._grown = length, hashes
+        return hashes
 
     def phrases(self, at: np.ndarray, words: int) -> pa.Array:
         """The phrases of ``words`` words that begin at the given words."""
@@ -158,71 +177,75 @@ class _Slab:
         return pa.Array.from_buffers(pa.string(), len(at), buffers)
 
 
-def _counted(slab: _Slab, levels: range, bits: Bits, old: Bits | None, carried: int) -> Iterator:
-    """(words, first places, counts) of the slab's phrases that are to be counted, by length."""
+def _bordered(slab: _Slab, levels: range, bits: Bits, frequent: Bits | None, carried: int) -> Iterator:
+    """(keys, counts) of the slab's phrases that are to be counted, by length.
+
+    The border of ``bits``; given the ``frequent`` phrases of that, its expansion instead.
+    """
     n = len(slab.starts)
-    key = slab.lang * slab.distinct + slab.codes
-    hashes = slab.first_hashes
-    now = np.ones(n, bool)  # counted in this pass or an earlier one
-    before = np.full(n, old is not None)  # counted in an earlier pass
-    for words in range(1, levels.stop):
-        if words > 1:
-            last = n - words + 1
-            if last <= 0:
-                return
-            together = slab.piece[:last] == slab.piece[words - 1 :]
-            now, before = (
-                _both_parts(flags, hashes, known, words - 1) & together
-                for flags, known in ((now, bits), (before, old))
-            )
-            key = key[:last] * slab.distinct + slab.codes[words - 1 :]
-            hashes = _extend(hashes[:last], slab.word_hashes[words - 1 :])
-        wanted = now & ~before
-        wanted[: max(0, carried - words + 1)] = False
-        at = np.flatnonzero(now)
-        if not len(at):
+    keys = _keys(slab.first_hashes, 1)
+    border = np.ones(n, bool)  # counted with the border of ``bits``
+    open_ones = np.zeros(n, bool)  # counted by the expansion
+    if 1 in levels and frequent is None:
+        yield _summed(slab, carried)
+    for words in range(2, levels.stop):
+        last = n - words + 1
+        if last <= 0 or not (border | open_ones).any():
             return
-        distinct, first, number, counts = np.unique(
-            key[at], return_index=True, return_inverse=True, return_counts=True
-        )
-        key = np.zeros(len(key), np.int64)
-        key[at] = number
+        together = slab.piece[:last] == slab.piece[words - 1 :]
+        proposed = _member(border, keys, bits, words - 1)
+        may_be = open_ones
+        if frequent is not None:
+            may_be = open_ones | _member(border, keys, frequent, words - 1)
+        open_ones = may_be[:-1] & may_be[1:] & together
+        border = proposed[:-1] & proposed[1:] & together
+        keys = _keys(slab.hashes(words), words)
         if words in levels:
-            own = wanted[at]
-            if not own.all():
-                counts = np.bincount(number[own], minlength=len(distinct))
-            some = counts > 0
-            yield words, at[first[some]], counts[some]
-
-
-def _both_parts(flags: np.ndarray, hashes: np.ndarray, bits: Bits | None, words: int) -> np.ndarray:
-    """Whether the phrases without their last and without their first word are both proposed."""
-    if bits is None:
-        return np.zeros(len(flags) - 1, bool)
-    if words in bits:
-        flags = flags.copy()
-        at = np.flatnonzero(flags)
-        flags[at] = _holds(bits[words], hashes[at])
-    return flags[:-1] & flags[1:]
+            wanted = border.copy() if frequent is None else open_ones & ~border
+            wanted[: max(0, carried - words + 1)] = False
+            yield keys[wanted], np.ones(int(wanted.sum()), np.int64)
+        open_ones &= ~border
+
+
+def _summed(slab: _Slab, carried: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of single words."""
+    pairs = slab.lang[carried:] * slab.distinct + slab.codes[carried:]
+    pairs, first, counts = np.unique(pairs, return_index=True, return_counts=True)
+    return _keys(slab.first_hashes[carried:][first], 1), counts
+
+
+def _member(flags: np.ndarray, keys: np.ndarray, bits: Bits, words: int) -> np.ndarray:
+    """Flagged keys that are in ``bits``, if it knows the length."""
+    if words not in bits:
+        return flags
+    out = np.zeros(len(flags), bool)
+    at = np.flatnonzero(flags)
+    out[at] = _holds(bits[words], keys[at])
+    return out
 
 
-def count_phrases(
-    docs: DataFrame,
-    text: str,
-    lang: str,
-    levels: range,
-    bits: Bits,
-    old: Bits | None = None,
-) -> DataFrame:
-    """(lang, words, phrase, n): exact counts of the phrases with as many words as ``levels`` says.
+def _flagged(slab: _Slab, frequent: Bits, carried: int) -> Iterator:
+    """(words, first places, counts) of the slab's phrases whose hash is frequent, by length."""
+    n = len(slab.starts)
+    for words in sorted(frequent):
+        last = n - words + 1
+        if last <= 0:
+            return
+        flags = slab.piece[:last] == slab.piece[words - 1 :]
+        flags[: max(0, carried - words + 1)] = False
+        at = np.flatnonzero(flags)
+        at = at[_holds(frequent[words], _keys(slab.hashes(words), words)[at])]
+        key = slab.lang[at] * slab.distinct + slab.codes[at]
+        for k in range(1, words):
+            key = np.unique(key, return_inverse=True)[1] * slab.distinct + slab.codes[at + k]
+        _, first, counts = np.unique(key, return_index=True, return_counts=True)
+        yield words, at[first], counts
 
-    Only phrases whose parts are in ``bits`` are counted, for the lengths that it has, and of these
-    only those that ``old`` does not lead to. Length 1 brings a row of 0 words with the total.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((bits, old))
+
+def _slab_rows(docs: DataFrame, text: str, lang: str, overlap: int, kernel, schema: str) -> DataFrame:
+    """What ``kernel`` makes of all slabs; it gets a slab, the words carried over and the languages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, earlier = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -231,21 +254,48 @@ def count_phrases(
             language_hashes = _hashes([x.encode() for x in names.to_pylist()])
             row_lang = langs.indices.to_numpy().astype(np.int64)
             data, offsets = text_bytes(batch.column("text"))
-            for raw, starts, row, carried in _slabs(data, offsets, levels.stop - 2):
+            for raw, starts, row, carried in _slabs(data, offsets, overlap):
                 slab = _Slab(raw, starts, row_lang[row:], language_hashes)
-                if not len(slab.starts):
-                    continue
-                if 1 in levels and earlier is None:
-                    totals = np.bincount(slab.lang[carried:], minlength=len(names))
-                    yield _rows(names, np.arange(len(names)), 0, pa.array([""] * len(names)), totals)
-                for words, at, counts in _counted(slab, levels, known, earlier, carried):
-                    yield _rows(names, slab.lang[at], words, slab.phrases(at, words), counts)
+                if len(slab.starts):
+                    yield from kernel(slab, carried, names)
 
     rows = docs.select(
         F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit(NO_LANGUAGE)).alias("lang")
     )
-    counted = rows.mapInArrow(run, COUNTS)
-    return counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, schema)
+
+
+def count_border(
+    docs: DataFrame, text: str, lang: str, levels: range, bits: Bits, frequent: Bits | None = None
+) -> DataFrame:
+    """(key, n): hashed phrases with as many words as ``levels`` says.
+
+    Only phrases whose parts are in ``bits`` are counted, for the lengths that it has. Given what is
+    ``frequent`` among them, the expansion is counted: other phrases of parts that are or may be so.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((bits, frequent))
+
+    def kernel(slab: _Slab, carried: int, names: pa.Array) -> Iterator[pa.RecordBatch]:
+        for keys, counts in _bordered(slab, levels, *shared.value, carried):
+            columns = [pa.array(keys.view(np.int64)), pa.array(counts)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n"])
+
+    rows = _slab_rows(docs, text, lang, levels.stop - 2, kernel, "key long, n long")
+    return rows.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def count_words(docs: DataFrame, text: str, lang: str, frequent: Bits, max_words: int) -> DataFrame:
+    """(lang, words, phrase, n) of all phrases in ``frequent``; 0 words for the total of a language."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def kernel(slab: _Slab, carried: int, names: pa.Array) -> Iterator[pa.RecordBatch]:
+        totals = np.bincount(slab.lang[carried:], minlength=len(names))
+        yield _rows(names, np.arange(len(names)), 0, pa.array([""] * len(names)), totals)
+        for words, at, counts in _flagged(slab, shared.value, carried):
+            yield _rows(names, slab.lang[at], words, slab.phrases(at, words), counts)
+
+    rows = _slab_rows(docs, text, lang, max_words - 1, kernel, COUNTS)
+    return rows.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _rows(names: pa.Array, lang: np.ndarray, words: int, phrases: pa.Array, counts) -> pa.RecordBatch:
@@ -256,33 +306,8 @@ def _rows(names: pa.Array, lang: np.ndarray, words: int, phrases: pa.Array, coun
     return pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "n"])
 
 
-def _phrase_hashes(langs: list[str], phrases: list[str]) -> np.ndarray:
-    """Hashes as in slabs."""
-    out = np.zeros(len(phrases), np.uint64)
-    split = [p.encode().split(b" ") for p in phrases]
-    lengths = np.array([len(s) for s in split])
-    known: dict[str, int] = {}
-    for x in langs:
-        known.setdefault(x, _hash_word(x.encode()))
-    for words in np.unique(lengths):
-        at = np.flatnonzero(lengths == words)
-        by_place = [_hashes([split[i][place] for i in at]) for place in range(words)]
-        own = np.array([known[langs[i]] for i in at], np.uint64)
-        hashes = mix(by_place[0] + own)
-        for more in by_place[1:]:
-            hashes = _extend(hashes, more)
-        out[at] = hashes
-    return out
-
-
-def _with_hash(phrases: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, texts = (batch.column(c).to_pylist() for c in ("lang", "phrase"))
-            hashes = _phrase_hashes(langs, texts).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("words"), pa.array(hashes)], ["words", "h"])
-
-    return phrases.select("lang", "words", "phrase").mapInArrow(run, "words int, h long")
+def _key_words(key: str = "key") -> Column:
+    return F.shiftrightunsigned(key, HASH_BITS).cast("int")
 
 
 def _size(phrases: int) -> int:
@@ -291,39 +316,38 @@ def _size(phrases: int) -> int:
     return int(min(max(wanted.bit_length(), LEAST_BITS), MOST_BITS))
 
 
-def propose(phrases: DataFrame, bits: Bits) -> tuple[Bits, int]:
-    """``bits`` with the given phrases added, and how many of these were not in it.
+def propose(keys: DataFrame, bits: Bits) -> tuple[Bits, int]:
+    """``bits`` with the given keys added, and how many of these were not in it.
 
     The new bits are put together by Spark in blocks of 4 KB; the driver gets 2 ** MOST_BITS bits per
     length at most.
     """
-    shared = phrases.sparkSession.sparkContext.broadcast(bits)
+    shared = keys.sparkSession.sparkContext.broadcast(bits)
 
     def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column("words").to_numpy()
-            hashes = batch.column("h").to_numpy().view(np.uint64)
-            new = np.ones(len(words), bool)
+            own = batch.column("key").to_numpy().view(np.uint64)
+            lengths = own >> np.uint64(HASH_BITS)
+            new = np.ones(len(own), bool)
             for length, known in shared.value.items():
-                own = np.flatnonzero(words == length)
-                new[own] = ~_holds(known, hashes[own])
+                at = np.flatnonzero(lengths == length)
+                new[at] = ~_holds(known, own[at])
             yield batch.filter(pa.array(new))
 
-    hashed = _with_hash(phrases).mapInArrow(fresh, "words int, h long")
-    hashed = materialize(hashed, "proposed-phrases")
-    counts = {r["words"]: r["count"] for r in hashed.groupBy("words").count().collect()}
-    sizes = {w: bits[w][1] if w in bits else _size(n) for w, n in counts.items()}
+    new = materialize(keys.select("key").mapInArrow(fresh, "key long"), "proposed-phrases")
+    counts = {r["words"]: r["count"] for r in new.groupBy(_key_words().alias("words")).count().collect()}
     out = dict(bits)
-    for words, log in sizes.items():
-        out[words] = (bits[words][0].copy() if words in bits else np.zeros(1 << (log - 3), np.uint8)), log
     place = F.lit(None).cast("long")
-    for words, log in sizes.items():
-        place = F.when(F.col("words") == words, F.shiftrightunsigned("h", 64 - log)).otherwise(place)
+    low = F.col("key").bitwiseAND(F.lit((1 << HASH_BITS) - 1))
+    for words, n in counts.items():
+        log = bits[words][1] if words in bits else _size(n)
+        out[words] = (bits[words][0].copy() if words in bits else np.zeros(1 << (log - 3), np.uint8)), log
+        place = F.when(_key_words() == words, F.shiftrightunsigned(low, HASH_BITS - log)).otherwise(place)
     place = place + 1  # the built-in counts places from 1
-    blocks = hashed.groupBy("words", F.bitmap_bucket_number(place).alias("block")).agg(
+    blocks = new.groupBy(_key_words().alias("words"), F.bitmap_bucket_number(place).alias("block")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
     )
-    for block in blocks.toLocalIterator():
+    for block in blocks.toLocalIterator() if counts else ():
         bitmap, own = out[block["words"]][0], np.frombuffer(block["bits"], np.uint8)
         at = (block["block"] - 1) * len(own)
         bitmap[at : at + len(own)] |= own[: len(bitmap) - at]
@@ -353,7 +377,7 @@ def frequent_phrases(
     share: float = SAMPLE_SHARE,
     seed: int = 11,
 ) -> tuple[DataFrame, int]:
-    """((lang, words, phrase, n), number of passes over the whole corpus).
+    """((lang, words, phrase, n), number of passes over the corpus that counted hashes).
 
     All phrases of up to ``max_words`` words with ``min_count`` occurrences in a language, and for each
     language a row of 0 words whose ``n`` counts all its words.
@@ -363,24 +387,25 @@ def frequent_phrases(
     bits: Bits = {}
     steps = [range(1, 3), *(range(n, n + 1) for n in range(3, max_words))]
     for levels in steps:  # proposals never need the longest phrases
-        found = count_phrases(sample, text, lang, levels, bits)
-        likely = found.where((F.col("words").between(1, max_words - 1)) & (F.col("n") >= least))
-        bits, _ = propose(likely, bits)
+        likely = count_border(sample, text, lang, levels, bits).where(F.col("n") >= least)
+        bits, _ = propose(likely.where(_key_words() < max_words), bits)
     bits = _all_lengths(bits, max_words)
-    levels, old, parts = range(1, max_words + 1), None, []
-    while True:
-        found = count_phrases(docs, text, lang, levels, bits, old)
-        enough = (F.col("n") >= min_count) | (F.col("words") == 0)
-        parts.append(materialize(found.where(enough), "frequent-phrases"))
-        old = bits
-        border = parts[-1].where(F.col("words").between(1, max_words - 1))
-        bits, failures = propose(border, bits)
-        if not failures:
-            break
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every, len(parts)
+    levels, passes = range(1, max_words + 1), 1
+
+    def add_frequent(known: Bits, *found_by: Bits) -> tuple[Bits, DataFrame]:
+        found = count_border(docs, text, lang, levels, *found_by).where(F.col("n") >= min_count)
+        found = materialize(found.select("key"), "frequent-hashes")
+        return propose(found, known)[0], found
+
+    frequent, found = add_frequent({}, bits)
+    _, failures = propose(found.where(_key_words() < max_words), bits)
+    if failures:
+        frequent = _all_lengths(frequent, max_words)
+        frequent, _ = add_frequent(frequent, bits, frequent)
+        passes += 1
+    counts = count_words(docs, text, lang, frequent, max_words)
+    enough = (F.col("n") >= min_count) | (F.col("words") == 0)
+    return materialize(counts.where(enough), "frequent-phrases"), passes
 
 
 def _all_lengths(bits: Bits, max_words: int) -> Bits:
