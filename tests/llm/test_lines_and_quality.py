@@ -52,7 +52,7 @@ def repeated_rows():
 
 def test_line_dedup_equals_rule(spark):
     rows = repeated_rows()
-    df = clashing(table(spark, rows), "keep_bitmap", "n_lines", "h1", "last")
+    df = clashing(table(spark, rows), "keep_bitmap", "n_lines", "h1", "last", "_doc", "_text_hash", "_row")
     out = line_dedup.digests(line_dedup.with_bitmaps(df)).collect()
     wanted = kept_lines(rows)
     assert len(out) == len(rows)
@@ -61,7 +61,7 @@ def test_line_dedup_equals_rule(spark):
     assert sum(r["n_dropped"] for r in out) > 100
     texts = line_dedup.kept_text(line_dedup.with_bitmaps(df)).collect()
     for r, d in zip(sorted(texts, key=str), range(len(texts))):
-        assert r["last"] == "own"
+        assert r["last"] == r["_doc"] == r["_text_hash"] == r["_row"] == "own"
     digests = {hashlib.sha256(r["text"].encode()).hexdigest() for r in texts}
     assert digests == {w[2] for w in wanted.values()}
 

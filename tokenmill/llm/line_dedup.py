@@ -177,13 +177,14 @@ def with_bitmaps(docs: DataFrame, key: str = "doc_id", text: str = "text", **lim
     bitmaps = keep_bitmaps(docs, key, text, **limits).select(
         F.col("doc").alias("_doc"), F.col("text_hash").alias("_text_hash"), "keep_bitmap"
     )
-    named = docs.drop("keep_bitmap").withColumns(
-        {
-            "_doc": F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)),
-            "_text_hash": F.xxhash64(text),
-        }
+    kept = [c for c in docs.columns if c != "keep_bitmap"]
+    named = docs.select(  # as one column, so that no name of theirs meets one of these
+        F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"),
+        F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("_doc"),
+        F.xxhash64(text).alias("_text_hash"),
     )
-    return named.join(bitmaps, ["_doc", "_text_hash"], "left").drop("_doc", "_text_hash")
+    joined = named.join(bitmaps, ["_doc", "_text_hash"], "left")
+    return joined.select("_row.*", "keep_bitmap")
 
 
 def _kept(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, int, str]]:
