@@ -4,6 +4,8 @@ import collections
 import gzip
 import hashlib
 import re
+import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +57,36 @@ def test_base_spans_equal_patterns():
         assert pii.base_spans(text) == plain_spans(text), text
 
 
+def test_long_runs_of_zeros():
+    for text in ("0" * 5000 + "1.2.3.4", "1.2.3." + "0" * 9000, "1.2.3." + "0" * 9000 + "256"):
+        assert pii.base_spans(text) == [
+            (k, m.start(), m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, text)
+            if k == "ip" and not text.endswith("256")
+        ]
+
+
+def test_dense_texts_take_little_time_and_memory():
+    """Spans without overlaps in n log n; candidates in flat arrays."""
+    base = [{"kind": "ip", "start": 20 * i, "end": 20 * i + 8} for i in range(40_000)]
+    likely = [
+        {"p": i % 7 / 7, "kind": "number", "start": 10 * i, "end": 10 * i + 9} for i in range(80_000)
+    ]
+    begun = time.time()
+    added = pii._without_overlaps(base + base[:100], likely)
+    assert time.time() - begun < 5 and [a["start"] for a in added[:2]] == [130, 270]
+    assert len(added) == 40_000 and all(a["start"] % 20 == 10 for a in added)
+    text = "mail bob at a1.b2 (at) c (dot) org or 12 34 56 78 90, " * 4000
+    tracemalloc.start()
+    nested = pii._Nested()
+    nested.add(pii.candidates(text, []))
+    nested.close()
+    column = nested.array(pii._CANDIDATE_TYPE)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(column) == 1 and len(column[0]) >= 8000
+    assert held < 400 * len(column[0])
+
+
 def personal_rows():
     rows = awkward() + list(enumerate(TEXTS, 100))
     for i in range(300):
@@ -116,6 +148,40 @@ def test_generated_kinds_are_added(spark):
     assert not any(added[d] for d in versions)
 
 
+def test_registered_query_adds_planted_kinds(spark, tmp_path):
+    """Recall of planted spans of each kind, and the share of added spans that were planted."""
+    from tokenmill.llm import queries
+
+    rows, planted = personal_rows(), set()
+    rows += [(5000 + i, f"{prose(i, 8)} call +1 (437) 555-{1000 + i} or so") for i in range(200)]
+    for i in range(200):
+        groups = ":".join(f"{(i + 3) * 104729 * k % 65536:x}" for k in range(1, 9))
+        for k, (kind, body) in enumerate((
+            ("spelled_email", f"ann.{i} [at] site{i % 9} [dot] net"), ("ip6", groups),
+            ("account", iban(1000 + i)), ("number", f"(437) 555-{4000 + 7 * i}"),
+        )):
+            before = prose(1000 * i + k, 5) + " at "
+            doc = 10_000 + 10 * i + k
+            rows.append((doc, f"{before}{body} and so on"))
+            planted.add((doc, kind, len(before), len(before) + len(body)))
+    rows += [(20_000 + i, f"{prose(i, 5)} version {i}.{i % 5}.300.{i} page {10**9 + i} end") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    out = queries.op3_pii_boosting(spark, str(tmp_path)).where("doc_id is not null").collect()
+    found = set()
+    for r in out:
+        for span in filter(None, r["spans"].split(",")):
+            kind, start, end = span.split(":")
+            if kind in pii.EXTRA_KINDS:
+                found.add((r["doc_id"], kind, int(start), int(end)))
+    for kind in pii.EXTRA_KINDS:
+        own = {p for p in planted if p[1] == kind}
+        assert len(own & found) >= 0.9 * len(own), kind
+    new = {f for f in found if f[0] >= 10_000}
+    assert len(new & planted) >= 0.95 * len(new)
+
+
 def test_digests(spark):
     rows = personal_rows()[:60]
     out = pii.digests(pii.spans(table(spark, rows))).collect()
@@ -227,3 +293,36 @@ def test_parse_reads_any_piece_size(monkeypatch):
     assert len(wanted) == len(records)
     monkeypatch.setattr(warc, "READ_BYTES", 7)
     assert list(warc.parse(content)) == wanted
+
+
+def record(header, block):
+    lines = ["WARC/1.1", *(f"{k}:{v}" for k, v in header), f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_every_member_of_an_archive_is_read():
+    """A member per record, all in one, empty header values, zeros at the end."""
+    records = [record([("X", ""), ("N", f" {i}")], b"b" * (i * 7000)) for i in range(30)]
+    wanted = [({"X": "", "N": str(i), "Content-Length": str(i * 7000)}, b"b" * (i * 7000)) for i in range(30)]
+    each = b"".join(map(gzip.compress, records))
+    some = gzip.compress(b"".join(records[:9])) + gzip.compress(b"") + gzip.compress(b"".join(records[9:]))
+    for content in (each, some, gzip.compress(b"".join(records)), each + b"\0" * 700):
+        assert list(warc.parse(content)) == wanted
+    assert list(warc.parse(b"")) == [] == list(warc.parse(gzip.compress(b"")))
+
+
+def test_cut_archives_are_told():
+    records = [record([("N", str(i))], bytes([65 + i]) * 50_000) for i in range(5)]
+    whole = b"".join(map(gzip.compress, records))
+    for size in range(10, len(whole), 97):
+        if len(gzip.compress(records[0])) == size:
+            continue
+        with pytest.raises((EOFError, ValueError)):
+            list(warc.parse(whole[:size]))
+    for body in (records[0][:60], records[0][:30_000], records[0] + records[1][:20]):
+        with pytest.raises(EOFError):
+            list(warc.parse(gzip.compress(body)))
+    with pytest.raises(ValueError):
+        list(warc.parse(gzip.compress(b"WARC/1.1\r\nno colon\r\n\r\n")))
+    with pytest.raises(KeyError):
+        list(warc.parse(gzip.compress(b"WARC/1.1\r\nA: b\r\n\r\n")))

@@ -166,32 +166,64 @@ def write_archives(
     records.write.options(**options).text(path)
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header, block) of every record of a gzip archive, decompressed piece by piece."""
-    buffer = bytearray()
-    inflate = zlib.decompressobj(31)
-    fed = 0
-
-    def more() -> bool:
-        nonlocal fed
-        if inflate.unconsumed_tail:
-            buffer.extend(inflate.decompress(inflate.unconsumed_tail, 8 * READ_BYTES))
-            return True
-        if fed >= len(content):
-            return False
-        buffer.extend(inflate.decompress(content[fed : fed + READ_BYTES], 8 * READ_BYTES))
-        fed += READ_BYTES
+class _Inflated:
+    """The bytes of a gzip file of any number of members, decompressed piece by piece."""
+
+    def __init__(self, content: bytes):
+        self.content, self.fed = content, 0
+        self.inflate = zlib.decompressobj(31)
+        self.buffer = bytearray()
+
+    def more(self) -> bool:
+        """Some more bytes in the buffer; False at the end of the file."""
+        if self.inflate.eof:  # the next member begins
+            rest = self.inflate.unused_data
+            self.fed -= len(rest)
+            while self.fed < len(self.content) and not self.content[self.fed]:
+                self.fed += 1  # zeros may fill up a file
+            if self.fed >= len(self.content):
+                return False
+            self.inflate = zlib.decompressobj(31)
+        waiting = self.inflate.unconsumed_tail
+        if not waiting:
+            if self.fed >= len(self.content):
+                if not self.content:
+                    return False
+                raise EOFError("the archive ends within a compressed member")
+            waiting = self.content[self.fed : self.fed + READ_BYTES]
+            self.fed += len(waiting)
+        self.buffer.extend(self.inflate.decompress(waiting, 8 * READ_BYTES))
         return True
 
+
+def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header, block) of every record of a gzip archive, in one member or in one each.
+
+    An archive that ends within a member, a header or a block raises an error, as does a header
+    without a length.
+    """
+    source = _Inflated(content)
+    buffer = source.buffer
     while True:
-        while (end := buffer.find(END)) < 0:
-            if not more():
+        looked = 0
+        while (end := buffer.find(END, looked)) < 0:
+            looked = max(len(buffer) - len(END), 0)
+            if not source.more():
+                if buffer.strip():
+                    raise EOFError("the archive ends within a header")
                 return
-        lines = bytes(buffer[:end]).decode().split("\r\n")
-        header = dict(line.split(": ", 1) for line in lines[1:])
+        lines = bytes(buffer[:end]).decode().strip("\r\n").split("\r\n")
+        header = {}
+        for line in lines[1:]:
+            name, colon, value = line.partition(":")
+            if not colon:
+                raise ValueError(f"not a header line: {line[:80]!r}")
+            header[name] = value.strip()
         size = int(header["Content-Length"])
-        while len(buffer) < end + 4 + size + 4 and more():
+        while len(buffer) < end + 4 + size + 4 and source.more():
             pass
+        if len(buffer) < end + 4 + size:
+            raise EOFError("the archive ends within a block")
         block = bytes(buffer[end + 4 : end + 4 + size])
         del buffer[: end + 4 + size + 4]
         yield header, block
@@ -203,8 +235,15 @@ RECORD_SCHEMA = (
 )
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives below ``path``; ``number`` is null where a record is whole."""
+SUMMARY_SCHEMA = RECORD_SCHEMA + ", payload_bytes long, payload_digest string, intact boolean"
+
+
+def read_records(spark: SparkSession, path: str, summary: bool = False) -> DataFrame:
+    """Every record of the archives below ``path``; ``number`` is null where a record is whole.
+
+    A ``summary`` has length, digest and state of the payload in place of a whole record's block, so
+    that archives are parsed once whatever is asked of them; blocks of segments stay.
+    """
 
     def page(uri: str | None) -> int | None:
         name = (uri or "").rpartition(":")[2]
@@ -213,11 +252,23 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     def number(header: dict[str, str], name: str) -> int | None:
         return int(header[name]) if name in header else None
 
-    names = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
+    schema = SUMMARY_SCHEMA if summary else RECORD_SCHEMA
+    names = [f.split()[0] for f in schema.split(", ")]
     types = [
         pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(),
-        pa.int64(), pa.binary(),
-    ]
+        pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.bool_(),
+    ][: len(names)]
+
+    def summed(row: tuple) -> tuple:
+        """The row with its payload's length, digest and state; a whole block is left out."""
+        *others, block = row
+        if others[6] is not None:
+            return (*row, None, None, None)
+        payload = decoded([{"number": 1, "block": block}], len(block)) if others[1] == "response" else None
+        if payload is None:
+            return (*others, None, None, None, False)
+        digest = hashlib.sha256(payload).hexdigest()
+        return (*others, None, len(payload), digest, digest == others[3])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(rows: list[tuple]) -> pa.RecordBatch:
@@ -229,16 +280,15 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 for header, block in parse(content.as_py()):
                     own = header["WARC-Record-ID"]
-                    rows.append(
-                        (
-                            own, header["WARC-Type"], page(header.get("WARC-Target-URI")),
-                            header.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None,
-                            page(header.get("WARC-Refers-To-Target-URI")),
-                            header.get("WARC-Segment-Origin-ID", own),
-                            number(header, "WARC-Segment-Number"),
-                            number(header, "WARC-Segment-Total-Length"), block,
-                        )
+                    row = (
+                        own, header["WARC-Type"], page(header.get("WARC-Target-URI")),
+                        header.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None,
+                        page(header.get("WARC-Refers-To-Target-URI")),
+                        header.get("WARC-Segment-Origin-ID", own),
+                        number(header, "WARC-Segment-Number"),
+                        number(header, "WARC-Segment-Total-Length"), block,
                     )
+                    rows.append(summed(row) if summary else row)
                     if len(rows) >= ROWS_PER_BATCH:
                         yield packed(rows)
                         rows = []
@@ -246,7 +296,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     yield packed(rows)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, RECORD_SCHEMA)
+    return files.mapInArrow(run, schema)
 
 
 def decoded(parts: list[dict] | None, total: int | None) -> bytes | None:
@@ -304,17 +354,23 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
         F.octet_length("block").cast("long").alias("total"),
         F.lit(1).cast("long").alias("copies"),
     )
-    # Equal pages write equal segments, so a number may come more than once: it is the same block.
-    segmented = records.where("number is not null").groupBy("origin").agg(
+    put = _decode_blocks(whole.unionByName(_segmented(records)))
+    each = put.select("*", F.explode(F.expr("sequence(1L, copies)")).alias("_copy"))
+    return each.drop("_copy", "copies")
+
+
+def _segmented(records: DataFrame) -> DataFrame:
+    """(page_id, digest, parts, total, copies) of records in segments, put together by origin.
+
+    Equal pages write equal segments, so a number may come more than once: it is the same block.
+    """
+    return records.where("number is not null").groupBy("origin").agg(
         F.max(F.when(F.col("type") == "response", F.col("page_id"))).alias("page_id"),
         F.max("digest").alias("digest"),
         F.collect_set(F.struct("number", "block")).alias("parts"),
         F.max("total").alias("total"),
         F.greatest(F.count(F.when(F.col("type") == "response", 1)), F.lit(1)).alias("copies"),
-    )
-    put = _decode_blocks(whole.unionByName(segmented.drop("origin")))
-    each = put.select("*", F.explode(F.expr("sequence(1L, copies)")).alias("_copy"))
-    return each.drop("_copy", "copies")
+    ).drop("origin")
 
 
 def read_revisits(spark: SparkSession, path: str) -> DataFrame:
@@ -329,11 +385,17 @@ def page_digests(spark: SparkSession, path: str) -> DataFrame:
 
     A revisit takes the length of the payload it refers to, and is intact if that response is.
     """
-    responses = materialize(read_responses(spark, path).drop("payload"), "responses")
+    records = materialize(read_records(spark, path, summary=True), "records")
+    fields = ["page_id", "digest", "payload_bytes", "payload_digest", "intact"]
+    put = _decode_blocks(_segmented(records)).select(
+        *fields, F.explode(F.expr("sequence(1L, copies)")).alias("_copy")
+    )
+    whole = records.where("type = 'response' and number is null").select(*fields)
+    responses = materialize(whole.unionByName(put.drop("_copy")), "responses")
     stored = responses.where("page_id is not null").groupBy("page_id", "digest").agg(
         F.min("payload_bytes").alias("payload_bytes"), F.min("intact").alias("intact")
     )
-    revisits = read_revisits(spark, path).join(
+    revisits = records.where("type = 'revisit'").select("page_id", "digest", "refers_to").join(
         stored.withColumnRenamed("page_id", "refers_to"), ["refers_to", "digest"], "left"
     )
     return responses.select(
