@@ -621,5 +621,9 @@ from ids join placed using (doc_id) group by doc_id, (p - start) // {SEGMENT}"""
     "stream_pairs": ADJACENT,
     "stream_append": METRICS,
     "stream_latest": LATEST_ROWS,
+    "stream_tokens_seen": with_(LOG)
+    + f"""select run, step,
+  (sum({TOKENS_PER_STEP}) over (partition by run order by step))::bigint as tokens_seen
+from (select distinct run, step from log where split = 'train')""",
     "stream_rate": with_(LOG) + RATES,
 }

@@ -18,7 +18,7 @@ from tokenmill.plans import sft as sft_plan
 from tokenmill.session import materialize, new_path
 from tokenmill.sources import cache, files, flat
 from tokenmill.sources import splits as named_splits
-from tokenmill.streaming import sinks
+from tokenmill.streaming import runs, sinks
 
 SEED = 42
 FIRST_ROWS = 100
@@ -1002,6 +1002,14 @@ def stream_latest(spark, sf_dir):
     return sinks.read_latest(spark, root).select("run", "step", "metric", "event_id", "value")
 
 
+def stream_tokens_seen(spark, sf_dir):
+    """Tokens seen after each training step, from sums that a keyed state keeps."""
+    root = new_path(spark, "stream-runs")
+    train = _new_log(spark, sf_dir).where("metric = 'train/loss'")
+    runs.maintain_runs(train, root, f"{root}-state", F.lit(TOKENS_PER_STEP))
+    return runs.read_runs(spark, root).select("run", "step", "tokens_seen")
+
+
 def stream_rate(spark, sf_dir):
     root = new_path(spark, "stream-rates")
     sinks.export_rates(
@@ -1040,7 +1048,7 @@ QUERIES = {
         log_append, log_latest, log_interval, log_saved_steps, log_tokens, log_loss,
         log_split_losses, log_rates, log_throughput, log_generation, log_sweep, log_sweep_rows,
         next_token_counts, next_token_topk, held_out_loss,
-        stream_clean, stream_split, stream_tokens, stream_chat, stream_pairs, stream_append, stream_latest,
+        stream_clean, stream_split, stream_tokens, stream_chat, stream_pairs, stream_append, stream_latest, stream_tokens_seen,
         stream_rate,
     )
 }
