@@ -38,7 +38,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 CONTENT_SHARE = 0.5
 DOCS_PER_LABEL = 600  # expected size of the training sample of each label
-LINES_PER_DOC = 32  # of a training document
+LINES_PER_DOC = 32  # of a training document, one after the other, from a place drawn by its hash
 STEPS, RATE, PENALTY = 150, 0.2, 1e-5
 # Most training documents are of one state throughout; without a price on transitions the field
 # would learn that a state never changes within a document.
@@ -247,15 +247,18 @@ def fit(
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(
         hash_sample(F.col("_key"), max(share.values()), seed)
     )
-    sample = texts.join(known.where(chosen).distinct(), "_key").select("_text", "_label")
+    sample = texts.join(known.where(chosen).distinct(), "_key").select(
+        "_text", "_label", F.pmod(F.xxhash64("_text", F.lit(seed)), F.lit(1 << 40)).alias("_drawn")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = measure(batch.column("_text"))
-            rows = [
-                found.features[a : min(b, a + lines_per_doc)].ravel()
-                for a, b in zip(found.line_first, found.line_first[1:])
-            ]
+            starts = map(int, batch.column("_drawn").to_numpy())
+            rows = []
+            for a, b, drawn in zip(found.line_first, found.line_first[1:], starts):
+                a += drawn % max(b - a - lines_per_doc + 1, 1)  # a stretch anywhere in the text
+                rows.append(found.features[a : min(b, a + lines_per_doc)].ravel())
             lists = pa.array(rows, pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([lists, batch.column("_label")], ["lines", "label"])
 
