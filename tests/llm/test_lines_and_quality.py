@@ -214,3 +214,48 @@ def test_decoding_equals_loss_of_each_codeword():
     assert best.tolist() == [int(np.argmin(x)) for x in losses]
     assert score[0] == pytest.approx(np.exp(-min(losses[0])) / np.exp(-np.array(losses[0])).sum())
     assert ambiguous[1] and best[1] == 0
+
+
+def test_more_labels_than_a_code_can_list(spark):
+    """Any number of labels; weights by bucket equal the dense formula."""
+    pick = random.Random(9)
+    names = [f"l{i:03}" for i in range(620)]
+    words = {n: ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(6)] for n in names}
+    rows = [(i, " ".join(pick.choices(words[n], k=12)), n) for i, n in enumerate(names * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    model = langid.fit(df.where("doc_id < 1240"))
+    assert len(model.labels) == 620
+    out = langid.predict(df.where("doc_id >= 1240"), model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in out) >= 0.9 * len(out)
+    few = df.where(F.col("lang").isin("l001", "l002", "l003") & (F.col("doc_id") < 1240))
+    small = langid.fit(few)
+    totals = np.full((3, langid.BUCKETS), langid.SMOOTHING)
+    for _, text, name in (r for r in rows if r[2] in small.labels and r[0] < 1240):
+        for _, _, grams, _ in langid._batches(pa.array([text])):
+            totals[small.labels.index(name)] += np.bincount(grams, minlength=langid.BUCKETS)
+    shares = totals / totals.sum(axis=1, keepdims=True)
+    for bit, weights in zip(small.code.T, small.weights):
+        wanted = np.log(shares[bit > 0].mean(axis=0)) - np.log(shares[bit < 0].mean(axis=0))
+        assert (weights == wanted.astype(np.float32)).all()
+
+
+def test_codes_for_many_labels():
+    code = langid.codewords(3000)
+    assert code.shape[0] == 3000 and len({bytes(x) for x in code}) == 3000
+
+
+def test_field_learns_from_the_ends_of_texts(spark, monkeypatch):
+    """Training lines come from anywhere in a text, the same ones on every run."""
+    seen = []
+    monkeypatch.setattr(line_crf, "fit_field", lambda documents, states: seen.append(documents))
+    body = [f"line {i} " + "x" * i for i in range(200)]
+    rows = [(i, f"{i}\n" + "\n".join(body)) for i in range(80)] + [(99, "a\nb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    for parts in (2, 5):
+        line_crf.fit(docs.repartition(parts), labels)
+    assert [d.tolist() for d in seen[0]] == [d.tolist() for d in seen[1]]
+    whole = line_crf.measure(pa.array([rows[0][1]])).features
+    last = sum(any((line == whole[-1]).all() for line in d) for d in seen[0] if len(d) == 32)
+    starts = {d[0].tobytes() for d in seen[0]}
+    assert len(starts) > 20 and last >= 1 and min(map(len, seen[0])) == 2

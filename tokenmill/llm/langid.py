@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
-from tokenmill.llm.arrays import add_columns, hash_sample, row_pieces, text_bytes
+from tokenmill.llm.arrays import add_columns, row_pieces, text_bytes
+from tokenmill.session import materialize
 
 DOCS_PER_LABEL = 1_000  # expected size of the training sample of a label; labels below it are whole
-MAX_LABELS = 500
+TRIED_LABELS = 2_000  # with more, random codes are far enough apart, and comparing them is not worth it
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
 EXHAUSTIVE_LABELS = 5
@@ -50,7 +51,10 @@ class Model:
 
 
 def codewords(labels: int) -> np.ndarray:
-    """All distinct two-sided bits for few labels, else the best separated of 100 random codes."""
+    """All distinct two-sided bits for few labels, else the best separated of 100 random codes.
+
+    Beyond TRIED_LABELS labels the first random code whose bits are two-sided is taken.
+    """
     if labels <= EXHAUSTIVE_LABELS:
         bits = 2 ** max(labels - 1, 0) - 1
         patterns = np.arange(1, bits + 1)
@@ -61,6 +65,10 @@ def codewords(labels: int) -> np.ndarray:
     best, distance = None, -1
     for _ in range(100):
         code = random.choice(np.array([-1, 1], np.int8), (labels, length))
+        if labels > TRIED_LABELS:
+            if (np.abs(code.sum(0, dtype=np.int64)) < labels).all():
+                return code
+            continue
         wide = code.astype(np.int32)
         apart = (length - wide @ wide.T) // 2
         nearest = int(apart[~np.eye(labels, dtype=bool)].min())
@@ -97,42 +105,75 @@ def fit(
 ) -> Model:
     """Classifiers from about ``docs_per_label`` texts of each label, chosen by a hash of the text."""
     known = train.select(F.col(text).alias("text"), F.col(label).alias("label")).dropna()
-    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().take(MAX_LABELS + 1)}
-    if len(sizes) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
-    labels = tuple(sorted(sizes))
+    sizes = materialize(known.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "label-sizes")
+    labels = tuple(sorted(r["label"] for r in sizes.select("label").collect()))
     if not labels:
         return Model((), np.zeros((0, 0), np.int8), np.zeros((0, BUCKETS), np.float32))
-    chosen = F.lit(False)
-    for name, size in sorted(sizes.items()):
-        few = hash_sample(F.col("text"), min(1.0, docs_per_label / size), seed)
-        chosen = chosen | ((F.col("label") == F.lit(name)) & few)
+    share = F.least(F.lit(1.0), docs_per_label / F.col("size")) * (1 << 30)
+    drawn = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30))
+    chosen = known.join(sizes, "label").where(drawn < share.cast("long")).select("text", "label")
+    counted = _gram_counts(chosen, labels)
+    sums = {r["label"]: r["n"] for r in counted.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    totals = np.array([sums.get(i, 0) + SMOOTHING * BUCKETS for i in range(len(labels))])
+    code = codewords(len(labels))
+    weights = np.empty((code.shape[1], BUCKETS), np.float32)
+    weights[:] = _bit_weights(np.zeros((len(labels), 1)), totals, code)
+    found = _bucket_weights(counted, totals, code).toArrow()
+    if found.num_rows:
+        values = found["weights"].combine_chunks().flatten().to_numpy()
+        weights[:, found["bucket"].to_numpy()] = values.reshape(found.num_rows, -1).T
+    return Model(labels, code, weights)
+
+
+def _gram_counts(chosen: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """(label, bucket, n) of the sample, by the labels' numbers; a task holds the counts of one label."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((len(labels), BUCKETS), np.int64)
+        numbers = {name: number for number, name in enumerate(labels)}
         for batch in batches:
-            names = np.array(batch.column("label").to_pylist(), object)
-            for number, name in enumerate(labels):
-                rows = batch.column("text").filter(pa.array(names == name))
+            names = np.array([numbers[x] for x in batch.column("label").to_pylist()], np.int64)
+            for number in np.unique(names):
+                totals = np.zeros(BUCKETS, np.int64)
+                rows = batch.column("text").filter(pa.array(names == number))
                 for _, _, grams, _ in _batches(rows):
-                    totals[number] += np.bincount(grams, minlength=BUCKETS)
-        where = np.nonzero(totals)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(where[0]), pa.array(where[1]), pa.array(totals[where])],
-            ["label", "bucket", "n"],
-        )
-
-    counted = known.where(chosen).mapInArrow(count, "label long, bucket long, n long")
-    summed = counted.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    totals = np.full((len(labels), BUCKETS), SMOOTHING)
-    at = summed["label"].to_numpy(), summed["bucket"].to_numpy()
-    totals[at] += summed["n"].to_numpy()
-    shares = totals / totals.sum(axis=1, keepdims=True)
-    code = codewords(len(labels))
+                    totals += np.bincount(grams, minlength=BUCKETS)
+                where = np.flatnonzero(totals)
+                columns = [pa.array(np.full(len(where), number)), pa.array(where), pa.array(totals[where])]
+                yield pa.RecordBatch.from_arrays(columns, ["label", "bucket", "n"])
+
+    counted = chosen.mapInArrow(count, "label long, bucket long, n long")
+    return materialize(counted.groupBy("label", "bucket").agg(F.sum("n").alias("n")), "gram-counts")
+
+
+def _bit_weights(counts: np.ndarray, totals: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """bits x buckets: log odds from counts (labels x buckets) and the labels' totals."""
+    shares = (counts + SMOOTHING) / totals[:, None]
     weights = [
         np.log(shares[bit > 0].mean(axis=0)) - np.log(shares[bit < 0].mean(axis=0)) for bit in code.T
     ]
-    return Model(labels, code, np.array(weights, np.float32).reshape(-1, BUCKETS))
+    return np.array(weights, np.float32).reshape(-1, counts.shape[1])
+
+
+def _bucket_weights(counted: DataFrame, totals: np.ndarray, code: np.ndarray) -> DataFrame:
+    """(bucket, weights): the classifiers' weights of every trigram bucket that occurs."""
+    lists = counted.groupBy("bucket").agg(F.collect_list(F.struct("label", "n")).alias("counts"))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max((4 << 20) // len(totals), 1)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                held = part.column("counts")
+                counts = np.zeros((len(totals), part.num_rows))
+                column = np.repeat(np.arange(part.num_rows), held.value_lengths().to_numpy())
+                flat = held.flatten()
+                counts[flat.field("label").to_numpy(), column] = flat.field("n").to_numpy()
+                rows = np.ascontiguousarray(_bit_weights(counts, totals, code).T)
+                ends = np.arange(part.num_rows + 1, dtype=np.int32) * rows.shape[1]
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column("bucket"), lists], ["bucket", "weights"])
+
+    return lists.mapInArrow(weigh, "bucket long, weights array<float>")
 
 
 def margins(model: Model, column: pa.Array) -> np.ndarray:
