@@ -171,7 +171,7 @@ def test_leaks(spark):
     benchmark = spark.createDataFrame(items + odd_items, "item_id long, text string")
     out = leaks.leaks(df, clashing(benchmark, "doc_id")).collect()
     found = {(r["doc_id"], r["item_id"]) for r in out}
-    wanted = set(planted.items()) | {(None, 4), (3001, 5), (3001, 6), (3002, 3)}
+    wanted = set(planted.items()) | {(None, 4), (3001, 5), (3001, 6), (3002, 3), (5, 52)}
     wanted |= {(i, 7) for i in range(4000, 4080)}
     assert found == wanted and len(out) == len(found)
     assert all(leaks.SIMILARITY <= r["similarity"] <= 1 for r in out)
@@ -237,6 +237,27 @@ def test_leaks_with_long_insertions_and_changed_ends(spark):
     check_leaks(spark, rows, items, planted | {(10, 0), (11, 0)})
 
 
+def test_leaks_of_items_of_any_length(spark):
+    """Items of 1 to 60 words, verbatim and edited, equal alignment of all with all."""
+    pick = random.Random(8)
+    lengths = [1, 2, 2, 3, 4, 5, 6, 7, 9, 14, 30, 60]
+    items = [(i, prose(9300 + i, n)) for i, n in enumerate(lengths)]
+    items += [(90, "ab ab ab"), (91, "cd ef cd ef"), (92, "gh")]
+    rows, planted = [], set()
+    for i, text in items:
+        words = text.split()
+        rows += [(i, inside(i, words)), (100 + i, text), (200 + i, " ".join(words[: len(words) // 2]))]
+        planted |= {(i, i), (100 + i, i)}
+        for d in range(300 + 20 * i, 320 + 20 * i):
+            new = list(words)
+            for _ in range(pick.randint(1, 1 + len(new) // 2)):
+                place, kind = pick.randrange(len(new) + 1), pick.random()
+                new[place : place + 1] = [] if kind < 0.3 else ["changed"] if kind < 0.6 else [*new[place : place + 1], "added"]
+            rows.append((d, inside(d, new)))
+    rows += [(5000, "ab x ab y ab"), (5001, "ef cd ef"), (5002, "ab " * 300), (5003, "cd " * 50 + "ef cd")]
+    check_leaks(spark, rows, items, planted)
+
+
 def test_leaks_of_nothing(spark):
     items = spark.createDataFrame([(1, "a short test item of words")], "item_id long, text string")
     assert leaks.leaks(empty(spark), items).count() == 0

@@ -12,10 +12,12 @@ All 2-grams of all items are seeds, frequent or not. Documents are read once per
 bounded size. Where a document holds that many seeds of an item within that many words, it is
 aligned with the item, from the longest stretch before the first of them to the longest after the
 last. False seeds only cost work. The second bound says nothing for items of up to 1/(2s-1) words
-(5 at 0.6): they need one shared 2-gram, as do all items for similarities up to a half.
+(5 at 0.6; all of them for similarities up to a half). Their seeds are single words: a stretch matches
+at least sn of them, and every place with that many of the item's words is aligned. An item of one
+word therefore leaks into every document that has the word.
 
 Words are runs of characters other than the six ASCII white-space ones, all letters lower-cased.
-Items with fewer than LEAST_WORDS words are never found, null texts have no words. Items that share
+Items without words are never found, null texts have none. Items that share
 an id are all tried, the best counts. Rows that repeat are one leak; documents without an id are
 found with a null id. Other columns are ignored.
 """
@@ -36,7 +38,6 @@ from tokenmill.llm.arrays import Words, row_pieces, shingles, text_bytes
 from tokenmill.session import materialize
 
 GRAM = 2
-LEAST_WORDS = 3
 SIMILARITY = 0.6
 BITS_PER_GRAM = 64
 MATCH, CHANGE, SKIP = 2, -1, -1
@@ -46,14 +47,16 @@ MATCHED_SEEDS = 1 << 21  # expanded at a time, or those of one document
 ALIGNED_WORDS = 1 << 20  # of stretches handed over at a time, or one stretch
 
 
-def _full_grams(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, row, word position in the row) of all whole n-grams."""
+def _full_grams(
+    hashes: np.ndarray, first: np.ndarray, width: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, row, word position in the row) of all whole n-grams of ``width`` words."""
     counts = np.diff(first)
-    grams, offsets = shingles(hashes, first, GRAM)
+    grams, offsets = shingles(hashes, first, width)
     sizes = np.diff(offsets)
     row = np.repeat(np.arange(len(counts)), sizes)
     position = np.arange(len(grams)) - np.repeat(offsets[:-1], sizes)
-    whole = counts[row] >= GRAM
+    whole = counts[row] >= width
     return grams[whole], row[whole], position[whole]
 
 
@@ -67,7 +70,7 @@ def _lists(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
 
 
 def item_words(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, version, words): a row per distinct item text of LEAST_WORDS or more."""
+    """(item, version, words): a row per distinct item text with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,7 +79,7 @@ def item_words(items: DataFrame, key: str = "item_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([batch.column("_item"), lists], ["item", "words"])
 
     named = items.select(F.col(key).cast("long").alias("_item"), F.lower(text).alias("_text"))
-    found = named.mapInArrow(run, "item long, words array<long>").where(F.size("words") >= LEAST_WORDS)
+    found = named.mapInArrow(run, "item long, words array<long>").where(F.size("words") > 0)
     return found.distinct().select("item", F.xxhash64("words").alias("version"), "words")
 
 
@@ -97,12 +100,18 @@ class Seeds(NamedTuple):
     ids: pa.Array
     longest: np.ndarray  # words of a stretch, by item
     least: np.ndarray  # places with seeds of a stretch, by item
+    width: int  # words of a seed
 
 
-def seeds(items: pa.Table, similarity: float) -> Seeds:
+def least_pairs(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs of neighbours that match in a stretch; below 1 if there need not be any."""
+    return np.ceil((2 * similarity - 1) * n - 1 - 1e-9).astype(np.int64)
+
+
+def seeds(items: pa.Table, similarity: float, width: int = GRAM) -> Seeds:
     items = items.combine_chunks()
     words, first = _flat(items["words"].combine_chunks())
-    grams, item, _ = _full_grams(words, first)
+    grams, item, _ = _full_grams(words, first, width)
     order = np.lexsort((item, grams))
     grams, item = grams[order], item[order]
     new = np.append(True, (np.diff(grams) != 0) | (np.diff(item) != 0))
@@ -113,8 +122,10 @@ def seeds(items: pa.Table, similarity: float) -> Seeds:
     np.bitwise_or.at(table, place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
     n = np.diff(first)
     longest = n + np.floor(2 * (1 - similarity) * n + 1e-9).astype(np.int64)
-    least = np.maximum(np.ceil((2 * similarity - 1) * n - 1 - 1e-9).astype(np.int64), 1)
-    return Seeds(table, grams, item, words, first, items["item"].combine_chunks(), longest, least)
+    matched = np.ceil(similarity * n - 1e-9).astype(np.int64)
+    least = np.maximum(least_pairs(n, similarity) if width == GRAM else matched, 1)
+    ids = items["item"].combine_chunks()
+    return Seeds(table, grams, item, words, first, ids, longest, least, width)
 
 
 def _hits(table: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -124,7 +135,8 @@ def _hits(table: np.ndarray, grams: np.ndarray) -> np.ndarray:
 
 def stretches(known: Seeds, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """(row, item, begin, end) of all stretches that may reach the similarity; words of ``hashes``."""
-    grams, row, at = _full_grams(hashes, first)
+    width = known.width
+    grams, row, at = _full_grams(hashes, first, width)
     hit = np.flatnonzero(_hits(known.table, grams))
     low = np.searchsorted(known.grams, grams[hit], "left")
     amount = np.searchsorted(known.grams, grams[hit], "right") - low
@@ -148,7 +160,7 @@ def stretches(known: Seeds, hashes: np.ndarray, first: np.ndarray) -> Iterator[t
         end = last[inside]
         inside = inside[
             (r[end] == r[inside]) & (item[end] == item[inside])
-            & (place[end] + GRAM - place[inside] <= longest[inside])
+            & (place[end] + width - place[inside] <= longest[inside])
         ]
         change = np.zeros(n + 1, np.int64)
         np.add.at(change, inside, 1)
@@ -164,7 +176,7 @@ def stretches(known: Seeds, hashes: np.ndarray, first: np.ndarray) -> Iterator[t
         r, item, longest = r[begin], item[begin], longest[begin]
         yield (
             r, item,
-            np.maximum(first[r] + place[begin] + GRAM - longest, first[r]),
+            np.maximum(first[r] + place[begin] + width - longest, first[r]),
             np.minimum(first[r] + place[last] + longest, first[r + 1]),
         )
 
@@ -240,16 +252,20 @@ def leaks(
     """(key, item_key, similarity) of every document and item that leaks into it."""
     schema = f"`{key}` long, `{item_key}` long, similarity double"
     tested = materialize(item_words(items, item_key, item_text), "test-items")
-    total = tested.agg(F.sum(F.size("words"))).first()[0]
-    if total is None:
-        return docs.sparkSession.createDataFrame([], schema)
     named = docs.select(F.col(key).cast("long").alias("_doc"), F.lower(text).alias("_text"))
-    groups = math.ceil(total / ITEM_WORDS)
+    sizes = [r["n"] for r in tested.select(F.size("words").alias("n")).distinct().collect()]
+    short = [n for n in sizes if least_pairs(np.array(n), similarity) < 1]
+    is_short = F.size("words") <= max(short, default=0)
     found = []
-    for group in range(groups):
-        part = tested.where(F.pmod("version", F.lit(groups)) == group).toArrow()
-        if part.num_rows:
-            found.append(_leaks_of(named, seeds(part, similarity), similarity))
+    for width, some in ((GRAM, tested.where(~is_short)), (1, tested.where(is_short))):
+        total = some.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+        groups = math.ceil(total / ITEM_WORDS)
+        for group in range(groups):
+            part = some.where(F.pmod("version", F.lit(groups)) == group).toArrow()
+            if part.num_rows:
+                found.append(_leaks_of(named, seeds(part, similarity, width), similarity))
+    if not found:
+        return docs.sparkSession.createDataFrame([], schema)
     return (
         reduce(DataFrame.unionAll, found)
         .groupBy(F.col("doc").alias(key), F.col("item").alias(item_key))
