@@ -547,6 +547,28 @@ group by vec_id""",
     sum(p) over (partition by vec_id) * ({UNIFORM}) as target from probs)""",
     )
     + "select vec_id, min(i)::int as choice from mass where below > target group by vec_id",
+    "blocked_softmax_topk": with_(PROBS)
+    + f"""select vec_id, r::int as rank, i::int as index, round(p, 6) as prob
+from (select *, row_number() over (partition by vec_id order by p desc, i) as r from probs)
+where r <= {TOP_K}""",
+    "blocked_argmax": """select vec_id, arg_max(i, (x, -i))::int as choice
+from (select vec_id, generate_subscripts(embedding, 1) - 1 as i, unnest(embedding) as x
+      from embeddings) group by vec_id""",
+    "blocked_draw_topk": with_(
+        PROBS,
+        f"""kept as (select * from (select *,
+    row_number() over (partition by vec_id order by p desc, i) as r from probs)
+  where r <= {TOP_K})""",
+        f"""mass as (select *, sum(p) over (partition by vec_id order by r) as below,
+    sum(p) over (partition by vec_id) * ({UNIFORM}) as target from kept)""",
+    )
+    + """select vec_id, arg_min(i, r)::int as choice from mass where below > target
+group by vec_id""",
+    "blocked_draw_whole": f"""select vec_id, arg_max(i, (s - ln(-ln(u)), -i))::int as choice from (
+  select vec_id, i, e::double / {TEMPERATURE}::double as s,
+    {hashed(SEED, "vec_id || ':' || i")} / {float(1 << 60)}::double + {0.5 / (1 << 60)!r}::double as u
+  from (select vec_id, generate_subscripts(embedding, 1) - 1 as i, unnest(embedding) as e
+        from embeddings)) group by vec_id""",
     "log_append": METRICS,
     "log_latest": LATEST_ROWS,
     "log_interval": with_(LOG, LATEST)

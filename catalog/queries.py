@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.functions.sequences import digest, last_ids
-from tokenmill.operators import chat, diff, lines, ngrams, order, reports, runlog, scores, sft
+from tokenmill.operators import (
+    chat, diff, lines, ngrams, order, reports, runlog, score_blocks, scores, sft,
+)
 from tokenmill.operators import splits as row_splits
 from tokenmill.operators import stream as token_streams
 from tokenmill.operators import tokens, windows
@@ -809,6 +811,35 @@ def draw_whole(spark, sf_dir):
     return drawn.select("vec_id", "choice")
 
 
+def _score_blocks(spark, sf_dir) -> DataFrame:
+    return score_blocks.cut_blocks(_scores(spark, sf_dir), "vec_id", "embedding", 24)
+
+
+def blocked_softmax_topk(spark, sf_dir):
+    """The likeliest entries of vectors in blocks."""
+    top = score_blocks.top_probabilities(
+        _score_blocks(spark, sf_dir), "vec_id", "embedding", TOP_K, TEMPERATURE
+    )
+    return top.withColumn("prob", F.round("prob", 6))
+
+
+def blocked_argmax(spark, sf_dir):
+    return score_blocks.greedy_choice(_score_blocks(spark, sf_dir), "vec_id", "embedding")
+
+
+def blocked_draw_topk(spark, sf_dir):
+    return score_blocks.sampled_top_choice(
+        _score_blocks(spark, sf_dir), "vec_id", "embedding", SEED, TOP_K, TEMPERATURE
+    )
+
+
+def blocked_draw_whole(spark, sf_dir):
+    """Draws from whole vectors in blocks, by noise on every entry."""
+    return score_blocks.sampled_choice(
+        _score_blocks(spark, sf_dir), "vec_id", "embedding", SEED, TEMPERATURE
+    )
+
+
 # --- run log ----------------------------------------------------------------------------------
 
 
@@ -1044,7 +1075,8 @@ QUERIES = {
         train_windows, val_windows, sharded_starts, sequential_batches, context_tail,
         token_budget, length_stats, sft_length_stats, supervised_stats, vector_parity, match_rate,
         snapshot_diff, snapshot_counts, one_sided_keys,
-        softmax_topk, argmax_scores, draw_topk, draw_whole,
+        softmax_topk, argmax_scores, blocked_softmax_topk, blocked_argmax, blocked_draw_topk, blocked_draw_whole,
+        draw_topk, draw_whole,
         log_append, log_latest, log_interval, log_saved_steps, log_tokens, log_loss,
         log_split_losses, log_rates, log_throughput, log_generation, log_sweep, log_sweep_rows,
         next_token_counts, next_token_topk, held_out_loss,
