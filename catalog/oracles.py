@@ -492,6 +492,11 @@ from total, (values {plan_rows()}) as v(plan, batch, block, steps)""",
     + """select split, count(*) as examples, sum(n)::bigint as tokens,
   sum(supervised)::bigint as supervised, round(sum(supervised) / sum(n)::double, 6) as ratio
 from sft join raw_split using (conv_id) group by split""",
+    "cached_supervised_stats": with_(*SFT, RAW_SPLIT)
+    + """select split, count(*) as examples, sum(n)::bigint as tokens,
+  sum(supervised)::bigint as supervised, round(sum(supervised) / sum(n)::double, 6) as ratio
+from sft join raw_split using (conv_id) group by split""",
+    "cached_length_stats": with_(*SFT) + LENGTH_STATS + "from sft",
     "vector_parity": """with d as (
   select vec_id, abs(x - round(x, 2)) as d
   from (select vec_id, unnest(embedding)::double as x from embeddings))

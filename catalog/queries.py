@@ -465,8 +465,7 @@ def sft_split_caches(spark, sf_dir):
     )
 
 
-def sft_file_caches(spark, sf_dir):
-    """Train and validation examples as two files, read back, numbered, cached per file."""
+def _file_caches(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     named = row_split(spark, sf_dir).join(chat_examples(spark, sf_dir), "conv_id")
     named = materialize(named, "sides")
@@ -477,9 +476,14 @@ def sft_file_caches(spark, sf_dir):
             named.where(F.col("split") == side), sources[side], ["prompt", "response"], key="conv_id"
         )
         sides[side] = files.number_rows(files.read_jsonl(spark, sources[side], keyed=True))
-    caches = sft_plan.sft_file_caches(
+    return sft_plan.sft_file_caches(
         spark, sides, "row", sft_plan.chat_vocabulary(turns), new_path(spark, "caches"), sources, MAX_LEN
     )
+
+
+def sft_file_caches(spark, sf_dir):
+    """Train and validation examples as two files, read back, numbered, cached per file."""
+    caches = _file_caches(spark, sf_dir)
     rows = named_splits.tagged_splits({name: df for name, (df, _) in caches.items()})
     return rows.select(
         "split", "row", "start", "length",
@@ -739,6 +743,29 @@ def supervised_stats(spark, sf_dir):
     return stats.withColumn("ratio", F.round("ratio", 6))
 
 
+def _cache_histograms(spark, sf_dir):
+    """Histograms beside the caches of both sides, taken twice: the second time none is read."""
+    caches = _file_caches(spark, sf_dir).values()
+    for rows, known in caches:
+        sft_plan.cache_histogram(rows, known)
+    first, second = (sft_plan.cache_histogram(rows.where("false"), known) for rows, known in caches)
+    return first.unionByName(second)
+
+
+def cached_length_stats(spark, sf_dir):
+    """Length statistics of all caches from the histograms beside them."""
+    counted = reports.merged_histograms(_cache_histograms(spark, sf_dir))
+    stats = reports.histogram_stats(counted, LENGTH_LIMITS)
+    return stats.withColumns(
+        {c: F.round(c, 6) for c in stats.columns if c not in ("rows", "min_len", "max_len")}
+    )
+
+
+def cached_supervised_stats(spark, sf_dir):
+    stats = reports.histogram_supervised(_cache_histograms(spark, sf_dir))
+    return stats.withColumn("ratio", F.round("ratio", 6))
+
+
 def vector_parity(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     rounded = vectors.select(
@@ -1073,7 +1100,8 @@ QUERIES = {
         grown_token_cache,
         position_split, split_token_counts,
         train_windows, val_windows, sharded_starts, sequential_batches, context_tail,
-        token_budget, length_stats, sft_length_stats, supervised_stats, vector_parity, match_rate,
+        token_budget, length_stats, sft_length_stats, supervised_stats, cached_length_stats,
+        cached_supervised_stats, vector_parity, match_rate,
         snapshot_diff, snapshot_counts, one_sided_keys,
         softmax_topk, argmax_scores, blocked_softmax_topk, blocked_argmax, blocked_draw_topk, blocked_draw_whole,
         draw_topk, draw_whole,

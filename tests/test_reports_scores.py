@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenmill.functions.hashing import seeded_fraction
 from tokenmill.functions.vectors import pick, softmax, top_k
 from tokenmill.operators import diff, reports, scores
+from tokenmill.sources import cache
 
 
 def test_split_summary(spark):
@@ -142,3 +143,33 @@ def test_softmax_does_linear_work(spark):
     wide = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(30_000)), lambda x: x / 1e4).alias("s"))
     total = wide.select(F.aggregate(softmax(F.col("s")), F.lit(0.0), lambda a, b: a + b)).first()[0]
     assert total == pytest.approx(1.0)
+
+
+def test_histograms_of_parts_add_up(spark, tmp_path):
+    """Statistics from stored histograms equal those of all rows, quantiles included."""
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), int(rng.paretovariate(1.1)), rng.randint(0, 5)) for _ in range(900)]
+    df = spark.createDataFrame(rows, "split string, length int, supervised int")
+    parts = [df.where(F.pmod(F.hash("length", "supervised"), F.lit(3)) == i) for i in range(3)]
+    stored = []
+    for i, part in enumerate(parts):
+        known = {"data": f"{tmp_path}/part{i}"}
+        make = lambda d: reports.length_histogram(d, F.col("length"), ["split"], F.col("supervised"))
+        first = cache.stored_histogram(part, known, make)
+        again = cache.stored_histogram(part.where("false"), known, make)
+        assert sorted(first.collect()) == sorted(again.collect())
+        stored.append(again)
+    every = stored[0].unionByName(stored[1]).unionByName(stored[2])
+    merged = reports.merged_histograms(every)
+    assert merged.count() == len({n for _, n, _ in rows})
+    wanted = reports.length_stats(df, F.col("length"), [3, 50]).first()
+    assert reports.histogram_stats(merged, [3, 50]).first() == wanted
+    by = {r["split"]: tuple(r)[1:] for r in reports.histogram_stats(every, [3], ["split"]).collect()}
+    for name in "ab":
+        own = reports.length_stats(df.where(F.col("split") == name), F.col("length"), [3]).first()
+        assert by[name] == tuple(own)
+    left, right = (sorted(map(tuple, x.collect())) for x in (
+        reports.histogram_supervised(every), reports.supervised_stats(df)))
+    assert left == right
+    nothing = reports.length_histogram(df.where("false"), F.col("length"))
+    assert reports.histogram_stats(nothing, [3]).first()["rows"] is None

@@ -53,22 +53,36 @@ def token_budget(counts: DataFrame, plans: DataFrame) -> DataFrame:
     )
 
 
-def length_stats(df: DataFrame, length: Column, limits: Sequence[int]) -> DataFrame:
-    """One row: count, range, mean, quantiles and, per limit, the share of longer rows.
+def length_histogram(
+    df: DataFrame, length: Column, by: Sequence[str] = (), supervised: Column | None = None
+) -> DataFrame:
+    """(by, len, n, supervised): rows of each length, and their ids that carry loss.
 
-    Lengths are counted first. What reaches the last task is one row per distinct length, which
-    grows with the longest text and not with the table, and quantiles stay exact.
+    A row per distinct length, which grows with the longest text and not with the table. Histograms
+    of parts add up (``merged_histograms``), so one kept beside each part replaces reading it again.
     """
-    counted = (
-        df.select(length.cast("long").alias("len")).groupBy("len").agg(F.count(F.lit(1)).alias("n"))
+    carried = F.lit(0) if supervised is None else supervised
+    counted = df.select(*by, length.cast("long").alias("len"), carried.cast("long").alias("_s"))
+    return counted.groupBy(*by, "len").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_s"), F.lit(0)).alias("supervised")
     )
+
+
+def merged_histograms(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One histogram from the rows of any number of them."""
+    sums = [F.sum(c).alias(c) for c in ("n", "supervised")]
+    return parts.groupBy(*by, "len").agg(*sums)
+
+
+def histogram_stats(counted: DataFrame, limits: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """Per ``by``: count, range, mean, exact quantiles and, per limit, the share of longer rows."""
     rows = F.sum("n")
     quantiles = F.percentile("len", F.lit(list(QUANTILES)), F.col("n"))
     over = [
         (F.sum(F.when(F.col("len") > x, F.col("n")).otherwise(0)) / rows).alias(f"over_{x}")
         for x in limits
     ]
-    stats = counted.agg(
+    stats = (counted.groupBy(*by) if by else counted).agg(
         rows.cast("long").alias("rows"),
         F.min("len").alias("min_len"),
         F.max("len").alias("max_len"),
@@ -78,10 +92,30 @@ def length_stats(df: DataFrame, length: Column, limits: Sequence[int]) -> DataFr
     )
     named = [F.col("q")[i].alias(f"p{round(q * 100)}") for i, q in enumerate(QUANTILES)]
     return stats.select(
-        "rows", "min_len", "max_len", "mean_len", *named, *[f"over_{x}" for x in limits]
+        *by, "rows", "min_len", "max_len", "mean_len", *named, *[f"over_{x}" for x in limits]
     )
 
 
+def histogram_supervised(counted: DataFrame, split: str = "split") -> DataFrame:
+    """As ``supervised_stats``, from histograms by split."""
+    tokens = F.sum(F.col("len") * F.col("n")).cast("long")
+    return counted.groupBy(split).agg(
+        F.sum("n").alias("examples"),
+        tokens.alias("tokens"),
+        F.sum("supervised").cast("long").alias("supervised"),
+        (F.sum("supervised") / F.greatest(tokens, F.lit(1))).alias("ratio"),
+    )
+
+
+def length_stats(df: DataFrame, length: Column, limits: Sequence[int]) -> DataFrame:
+    """One row: count, range, mean, quantiles and, per limit, the share of longer rows.
+
+    Lengths are counted first. What reaches the last task is one row per distinct length, and
+    quantiles stay exact.
+    """
+    return histogram_stats(length_histogram(df, length).drop("supervised"), limits)
+
+
 def supervised_stats(rows: DataFrame, split: str = "split") -> DataFrame:
     """Per split: examples, ids, ids that carry loss, and their ratio."""
     return rows.groupBy(split).agg(

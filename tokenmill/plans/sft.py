@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.operators.chat import chat_examples, clean_turns, example_parts
+from tokenmill.operators.reports import length_histogram
 from tokenmill.operators.sft import (
     draw_examples,
     masked_rows,
@@ -23,7 +24,7 @@ from tokenmill.operators.tokens import CharTokenizer, Tokenizer
 from tokenmill.operators.windows import micro_batches
 from tokenmill.session import materialize
 from tokenmill.sources import flat
-from tokenmill.sources.cache import data_identity, reuse_or_build
+from tokenmill.sources.cache import data_identity, reuse_or_build, stored_histogram
 
 
 def chat_vocabulary(turns: DataFrame) -> CharTokenizer:
@@ -165,6 +166,19 @@ def sft_file_caches(
     return caches
 
 
+def cache_histogram(rows: DataFrame, known: dict) -> DataFrame:
+    """(split, len, n, supervised) of a fine-tuning cache, kept beside it: see ``reports``.
+
+    Statistics of several caches come from the union of their histograms, and none of them is read.
+    """
+
+    def histogram(cache: DataFrame) -> DataFrame:
+        split = cache.withColumn("split", F.lit(known["split"]))
+        return length_histogram(split, F.col("length"), ["split"], F.col("supervised"))
+
+    return stored_histogram(rows, known, histogram)
+
+
 def write_flat_cache(rows: DataFrame, known: dict, prefix: str) -> dict:
     """Write a fine-tuning cache as flat files (see ``sources.flat``); returns their manifest."""
     fields = known.get("fields") or ["prompt", "response"]

@@ -141,6 +141,17 @@ def reuse_or_build(
     return spark.read.parquet(known["data"]), known
 
 
+def stored_histogram(rows: DataFrame, known: dict, histogram: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The histogram of a cache, from beside it; the cache is read only if there is none yet.
+
+    It belongs to one build: another build has another folder, and so another histogram.
+    """
+    spark, path = rows.sparkSession, f"{known['data']}-lengths"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        histogram(rows).coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
     """``df`` written in ``buckets`` files by a hash of ``key``, sorted by it, and read with that known.
 
