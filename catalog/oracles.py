@@ -520,6 +520,13 @@ from moved where i > 8""",
     when a.doc_id is null then 'only_right'
     when a.shape is not distinct from b.shape then 'same' else 'mismatch' end as status
 from a full join b on a.doc_id = b.doc_id""",
+    "digest_diff": with_(SNAPSHOTS)
+    + """select coalesce(a.doc_id, b.doc_id) as doc_id, a.shape as left_shape,
+  b.shape as right_shape, case when b.doc_id is null then 'only_left'
+    when a.doc_id is null then 'only_right'
+    when a.shape is not distinct from b.shape then 'same' else 'mismatch' end as status
+from a full join b on a.doc_id = b.doc_id
+where a.doc_id is null or b.doc_id is null or a.shape is distinct from b.shape""",
     "snapshot_counts": with_(SNAPSHOTS)
     + """select count(a.doc_id) as left_keys, count(b.doc_id) as right_keys,
   count(*) filter (a.doc_id is null) as missing, count(*) filter (b.doc_id is null) as extra,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenmill.functions.sequences import digest, last_ids
 from tokenmill.operators import (
     chat, diff, lines, ngrams, order, reports, runlog, score_blocks, scores, sft,
+    snapshots,
 )
 from tokenmill.operators import splits as row_splits
 from tokenmill.operators import stream as token_streams
@@ -803,6 +804,15 @@ def snapshot_counts(spark, sf_dir):
     return diff.diff_counts(snapshot_diff(spark, sf_dir))
 
 
+def digest_diff(spark, sf_dir):
+    """Keys that differ between two stored snapshots, found by digests of key ranges."""
+    paths = []
+    for side in _snapshots(spark, sf_dir):
+        paths.append(new_path(spark, "snapshot"))
+        snapshots.write_snapshot(side, "doc_id", "shape", paths[-1], width=16)
+    return snapshots.changed_rows(spark, *paths)
+
+
 def one_sided_keys(spark, sf_dir):
     return diff.one_sided(*_snapshots(spark, sf_dir), "doc_id", "shape")
 
@@ -1102,7 +1112,7 @@ QUERIES = {
         train_windows, val_windows, sharded_starts, sequential_batches, context_tail,
         token_budget, length_stats, sft_length_stats, supervised_stats, cached_length_stats,
         cached_supervised_stats, vector_parity, match_rate,
-        snapshot_diff, snapshot_counts, one_sided_keys,
+        snapshot_diff, snapshot_counts, one_sided_keys, digest_diff,
         softmax_topk, argmax_scores, blocked_softmax_topk, blocked_argmax, blocked_draw_topk, blocked_draw_whole,
         draw_topk, draw_whole,
         log_append, log_latest, log_interval, log_saved_steps, log_tokens, log_loss,

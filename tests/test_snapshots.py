@@ -1,0 +1,84 @@
+"""Snapshot differences by digests against the full join."""
+
+import glob
+import random
+
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from tokenmill.operators import diff, snapshots
+
+SCHEMA = "k long, shape string"
+
+
+def stored(spark, rows, path, width=8):
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    snapshots.write_snapshot(df, "k", "shape", path, width)
+    return df
+
+
+def wanted(left, right):
+    full = diff.keyed_diff(left, right, "k", "shape").where("status <> 'same'")
+    return sorted(map(tuple, full.collect()))
+
+
+def sides(seed):
+    pick = random.Random(seed)
+    keys = [*range(-300, 300), *range(10_000, 10_900), 2**62, -(2**62), 2**40]
+    left = [(k, pick.choice(["a", "b", None])) for k in keys]
+    right = [(k, s) for k, s in left if pick.random() > 0.002]
+    right = [(k, "changed" if pick.random() < 0.003 else s) for k, s in right]
+    right = [(k, "changed" if k == 7 else s) for k, s in right if k != 10_500]
+    return left, right + [(5_000, None), (2**61, "new")]
+
+
+@pytest.mark.parametrize("most, fanout", [(200, 64), (1, 64), (3, 4)])
+def test_equals_full_join(spark, tmp_path, monkeypatch, most, fanout):
+    monkeypatch.setattr(snapshots, "MOST_INTERVALS", most)
+    monkeypatch.setattr(snapshots, "FANOUT", fanout)
+    left, right = sides(most)
+    a, b = f"{tmp_path}/a", f"{tmp_path}/b"
+    full = wanted(stored(spark, left, a), stored(spark, right, b))
+    found = sorted(map(tuple, snapshots.changed_rows(spark, a, b).collect()))
+    assert found == full and {r[3] for r in full} == {"only_left", "only_right", "mismatch"}
+    assert len(snapshots.changed_ranges(spark, a, b)) <= most
+
+
+def test_same_and_empty_snapshots(spark, tmp_path):
+    rows = [(k, None if k % 3 else "x") for k in range(500)]
+    a, b, c = (f"{tmp_path}/{x}" for x in "abc")
+    stored(spark, rows, a)
+    stored(spark, rows[::-1], b)
+    stored(spark, [], c)
+    assert snapshots.changed_ranges(spark, a, b) == []
+    assert snapshots.changed_rows(spark, a, b).count() == 0
+    assert snapshots.changed_rows(spark, a, c).where("status = 'only_left'").count() == 500
+    assert snapshots.changed_rows(spark, c, c).count() == 0
+    stored(spark, rows, f"{tmp_path}/d", width=16)
+    with pytest.raises(ValueError, match="widths"):
+        snapshots.changed_ranges(spark, a, f"{tmp_path}/d")
+
+
+def test_one_change_in_a_million_rows_reads_a_few_ranges(spark, tmp_path):
+    """Bytes of the row groups that the filters leave, of all; the digests are a small part as well."""
+    a, b = f"{tmp_path}/a", f"{tmp_path}/b"
+    before = spark.range(1_000_000).select(F.col("id").alias("k"), F.md5(F.col("id").cast("string")).alias("shape"))
+    after = before.withColumn("shape", F.when(F.col("k") == 654_321, "new").otherwise(F.col("shape")))
+    for df, path in ((before, a), (after, b)):
+        snapshots.write_snapshot(df, "k", "shape", path)
+    (low, high), = snapshots.changed_ranges(spark, a, b)
+    assert low <= 654_321 <= high and high - low + 1 == snapshots.WIDTH
+    found = snapshots.changed_rows(spark, a, b)
+    assert [(r["k"], r["right_shape"], r["status"]) for r in found.collect()] == [(654_321, "new", "mismatch")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert f"GreaterThanOrEqual(k,{low})" in plan and f"LessThanOrEqual(k,{high})" in plan
+    read, every = 0, 0
+    for name in glob.glob(f"{a}/rows/*.parquet"):
+        meta = pq.ParquetFile(name).metadata
+        for group in (meta.row_group(i) for i in range(meta.num_row_groups)):
+            stats = group.column(0).statistics
+            every += group.total_byte_size
+            read += group.total_byte_size * (stats.max >= low and stats.min <= high)
+    digests = sum(pq.ParquetFile(n).metadata.num_rows for n in glob.glob(f"{a}/digests/*/*.parquet"))
+    assert read <= every / 4 and digests < 1_000_000 / snapshots.WIDTH * 1.2
