@@ -99,6 +99,15 @@ def test_sweep(spark):
     assert found[2]["new_delta"] is None
 
 
+def test_a_wide_sweep_of_too_many_runs_points_to_rows(spark, monkeypatch):
+    monkeypatch.setattr(runlog, "MOST_COLUMNS", 2)
+    log = spark.createDataFrame([(r, 1, 1.0) for r in "abc"], "run string, step long, value double")
+    with pytest.raises(ValueError, match="sweep_rows"):
+        runlog.sweep(log, "a")
+    assert runlog.sweep(log, "a", ["a", "b"]).columns == ["step", "a", "b", "b_delta"]
+    assert runlog.sweep_rows(log, "a").count() == 3
+
+
 def test_append(spark, log):
     path = new_path(spark, "test-metrics")
     full = log

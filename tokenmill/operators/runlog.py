@@ -15,6 +15,8 @@ from tokenmill.operators.ngrams import perplexity
 from tokenmill.operators.order import running_total
 from tokenmill.session import materialize
 
+MOST_COLUMNS = 1_000  # runs of a wide table
+
 
 def metric_rows(
     df: DataFrame, run: str, step: str, ts: str, event_id: str, value: str, metric: Column | str
@@ -179,10 +181,14 @@ def sweep_rows(log: DataFrame, baseline: str) -> DataFrame:
 def sweep(log: DataFrame, baseline: str, runs: Sequence[str] | None = None) -> DataFrame:
     """(step, one column per run, <run>_delta to the baseline): mean value of each step.
 
-    A wide table has a column per run, whose names the plan must hold; ``sweep_rows`` has none.
+    A wide table has a column per run, whose names the plan must hold. Without ``runs`` they are
+    looked up, and more than MOST_COLUMNS of them are an error: ``sweep_rows`` takes any number.
     """
     if runs is None:
-        runs = [r["run"] for r in log.select("run").distinct().orderBy("run").collect()]
+        names = log.select("run").distinct().orderBy("run").limit(MOST_COLUMNS + 1)
+        runs = [r["run"] for r in names.collect()]
+        if len(runs) > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} runs: name some, or use sweep_rows")
     wide = log.groupBy("step").pivot("run", list(runs)).agg(F.avg("value"))
     deltas = [
         (F.col(f"`{r}`") - F.col(f"`{baseline}`")).alias(f"{r}_delta")
