@@ -23,7 +23,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def test_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert set(QUERIES) <= names and "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - {"pipeline"}))
@@ -32,6 +32,10 @@ def test_queries_return_whole_tables(spark, name):
     rows = out.count()
     if name.startswith("op2_"):
         assert 0 < rows and out.columns == ["doc_id", "item_id", "similarity"]
+    elif name.startswith("op11_"):
+        assert 0 < rows <= 2000 * out.select("lang").distinct().count()
+    elif name.startswith("op13_"):
+        assert rows == 600 * out.select("part").distinct().count() > 0
     else:
         source = "pages" if name.startswith("op6_") else "documents"
         assert rows == spark.read.parquet(f"{SF_DIR}/{source}.parquet").count()
