@@ -18,7 +18,7 @@ from tokenmill.operators import tokens, windows
 from tokenmill.plans import corpus as corpus_plan
 from tokenmill.plans import export, growing
 from tokenmill.plans import sft as sft_plan
-from tokenmill.session import materialize, new_path
+from tokenmill.session import bound_batches, materialize, new_path
 from tokenmill.sources import cache, files, flat
 from tokenmill.sources import splits as named_splits
 from tokenmill.streaming import runs, sinks
@@ -40,6 +40,7 @@ PLANS = [("small", 2, 128, 1000), ("recipe", 2, 384, 20000), ("wide", 64, 1024,
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return files.read_table(spark, f"{sf_dir}/{name}.parquet")
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -215,3 +216,34 @@ def test_offsets_and_index(spark):
     assert found == {i * 10: sum(lengths[:i]) for i in range(len(lengths))}
     index = {r["id"]: r["index"] for r in sft.with_index(df, "id").collect()}
     assert index == {i * 10: i for i in range(len(lengths))}
+
+
+def kernel(udf, rows, kind):
+    """What the function behind a column expression yields for one large batch."""
+    return list(udf.func(iter([pa.array(rows, kind)])))
+
+
+def test_subword_encoder_works_in_small_pieces(monkeypatch):
+    """A worker holds neither a large batch's ids nor more than a few encodings of the library."""
+    import tokenizers
+
+    class Counting:
+        held = 0
+
+        def __init__(self, real):
+            self.real = real
+
+        def encode_batch_fast(self, texts, **options):
+            Counting.held = max(Counting.held, sum(map(len, texts)))
+            return self.real.encode_batch_fast(texts, **options)
+
+    class Loader:
+        from_str = staticmethod(lambda text, load=tokenizers.Tokenizer.from_str: Counting(load(text)))
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Loader)
+    rows = ["ab" * 500, None, ""] * 4000
+    tokenizer = tokens.SubwordTokenizer(byte_pair_definition())
+    found = kernel(tokenizer._encoder(None), rows, pa.string())
+    assert Counting.held <= 1 << 16
+    assert len(found) > 1 and max(len(f.flatten()) for f in found) <= tokens.AT_ONCE
+    assert [None if r is None else len(r) for f in found for r in f.to_pylist()] == [1000, None, 0] * 4000

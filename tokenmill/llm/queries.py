@@ -11,8 +11,7 @@ from tokenmill.llm import (
     bpe, filter_audit, hash_tree, langid, leaks, line_crf, line_dedup, minmax, phrases, pii, secrets,
     unigram, warc,
 )
-from tokenmill.llm.arrays import bound_batches
-from tokenmill.session import new_path
+from tokenmill.session import bound_batches, new_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")

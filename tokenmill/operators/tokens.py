@@ -19,19 +19,27 @@ MAX_CODE_POINT = 0x10FFFF  # fixed value: the end of Unicode
 NATIVE_TABLE_LIMIT = 65_536  # code points that a literal lookup table may span
 SEGMENT = 1_024  # ids in a stored row
 AT_ONCE = 1 << 20  # characters, or ids, that a kernel holds in unpacked form
+LIBRARY_AT_ONCE = 1 << 15  # those in the hands of a tokenizer library, some hundred bytes each
 
 
-def _row_groups(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about AT_ONCE units, one longer row at least."""
+def _row_groups(lengths: np.ndarray, limit: int = AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``limit`` units, one longer row at least."""
     ends = np.cumsum(lengths)
     row = 0
     while row < len(ends):
         done = ends[row - 1] if row else 0
-        stop = max(int(np.searchsorted(ends, done + AT_ONCE, "right")), row + 1)
+        stop = max(int(np.searchsorted(ends, done + limit, "right")), row + 1)
         yield row, stop
         row = stop
 
 
+def _pieces(batches: Iterator[pa.Array], units: Callable) -> Iterator[pa.Array]:
+    """The rows of all batches in arrays of about AT_ONCE units, however large the batches are."""
+    for batch in batches:
+        for low, high in _row_groups(_sizes(units(batch))):
+            yield batch[low:high]
+
+
 def _lists(rows: list[np.ndarray], lengths: np.ndarray, missing: pa.Array) -> pa.ListArray:
     values = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
@@ -242,11 +250,12 @@ class SubwordTokenizer:
 
             tokenizer = Tokenizer.from_str(definition)
             end = np.array(newline or [], dtype=np.int32)
-            for batch in batches:
+            for piece in _pieces(batches, pc.utf8_length):
                 rows = []
                 # An encoding takes some hundred bytes per id, so few are held at a time.
-                for low, high in _row_groups(_sizes(pc.utf8_length(batch))):
-                    texts = [t if t is not None else "" for t in batch[low:high].to_pylist()]
+                sizes = _sizes(pc.utf8_length(piece))
+                for low, high in _row_groups(sizes, LIBRARY_AT_ONCE):
+                    texts = [t if t is not None else "" for t in piece[low:high].to_pylist()]
                     parts = [[t] if newline is None else t.split("\r") for t in texts]
                     encoded = iter(
                         tokenizer.encode_batch_fast(
@@ -257,7 +266,7 @@ class SubwordTokenizer:
                         ids = [np.array(next(encoded).ids, dtype=np.int32) for _ in row]
                         rows.append(np.concatenate([x for i in ids for x in (i, end)]))
                 lengths = np.array([len(r) for r in rows], dtype=np.int64)
-                yield _lists(rows, lengths, batch.is_null())
+                yield _lists(rows, lengths, piece.is_null())
 
         return encode_subwords
 
