@@ -247,3 +247,25 @@ def test_subword_encoder_works_in_small_pieces(monkeypatch):
     assert Counting.held <= 1 << 16
     assert len(found) > 1 and max(len(f.flatten()) for f in found) <= tokens.AT_ONCE
     assert [None if r is None else len(r) for f in found for r in f.to_pylist()] == [1000, None, 0] * 4000
+
+
+LONG_ROWS = ["ab" * 500, None, ""] * 4000
+LONG_IDS = [[0, 1] * 500, None, []] * 4000
+
+
+def test_char_encoder_yields_small_pieces():
+    found = kernel(tokens.CharTokenizer(("a", "b"))._encoder(), LONG_ROWS, pa.string())
+    assert len(found) > 1 and max(len(f.flatten()) for f in found) <= tokens.AT_ONCE
+    assert pa.concat_arrays(found).to_pylist() == LONG_IDS
+
+
+def test_char_decoder_yields_small_pieces():
+    found = kernel(tokens.CharTokenizer(("a", "b"))._decoder(True), LONG_IDS, pa.list_(pa.int32()))
+    assert len(found) > 1 and pa.concat_arrays(found).to_pylist() == LONG_ROWS
+
+
+def test_subword_decoder_yields_small_pieces():
+    ids = [r and [97 + i for i in r] for r in LONG_IDS]
+    decoder = tokens.SubwordTokenizer(byte_pair_definition())._decoder(True)
+    found = kernel(decoder, ids, pa.list_(pa.int32()))
+    assert len(found) > 1 and pa.concat_arrays(found).to_pylist() == LONG_ROWS

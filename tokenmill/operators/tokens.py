@@ -115,29 +115,28 @@ class CharTokenizer:
     def encode(self, text: Column) -> Column:
         """array<int>; an unknown character fails the job.
 
-        One Arrow batch is encoded by one table lookup over all its characters, about twice as
+        About a million characters are encoded by one table lookup, about twice as
         fast as the built-in form below (whose array lambdas run outside code generation).
         """
+        return self._encoder()(text)
+
+    def _encoder(self) -> Callable[[Column], Column]:
         known = np.array([ord(c) for c in self.chars], dtype=np.int64)
 
         @F.arrow_udf("array<int>")
-        def encode_chars(batch: pa.Array) -> pa.Array:
+        def encode_chars(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             table = np.full(int(known.max(initial=0)) + 2, -1, dtype=np.int32)
             table[known] = np.arange(len(known), dtype=np.int32)
-            lengths = _sizes(pc.utf8_length(batch))
-            rows = []
-            for low, high in _row_groups(lengths):
-                texts = batch[low:high].to_pylist()
-                joined = "".join(t for t in texts if t is not None)
+            for piece in _pieces(batches, pc.utf8_length):
+                joined = "".join(t for t in piece.to_pylist() if t is not None)
                 points = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
                 ids = table[np.minimum(points, len(table) - 1)]
                 unknown = int((ids < 0).sum())
                 if unknown:
                     raise ValueError(f"{unknown} characters are not in the vocabulary")
-                rows.append(ids)
-            return _lists(rows, lengths, batch.is_null())
+                yield _lists([ids], _sizes(pc.utf8_length(piece)), piece.is_null())
 
-        return encode_chars(text)
+        return encode_chars
 
     def encode_native(self, text: Column) -> Column:
         """The same ids from built-in functions alone; for clusters without Python workers."""
@@ -167,24 +166,25 @@ class CharTokenizer:
 
     def decode(self, ids: Column, skip_special: bool = True) -> Column:
         """Text of an id array; the end-of-sequence id is skipped, or fails if not."""
+        return self._decoder(skip_special)(ids)
+
+    def _decoder(self, skip_special: bool) -> Callable[[Column], Column]:
         points = np.array([ord(c) for c in self.chars], dtype="<u4")
         eos = self.eos_id
 
         @F.arrow_udf("string")
-        def decode_chars(batch: pa.Array) -> pa.Array:
-            found = []
-            for low, high in _row_groups(_sizes(pc.list_value_length(batch))):
-                part = batch[low:high]
-                values = part.flatten().to_numpy(zero_copy_only=False)
+        def decode_chars(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for piece in _pieces(batches, pc.list_value_length):
+                values = piece.flatten().to_numpy(zero_copy_only=False)
                 keep = values != eos if skip_special else np.ones(len(values), dtype=bool)
                 kept = np.concatenate([[0], np.cumsum(keep)])
-                lengths = _sizes(pc.list_value_length(part))
+                lengths = _sizes(pc.list_value_length(piece))
                 ends = kept[np.concatenate([[0], np.cumsum(lengths)])]
                 text = points[values[keep]].tobytes().decode("utf-32-le")
-                found += [text[a:b] for a, b in zip(ends, ends[1:])]
-            return pa.array(found, type=pa.string(), mask=np.asarray(batch.is_null()))
+                found = [text[a:b] for a, b in zip(ends, ends[1:])]
+                yield pa.array(found, type=pa.string(), mask=np.asarray(piece.is_null()))
 
-        return decode_chars(ids)
+        return decode_chars
 
     def decode_native(self, ids: Column, skip_special: bool = True) -> Column:
         chars = F.lit(list(self.chars))
@@ -271,6 +271,9 @@ class SubwordTokenizer:
         return encode_subwords
 
     def decode(self, ids: Column, skip_special: bool = True) -> Column:
+        return self._decoder(skip_special)(ids)
+
+    def _decoder(self, skip_special: bool) -> Callable[[Column], Column]:
         definition = self.definition
 
         @F.arrow_udf("string")
@@ -281,14 +284,15 @@ class SubwordTokenizer:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_str(definition)
-            for batch in batches:
+            for piece in _pieces(batches, pc.list_value_length):
                 found = []
-                for low, high in _row_groups(_sizes(pc.list_value_length(batch))):
-                    ids = [r if r is not None else [] for r in batch[low:high].to_pylist()]
+                sizes = _sizes(pc.list_value_length(piece))
+                for low, high in _row_groups(sizes, LIBRARY_AT_ONCE):
+                    ids = [r if r is not None else [] for r in piece[low:high].to_pylist()]
                     found += tokenizer.decode_batch(ids, skip_special_tokens=skip_special)
-                yield pa.array(found, type=pa.string(), mask=np.asarray(batch.is_null()))
+                yield pa.array(found, type=pa.string(), mask=np.asarray(piece.is_null()))
 
-        return decode_subwords(ids)
+        return decode_subwords
 
 
 Tokenizer = CharTokenizer | SubwordTokenizer
