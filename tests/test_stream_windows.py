@@ -296,3 +296,43 @@ def test_perplexity_limit(spark):
     df = spark.createDataFrame([(19.99,), (20.0,), (None,)], "l double")
     found = [r[0] for r in df.select(ngrams.perplexity(F.col("l"))).collect()]
     assert found[0] < 5e8 and found[1] == float("inf")
+
+
+def test_pairs_are_counted_without_a_copy_of_the_batch():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rows, size = 1 << 14, 1 << 10
+    ids = pa.ListArray.from_arrays(
+        pa.array(np.arange(rows + 1, dtype=np.int32) * size), pa.array(np.zeros(rows * size, np.int32))
+    )
+    ends = pa.array(np.full(rows, size, np.int32))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["train"] * rows), pa.array(np.zeros(rows, np.int32)), ends, ids],
+        ["split", "first", "stop", "ids"],
+    )
+    tracemalloc.start()
+    total = sum(sum(b.column("n").to_pylist()) for b in ngrams._count_pairs(iter([batch])))
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == rows * (size - 1)
+    assert held < 8 * rows * size
+
+
+def test_a_cache_deals_out_text_and_not_ids(spark, tmp_path, monkeypatch):
+    from tokenmill.operators.tokens import CharTokenizer
+
+    moved = []
+    monkeypatch.setattr(
+        plan, "in_key_ranges", lambda df, *a, f=plan.in_key_ranges: moved.append(dict(df.dtypes)) or f(df, *a)
+    )
+    df = spark.createDataFrame([(i, "abc" * i) for i in range(1, 40)], "doc_id long, text string")
+    rows, known = plan.token_cache(
+        spark, df, "doc_id", CharTokenizer(("\n", "a", "b", "c")), str(tmp_path), "x", size=16
+    )
+    found = [i for r in rows.orderBy("chunk_id").collect() for i in r["ids"]]
+    assert found == [i for n in range(1, 40) for i in [1, 2, 3] * n + [0]]
+    assert known["num_tokens"] == len(found)
+    assert moved and not any("array" in t for types in moved for t in types.values())

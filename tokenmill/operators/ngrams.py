@@ -25,7 +25,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, stop = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("first", "stop"))
         ids = batch.column("ids")
         ends = np.asarray(ids.offsets).astype(np.int64)
-        values = ids.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        values = ids.values.to_numpy(zero_copy_only=False)
         row = 0
         while row < len(splits):
             # Rows of one split, up to IDS_AT_ONCE ids or a single longer row.
@@ -37,7 +37,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(inside, begin + first[rows] - ends[row], 1)
             np.add.at(inside, begin + stop[rows] - 1 - ends[row], -1)
             wanted = np.flatnonzero(np.cumsum(inside[:-1])) + ends[row]
-            cur, after = values[wanted], values[wanted + 1]
+            cur, after = values[wanted].astype(np.int64), values[wanted + 1]
             pairs, counts = np.unique(cur << 32 | after, return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [

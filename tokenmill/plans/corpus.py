@@ -13,6 +13,7 @@ from tokenmill.operators.stream import (
     is_text,
     stream_pieces,
     token_chunks,
+    token_count,
     token_stream,
 )
 from tokenmill.operators.tokens import (
@@ -81,9 +82,11 @@ def corpus_stream(
 
 def id_chunks(stream: Stream, tokenizer: Tokenizer, size: int, overlap: int = 0) -> DataFrame:
     """(chunk_id, ids)."""
-    chunks = token_chunks(stream, size, overlap)
-    content = F.col(stream.content)
-    ids = tokenizer.encode(content) if is_text(chunks, stream.content) else content
+    return _ids(token_chunks(stream, size, overlap), stream.content, tokenizer)
+
+
+def _ids(chunks: DataFrame, content: str, tokenizer: Tokenizer) -> DataFrame:
+    ids = tokenizer.encode(F.col(content)) if is_text(chunks, content) else F.col(content)
     return chunks.select("chunk_id", ids.alias("ids"))
 
 
@@ -125,11 +128,14 @@ def token_cache(
             stream = stream_of_lines(df, key, tokenizer)
         else:
             stream = corpus_stream(df, key, tokenizer, text_field)
-        chunks = id_chunks(stream, tokenizer, size, overlap=1).select(
+        chunks = token_chunks(stream, size, overlap=1)
+        # Where the stream leaves off, the overlap alone would make a chunk of its own.
+        some = chunks.where(token_count(chunks, stream.content) > 0)
+        placed = in_key_ranges(some, "chunk_id", -(-stream.total // size))
+        # Text is dealt out and sorted, a byte a character or so; its ids would be four.
+        return _ids(placed, stream.content, tokenizer).select(
             "chunk_id", F.slice("ids", 1, size).alias("ids"), F.get("ids", F.lit(size)).alias("next_id")
         )
-        # Where the stream leaves off, the overlap alone would make a chunk of its own.
-        return in_key_ranges(chunks.where(F.size("ids") > 0), "chunk_id", -(-stream.total // size))
 
     return reuse_or_build(spark, root, "tokens", parameters, build, F.size("ids"), rebuild)
 
