@@ -150,3 +150,19 @@ def test_gathering_leaves_a_bucketed_cache_where_it_is(spark, tmp_path):
     spark.sql(f"drop table {cache._table_name(path)}")
     again = cache.read_bucketed(spark, path, "chunk_id", 16)
     assert sorted(again.collect()) == sorted(rows.collect())
+
+
+def test_lines_are_placed_as_text(spark, tmp_path, tokenizer, monkeypatch):
+    """With an id per character, no ids are shuffled to find the places of lines; long lines are cut."""
+    folder = str(tmp_path / "lines")
+    write(folder, "a.txt", ["ab c" * 700, "", "é" * 1023, "b" * 1024])
+    write(folder, "b.txt", some_lines(3))
+    moved = []
+    monkeypatch.setattr(
+        growing, "running_total",
+        lambda df, *a, f=growing.running_total, **b: moved.append(dict(df.dtypes)) or f(df, *a, **b),
+    )
+    stream, known = growing.refresh(spark, folder, tokenizer, str(tmp_path / "cache"))
+    assert chunks_of(stream) == plain_ids(folder, tokenizer)
+    assert max(r["n"] for r in stream.rows.select("n").collect()) <= 1024
+    assert moved and not any("array" in t for types in moved for t in types.values())

@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tokenmill.functions.text import line_ends
 from tokenmill.operators.order import BUCKET, running_total
 from tokenmill.operators.stream import Stream
-from tokenmill.operators.tokens import Tokenizer, encoded_segments
+from tokenmill.operators.tokens import SEGMENT, CharTokenizer, Tokenizer, encoded_segments
 from tokenmill.session import materialize
 from tokenmill.sources import files
 from tokenmill.sources.cache import fingerprint, read_manifest, write_manifest
@@ -42,6 +43,16 @@ def listed_files(spark: SparkSession, path: str) -> DataFrame:
 def _encode(spark: SparkSession, paths: list[str] | str, tokenizer: Tokenizer) -> DataFrame:
     """(file, start, n, ids) of the lines of files; ``start`` counts from the file's beginning."""
     lines = files.number_rows(files.read_lines(spark, paths, keyed=True), keep=["file"])
+    if isinstance(tokenizer, CharTokenizer):
+        # Lengths are known before the ids are: whole lines are placed as text and encoded last.
+        text = F.concat(line_ends(F.col("line")), F.lit("\n")).alias("text")
+        placed = running_total(lines.select("file", "row", text), ["row"], F.length("text"), by=["file"])
+        parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0))
+        cut = placed.select("file", "start", F.posexplode(parts).alias("seg", "text"))
+        return cut.select(
+            "file", (F.col("start") + F.col("seg") * SEGMENT).alias("start"),
+            F.length("text").alias("n"), tokenizer.encode(F.col("text")).alias("ids"),
+        )
     named = lines.select(F.struct("file", "row").alias("at"), "line")
     encoded = encoded_segments(named, "at", tokenizer).select("at.file", "at.row", "seg", "n", "ids")
     written = materialize(encoded, "encoded-lines")
