@@ -326,3 +326,15 @@ def test_cut_archives_are_told():
         list(warc.parse(gzip.compress(b"WARC/1.1\r\nno colon\r\n\r\n")))
     with pytest.raises(KeyError):
         list(warc.parse(gzip.compress(b"WARC/1.1\r\nA: b\r\n\r\n")))
+
+
+def test_all_labelled_candidates_are_learned_from(spark, monkeypatch):
+    """A size far below the number of candidates weighs them and leaves none out."""
+    seen, fit, scored = [], pii.GBTClassifier.fit, pii.scored
+    monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, rows: seen.append(rows.count()) or fit(self, rows))
+    monkeypatch.setattr(pii, "scored", lambda trees, rows: seen.append(rows.count()) or scored(trees, rows))
+    proposed = pii.propose(table(spark, [r for r in personal_rows() if r[0] is not None]))
+    labelled = proposed.select(F.explode("candidates").alias("c")).where(F.col("c.label") != pii.OPEN)
+    _, thresholds = pii.fit(proposed, size=60)
+    assert len(seen) == 2 and sum(seen) == labelled.count()
+    assert set(thresholds) == set(pii.GROUPS)

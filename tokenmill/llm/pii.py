@@ -3,18 +3,18 @@
 Base spans come from fixed patterns with checks (octet range, Luhn sum, digit counts) and always
 stay. Generators propose many more, overlapping spans: digit groups of any kind, dotted and colon
 groups, spelled-out addresses, account numbers. Boosted trees see the format of a candidate and its
-context, not its kind nor the checks that labels come from. They are fitted to a bounded sample, as
-much from each kind and label as there is room for. Its labels:
+context, not its kind nor the checks that labels come from. They are fitted to all candidates with a
+label, weighted so that kinds and labels count alike. The labels:
 
 - positive: base spans; base spans in another form (a phone without its '+' or country code, an
   address spelled out); accounts whose sum is right (mod 97), IPv6 addresses of eight groups,
   spelled-out addresses that end in letters;
 - negative: matches whose check fails, numbers too short or long for a phone, or after a word such as
   'version' or 'page';
-- none, and not in the sample: all other numbers.
+- none, and not learned from: all other numbers.
 
 Per kind, and for numbers as long as phones on their own, the lowest score with the wanted precision
-on a part of the sample kept apart becomes the threshold. Candidates at or above it that touch no base span are added, the best score first where
+on a part of them kept apart becomes the threshold. Candidates at or above it that touch no base span are added, the best score first where
 they overlap. Where a check of its own holds for a candidate, EVEN is enough.
 
 Texts are taken whole; positions count code points, ends are exclusive. A null text is an empty one
@@ -45,7 +45,7 @@ from tokenmill.session import materialize
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("spelled_email", "ip6", "number", "account")
 KINDS = BASE_KINDS + EXTRA_KINDS
-TRAINING_CANDIDATES = 20_000  # expected size of the sample
+TRAINING_CANDIDATES = 20_000  # weight of all training rows together, however many there are
 CALIBRATION_SHARE = 0.3
 PRECISION = 0.98
 BINS = 200
@@ -303,7 +303,11 @@ def _group() -> Column:
 def fit(
     proposed: DataFrame, size: int = TRAINING_CANDIDATES, precision: float = PRECISION, seed: int = 3
 ) -> tuple[GBTClassificationModel, dict[str, float]] | None:
-    """(trees, thresholds by group) from about ``size`` candidates; None without both labels."""
+    """(trees, thresholds by group) from all labelled candidates; None without both labels.
+
+    Trees are fitted to those not set apart, thresholds to all set apart; none is left out. ``size``
+    is the weight of all rows together, shared evenly by kinds and labels.
+    """
     every = proposed.select("_key", F.explode("candidates").alias("c")).where(
         F.col("c.label") != OPEN
     )
@@ -312,40 +316,32 @@ def fit(
     if len({r["good"] for r in counts}) < 2:
         return None
     room = size / len(counts)
-    share = reduce(
-        lambda rest, r: F.when(
-            (F.col("c.kind") == r["kind"]) & (good == r["good"]), min(1.0, room / r["count"])
-        ).otherwise(rest),
-        counts, F.lit(0.0),
-    )
     weight = reduce(
         lambda rest, r: F.when(
             (F.col("c.kind") == r["kind"]) & (good == r["good"]),
-            min(MOST_WEIGHT, max(1.0, room / r["count"])),
+            min(MOST_WEIGHT, room / r["count"]),
         ).otherwise(rest),
         counts, F.lit(1.0),
     )
     place = F.struct("_key", "c.start", "c.end", "c.kind")
-    drawn = F.pmod(F.xxhash64(place, F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
-    sample = every.where(drawn < share).select(
+    labelled = every.select(
         _group().alias("group"),
         good.cast("double").alias("label"),
         array_to_vector(F.col("c.features").cast("array<double>")).alias("features"),
         weight.alias("weight"),
-        (1 / share).alias("stands_for"),
         hash_sample(place, CALIBRATION_SHARE, seed + 1).alias("_apart"),
     )
-    sample = materialize(sample, "pii-sample")
-    train = sample.where(~F.col("_apart"))
+    labelled = materialize(labelled, "pii-training")
+    train = labelled.where(~F.col("_apart"))
     if train.select("label").distinct().count() < 2:
         return None
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=seed, weightCol="weight").fit(
-        train.coalesce(4)
+        train
     )
     bins = (
-        scored(trees, sample.where("_apart"))
+        scored(trees, labelled.where("_apart"))
         .groupBy("group", F.floor(F.col("p") * BINS).alias("bin"))
-        .agg(F.sum("stands_for").alias("n"), F.sum(F.col("stands_for") * F.col("label")).alias("good"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good"))
         .orderBy(F.desc("bin"))
         .collect()
     )
