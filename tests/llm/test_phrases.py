@@ -182,3 +182,37 @@ def test_products_may_pass_64_bits(spark):
     found = phrases.score_phrases(frequent).first()
     assert found["score"] == 2_000_000 * (big + 1) // (2 * big + 5) and found["l"] == big + 2
     assert phrases._product(F.lit(big), 100) is not None
+
+
+@pytest.mark.parametrize("shared", ["mix", "run_hashes"])
+def test_words_that_share_a_hash_are_told_apart(monkeypatch, shared):
+    rows = [r for r in corpus(5, 30) if len(r[1] or "") < 5000]
+    few = {
+        "mix": lambda x: x & np.uint64(3),
+        "run_hashes": lambda data, starts, ends: (ends - starts).astype(np.uint64) & np.uint64(1),
+    }
+    monkeypatch.setattr(phrases, shared, few[shared])
+    counts, _, _ = slab_counts([t for _, t, _ in rows], [x or "und" for _, _, x in rows])
+    assert counts == plain_counts(rows)
+
+
+def test_the_expansion_is_counted_with_the_words(spark, monkeypatch):
+    passes = []
+    rows_of = phrases._slab_rows
+    monkeypatch.setattr(phrases, "_slab_rows", lambda docs, *a: passes.append(docs) or rows_of(docs, *a))
+    rows = corpus(2, 120)
+    found, counted = phrases.frequent_phrases(frame(spark, rows), min_count=12, share=0.0)
+    got = {(r["lang"], r["phrase"]): r["n"] for r in found.where("words > 0").collect()}
+    assert got == {x: f for x, f in plain_counts(rows).items() if f >= 12} and counted == 2
+    assert len(passes) == 4  # two over the sample, the border, the words
+
+
+def test_a_task_counts_before_it_hands_on(monkeypatch):
+    monkeypatch.setattr(phrases, "HANDED", 2)
+    keys = [pa.table({"key": np.array(x, np.int64)}) for x in ([3, 1, 3], [], [1, -5])]
+    got = [r for b in phrases._together(keys) for r in b.to_pylist()]
+    assert [(r["key"], r["n"]) for r in got] == [(-5, 1), (1, 2), (3, 2)]
+    names = pa.array(["en", "de"])
+    parts = [phrases._rows(names, np.array(x), 1, pa.array(["a", "b"]), [2, 3]) for x in ([0, 0], [0, 1])]
+    got = {(r["lang"], r["words"], r["phrase"]): r["n"] for b in phrases._together(parts) for r in b.to_pylist()}
+    assert got == {("en", 1, "a"): 4, ("en", 1, "b"): 3, ("de", 1, "b"): 3}

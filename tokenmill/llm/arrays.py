@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 PIECE = 1 << 20
+POWERS = PIECE + (PIECE >> 3)  # bytes that kept powers are enough for: a piece and the ends of its rows
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,9 +62,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-@lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    return _power_rows(PIECE + 1)
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _power_rows(n + 1)
 
 
 def _power_rows(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,11 +133,22 @@ def _piece(data, row_start, lo, hi, codes):
     end = word.copy()
     end[:-1] &= ~word[1:] | row_start[lo + 1 : hi]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    power, inverse = _powers() if len(raw) <= PIECE else _power_rows(len(raw) + 1)
+    return starts + lo, ends + lo, run_hashes(raw, starts, ends, codes)
+
+
+def run_hashes(
+    raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = _CODES
+) -> np.ndarray:
+    """Hashes of runs of bytes, from one running sum; they do not depend on where a run lies."""
+    if len(raw) <= POWERS:
+        power, inverse = _powers(POWERS if len(raw) > POWERS // 2 else POWERS // 2)
+    else:
+        power, inverse = _power_rows(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(codes[raw] * power[: len(raw)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
-    return starts + lo, ends + lo, hashes
+    terms = codes[raw]
+    terms *= power[: len(raw)]
+    np.cumsum(terms, out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

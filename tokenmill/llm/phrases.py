@@ -4,11 +4,11 @@ A sample of the documents proposes phrases that may be frequent. The full pass c
 and their negative border: all phrases of the corpus whose first and last parts (one word shorter)
 are both proposed, every single word among them. All occurrences are counted, so results do not
 depend on the sample. A frequent phrase of the border that was not proposed is a failure: phrases
-around it were not counted. An expansion pass then counts all phrases whose parts are frequent or, not
-being counted yet, may be: these parts are in turn made of such parts. So whatever is frequent has been
-counted after it, and the set is closed. Most phrases of a border occur once, so these passes count
-61-bit hashes and no strings; a last pass counts the words of all phrases whose hash is frequent, by
-which a shared hash costs time but never changes a count.
+around it were not counted. The expansion is all phrases whose parts are frequent or, not being counted
+yet, may be: these parts are in turn made of such parts. So whatever is frequent is counted with it, and
+the set is closed. Most phrases of a border occur once, so it is counted by 61-bit hashes and not by
+strings; a last pass counts the words of all phrases whose hash is frequent, by which a shared hash costs
+time but never changes a count. The expansion, a small part of a border, is counted in that pass as well.
 
 Proposed and frequent hashes travel as bitmaps, one per phrase length, of 2 ** MOST_BITS bits (8 MB)
 at most, however many phrases there are. A phrase that shares its bit with another one is counted
@@ -23,6 +23,7 @@ gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from math import comb
 
 import numpy as np
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenmill.llm.arrays import ODD, hash_sample, mix, row_pieces, text_bytes
+from tokenmill.llm.arrays import ODD, hash_sample, mix, row_pieces, run_hashes, text_bytes
 from tokenmill.session import materialize
 
 MIN_COUNT = 30
@@ -46,7 +47,9 @@ TOP = 2000
 SCALE = 2_000_000
 NO_LANGUAGE = "und"
 
-SLAB = 1 << 20
+SLAB = 1 << 19
+HELD = 1 << 17  # rows that a task puts together before it counts them
+HANDED = 1 << 16  # rows that it hands on at a time
 _BLANK, _BREAK = 32, 10
 _PLAIN = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9
@@ -137,27 +140,50 @@ def _holds(bits: tuple[np.ndarray, int], hashes: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group of each key, first place and count of each group)."""
+    group = pa.array(keys).dictionary_encode().indices.to_numpy()
+    counts = np.bincount(group)
+    first = np.zeros(len(counts), np.int64)
+    first[group[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    return group, first, counts
+
+
+def _taken(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of all bytes of the given runs, one run after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(begin - before, lengths) + np.arange(int(lengths.sum()))
+
+
 class _Slab:
-    """Words of a slab: places, codes within the slab, languages, hashes."""
+    """Words of a slab: places, languages, hashes; codes within the slab when asked for."""
 
     def __init__(self, data, row_starts, languages: np.ndarray, language_hashes: np.ndarray):
         self.data = data
         self.starts, self.ends = _words(data)
-        lengths = self.ends - self.starts
-        letters = data[(data != _BLANK) & (data != _BREAK)]
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(letters))]
-        coded = pa.Array.from_buffers(pa.binary(), len(lengths), buffers).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self.codes = coded.indices.to_numpy().astype(np.int64)
-        self.distinct = max(len(words), 1)
         self.piece = np.cumsum(data == _BREAK)[self.starts] if len(data) else self.starts
         rows = np.searchsorted(row_starts, self.starts, side="right") - 1
         self.lang = languages[rows]
-        self.word_hashes = _hashes(words)[self.codes] if words else np.zeros(0, np.uint64)
+        self.word_hashes = run_hashes(data, self.starts, self.ends)
         self.first_hashes = mix(self.word_hashes + language_hashes[self.lang])
         self._grown = 1, self.first_hashes
 
+    @cached_property
+    def codes(self) -> np.ndarray:
+        """The same number for the same word; words that share a hash are told apart by their bytes."""
+        codes, first, _ = _groups(self.word_hashes)
+        same = first[codes]
+        lengths = self.ends - self.starts
+        if (lengths == lengths[same]).all():
+            letters = _taken(self.starts, lengths), _taken(self.starts[same], lengths)
+            if (self.data[letters[0]] == self.data[letters[1]]).all():
+                return codes
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        letters = self.data[_taken(self.starts, lengths)]
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(letters)]
+        words = pa.Array.from_buffers(pa.binary(), len(lengths), buffers)
+        return words.dictionary_encode().indices.to_numpy().astype(np.int64)
+
     def hashes(self, words: int) -> np.ndarray:
         """Hashes of all phrases of ``words`` words, over breaks as well; asked for in rising order."""
         length, hashes = self._grown
@@ -171,47 +197,50 @@ class _Slab:
         """The phrases of ``words`` words that begin at the given words."""
         begin = self.starts[at]
         lengths = self.ends[at + words - 1] - begin
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-        take = np.repeat(begin - offsets[:-1], lengths) + np.arange(offsets[-1])
-        buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(self.data[take])]
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(self.data[_taken(begin, lengths)])]
         return pa.Array.from_buffers(pa.string(), len(at), buffers)
 
 
-def _bordered(slab: _Slab, levels: range, bits: Bits, frequent: Bits | None, carried: int) -> Iterator:
-    """(keys, counts) of the slab's phrases that are to be counted, by length.
+def _grown(slab: _Slab, stop: int, bits: Bits, frequent: Bits | None = None) -> Iterator:
+    """(words, keys, border, expansion) of the slab's phrases of 1 to ``stop`` - 1 words.
 
-    The border of ``bits``; given the ``frequent`` phrases of that, its expansion instead.
+    Which of them are in the border of ``bits`` and, given what is ``frequent`` there, in its expansion.
     """
     n = len(slab.starts)
     keys = _keys(slab.first_hashes, 1)
-    border = np.ones(n, bool)  # counted with the border of ``bits``
-    open_ones = np.zeros(n, bool)  # counted by the expansion
-    if 1 in levels and frequent is None:
-        yield _summed(slab, carried)
-    for words in range(2, levels.stop):
+    border, expansion = np.ones(n, bool), np.zeros(n, bool)
+    yield 1, keys, border, expansion
+    for words in range(2, stop):
         last = n - words + 1
-        if last <= 0 or not (border | open_ones).any():
+        if last <= 0 or not (border | expansion).any():
             return
         together = slab.piece[:last] == slab.piece[words - 1 :]
-        proposed = _member(border, keys, bits, words - 1)
-        may_be = open_ones
+        proposed, may_be = _member(border, keys, bits, words - 1), expansion
         if frequent is not None:
-            may_be = open_ones | _member(border, keys, frequent, words - 1)
-        open_ones = may_be[:-1] & may_be[1:] & together
+            may_be = expansion | _member(border, keys, frequent, words - 1)
         border = proposed[:-1] & proposed[1:] & together
+        expansion = may_be[:-1] & may_be[1:] & together & ~border
         keys = _keys(slab.hashes(words), words)
-        if words in levels:
-            wanted = border.copy() if frequent is None else open_ones & ~border
-            wanted[: max(0, carried - words + 1)] = False
-            yield keys[wanted], np.ones(int(wanted.sum()), np.int64)
-        open_ones &= ~border
+        yield words, keys, border, expansion
+
+
+def _own(flags: np.ndarray, words: int, carried: int) -> np.ndarray:
+    """Flagged places of phrases that the slab before has not had."""
+    at = np.flatnonzero(flags)
+    return at[at >= carried - words + 1] if carried else at
 
 
-def _summed(slab: _Slab, carried: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) of single words."""
-    pairs = slab.lang[carried:] * slab.distinct + slab.codes[carried:]
-    pairs, first, counts = np.unique(pairs, return_index=True, return_counts=True)
-    return _keys(slab.first_hashes[carried:][first], 1), counts
+def _bordered(slab: _Slab, levels: range, bits: Bits, frequent: Bits | None, carried: int) -> Iterator:
+    """(keys, counts) of the slab's phrases that are to be counted, by length.
+
+    The border of ``bits``; given the ``frequent`` phrases of that, its expansion instead.
+    """
+    for words, keys, border, expansion in _grown(slab, levels.stop, bits, frequent):
+        if words not in levels:
+            continue
+        at = _own(border if frequent is None else expansion, words, carried)
+        yield keys[at], np.ones(len(at), np.int64)
 
 
 def _member(flags: np.ndarray, keys: np.ndarray, bits: Bits, words: int) -> np.ndarray:
@@ -224,28 +253,47 @@ def _member(flags: np.ndarray, keys: np.ndarray, bits: Bits, words: int) -> np.n
     return out
 
 
-def _flagged(slab: _Slab, frequent: Bits, carried: int) -> Iterator:
-    """(words, first places, counts) of the slab's phrases whose hash is frequent, by length."""
-    n = len(slab.starts)
-    for words in sorted(frequent):
-        last = n - words + 1
-        if last <= 0:
-            return
-        flags = slab.piece[:last] == slab.piece[words - 1 :]
-        flags[: max(0, carried - words + 1)] = False
-        at = np.flatnonzero(flags)
-        at = at[_holds(frequent[words], _keys(slab.hashes(words), words)[at])]
-        key = slab.lang[at] * slab.distinct + slab.codes[at]
-        for k in range(1, words):
-            key = np.unique(key, return_inverse=True)[1] * slab.distinct + slab.codes[at + k]
-        _, first, counts = np.unique(key, return_index=True, return_counts=True)
-        yield words, at[first], counts
+def _flagged(
+    slab: _Slab, frequent: Bits, carried: int, stop: int = MAX_WORDS + 1, bits: Bits = {}, expand: bool = False
+) -> Iterator:
+    """(words, first places, counts) of the slab's phrases to be counted by their words, by length.
+
+    Those in the border of ``bits`` whose hash is frequent and, if wanted, the border's expansion.
+    """
+    known = frequent if expand else None
+    for words, keys, border, expansion in _grown(slab, stop, bits, known):
+        at = _own(border, words, carried) if words in frequent else np.zeros(0, np.int64)
+        if len(at):
+            at = at[_holds(frequent[words], keys[at])]
+        if expand:
+            at = np.concatenate([at, _own(expansion, words, carried)])
+        if len(at):
+            yield words, *_grouped(slab, at, keys[at], words)
+
+
+def _grouped(slab: _Slab, at: np.ndarray, keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first places, counts) of the phrases at the given places, by their words and not by their keys."""
+    group, first, counts = _groups(keys)
+    same = at[first[group]]
+    if (slab.lang[at] == slab.lang[same]).all() and all(
+        (slab.codes[at + k] == slab.codes[same + k]).all() for k in range(words)
+    ):
+        return at[first], counts
+    distinct = int(slab.codes.max(initial=0)) + 1
+    key = slab.lang[at] * distinct + slab.codes[at]
+    for k in range(1, words):
+        key = np.unique(key, return_inverse=True)[1] * distinct + slab.codes[at + k]
+    _, first, counts = np.unique(key, return_index=True, return_counts=True)
+    return at[first], counts
 
 
 def _slab_rows(docs: DataFrame, text: str, lang: str, overlap: int, kernel, schema: str) -> DataFrame:
-    """What ``kernel`` makes of all slabs; it gets a slab, the words carried over and the languages."""
+    """What ``kernel`` makes of a task's slabs, each with its words carried over and the languages.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Its tables are put together until they have HELD rows, counted together and handed on.
+    """
+
+    def slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Slab, int, pa.Array]]:
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -257,7 +305,18 @@ def _slab_rows(docs: DataFrame, text: str, lang: str, overlap: int, kernel, sche
             for raw, starts, row, carried in _slabs(data, offsets, overlap):
                 slab = _Slab(raw, starts, row_lang[row:], language_hashes)
                 if len(slab.starts):
-                    yield from kernel(slab, carried, names)
+                    yield slab, carried, names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for found in kernel(slabs(batches)):
+            held.append(found)
+            rows += found.num_rows
+            if rows >= HELD:
+                yield from _together(held)
+                held, rows = [], 0
+        if rows:
+            yield from _together(held)
 
     rows = docs.select(
         F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit(NO_LANGUAGE)).alias("lang")
@@ -265,45 +324,66 @@ def _slab_rows(docs: DataFrame, text: str, lang: str, overlap: int, kernel, sche
     return rows.mapInArrow(run, schema)
 
 
-def count_border(
-    docs: DataFrame, text: str, lang: str, levels: range, bits: Bits, frequent: Bits | None = None
-) -> DataFrame:
+def _together(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """The rows of all parts, with one row for each key."""
+    whole = pa.concat_tables(parts)
+    if whole.column_names == ["key"]:
+        # Few keys come twice, and numbers are sorted faster than they are looked up.
+        keys, counts = np.unique(whole["key"].to_numpy(), return_counts=True)
+        whole = pa.table({"key": keys, "n": counts})
+    else:
+        keys = [c for c in whole.column_names if c != "n"]
+        whole = whole.group_by(keys, use_threads=False).aggregate([("n", "sum")])
+        whole = whole.rename_columns([*keys, "n"])
+    yield from whole.to_batches(max_chunksize=HANDED)
+    del whole
+    pa.default_memory_pool().release_unused()
+
+
+def count_border(docs: DataFrame, text: str, lang: str, levels: range, bits: Bits) -> DataFrame:
     """(key, n): hashed phrases with as many words as ``levels`` says.
 
-    Only phrases whose parts are in ``bits`` are counted, for the lengths that it has. Given what is
-    ``frequent`` among them, the expansion is counted: other phrases of parts that are or may be so.
+    Only phrases whose parts are in ``bits`` are counted, for the lengths that it has.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((bits, frequent))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def kernel(slab: _Slab, carried: int, names: pa.Array) -> Iterator[pa.RecordBatch]:
-        for keys, counts in _bordered(slab, levels, *shared.value, carried):
-            columns = [pa.array(keys.view(np.int64)), pa.array(counts)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n"])
+    def kernel(slabs: Iterator[tuple[_Slab, int, pa.Array]]) -> Iterator[pa.Table]:
+        for slab, carried, _ in slabs:
+            for keys, _ in _bordered(slab, levels, shared.value, None, carried):
+                yield pa.table({"key": keys.view(np.int64)})
 
     rows = _slab_rows(docs, text, lang, levels.stop - 2, kernel, "key long, n long")
     return rows.groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def count_words(docs: DataFrame, text: str, lang: str, frequent: Bits, max_words: int) -> DataFrame:
-    """(lang, words, phrase, n) of all phrases in ``frequent``; 0 words for the total of a language."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def count_words(
+    docs: DataFrame, text: str, lang: str, frequent: Bits, max_words: int, bits: Bits, expand: bool
+) -> DataFrame:
+    """(lang, words, phrase, n) of phrases in ``frequent``; 0 words for the total of a language.
 
-    def kernel(slab: _Slab, carried: int, names: pa.Array) -> Iterator[pa.RecordBatch]:
-        totals = np.bincount(slab.lang[carried:], minlength=len(names))
-        yield _rows(names, np.arange(len(names)), 0, pa.array([""] * len(names)), totals)
-        for words, at, counts in _flagged(slab, shared.value, carried):
-            yield _rows(names, slab.lang[at], words, slab.phrases(at, words), counts)
+    They are counted where the border of ``bits`` has them. ``expand`` counts its expansion as well:
+    other phrases of parts that are or may be frequent.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, bits))
+
+    def kernel(slabs: Iterator[tuple[_Slab, int, pa.Array]]) -> Iterator[pa.Table]:
+        known, proposed = shared.value
+        for slab, carried, names in slabs:
+            totals = np.bincount(slab.lang[carried:], minlength=len(names))
+            yield _rows(names, np.arange(len(names)), 0, pa.array([""] * len(names)), totals)
+            for words, at, counts in _flagged(slab, known, carried, max_words + 1, proposed, expand):
+                yield _rows(names, slab.lang[at], words, slab.phrases(at, words), counts)
 
     rows = _slab_rows(docs, text, lang, max_words - 1, kernel, COUNTS)
     return rows.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _rows(names: pa.Array, lang: np.ndarray, words: int, phrases: pa.Array, counts) -> pa.RecordBatch:
+def _rows(names: pa.Array, lang: np.ndarray, words: int, phrases: pa.Array, counts) -> pa.Table:
     columns = [
         names.take(pa.array(lang)), pa.array(np.full(len(lang), words, np.int32)), phrases,
         pa.array(np.asarray(counts, np.int64)),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "n"])
+    return pa.Table.from_arrays(columns, ["lang", "words", "phrase", "n"])
 
 
 def _key_words(key: str = "key") -> Column:
@@ -377,7 +457,7 @@ def frequent_phrases(
     share: float = SAMPLE_SHARE,
     seed: int = 11,
 ) -> tuple[DataFrame, int]:
-    """((lang, words, phrase, n), number of passes over the corpus that counted hashes).
+    """((lang, words, phrase, n), 1, or 2 if the border had to be expanded).
 
     All phrases of up to ``max_words`` words with ``min_count`` occurrences in a language, and for each
     language a row of 0 words whose ``n`` counts all its words.
@@ -390,22 +470,16 @@ def frequent_phrases(
         likely = count_border(sample, text, lang, levels, bits).where(F.col("n") >= least)
         bits, _ = propose(likely.where(_key_words() < max_words), bits)
     bits = _all_lengths(bits, max_words)
-    levels, passes = range(1, max_words + 1), 1
-
-    def add_frequent(known: Bits, *found_by: Bits) -> tuple[Bits, DataFrame]:
-        found = count_border(docs, text, lang, levels, *found_by).where(F.col("n") >= min_count)
-        found = materialize(found.select("key"), "frequent-hashes")
-        return propose(found, known)[0], found
-
-    frequent, found = add_frequent({}, bits)
+    found = count_border(docs, text, lang, range(1, max_words + 1), bits).where(F.col("n") >= min_count)
+    found = materialize(found.select("key"), "frequent-hashes")
+    frequent, _ = propose(found, {})
     _, failures = propose(found.where(_key_words() < max_words), bits)
-    if failures:
+    expand = failures > 0
+    if expand:
         frequent = _all_lengths(frequent, max_words)
-        frequent, _ = add_frequent(frequent, bits, frequent)
-        passes += 1
-    counts = count_words(docs, text, lang, frequent, max_words)
+    counts = count_words(docs, text, lang, frequent, max_words, bits, expand)
     enough = (F.col("n") >= min_count) | (F.col("words") == 0)
-    return materialize(counts.where(enough), "frequent-phrases"), passes
+    return materialize(counts.where(enough), "frequent-phrases"), 1 + expand
 
 
 def _all_lengths(bits: Bits, max_words: int) -> Bits:
