@@ -253,3 +253,24 @@ def test_plans_write_flat_caches(spark, tmp_path):
     drawn = corpus.flat_windows(spark, f"{tmp_path}/f", (100, total), 40, 4, 16, seed=3, accumulate=2)
     wanted = corpus.cached_windows(spark, rows, 50, (100, total), 40, 4, 16, seed=3, accumulate=2)
     assert sorted(drawn.collect()) == sorted(wanted.collect())
+
+
+def test_ranges_of_a_large_file_are_few(tmp_path, monkeypatch):
+    monkeypatch.setattr(flat, "MOST_RANGES", 5)
+    prefix = str(tmp_path / "many")
+    np.arange(1000, dtype="<u4").tofile(flat.token_files(prefix)[0])
+    reader = flat.TokenReader({"path": prefix, "chunk": "8", "split": "32"})
+    ranges = reader.partitions()
+    assert len(ranges) == 5 and [r.first for r in ranges[1:]] == [r.last for r in ranges[:-1]]
+    read = [b.column("ids").flatten().to_numpy() for r in ranges for b in reader.read(r)]
+    assert np.concatenate(read).tolist() == list(range(1000))
+    monkeypatch.setattr(flat, "SPLIT_BYTES", 64)  # no range grows beyond it
+    assert len(reader.partitions()) == 63
+    ids, labels, offsets, _ = flat.example_files(prefix)
+    for name in (ids, labels):
+        np.arange(1000, dtype="<i4").tofile(name)
+    np.save(offsets, np.stack([np.arange(0, 1000, 4), np.full(250, 4)], axis=1))
+    monkeypatch.setattr(flat, "SPLIT_BYTES", 1 << 20)
+    examples = flat.ExampleReader({"path": prefix, "split": "32"})
+    assert len(examples.partitions()) == 5
+    assert sum(b.num_rows for r in examples.partitions() for b in examples.read(r)) == 250

@@ -46,6 +46,7 @@ TOKENS, EXAMPLES = "flat_tokens", "flat_examples"
 WIDTH = 4  # bytes of an id or label
 PAIR = 16  # bytes of a row's start and length
 SPLIT_BYTES = 128 << 20
+MOST_RANGES = 256  # of a file that is read in ranges of less than SPLIT_BYTES
 READ_BYTES = 4 << 20
 CHUNK = 1024
 TOKEN_SCHEMA = "chunk_id long, ids array<int>, next_id int"
@@ -117,6 +118,11 @@ def _ranges(first: int, last: int, rows: int) -> list[Range]:
     return [Range(i, min(i + rows, last)) for i in range(first, last, rows)]
 
 
+def _range_bytes(size: int, split: int) -> int:
+    """``split``, or more: a task starts at a cost, so small ranges grow with the file up to SPLIT_BYTES."""
+    return max(split, min(-(-size // MOST_RANGES), SPLIT_BYTES))
+
+
 class TokenReader(DataSourceReader):
     """(chunk_id, ids, next_id) of chunks of ``size`` ids, all or those of the ids from lo to hi - 1."""
 
@@ -135,7 +141,8 @@ class TokenReader(DataSourceReader):
         self.hi = min(int(options.get("hi", self.total)), self.total)
 
     def partitions(self) -> list[Range]:
-        rows = max(self.split // (WIDTH * self.chunk), 1)
+        size = _range_bytes((self.hi - self.lo) * WIDTH, self.split)
+        rows = max(size // (WIDTH * self.chunk), 1)
         ranges = _ranges(self.lo // self.chunk, -(-self.hi // self.chunk), rows)
         return (ranges if self.hi > self.lo else []) or [Range(0, 0)]
 
@@ -175,7 +182,8 @@ class ExampleReader(DataSourceReader):
             raise ValueError(f"{self.ids} and {self.labels} do not have as many whole numbers")
         if known is not None and (known["num_samples"], known["num_tokens"]) != (self.rows, tokens):
             raise ValueError(f"{self.ids} does not have what its manifest says")
-        parts = max(-(-(2 * sizes[0] + PAIR * self.rows) // split), 1)
+        size = 2 * sizes[0] + PAIR * self.rows
+        parts = max(-(-size // _range_bytes(size, split)), 1)
         self.per_part = max(-(-self.rows // parts), 1)
 
     def partitions(self) -> list[Range]:
